@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseq.llm import decontaminate, exact_dedup
+from polyseq.llm import decontaminate, exact_dedup, simhash
 from polyseq.llm._shared import table
 
 
@@ -49,9 +49,15 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
 
