@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseq.llm import bpe, decontaminate, exact_dedup, simhash
+from polyseq.llm import bpe, decontaminate, exact_dedup, simhash, token_counts
 from polyseq.llm._shared import table
 
 
@@ -59,6 +59,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_exact_dedup": op2_exact_dedup,
+        "op5_token_counts": op5_token_counts,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
