@@ -78,3 +78,66 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = [flat[s : s + n] for s, n in zip(starts, sizes, strict=True) if n]
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)), np.concatenate([[0], np.cumsum(sizes)])
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+_P = 0x9E6C63D0876A9A47
+_P_INVERSE = pow(_P, -1, 1 << 64)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_FOLDED = np.frombuffer(LOWER_AZ, np.uint8)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0, base ** 1 and so on, modulo 2 ** 64."""
+    if base not in _powers or len(_powers[base]) < n:
+        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps[0] = 1
+        found = np.cumprod(steps, dtype=np.uint64)
+        if n > 1 << 22:  # for one very long text only
+            return found
+        _powers[base] = found
+    return _powers[base]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashed_words(flat: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    text = _FOLDED[flat] if fold else flat
+    inside = ~_SPACE[flat]
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    edges = ends[(ends > 0) & (ends < len(flat))]
+    begins[edges] = inside[edges]
+    stops[edges - 1] = inside[edges - 1]
+    starts, last = np.flatnonzero(begins), np.flatnonzero(stops)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _power(_P, len(text))[: len(text)], dtype=np.uint64)])
+    found = (sums[last + 1] - sums[starts]) * _power(_P_INVERSE, len(text))[starts]
+    return mix(found ^ (last - starts).astype(np.uint64) << np.uint64(48)), np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def word_hashes(column: pa.Array, fold: bool = True, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (what lies between \x20 and \x09-\x0D) of a batch of texts, in order, and how many each text has.
+
+    fold: A-Z count as a-z. The hash is a polynomial in the bytes, so that sums over prefixes give it for all
+    words at once; about ``chunk`` bytes are done together.
+    """
+    flat, offsets = flat_text(column)
+    hashes, sizes, at = [], [], 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, side="right")) - 1)
+        part = flat[offsets[at] : offsets[to]]
+        if len(part):
+            h, n = _hashed_words(part, offsets[at + 1 : to + 1] - offsets[at], fold)
+            hashes.append(h)
+            sizes.append(n)
+        else:
+            sizes.append(np.zeros(to - at, np.int64))
+        at = to
+    none = np.zeros(0, np.int64)
+    return np.concatenate(hashes or [none.astype(np.uint64)]), np.concatenate(sizes or [none]).astype(np.int64)

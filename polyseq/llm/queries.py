@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseq.llm import bpe, decontaminate, exact_dedup, simhash, token_counts
+from polyseq.llm import bpe, decontaminate, exact_dedup, secret_scan, simhash, token_counts
 from polyseq.llm._shared import table
 
 
@@ -59,6 +59,15 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+    of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(listed(of(*kinds)), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -73,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_secret_scan": op4_secret_scan,
         "op5_token_counts": op5_token_counts,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
