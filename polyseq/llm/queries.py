@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseq.llm import bpe, decontaminate, exact_dedup, secret_scan, simhash, token_counts
+from polyseq.llm import bpe, decontaminate, exact_dedup, lm_score, secret_scan, simhash, token_counts
 from polyseq.llm._shared import table
 
 
@@ -73,6 +73,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_token_counts": op5_token_counts,
+        "op6_lm_score": op6_lm_score,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
