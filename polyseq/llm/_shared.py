@@ -141,3 +141,48 @@ def word_hashes(column: pa.Array, fold: bool = True, chunk: int = 1 << 20) -> tu
         at = to
     none = np.zeros(0, np.int64)
     return np.concatenate(hashes or [none.astype(np.uint64)]), np.concatenate(sizes or [none]).astype(np.int64)
+
+
+def string_hashes(offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings that lie end to end."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _power(_P, len(flat))[: len(flat)], dtype=np.uint64)])
+    powers = np.append(_power(_P_INVERSE, len(flat) + 1)[: len(flat) + 1], np.uint64(0))
+    return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * powers[offsets[:-1]] ^ np.diff(offsets).astype(np.uint64) << np.uint64(48))
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Whole numbers from zero as bytes: the width of one, then all of them."""
+    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + x.astype(kind.newbyteorder("<")).tobytes()
+
+
+def unpack_numbers(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+
+
+def pack_planes(codes: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: all lowest bytes, then the next; files compress them well so."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def range_bounds(n: int) -> np.ndarray:
+    """Where each of n equal ranges of 64-bit hashes begins."""
+    return np.array([(k << 64) // n for k in range(n)], np.uint64)
+
+
+def write_bucketed(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by its column block, so that joins on it don't shuffle it."""
+    spark = df.sparkSession
+    name = f"polyseq_{what}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def new_block() -> int:
+    """A number for a block of rows; blocks are written as soon as they are made, so it needn't come out alike again."""
+    return uuid.uuid4().int >> 65

@@ -13,7 +13,6 @@ block, whatever its frequency, and the blocks themselves don't move.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import mix, shared_dir, word_hashes
+from polyseq.llm._shared import mix, new_block, pack_numbers, pack_planes, range_bounds, unpack_numbers, unpack_planes, word_hashes, write_bucketed
 
 #: Hashes of the end of a text, which is a token, and of its start, which is a context only.
 END, START = np.uint64(0x5B1C0F4E2D3A6987), np.uint64(0xA7D9E3C1B5F02468)
@@ -33,16 +32,6 @@ STEPS = 32
 _NEVER = -(1 << 20)
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Whole numbers as bytes: the width of one, then all of them."""
-    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
-    return bytes([kind.itemsize]) + x.astype(kind.newbyteorder("<")).tobytes()
-
-
-def _large(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
-
-
 def _to_blocks(block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,12 +43,11 @@ def _to_blocks(block_tokens: int):
                 before = int(ends[at - 1]) if at else 0
                 to = max(at + 1, int(np.searchsorted(ends, before + block_tokens, side="right")))
                 keys, codes = np.unique(tokens[before : ends[to - 1]], return_inverse=True)
-                planes = np.ascontiguousarray(codes.reshape(-1).astype("<u4").view(np.uint8).reshape(-1, 4).T)
                 part = batch.slice(at, to - at)
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.record_batch({
-                    "block": pa.array([uuid.uuid4().int >> 65], pa.int64()), "doc_ids": one(part.column(0)), "parts": one(part.column(2)),
-                    "sizes": one(pa.array(words[at:to] + 1, pa.int32())), "hashes": pa.array([keys.tobytes()], pa.binary()), "codes": pa.array([planes.tobytes()], pa.binary()),
+                    "block": pa.array([new_block()], pa.int64()), "doc_ids": one(part.column(0)), "parts": one(part.column(2)),
+                    "sizes": one(pa.array(words[at:to] + 1, pa.int32())), "hashes": pa.array([keys.tobytes()], pa.binary()), "codes": pa.array([pack_planes(codes.reshape(-1))], pa.binary()),
                 })
                 at = to
 
@@ -71,7 +59,7 @@ class _Block:
 
     def __init__(self, row: dict):
         self.words = np.frombuffer(row["hashes"], np.uint64)
-        self.codes = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        self.codes = unpack_planes(row["codes"])
         self.sizes = np.array(row["sizes"], np.int64)
         self.part = np.repeat(np.array(row["parts"], np.int64), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -104,7 +92,7 @@ class _Block:
 
 def _to_ranges(n: int):
     """Blocks to rows (range, block, words, their counts, pairs, their counts), the hashes sorted."""
-    bounds = np.array([(k << 64) // n for k in range(n)], np.uint64)
+    bounds = range_bounds(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +104,7 @@ def _to_ranges(n: int):
                 for k in range(n):
                     w, p = slice(cut_w[k], cut_w[k + 1]), slice(cut_p[k], cut_p[k + 1])
                     if w.start < w.stop or p.start < p.stop:
-                        values = (k, row["block"], b.sorted_words[w].tobytes(), _small(counts[0][w]), _small(counts[1][w]), b.pairs[p].tobytes(), _small(counts[2][p]), _small(counts[3][p]))
+                        values = (k, row["block"], b.sorted_words[w].tobytes(), pack_numbers(counts[0][w]), pack_numbers(counts[1][w]), b.pairs[p].tobytes(), pack_numbers(counts[2][p]), pack_numbers(counts[3][p]))
                         for name, v in zip(out, values, strict=True):
                             out[name].append(v)
                 yield pa.record_batch({k: pa.array(v, pa.int32() if k == "range" else pa.int64() if k == "block" else pa.binary()) for k, v in out.items()})
@@ -140,11 +128,11 @@ def _sum_range(group: pa.Table) -> pa.Table:
         each = [np.frombuffer(r[f"{what}s"], np.uint64) for r in rows]
         keys, at = np.unique(np.concatenate(each), return_inverse=True)
         at = at.reshape(-1)
-        kept = np.bincount(at, np.concatenate([_large(r[f"{what}_n"]) for r in rows]), len(keys)).astype(np.int64)
-        deleted = np.bincount(at, np.concatenate([_large(r[f"{what}_d"]) for r in rows]), len(keys)).astype(np.int64)
+        kept = np.bincount(at, np.concatenate([unpack_numbers(r[f"{what}_n"]) for r in rows]), len(keys)).astype(np.int64)
+        deleted = np.bincount(at, np.concatenate([unpack_numbers(r[f"{what}_d"]) for r in rows]), len(keys)).astype(np.int64)
         cuts = np.cumsum([len(x) for x in each])[:-1]
-        out[f"{what}_n"] = [_small(x) for x in np.split(kept[at], cuts)]
-        out[f"{what}_all"] = [_small(x) for x in np.split((kept + deleted)[at], cuts)]
+        out[f"{what}_n"] = [pack_numbers(x) for x in np.split(kept[at], cuts)]
+        out[f"{what}_all"] = [pack_numbers(x) for x in np.split((kept + deleted)[at], cuts)]
         if what == "word":
             token = keys != START
             n, d = kept[token], deleted[token]
@@ -184,8 +172,8 @@ def _bucket(n: np.ndarray) -> np.ndarray:
 def _looked_up(b: _Block, row: dict, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """c(h w), c(h), c(w) of each token of a block."""
     parts = sorted(row["parts_back"] or [], key=lambda p: p["range"])
-    words = b.by_word([_large(p[f"word_{which}"]) for p in parts])
-    pairs = np.concatenate([_large(p[f"pair_{which}"]) for p in parts])
+    words = b.by_word([unpack_numbers(p[f"word_{which}"]) for p in parts])
+    pairs = np.concatenate([unpack_numbers(p[f"pair_{which}"]) for p in parts])
     return pairs[b.pair_codes], words[b.context], words[b.codes]
 
 
@@ -245,20 +233,15 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     kind = df.schema[id_col].dataType.simpleString()
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def written(x: DataFrame, what: str) -> DataFrame:
-        name = f"polyseq_{what}_{uuid.uuid4().hex}"
-        x.write.bucketBy(n_buckets, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-        return spark.table(name)
-
     code = F.crc32(F.coalesce(df[id_col].cast("string"), F.lit("")))
     part = F.when(code % folds == held_out, 0).when(F.floor(code / folds) % deleted == 0, 2).otherwise(1)
     texts = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), part.cast("int").alias("part"))
-    blocks = written(texts.mapInArrow(_to_blocks(BLOCK_TOKENS), f"block long, doc_ids array<{kind}>, parts array<int>, sizes array<int>, hashes binary, codes binary"), "texts")
+    blocks = write_bucketed(texts.mapInArrow(_to_blocks(BLOCK_TOKENS), f"block long, doc_ids array<{kind}>, parts array<int>, sizes array<int>, hashes binary, codes binary"), "texts")
     n_tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     n_ranges = max(n_buckets, -(-n_tokens // RANGE_HASHES))
 
     rows = blocks.mapInArrow(_to_ranges(n_ranges), "range int, block long, words binary, word_n binary, word_d binary, pairs binary, pair_n binary, pair_d binary")
-    sums = written(rows.groupBy("range").applyInArrow(_sum_range, _SUMS).repartition(n_buckets, "block"), "sums")
+    sums = write_bucketed(rows.groupBy("range").applyInArrow(_sum_range, _SUMS).repartition(n_buckets, "block"), "sums")
     totals = sums.filter("totals is not null")
     n, n_all, v, v_all = (x or 0 for x in totals.agg(*[F.sum(f"totals.{k}") for k in ("n", "n_all", "v", "v_all")]).first())
     seen = totals.select(F.explode("totals.seen").alias("s")).groupBy("s.count").agg(F.sum("s.times").alias("times")).collect()  # some thousand rows at most
