@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseq.llm import bpe, decontaminate, exact_dedup, lm_score, secret_scan, simhash, token_counts
+from polyseq.llm import bpe, decontaminate, exact_dedup, lang_id, lm_score, secret_scan, simhash, token_counts
 from polyseq.llm._shared import table
 
 
@@ -77,6 +77,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_token_counts": op5_token_counts,
         "op6_lm_score": op6_lm_score,
+        "op7_lang_id": op7_lang_id,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
