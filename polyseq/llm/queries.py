@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseq.llm import bpe, decontaminate, exact_dedup, lang_id, lm_score, secret_scan, simhash, token_counts
+from polyseq.llm import bpe, decontaminate, exact_dedup, lang_id, lm_score, quality, secret_scan, simhash, token_counts
 from polyseq.llm._shared import table
 
 
@@ -59,6 +59,10 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in secret_scan.BASE_RULES]
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_quality": op3_quality,
         "op4_secret_scan": op4_secret_scan,
         "op5_token_counts": op5_token_counts,
         "op6_lm_score": op6_lm_score,
