@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseq.llm import bpe, decontaminate, exact_dedup, lang_id, lm_score, quality, secret_scan, simhash, token_counts
+from polyseq.llm import bpe, decontaminate, exact_dedup, lang_id, license_scan, lm_score, quality, secret_scan, simhash, token_counts
 from polyseq.llm._shared import table
 
 
@@ -85,6 +85,12 @@ def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(table(spark, sf_dir, "documents"))
+    one = lambda x: F.concat_ws(":", x["license"], x["start"], x["end"], F.format_number(x["coverage"], 3))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.transform("licenses", one), ",").alias("licenses"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -99,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_lm_score": op6_lm_score,
         "op7_lang_id": op7_lang_id,
+        "op8_license_scan": op8_license_scan,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
