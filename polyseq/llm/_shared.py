@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,6 +43,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays for later tasks, and what it holds counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def lower_az(col):
     """Lower-case A-Z only."""
     return F.translate(col, _UPPER, _LOWER)
@@ -106,9 +116,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashed_words(flat: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hashed_words(flat: np.ndarray, ends: np.ndarray, fold: bool, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text = _FOLDED[flat] if fold else flat
-    inside = ~_SPACE[flat]
+    inside = ~outside[flat]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     stops[:-1] &= ~inside[1:]
@@ -121,8 +131,8 @@ def _hashed_words(flat: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.nd
     return mix(found ^ (last - starts).astype(np.uint64) << np.uint64(48)), np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
-def word_hashes(column: pa.Array, fold: bool = True, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (what lies between \x20 and \x09-\x0D) of a batch of texts, in order, and how many each text has.
+def word_hashes(column: pa.Array, fold: bool = True, chunk: int = 1 << 20, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (what lies between \\x20 and \\x09-\\x0D, or the bytes ``outside``) of a batch of texts, in order, and how many each text has.
 
     fold: A-Z count as a-z. The hash is a polynomial in the bytes, so that sums over prefixes give it for all
     words at once; about ``chunk`` bytes are done together.
@@ -133,7 +143,7 @@ def word_hashes(column: pa.Array, fold: bool = True, chunk: int = 1 << 20) -> tu
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, side="right")) - 1)
         part = flat[offsets[at] : offsets[to]]
         if len(part):
-            h, n = _hashed_words(part, offsets[at + 1 : to + 1] - offsets[at], fold)
+            h, n = _hashed_words(part, offsets[at + 1 : to + 1] - offsets[at], fold, outside)
             hashes.append(h)
             sizes.append(n)
         else:
@@ -186,3 +196,19 @@ def write_bucketed(df: DataFrame, what: str) -> DataFrame:
 def new_block() -> int:
     """A number for a block of rows; blocks are written as soon as they are made, so it needn't come out alike again."""
     return uuid.uuid4().int >> 65
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as their steps, byte by byte, without the bytes that no step needs."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    first, rest = keys[:1].astype("<u8").tobytes(), steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)
+    width = max(1, -(-int(steps[1:].max()).bit_length() // 8)) if len(keys) > 1 else 1
+    return bytes([width]) + first + np.ascontiguousarray(rest[:, :width].T).tobytes()
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    width, first = b[0], np.frombuffer(b, "<u8", min(1, len(b) // 9), 1)
+    planes = np.frombuffer(b, np.uint8, offset=1 + 8 * len(first)).reshape(width, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :width] = planes.T
+    return np.cumsum(np.concatenate([first, steps.view("<u8").ravel()]), dtype=np.uint64)

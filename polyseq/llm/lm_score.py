@@ -19,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from polyseq.llm._shared import mix, new_block, pack_numbers, pack_planes, range_bounds, unpack_numbers, unpack_planes, word_hashes, write_bucketed
+from polyseq.llm._shared import give_back, mix, new_block, pack_numbers, pack_planes, pack_sorted, range_bounds, unpack_numbers, unpack_planes, unpack_sorted, word_hashes, write_bucketed
 
 #: Hashes of the end of a text, which is a token, and of its start, which is a context only.
 END, START = np.uint64(0x5B1C0F4E2D3A6987), np.uint64(0xA7D9E3C1B5F02468)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens in a block, about, and distinct hashes in a range, about.
-BLOCK_TOKENS, RANGE_HASHES = 2_000_000, 2_000_000
+BLOCK_TOKENS, RANGE_HASHES = 1_000_000, 2_000_000
 #: Steps of the logarithm of a ratio of probabilities, for expectation-maximisation.
 STEPS = 32
 _NEVER = -(1 << 20)
@@ -49,6 +50,7 @@ def _to_blocks(block_tokens: int):
                     "block": pa.array([new_block()], pa.int64()), "doc_ids": one(part.column(0)), "parts": one(part.column(2)),
                     "sizes": one(pa.array(words[at:to] + 1, pa.int32())), "hashes": pa.array([keys.tobytes()], pa.binary()), "codes": pa.array([pack_planes(codes.reshape(-1))], pa.binary()),
                 })
+                give_back()
                 at = to
 
     return run
@@ -95,19 +97,18 @@ def _to_ranges(n: int):
     bounds = range_bounds(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row)
-                out: dict[str, list] = {k: [] for k in ("range", "block", "words", "word_n", "word_d", "pairs", "pair_n", "pair_d")}
-                cut_w, cut_p = (np.append(np.searchsorted(x, bounds), len(x)) for x in (b.sorted_words, b.pairs))
-                counts = [b.word_counts(1), b.word_counts(2), b.pair_counts(1), b.pair_counts(2)]
-                for k in range(n):
-                    w, p = slice(cut_w[k], cut_w[k + 1]), slice(cut_p[k], cut_p[k + 1])
-                    if w.start < w.stop or p.start < p.stop:
-                        values = (k, row["block"], b.sorted_words[w].tobytes(), pack_numbers(counts[0][w]), pack_numbers(counts[1][w]), b.pairs[p].tobytes(), pack_numbers(counts[2][p]), pack_numbers(counts[3][p]))
-                        for name, v in zip(out, values, strict=True):
-                            out[name].append(v)
-                yield pa.record_batch({k: pa.array(v, pa.int32() if k == "range" else pa.int64() if k == "block" else pa.binary()) for k, v in out.items()})
+        for row in _rows(batches):
+            b = _Block(row)
+            out: dict[str, list] = {k: [] for k in ("range", "block", "words", "word_n", "word_d", "pairs", "pair_n", "pair_d")}
+            cut_w, cut_p = (np.append(np.searchsorted(x, bounds), len(x)) for x in (b.sorted_words, b.pairs))
+            counts = [b.word_counts(1), b.word_counts(2), b.pair_counts(1), b.pair_counts(2)]
+            for k in range(n):
+                w, p = slice(cut_w[k], cut_w[k + 1]), slice(cut_p[k], cut_p[k + 1])
+                if w.start < w.stop or p.start < p.stop:
+                    values = (k, row["block"], pack_sorted(b.sorted_words[w]), pack_numbers(counts[0][w]), pack_numbers(counts[1][w]), pack_sorted(b.pairs[p]), pack_numbers(counts[2][p]), pack_numbers(counts[3][p]))
+                    for name, v in zip(out, values, strict=True):
+                        out[name].append(v)
+            yield pa.record_batch({k: pa.array(v, pa.int32() if k == "range" else pa.int64() if k == "block" else pa.binary()) for k, v in out.items()})
 
     return run
 
@@ -125,14 +126,14 @@ def _sum_range(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
     out = {"block": [r["block"] for r in rows], "range": [r["range"] for r in rows]}
     for what in ("word", "pair"):
-        each = [np.frombuffer(r[f"{what}s"], np.uint64) for r in rows]
+        each = [unpack_sorted(r[f"{what}s"]) for r in rows]
         keys, at = np.unique(np.concatenate(each), return_inverse=True)
         at = at.reshape(-1)
         kept = np.bincount(at, np.concatenate([unpack_numbers(r[f"{what}_n"]) for r in rows]), len(keys)).astype(np.int64)
         deleted = np.bincount(at, np.concatenate([unpack_numbers(r[f"{what}_d"]) for r in rows]), len(keys)).astype(np.int64)
         cuts = np.cumsum([len(x) for x in each])[:-1]
         out[f"{what}_n"] = [pack_numbers(x) for x in np.split(kept[at], cuts)]
-        out[f"{what}_all"] = [pack_numbers(x) for x in np.split((kept + deleted)[at], cuts)]
+        out[f"{what}_d"] = [pack_numbers(x) for x in np.split(deleted[at], cuts)]
         if what == "word":
             token = keys != START
             n, d = kept[token], deleted[token]
@@ -142,13 +143,14 @@ def _sum_range(group: pa.Table) -> pa.Table:
             grid = np.where(values < 1024, values, np.exp(np.round(np.log(np.maximum(values, 1)) * 100) / 100).astype(np.int64))
             first = {"n": int(n.sum()), "n_all": int((n + d).sum()), "v": int((n > 0).sum()), "v_all": int((n + d > 0).sum()), "seen": [{"count": int(a), "times": int(b)} for a, b in zip(grid, seen, strict=True)]}
             out["totals"] = [first] + [None] * (len(rows) - 1)
+    give_back()
     return pa.table({
-        "block": pa.array(out["block"], pa.int64()), "range": pa.array(out["range"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("word_n", "word_all", "pair_n", "pair_all")},
+        "block": pa.array(out["block"], pa.int64()), "range": pa.array(out["range"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("word_n", "word_d", "pair_n", "pair_d")},
         "totals": pa.array(out["totals"], pa.struct([*((k, pa.int64()) for k in ("n", "n_all", "v", "v_all")), ("seen", pa.list_(pa.struct([("count", pa.int64()), ("times", pa.int64())])))])),
     })
 
 
-_SUMS = "block long, range int, word_n binary, word_all binary, pair_n binary, pair_all binary, totals struct<n:bigint,n_all:bigint,v:bigint,v_all:bigint,seen:array<struct<count:bigint,times:bigint>>>"
+_SUMS = "block long, range int, word_n binary, word_d binary, pair_n binary, pair_d binary, totals struct<n:bigint,n_all:bigint,v:bigint,v_all:bigint,seen:array<struct<count:bigint,times:bigint>>>"
 
 
 def mixture_weight(ratios: np.ndarray, times: np.ndarray, rounds: int = 200) -> float:
@@ -169,49 +171,56 @@ def _bucket(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))), -1).astype(np.int64)
 
 
-def _looked_up(b: _Block, row: dict, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """c(h w), c(h), c(w) of each token of a block."""
+def _looked_up(b: _Block, row: dict, deleted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """c(h w), c(h), c(w) of each token of a block, with or without the deleted part."""
     parts = sorted(row["parts_back"] or [], key=lambda p: p["range"])
-    words = b.by_word([unpack_numbers(p[f"word_{which}"]) for p in parts])
-    pairs = np.concatenate([unpack_numbers(p[f"pair_{which}"]) for p in parts])
+    sums = lambda p, what: unpack_numbers(p[f"{what}_n"]) + (unpack_numbers(p[f"{what}_d"]) if deleted else 0)
+    words = b.by_word([sums(p, "word") for p in parts])
+    pairs = np.concatenate([sums(p, "pair") for p in parts])
     return pairs[b.pair_codes], words[b.context], words[b.codes]
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One block at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+            give_back()
+
+
 def _deleted_bins(m: float, n: int, v: int):
     """Of the deleted part: how often which bucket of c(h) comes with which ratio of c(h w) / c(h) to P(w)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if 2 in row["parts"]:
-                    b = _Block(row)
-                    at = b.part == 2
-                    pair, context, word = (x[at] for x in _looked_up(b, row, "n"))
-                    lower = m * word / max(n, 1) + (1 - m) / (v + 1)
-                    bins = np.column_stack([_bucket(context), _ratio_bins(pair, pair / np.maximum(context, 1) / lower)])
-                    found, times = np.unique(bins[context > 0], axis=0, return_counts=True)
-                    yield pa.record_batch({"bucket": pa.array(found[:, 0], pa.int64()), "bin": pa.array(found[:, 1], pa.int64()), "times": pa.array(times, pa.int64())})
+        for row in _rows(batches):
+            if 2 in row["parts"]:
+                b = _Block(row)
+                at = b.part == 2
+                pair, context, word = (x[at] for x in _looked_up(b, row, False))
+                lower = m * word / max(n, 1) + (1 - m) / (v + 1)
+                bins = np.column_stack([_bucket(context), _ratio_bins(pair, pair / np.maximum(context, 1) / lower)])
+                found, times = np.unique(bins[context > 0], axis=0, return_counts=True)
+                yield pa.record_batch({"bucket": pa.array(found[:, 0], pa.int64()), "bin": pa.array(found[:, 1], pa.int64()), "times": pa.array(times, pa.int64())})
 
     return run
 
 
-def _scores(m: float, n: int, v: int, weights: dict[int, float]):
+def _scores(m: float, n: int, v: int, weights: dict[int, float], id_type: pa.DataType):
     by_bucket = np.array([weights.get(k, 0.0) for k in range(-1, 64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row)
-                pair, context, word = _looked_up(b, row, "all")
-                x = by_bucket[_bucket(context) + 1]
-                p = x * pair / np.maximum(context, 1) + (1 - x) * (m * word / max(n, 1) + (1 - m) / (v + 1))
-                summed = lambda a: np.add.reduceat(a, b.starts)
-                base = summed(np.log10((word + 0.5) / (n + 0.5 * (v + 1))))
-                yield pa.record_batch({
-                    "doc_id": pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type),
-                    "part": pa.array(row["parts"], pa.int32()), "n_tokens": pa.array(b.sizes, pa.int64()), "n_known": pa.array(summed((word > 0).astype(np.int64)), pa.int64()),
-                    "base_score": pa.array(base, pa.float64()), "score": pa.array(summed(np.log10(p)), pa.float64()),
-                })
+        for row in _rows(batches):
+            b = _Block(row)
+            pair, context, word = _looked_up(b, row, True)
+            x = by_bucket[_bucket(context) + 1]
+            p = x * pair / np.maximum(context, 1) + (1 - x) * (m * word / max(n, 1) + (1 - m) / (v + 1))
+            summed = lambda a: np.add.reduceat(a, b.starts)
+            base = summed(np.log10((word + 0.5) / (n + 0.5 * (v + 1))))
+            yield pa.record_batch({
+                "doc_id": pa.array(row["doc_ids"], id_type),
+                "part": pa.array(row["parts"], pa.int32()), "n_tokens": pa.array(b.sizes, pa.int64()), "n_known": pa.array(summed((word > 0).astype(np.int64)), pa.int64()),
+                "base_score": pa.array(base, pa.float64()), "score": pa.array(summed(np.log10(p)), pa.float64()),
+            })
 
     return run
 
@@ -248,7 +257,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     counts, times = np.array([r["count"] for r in seen], float), np.array([r["times"] for r in seen], float)
     m = mixture_weight(counts / max(n, 1) * (v + 1), times)
 
-    back = sums.groupBy("block").agg(F.collect_list(F.struct("range", "word_n", "word_all", "pair_n", "pair_all")).alias("parts_back"))
+    back = sums.groupBy("block").agg(F.collect_list(F.struct("range", "word_n", "word_d", "pair_n", "pair_d")).alias("parts_back"))
     both = blocks.join(back, "block", "left")
     bins = both.mapInArrow(_deleted_bins(m, n, v), "bucket long, bin long, times long").groupBy("bucket", "bin").agg(F.sum("times").alias("times")).collect()  # buckets by bins: some ten thousand rows at most
     weights = {}
@@ -256,5 +265,5 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         own = [r for r in bins if r.bucket == k]
         ratios = np.array([0.0 if r.bin == _NEVER else np.exp((r.bin + 0.5) / STEPS) for r in own])
         weights[k] = mixture_weight(ratios, np.array([r.times for r in own], float))
-    found = both.mapInArrow(_scores(m, n_all, v_all, weights), f"doc_id {kind}, part int, n_tokens long, n_known long, base_score double, score double")
+    found = both.mapInArrow(_scores(m, n_all, v_all, weights, to_arrow_type(df.schema[id_col].dataType)), f"doc_id {kind}, part int, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", (F.col("part") == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
