@@ -35,10 +35,17 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buckets, np.concatenate([doc, doc[1:][doc[1:] == doc[:-1]]]) if len(hashes) else doc
 
 
+def _parts(column: pa.Array, rows: int = 256) -> Iterator[pa.Array]:
+    """A batch in parts, so that the n-grams of a few texts are held at a time."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        found += np.bincount(_grams(batch.column(0))[0], minlength=BUCKETS)
+        for part in _parts(batch.column(0)):
+            found += np.bincount(_grams(part)[0], minlength=BUCKETS)
     at = np.flatnonzero(found)
     yield pa.record_batch({"bucket": pa.array(at), "n": pa.array(found[at])})
 
@@ -65,9 +72,12 @@ class Model:
 
         @F.arrow_udf("double")
         def log_ratio(x: pa.Array) -> pa.Array:
-            buckets, docs = _grams(x)
-            n = np.bincount(docs, minlength=len(x))
-            return pa.array(np.bincount(docs, ratios[buckets], len(x)) * np.sqrt(mean / np.maximum(n, 1)))
+            out = [np.zeros(0)]
+            for part in _parts(x):
+                buckets, docs = _grams(part)
+                n = np.bincount(docs, minlength=len(part))
+                out.append(np.bincount(docs, ratios[buckets], len(part)) * np.sqrt(mean / np.maximum(n, 1)))
+            return pa.array(np.concatenate(out))
 
         return log_ratio(text)
 
