@@ -71,6 +71,16 @@ def energy_matrix(spark: SparkSession, p: ForceField = ForceField()) -> list[lis
     return [[r.e for r in rows[20 * k : 20 * k + 20]] for k in range(20)]
 
 
+def most_attractive(ff: DataFrame, n: int = 10) -> DataFrame:
+    """aa_i, aa_j, e of the n lowest energies, each unordered pair once; ties in alphabet order."""
+    return ff.filter("idx_i <= idx_j").orderBy("e", "idx_i", "idx_j").limit(n).select("aa_i", "aa_j", "e")
+
+
+def stickiness(ff: DataFrame) -> DataFrame:
+    """aa, stickiness: the mean energy of a residue with all twenty."""
+    return ff.groupBy(F.col("aa_i").alias("aa")).agg(F.avg("e").alias("stickiness"))
+
+
 #: The same tables for DuckDB.
 RESIDUES_SQL = "res(aa, idx, h, kd, q, ar, ca) AS (VALUES " + ", ".join(f"('{a}', {k}, {h}::DOUBLE, {kd}::DOUBLE, {q}, {ar}::DOUBLE, {ca}::DOUBLE)" for a, k, h, kd, q, ar, ca in residue_rows()) + ")"
 FORCE_FIELD_SQL = """ff AS (SELECT a.aa AS aa_i, b.aa AS aa_j, a.idx AS idx_i, b.idx AS idx_j,

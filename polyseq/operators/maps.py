@@ -203,6 +203,29 @@ def partitioned_energies(rows: DataFrame) -> DataFrame:
     return a.select("name", mean(F.col("ss"), F.col("k") * F.col("k")).alias("ss"), mean(F.col("ll"), other * other).alias("ll"), mean(F.col("sl") + F.col("ls"), 2 * F.col("k") * other).alias("cross"))
 
 
+def top_perturbed(rows: DataFrame, n: int = 10) -> DataFrame:
+    """name, rank, i, v: the n places of each sequence whose profile is largest in absolute value, ties by the later place."""
+    own = Window.partitionBy("name").orderBy(F.desc(F.round(F.abs("v"), 12)), F.desc("i"))
+    return profile(rows).withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= n).select("name", "rank", "i", "v")
+
+
+def stickers_by_energy(p: DataFrame, threshold: float = -0.3) -> DataFrame:
+    """The places of a profile (name, i, v) below a threshold."""
+    return p.filter(F.col("v") < threshold)
+
+
+def stickers_by_percentile(p: DataFrame, share: float = 0.25) -> DataFrame:
+    """The places of a profile at or below a quantile of its sequence."""
+    t = p.groupBy("name").agg(F.percentile("v", F.lit(share)).alias("t"))
+    return p.join(t, "name").filter(F.col("v") <= F.col("t")).drop("t")
+
+
+def stickers_hybrid(rows: DataFrame, threshold: float = -0.2) -> DataFrame:
+    """name, i, v: stickers by chemistry whose profile is below a threshold."""
+    own = rows.filter(is_sticker(F.get("idx", F.col("i"))))
+    return stickers_by_energy(profile(own), threshold).select("name", "i", "v")
+
+
 def delta_g(rows: DataFrame, w_ss: float = 2.0, w_ll: float = 0.5, w_cross: float = 1.0) -> DataFrame:
     """name, ss, ll, cross, delta_g: the weighted sum of the partitioned energies."""
     return partitioned_energies(rows).withColumn("delta_g", w_ss * F.col("ss") + w_ll * F.col("ll") + w_cross * F.col("cross"))

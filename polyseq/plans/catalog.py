@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseq.functions.residues import ALPHABET, ANIONIC, AROMATIC, CATIONIC, FORCE_FIELD_SQL, HYDROPHOBIC, POLAR, RESIDUES_SQL, STICKERS, energy_matrix, force_field
+from polyseq.functions.residues import ALPHABET, ANIONIC, AROMATIC, CATIONIC, FORCE_FIELD_SQL, HYDROPHOBIC, POLAR, RESIDUES_SQL, STICKERS, energy_matrix, force_field, most_attractive, stickiness
 from polyseq.operators import fitting, graph, hamiltonian, maps, segments, sequences
 from polyseq.operators.maps import gaussian_weights
 from polyseq.sources import feeds
@@ -412,6 +412,53 @@ def ham_gradient(spark, sf_dir):
     return maps.chain_gradient(_item_maps(spark, sf_dir, 0))
 
 
+@_register("ff_stickiness", f"{_DOCS}, {RESIDUES_SQL}, {FORCE_FIELD_SQL}, k AS (SELECT aa_i AS aa, avg(e) AS v FROM ff GROUP BY aa_i) SELECT name, {_r('avg(v)', 'stickiness')} FROM sites JOIN k USING (aa) GROUP BY name")
+def ff_stickiness(spark, sf_dir):
+    """The mean stickiness of the residues of each document."""
+    rank = F.broadcast(stickiness(force_field(spark)))
+    x = sequences.composition(feeds.documents(spark, sf_dir)).join(rank, "aa").groupBy("name")
+    return x.agg((F.sum(F.col("n") * F.col("stickiness")) / F.sum("n")).alias("stickiness"))
+
+
+@_register("ff_topk", f"{_DOCS}, {RESIDUES_SQL}, {FORCE_FIELD_SQL}, t AS (SELECT aa_i, aa_j, e FROM ff WHERE idx_i <= idx_j ORDER BY e, idx_i, idx_j LIMIT 10), c AS (SELECT name, aa, count(*) AS c FROM sites GROUP BY ALL) SELECT aa_i, aa_j, {_r('any_value(e)', 'e')}, sum(CASE WHEN aa_i = aa_j THEN a.c * (a.c - 1) // 2 ELSE a.c * b.c END)::BIGINT AS pairs FROM t JOIN c a ON a.aa = aa_i JOIN c b ON b.aa = aa_j AND b.name = a.name GROUP BY aa_i, aa_j")
+def ff_topk(spark, sf_dir):
+    """The most attractive pairs of residues, and how many such pairs the documents have."""
+    c = sequences.composition(feeds.documents(spark, sf_dir))
+    top = F.broadcast(most_attractive(force_field(spark)))
+    a, b = (c.select("name", F.col("aa").alias(f"aa_{s}"), F.col("n").alias(f"n_{s}")) for s in "ij")
+    pairs = F.when(F.col("aa_i") == F.col("aa_j"), F.expr("n_i * (n_i - 1) div 2")).otherwise(F.col("n_i") * F.col("n_j"))
+    return a.join(top, "aa_i").join(b, ["name", "aa_j"]).groupBy("aa_i", "aa_j").agg(F.max("e").alias("e"), F.sum(pairs).alias("pairs"))
+
+
+@_register("diff_topk", f"""{_MUTANT}, d AS (SELECT b.name // 2 AS name, b.i, avg(b.e - a.e) AS v FROM m a JOIN m b ON a.name % 2 = 0 AND b.name = a.name + 1 AND a.i = b.i AND a.j = b.j GROUP BY ALL)
+SELECT name::BIGINT AS name, rank, i::BIGINT AS i, {_r('v', 'v')} FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(abs(v), 12) DESC, i DESC) AS rank FROM d) WHERE rank <= 5""")
+def diff_topk(spark, sf_dir):
+    seqs, m = feeds.items(spark, sf_dir), energy_matrix(spark)
+    variant = seqs.withColumn("seq", sequences.mutate_all(F.col("seq"), "Y", "S")[0])
+    return maps.top_perturbed(maps.differences(maps.map_rows(variant, m), maps.map_rows(seqs, m)), 5)
+
+
+@_register("sticker_hybrid", f"{_MAP}, p AS (SELECT name, i, avg(e) AS v FROM m GROUP BY ALL) SELECT name, i::BIGINT AS i, {_r('v', 'v')} FROM p JOIN sites USING (name, i) WHERE v < -0.01 AND aa IN {_in(STICKERS)}")
+def sticker_hybrid(spark, sf_dir):
+    return maps.stickers_hybrid(_item_maps(spark, sf_dir), -0.01)
+
+
+@_register("sticker_sweep", f"{_MAP}, p AS (SELECT name, i, avg(e) AS v FROM m GROUP BY ALL) SELECT name, {_r('t', 'threshold')}, count(*) FILTER (v < t) AS n_stickers FROM p JOIN (SELECT unnest([-0.03, -0.02, -0.01, 0.0])::DOUBLE AS t) ON true GROUP BY name, t")
+def sticker_sweep(spark, sf_dir):
+    p = maps.profile_array(_item_maps(spark, sf_dir))
+    limits = F.array(*[F.lit(t) for t in (-0.03, -0.02, -0.01, 0.0)])
+    p = p.select("name", F.explode(limits).alias("threshold"), "p")
+    return p.select("name", "threshold", F.size(F.filter("p", lambda v: v < F.col("threshold"))).cast("long").alias("n_stickers"))
+
+
+@_register("valency", f"{_SIDES}, r AS (SELECT name, len(regexp_extract_all(seq, '[{STICKERS}]+'))::BIGINT AS valency, length(regexp_replace(seq, '[^{STICKERS}]', '', 'g')) AS k FROM seqs) SELECT name, valency, CASE WHEN k > 0 THEN round((2*ss + 0.5*ll + cr) / k, 6) + 0.0 END AS per_sticker FROM c JOIN r USING (name)")
+def valency(spark, sf_dir):
+    seqs = feeds.items(spark, sf_dir)
+    k = sequences.count_of(F.col("seq"), STICKERS)
+    x = segments.regions(seqs).select("name", F.col("n_regions").alias("valency")).join(seqs.select("name", k.alias("k")), "name")
+    return x.join(maps.delta_g(_item_maps(spark, sf_dir)), "name").select("name", "valency", F.when(F.col("k") > 0, F.col("delta_g") / F.col("k")).alias("per_sticker"))
+
+
 # graphs: the contacts of all residues below -0.1, four or more apart
 
 _EDGES = f"{_MAP}, ed AS (SELECT name, i AS u, j AS v FROM m WHERE j - i >= 4 AND e < -0.1), bo AS (SELECT name, u AS i, v AS o FROM ed UNION ALL SELECT name, v, u FROM ed), dg AS (SELECT s.name, s.i, count(o) AS k FROM sites s LEFT JOIN bo USING (name, i) GROUP BY s.name, s.i), tr AS (SELECT a.name, a.u AS a, b.u AS b, b.v AS c FROM ed a JOIN ed b ON a.name = b.name AND a.v = b.u JOIN ed c ON c.name = a.name AND c.u = a.u AND c.v = b.v)"
@@ -442,6 +489,19 @@ def graph_local_clustering(spark, sf_dir):
     return graph.local_clustering(*_item_graph(spark, sf_dir))
 
 
+@_register("entropy_degree", f"{_EDGES}, c AS (SELECT name, k, count(*) AS c FROM dg GROUP BY ALL), p AS (SELECT name, c / sum(c) OVER (PARTITION BY name) AS p FROM c) SELECT name, {_r('-sum(p * log2(p))', 'entropy')} FROM p GROUP BY name")
+def entropy_degree(spark, sf_dir):
+    c = graph.degrees(*_item_graph(spark, sf_dir)).groupBy("name", "degree").agg(F.count(F.lit(1)).alias("c")).groupBy("name")
+    return c.agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c") + 0.0).alias("entropy"))
+
+
+@_register("sticker_graph", f"{_SP}, q AS (SELECT name, quantile_cont(e, 0.25) AS t FROM sp WHERE j - i >= 4 GROUP BY name) SELECT name, i::BIGINT AS u, j::BIGINT AS v FROM sp JOIN q USING (name) WHERE j - i >= 4 AND round(e, 12) < round(t, 12)")
+def sticker_graph(spark, sf_dir):
+    rows = _item_maps(spark, sf_dir)
+    x = graph.sticker_pairs(rows).filter("v - u >= 4").join(graph.auto_threshold(rows), "name")
+    return x.filter(F.round("e", 12) < F.round("threshold", 12)).select("name", "u", "v")
+
+
 @_register("graph_components")
 def graph_components(spark, sf_dir):
     return graph.path_statistics(*_item_graph(spark, sf_dir))
@@ -457,7 +517,7 @@ def auto_threshold(spark, sf_dir):
     return graph.auto_threshold(_item_maps(spark, sf_dir))
 
 
-@_register("entropy_interaction", f"""{_SP}, s AS (SELECT name, min(e) AS lo, max(e) AS hi, count(*) AS n FROM sp GROUP BY name), b AS (SELECT name, n, CASE WHEN hi - lo <= 0 THEN 10 ELSE least(floor((e - lo) / ((hi - lo) / 20)), 19) END AS bin, count(*) AS c FROM sp JOIN s USING (name) GROUP BY ALL)
+@_register("entropy_interaction", f"""{_SP}, s AS (SELECT name, min(e) AS lo, max(e) AS hi, count(*) AS n FROM sp GROUP BY name), b AS (SELECT name, s.n, CASE WHEN hi - lo <= 0 THEN 10 ELSE least(floor((e - lo) / ((hi - lo) / 20)), 19) END AS bin, count(*) AS c FROM sp JOIN s USING (name) GROUP BY ALL)
 SELECT name, {_r('coalesce(-sum(c / n * log2(c / n)), 0)', 'entropy')} FROM seqs LEFT JOIN b USING (name) GROUP BY name""")
 def entropy_interaction(spark, sf_dir):
     return graph.interaction_entropy(_item_maps(spark, sf_dir))
