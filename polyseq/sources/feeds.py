@@ -81,3 +81,12 @@ def write_summary_csv(df: DataFrame, path: str, four: list[str], two: list[str])
     """A CSV table with fixed decimals: four for some columns, two for others."""
     out = df.select(*[F.format_number(c, 4).alias(c) if c in four else F.format_number(c, 2).alias(c) if c in two else F.col(c) for c in df.columns])
     out.write.option("header", True).csv(path)
+
+
+def write_maps(rows: DataFrame, path: str) -> None:
+    """Maps by rows (name, n, idx, i, e) as Parquet."""
+    rows.write.parquet(path)
+
+
+def read_maps(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -108,6 +108,16 @@ def test_fasta_and_files(spark, tmp_path):
     assert df.select(feeds.fasta(F.col("name"), F.col("seq"))).first()[0] == ">x\n" + "A" * 60 + "\nA"
     feeds.write_json(spark.createDataFrame([(1.0,), (float("nan"),)], "v double"), str(tmp_path / "j"))
     assert sorted(str(r.v) for r in spark.read.schema("v double").json(str(tmp_path / "j")).collect()) == ["1.0", "None"]
+    rows = maps.map_rows(df, energy_matrix(spark))
+    feeds.write_maps(rows, str(tmp_path / "m"))
+    assert feeds.read_maps(spark, str(tmp_path / "m")).count() == rows.count() == 61
+    text = '{"WT": {"name": "WT", "sequence": "MA", "mutations": [], "description": "d", "parent": null}}'
+    (tmp_path / "variants.json").write_text(text)
+    assert feeds.read_variants_json(spark, str(tmp_path / "variants.json")).first().sequence == "MA"
+    feeds.write_fasta(df, str(tmp_path / "f"))
+    assert spark.read.text(str(tmp_path / "f")).count() == 3
+    feeds.write_summary_csv(spark.createDataFrame([("x", 1.23456, 2.0)], "name string, a double, b double"), str(tmp_path / "c"), ["a"], ["b"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).first().asDict() == {"name": "x", "a": "1.2346", "b": "2.00"}
     with pytest.raises(KeyError):
         feeds.get_variant(feeds.registry(spark), "none")
 
