@@ -1,31 +1,34 @@
 """Byte-level BPE encoding and decoding over a table of distinct words.
 
 Spark splits the texts into the tokenizer's words. The texts of a task become blocks: the distinct words, and for
-each text the numbers of its words. The blocks are written as a table bucketed by block; their distinct words are
-shuffled by word, each is encoded once, and its ids are joined with the id-to-piece table to decode it. The ids go
-back to their block, where they take the places of the words; only they are shuffled, not the blocks.
+each text the numbers of its words. The blocks are written as a table bucketed by block; each sends its distinct
+words, once, to the range of hashes that each belongs to. There every distinct word of the corpus is encoded once,
+and its ids are joined with the id-to-piece table to decode them. The ids go back to the blocks that asked, where
+they take the places of the words. Neither texts nor blocks are shuffled, and a frequent word moves once a block.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import shared_dir
+from polyseq.llm._shared import give_back, new_block, pack_numbers, pack_planes, range_bounds, string_hashes, unpack_numbers, unpack_planes, write_bucketed
 
 #: White space as the tokenizer has it; Java's \s is ASCII only.
 _WS = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: Code points without a category for this Java; the tokenizer's tables may be newer.
 _UNKNOWN = r"\p{Cn}"
-#: Words in a block of texts, about; one text alone may have more.
-BLOCK_WORDS = 2_000_000
+#: Most words in a block of texts (one text alone may have more), and bytes of words that a range is asked for, about.
+BLOCK_WORDS, RANGE_BYTES = 1_000_000, 8_000_000
 
 
 def split_pattern(special: list[str]) -> str:
@@ -55,159 +58,182 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """id, piece (bytes): as many rows as the vocabulary of the tokenizer file has."""
+def id_pieces(path: str) -> pa.Array:
+    """The id-to-piece table of a tokenizer file: the bytes of each id, in order; as many as the vocabulary has."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     chars = _byte_of_char()
-    rows = [(i, bytearray(chars[c] for c in piece)) for piece, i in spec["model"]["vocab"].items() if all(c in chars for c in piece)]
-    rows += [(x["id"], bytearray(x["content"].encode())) for x in spec["added_tokens"] if x["id"] not in {i for i, _ in rows}]
-    return spark.createDataFrame(rows, "id int, piece binary")
+    found = {i: bytes(chars[c] for c in piece) for piece, i in spec["model"]["vocab"].items() if all(c in chars for c in piece)}
+    found |= {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+    return pa.array([found.get(i, b"") for i in range(max(found) + 1)], pa.large_binary())
+
+
+def _packed_strings(x: pa.Array) -> tuple[bytes, bytes]:
+    offsets, flat = _flat(x)
+    return pack_numbers(np.diff(offsets)), flat.tobytes()
+
+
+def _flat(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x = pa.array(x.cast(pa.large_binary()))
+    offsets = np.frombuffer(x.buffers()[1], np.int64, len(x) + x.offset + 1)[x.offset :]
+    data = x.buffers()[2]
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return offsets - offsets[0], flat[offsets[0] : offsets[-1]]
+
+
+def _strings(sizes: bytes, flat: bytes) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(unpack_numbers(sizes))]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1 and so on, sizes[0] of them, then those from starts[1] on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _to_blocks(block_words: int):
-    def block(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
-        ids = pa.concat_arrays([t.column(0) for t in tables])
-        sizes = np.concatenate([pc.fill_null(pc.list_value_length(t.column(1)), 0).to_numpy(zero_copy_only=False) for t in tables])
-        coded = pa.chunked_array([t.column(1).flatten() for t in tables]).combine_chunks().dictionary_encode()
+    def block(batch: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+        coded = batch.column(1).flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
         order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")
         rank = np.empty(len(order), "<u4")
-        rank[order] = np.arange(len(order), dtype="<u4")
-        planes = np.ascontiguousarray(rank[codes].view(np.uint8).reshape(-1, 4).T)  # byte by byte, which compresses well
+        rank[order] = np.arange(len(order))
+        word_sizes, words = _packed_strings(coded.dictionary.take(pa.array(order)))
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.record_batch({
-            "block": pa.array([uuid.uuid4().int >> 65], pa.int64()), "words": one(coded.dictionary.take(pa.array(order))),
-            "doc_ids": one(ids), "sizes": one(pa.array(sizes.astype(np.int32))), "codes": pa.array([planes.tobytes()], pa.binary()),
+            "block": pa.array([new_block()], pa.int64()), "word_sizes": pa.array([word_sizes], pa.binary()), "words": pa.array([words], pa.binary()),
+            "doc_ids": one(batch.column(0)), "sizes": one(pa.array(sizes, pa.int32())), "codes": pa.array([pack_planes(rank[codes])], pa.binary()),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for batch in batches:
-            at = 0
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, at = np.cumsum(sizes), 0
             while at < batch.num_rows:
                 before = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, before + block_words - n, side="right")))
-                held.append(batch.slice(at, to - at))
-                n += ends[to - 1] - before
+                to = max(at + 1, int(np.searchsorted(ends, before + block_words, side="right")))
+                yield block(batch.slice(at, to - at), sizes[at:to])
+                give_back()
                 at = to
-                if n >= block_words or at < batch.num_rows:
-                    yield block(held)
-                    held, n = [], 0
-        if held:
-            yield block(held)
 
     return run
 
 
-def _encode_runs(path: str):
-    """(block, code, word), sorted by word, to the same with ids, which stand at the first row of each word only."""
+def _by_hash(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the words by hash, and their hashes in that order."""
+    hashes = string_hashes(*_flat(words))
+    order = np.argsort(hashes, kind="stable")
+    return order, hashes[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        last = None
+def _to_ranges(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column(2)
-            again = np.concatenate([[words[0].as_py() == last], pc.equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]).astype(bool)
-            last = words[-1].as_py()
-            found = iter(tokenizer.encode_batch_fast(words.filter(pa.array(~again)).to_pylist(), add_special_tokens=False))
-            ids = [None if x else next(found).ids for x in again.tolist()]
-            yield pa.record_batch({"block": batch.column(0), "code": batch.column(1), "word": words, "ids": pa.array(ids, pa.list_(pa.int32()))})
+            for k in range(batch.num_rows):
+                words = _strings(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
+                order, hashes = _by_hash(words)
+                cuts = np.append(np.searchsorted(hashes, range_bounds(n)), len(hashes))
+                asked = [r for r in range(n) if cuts[r] < cuts[r + 1]]
+                packed = [_packed_strings(words.take(pa.array(order[cuts[r] : cuts[r + 1]]))) for r in asked]
+                yield pa.record_batch({
+                    "range": pa.array(asked, pa.int32()), "block": pa.array([batch.column(0)[k].as_py()] * len(asked), pa.int64()),
+                    "word_sizes": pa.array([s for s, _ in packed], pa.binary()), "words": pa.array([w for _, w in packed], pa.binary()),
+                })
 
     return run
 
 
-def _pack_runs(id_type: str, rows_held: int = 200_000):
-    """(block, code, word, pos, id, piece), the rows of each word together, to packed rows by block.
-
-    A word's run begins with a row for each of its ids; the rows of the other blocks that have it follow. Packed:
-    codes, number of ids of each, the ids end to end, and what decoding gave for words where it isn't the word.
-    """
-
-    def packed(runs: list[tuple]) -> pa.RecordBatch:
-        by: dict[int, list] = {}
-        for word, ids, parts, where in runs:
-            text = b"".join(parts)
-            for block, code in where:
-                by.setdefault(block, []).append((code, ids, None if text == word.encode() else text))
-        return pa.record_batch({
-            "block": pa.array(by.keys(), pa.int64()),
-            "codes": pa.array([np.array([c for c, _, _ in x], "<u4").tobytes() for x in by.values()], pa.binary()),
-            "counts": pa.array([np.array([len(i) for _, i, _ in x], "<u4").tobytes() for x in by.values()], pa.binary()),
-            "ids": pa.array([np.array([i for _, ids, _ in x for i in ids], id_type).tobytes() for x in by.values()], pa.binary()),
-            "others": pa.array([[{"code": c, "text": t} for c, _, t in x if t is not None] for x in by.values()], pa.list_(pa.struct([("code", pa.int64()), ("text", pa.binary())]))),
+_BACK = "block long, range int, counts binary, ids binary, others array<struct<at:int,text:binary>>"
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """The library's tokenizer, once a worker, and on the one core that a task has."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+def _encode_range(path: str, pieces: Broadcast):
+    """The words that the blocks ask of one range, to the ids for each block, in the order in which it asked."""
+
+    def run(group: pa.Table) -> pa.Table:
+        tokenizer = _tokenizer(path)
+        asked = [_strings(s.as_py(), w.as_py()) for s, w in zip(group["word_sizes"], group["words"], strict=True)]
+        coded = pa.concat_arrays(asked).dictionary_encode()
+        distinct, ids, counts = coded.dictionary, [], []
+        for k in range(0, len(distinct), 5_000):
+            for x in tokenizer.encode_batch_fast(distinct.slice(k, 5_000).cast(pa.large_string()).to_pylist(), add_special_tokens=False):
+                ids += x.ids
+                counts.append(len(x.ids))
+        ids, counts = np.array(ids, np.int64), np.array(counts, np.int64)
+        starts = np.cumsum(counts) - counts
+        # the id-to-piece join: each id meets its piece, and the pieces of a word lie end to end
+        offsets, flat = _flat(pieces.value.take(pa.array(ids)))
+        ends = offsets[np.append(starts, len(ids))]
+        decoded = pa.Array.from_buffers(pa.large_binary(), len(distinct), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+        differs = ~pc.equal(decoded, distinct).to_numpy(zero_copy_only=False)
+        give_back()
+        out: dict[str, list] = {"counts": [], "ids": [], "others": []}
+        for codes in np.split(coded.indices.to_numpy(), np.cumsum([len(x) for x in asked])[:-1]):
+            out["counts"].append(pack_numbers(counts[codes]))
+            out["ids"].append(pack_numbers(ids[_ragged(starts[codes], counts[codes])]))
+            out["others"].append([{"at": int(k), "text": decoded[int(codes[k])].as_py()} for k in np.flatnonzero(differs[codes])])
+        return pa.table({
+            "block": group["block"], "range": group["range"], "counts": pa.array(out["counts"], pa.binary()), "ids": pa.array(out["ids"], pa.binary()),
+            "others": pa.array(out["others"], pa.list_(pa.struct([("at", pa.int32()), ("text", pa.binary())]))),
         })
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: list[tuple] = []
-        held = 0
-        for batch in batches:
-            for block, code, word, pos, i, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if pos == 0:
-                    if held >= rows_held:
-                        yield packed(runs)
-                        runs, held = [], 0
-                    runs.append((word, [i], [piece], [(block, code)]))
-                elif pos is not None:
-                    runs[-1][1].append(i)
-                    runs[-1][2].append(piece)
-                else:
-                    runs[-1][3].append((block, code))
-                held += 1
-                if held >= 4 * rows_held:  # a word of very many blocks: what is known of it goes on
-                    yield packed(runs)
-                    runs, held = [(*runs[-1][:3], [])], 0
-        if runs:
-            yield packed(runs)
-
     return run
 
 
-def _assemble(id_type: str):
-    """A block and its packed rows to (id, ids, text) for each text of the block."""
-
-    def one(doc_ids: pa.Array, words: pa.Array, sizes: np.ndarray, planes: bytes, parts: list[dict]) -> pa.RecordBatch:
-        codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-        text = words.cast(pa.binary())
-        ids = [np.frombuffer(p["ids"], id_type) for p in parts]
-        at = np.concatenate([np.frombuffer(p["codes"], "<u4") for p in parts] or [np.zeros(0, "<u4")])
-        count = np.concatenate([np.frombuffer(p["counts"], "<u4") for p in parts] or [np.zeros(0, "<u4")]).astype(np.int64)
-        if len(at) != len(text):
-            raise ValueError(f"{len(text)} words in a block, {len(at)} encoded")
-        others = {x["code"]: x["text"] for p in parts for x in p["others"]}
-        if others:
-            text = pa.array([others.get(k, x) for k, x in enumerate(text.to_pylist())], pa.binary())
-        flat = np.concatenate(ids or [np.zeros(0, id_type)]).astype(np.int32)
-        n, start = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-        n[at], start[at] = count, np.cumsum(count) - count
-        each = n[codes]
-        ends = np.cumsum(each)
-        out = flat[np.repeat(start[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        id_bounds = np.concatenate([[0], ends])[bounds].astype(np.int32)
-        taken = text.cast(pa.large_binary()).take(pa.array(codes, pa.uint32()))
-        byte_bounds = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[bounds]
-        data = pa.py_buffer(b"") if taken.buffers()[2] is None else taken.buffers()[2]
-        whole = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(byte_bounds.tobytes()), data])
-        try:
-            decoded = whole.cast(pa.large_string())
-        except pa.ArrowInvalid:  # ids that aren't UTF-8 together are decoded as the library does
-            decoded = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.large_string())
-        return pa.record_batch({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(id_bounds), pa.array(out)), "text": decoded.cast(pa.string())})
+def _assemble(rows_words: int = 100_000):
+    """A block and what came back for it to (id, ids, text) for each text of the block."""
+
+    def parts(row: dict) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        words = _strings(row["word_sizes"], row["words"])
+        order, _ = _by_hash(words)
+        back = sorted(row["parts"] or [], key=lambda p: p["range"])
+        n = np.concatenate([unpack_numbers(p["counts"]) for p in back] or [np.zeros(0, np.int64)])
+        ids = np.concatenate([unpack_numbers(p["ids"]).astype(np.int32) for p in back] or [np.zeros(0, np.int32)])
+        if len(n) != len(words):
+            raise ValueError(f"{len(words)} words in a block, {len(n)} came back")
+        counts, starts = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        counts[order], starts[order] = n, np.cumsum(n) - n
+        if any(p["others"] for p in back):
+            first = np.cumsum([0, *(len(unpack_numbers(p["counts"])) for p in back)])
+            changed = {int(order[first[k] + x["at"]]): x["text"] for k, p in enumerate(back) for x in p["others"]}
+            words = pa.array([changed.get(k, x) for k, x in enumerate(words.to_pylist())], pa.large_binary())
+        return words, counts, starts, ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, words, sizes, codes, parts = batch.columns
-            for k in range(batch.num_rows):
-                mine = parts[k].as_py() or []
-                yield one(doc_ids[k].values, words[k].values, sizes[k].values.to_numpy(), codes[k].as_py(), mine)
+            for b in range(batch.num_rows):
+                row = batch.slice(b, 1)
+                words, counts, starts, ids = parts({k: row[k][0].as_py() for k in ("word_sizes", "words", "parts")})
+                codes, sizes, doc_ids = unpack_planes(row["codes"][0].as_py()), row["sizes"][0].values.to_numpy(), row["doc_ids"][0].values
+                ends, at = np.cumsum(sizes, dtype=np.int64), 0
+                while at < len(sizes):
+                    before = int(ends[at - 1]) if at else 0
+                    to = max(at + 1, int(np.searchsorted(ends, before + rows_words, side="right")))
+                    own, bounds = codes[before : ends[to - 1]], np.concatenate([[before], ends[at:to]]) - before
+                    each = counts[own]
+                    offsets, flat = _flat(words.take(pa.array(own)))
+                    whole = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(offsets[bounds].tobytes()), pa.py_buffer(flat)])
+                    try:
+                        text = whole.cast(pa.large_string())
+                    except pa.ArrowInvalid:  # bytes that aren't UTF-8 together are replaced, as the library does
+                        text = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.large_string())
+                    id_bounds = np.concatenate([[0], np.cumsum(each)])[bounds].astype(np.int32)
+                    listed = pa.ListArray.from_arrays(pa.array(id_bounds), pa.array(ids[_ragged(starts[own], each)]))
+                    yield pa.record_batch({"doc_id": doc_ids.slice(at, to - at), "ids": listed, "text": text.cast(pa.string())})
+                    at = to
+                give_back()
 
     return run
 
@@ -217,29 +243,20 @@ def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     ids are what the tokenizers library gives for the whole text with add_special_tokens=False and neither
     truncation nor padding, text what decode(ids, skip_special_tokens=False) gives. Null and empty texts have no
-    ids and decode to the empty text. Ids may be null or repeated. Other columns are not read.
+    ids and decode to the empty text. Ids may be null or repeated. Other columns are not read. The broadcast table
+    has one row for each id of the vocabulary, whatever the corpus.
 
-    path: the tokenizer file, at the same place on each executor. block_words: words in a block, about; a text
-    with more is a block by itself, so a task holds one block or one text.
+    path: the tokenizer file, at the same place on each executor. block_words: most words in a block of texts; a
+    text with more is a block by itself. A task holds a block, or the words of a range of hashes; both keep their
+    size when the corpus grows, and their number grows with it.
     """
     spark = df.sparkSession
-    id_kind = df.schema[id_col].dataType.simpleString()
-    special = special_strings(path)
-    known = pieces(spark, path)
-    id_type = "<u2" if known.agg(F.max("id")).first()[0] < 1 << 16 else "<u4"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    split = df.select(df[id_col].alias("doc_id"), words_of(df[text_col], special).alias("words"))
-    blocks = split.mapInArrow(_to_blocks(block_words), f"block long, words array<string>, doc_ids array<{id_kind}>, sizes array<int>, codes binary")
-    name = f"polyseq_blocks_{uuid.uuid4().hex}"
-    blocks.write.bucketBy(n, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
-
-    rows = blocks.select("block", F.posexplode("words").alias("code", "word")).repartition(n, "word").sortWithinPartitions("word")
-    rows = rows.mapInArrow(_encode_runs(path), "block long, code int, word string, ids array<int>")
-    rows = rows.select("block", "code", "word", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(known), "id", "left")
-    rows = rows.select("block", "code", "word", "pos", "id", "piece")
-    packed = rows.mapInArrow(_pack_runs(id_type), "block long, codes binary, counts binary, ids binary, others array<struct<code:bigint,text:binary>>")
-    packed = packed.groupBy("block").agg(F.collect_list(F.struct("codes", "counts", "ids", "others")).alias("parts"))
-    both = blocks.join(packed, "block", "left").select("doc_ids", "words", "sizes", "codes", "parts")
-    return both.mapInArrow(_assemble(id_type), f"doc_id {id_kind}, ids array<int>, text string")
+    kind = df.schema[id_col].dataType.simpleString()
+    split = df.select(df[id_col].alias("doc_id"), words_of(df[text_col], special_strings(path)).alias("words"))
+    blocks = write_bucketed(split.mapInArrow(_to_blocks(block_words), f"block long, word_sizes binary, words binary, doc_ids array<{kind}>, sizes array<int>, codes binary"), "blocks")
+    asked = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked // RANGE_BYTES))
+    rows = blocks.select("block", "word_sizes", "words").mapInArrow(_to_ranges(n), "range int, block long, word_sizes binary, words binary")
+    back = rows.groupBy("range").applyInArrow(_encode_range(path, spark.sparkContext.broadcast(id_pieces(path))), _BACK)
+    back = back.groupBy("block").agg(F.collect_list(F.struct("range", "counts", "ids", "others")).alias("parts"))
+    return blocks.join(back, "block", "left").select("word_sizes", "words", "doc_ids", "sizes", "codes", "parts").mapInArrow(_assemble(), f"doc_id {kind}, ids array<int>, text string")
