@@ -72,7 +72,7 @@ def _window_texts_near_hits(near: DataFrame, t: int) -> DataFrame:
     around = lambda p: F.filter(F.sequence(F.greatest(p - (w - 1), F.lit(0)), p), lambda i: i <= F.size("words") - t)
     starts = near.select("doc_id", "text_hash", "words", F.array_distinct(F.flatten(F.transform(at, around))).alias("starts"))
     spans = F.transform("starts", lambda i: F.struct(i.alias("start"), F.lit(t).alias("t"), F.concat_ws(" ", F.slice("words", i + 1, t)).alias("window")))
-    return starts.select("doc_id", "text_hash", F.explode(spans).alias("x")).select("doc_id", "text_hash", "x.*")
+    return starts.select("doc_id", "text_hash", F.explode_outer(spans).alias("x")).filter("x is not null").select("doc_id", "text_hash", "x.*")
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10) -> DataFrame:
@@ -88,10 +88,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bench = stage(bench.groupBy("words", "t").agg(F.collect_set("item").alias("items")).withColumn("passage", F.monotonically_increasing_id()), "passages")
     lengths = [r.t for r in bench.select("t").distinct().collect()] or [span]  # at most ``span`` numbers
     window_texts = F.transform(_indices(F.size("words") - F.col("t") + 1), lambda i: F.concat_ws(" ", F.slice("words", i + 1, F.col("t"))))
-    windows = bench.select("passage", "t", F.explode(F.array_distinct(window_texts)).alias("window"))
+    # explode_outer: for explode, Spark would filter by the array's size first, and so make each array many times over
+    windows = bench.select("passage", "t", F.explode_outer(F.array_distinct(window_texts)).alias("window"))
     windows = stage(windows.groupBy("t", "window").agg(F.collect_set("passage").alias("passages")), "windows")
     own = [_with_fingerprints(bench.filter(F.col("t") == t).select(_word_hashes(F.col("words")).alias("hashes")), [t]) for t in lengths]
-    wanted = stage(reduce(DataFrame.union, own).select(F.explode("fps").alias("fp")).distinct(), "wanted")
+    wanted = stage(reduce(DataFrame.union, own).select(F.explode_outer("fps").alias("fp")).filter("fp is not null").distinct(), "wanted")
 
     scanned = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), _word_hashes(_words(docs[text_col])).alias("hashes"))
     scanned = _with_fingerprints(scanned, lengths).select("doc_id", "text_hash", F.size("hashes").cast("long").alias("n_words"), "fps")
