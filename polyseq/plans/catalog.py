@@ -180,7 +180,7 @@ def gen_progressive(spark, sf_dir):
 
 
 @_register("gen_single_site", f"""{_DOCS}, y AS (SELECT name, i, row_number() OVER (PARTITION BY name ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY name) AS c FROM sites WHERE aa = 'Y'),
-q AS (SELECT DISTINCT name, y.i FROM y, range(6) r(x) WHERE k = floor(x * (c - 1) / 5.0)) SELECT name, q.i + 1 AS pos, md5(concat(seq[:q.i], 'S', seq[q.i+2:])) AS mutated FROM q JOIN seqs USING (name)""")
+q AS (SELECT DISTINCT name, y.i FROM y, range(6) r(x) WHERE k = floor(x * (c - 1) / 5.0)) SELECT name, (q.i + 1)::BIGINT AS pos, md5(concat(seq[:q.i], 'S', seq[q.i+2:])) AS mutated FROM q JOIN seqs USING (name)""")
 def gen_single_site(spark, sf_dir):
     return sequences.single_site_variants(feeds.documents(spark, sf_dir)).select("name", "pos", F.md5("seq").alias("mutated"))
 
