@@ -236,7 +236,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = both.filter(F.col("bits") > SURE_BITS)
     for side in ("u", "v"):
         left = left.join(sure.select(F.col("v").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
-    left = left.filter(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v")
+    left = stage(left.filter(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v"), "between")
     texts = rows.select("node", "text").join(left.select(F.col("u").alias("node")).union(left.select("v")).distinct(), "node", "left_semi").dropDuplicates(["node"])
     texts = stage(texts, "doubtful")
     left = left.join(texts.withColumnsRenamed({"node": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"node": "v", "text": "b"}), "v")
