@@ -6,11 +6,15 @@ posting list then holds the fingerprints that agree in those bytes - 65,536 at m
 a posting list are tallied over all 8 positions, those with 6 or more shared bytes are retained, and the bits are
 verified. A posting list that is long is split by the fingerprints of radius one around each member, which hold all
 its links without listing its pairs. Components are found on distinct fingerprints by rounds of joins.
+
+Texts that are alike but not almost equal (:func:`similar_groups`) are found exactly, by the sets of their shingles: two
+sets of a Jaccard similarity t or more share one of the rarest shingles of each, under whatever order of all shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -128,14 +132,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The wide fingerprint, for texts that are alike but not almost equal: 8 times 64 bits, 64 positional bytes.
-WORDS = 8
-#: Choices of three positional bytes under which it is listed.
-CHOICES = 128
-#: Pairs at the least similarity (0.8) share about 17 of the 64 bytes, with fewer than 6 once in some thousand; unrelated ones share 0 or 1.
-LEAST_OF_64 = 6
-#: Bits of 512 up to which a pair is taken for similar without its texts: over four standard deviations from the mean at 0.8.
-SURE_BITS = 42
+#: Bits of a shingle's hash by which its frequency is estimated: the order of shingles is by a table of fixed size.
+SLOT_BITS, SLOTS_A_ROW = 18, 1 << 12
+#: Rounds in which lists are held against one member, and comparisons for each listed row from which they are worth while.
+ROUNDS, FEW = 4, 4
 
 
 def _shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,55 +154,74 @@ def _shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[keep]), np.where(short, 1, np.maximum(sizes - n + 1, 0))
 
 
-def _wide(shingle: int):
-    choices = [sorted(np.random.default_rng(k).choice(WORDS * BYTES, 3, replace=False).tolist()) for k in range(CHOICES)]
-
-    def prints(column: pa.Array) -> np.ndarray:
-        hashes, sizes = _shingles(column, shingle)
-        ends = np.cumsum(sizes)
-        out = np.zeros((len(sizes), WORDS * BYTES), np.uint8)
-        over = np.zeros((len(sizes), BITS), np.int64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        for w in range(WORDS):
-            over[:] = 0
-            salted = mix(hashes + np.uint64((w + 1) * 0xD1B54A32D192ED03 % (1 << BITS)))
-            for k in range(0, len(salted), 1 << 15):
-                bits = np.unpackbits(salted[k : k + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little")
-                own = doc[k : k + (1 << 15)]
-                cuts = np.flatnonzero(np.diff(own, prepend=-1))
-                over[own[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
-            out[:, w * BYTES : (w + 1) * BYTES] = np.packbits(2 * over > sizes[:, None], axis=1, bitorder="little")
-        return out
+def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The distinct hashes of the shingles of each text, sorted."""
+    for at in range(0, len(column), 512):
+        hashes, sizes = _shingles(column.slice(at, 512), n)
+        yield from map(np.unique, np.split(hashes, np.cumsum(sizes)[:-1]))
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(BITS - SLOT_BITS)).astype(np.int64)
+
+
+def _frequencies(rows: DataFrame, shingle: int) -> np.ndarray:
+    """For each slot of hashes, how many texts have a shingle there, each shingle counted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for own in _sets(batch.column(0), shingle):
+                np.add.at(total, _slots(own), 1)
+        if total.any():
+            parts = total.astype("<u4").reshape(-1, SLOTS_A_ROW)
+            yield pa.record_batch({"part": pa.array(range(len(parts)), pa.int32()), "n": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in group.column("n").to_pylist())
+        return pa.table({"part": group.column("part").slice(0, 1), "n": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
+
+    out = np.zeros(((1 << SLOT_BITS) // SLOTS_A_ROW, SLOTS_A_ROW), np.uint32)
+    for r in rows.select("text").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():  # a megabyte
+        out[r.part] = np.frombuffer(r.n, "<u4")
+    return out.ravel()
+
+
+def _prefixes(shingle: int, least: float, often: np.ndarray):
+    """The set of each text: its hash, its size, and so many of its rarest shingles that every similar set has one of them among its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = prints(part.column(2))
-                b = found.astype(np.int32)
-                keys = np.stack([(b[:, x] << 16) | (b[:, y] << 8) | b[:, z] for x, y, z in choices], axis=1)
+                sets, n, first = [], [], []
+                for own in _sets(part.column(2), shingle):
+                    sets.append(xxh64_intdigest(own.tobytes(), SEED))
+                    n.append(len(own))
+                    first.append(own[np.lexsort((own, often[_slots(own)]))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]])
+                ends = np.cumsum([0, *map(len, first)])
                 yield pa.record_batch({
-                    "doc_id": part.column(0), "node": part.column(1), "fp": pa.FixedSizeListArray.from_arrays(pa.array(found.view("<i8").ravel()), WORDS).cast(pa.list_(pa.int64())),
-                    "keys": pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), CHOICES).cast(pa.list_(pa.int32())),
+                    "doc_id": part.column(0), "node": part.column(1), "set": pa.array(np.array(sets, np.uint64).view(np.int64)), "n": pa.array(n, pa.int32()),
+                    "first": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64))),
                 })
 
     return run
 
 
-def _sum_of(pairs: Column) -> Column:
-    return F.aggregate(pairs, F.lit(0), lambda a, x: a + x)
+def _shingle_bytes(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"set": batch.column(0), "shingles": pa.array([x.tobytes() for x in _sets(batch.column(1), shingle)], pa.binary())})
+
+    return run
 
 
-def _jaccard(shingle: int):
+def _jaccard():
     @F.arrow_udf("double")
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-        parts = []
-        for x in (a, b):
-            hashes, sizes = _shingles(x, shingle)
-            parts.append(np.split(hashes, np.cumsum(sizes)[:-1]))
         out = []
-        for x, y in zip(*parts, strict=True):
-            x, y = np.unique(x), np.unique(y)
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             shared = len(np.intersect1d(x, y, assume_unique=True))
             out.append(shared / (len(x) + len(y) - shared) if len(x) + len(y) else 1.0)
         return pa.array(out, pa.float64())
@@ -210,39 +229,79 @@ def _jaccard(shingle: int):
     return jaccard
 
 
+def _may_link(least: float) -> Column:
+    """Whether sets a and b can be similar if this is the first shingle that they share: what comes from it on is all they have in common."""
+    return F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= (F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-6
+
+
+def _pairs_of(both: DataFrame) -> DataFrame:
+    return both.select(F.least("a.set", "b.set").alias("u"), F.greatest("a.set", "b.set").alias("v")).distinct()
+
+
+def _against_one(members: DataFrame, turn: int, least: float) -> DataFrame:
+    """(u, v): in each list, one member of it, another one each turn, with those that aren't linked with it yet."""
+    one = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("turn"), "set", "n", "i", "label")).alias("one")
+    leaders = members.groupBy("h").agg(one, F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("h", "one.*")
+    return _pairs_of(members.alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & _may_link(least)))
+
+
+def _main_labels(members: DataFrame) -> DataFrame:
+    """Of each list with several labels the most frequent one, and how many comparisons are left in it, about."""
+    each = members.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = each.groupBy("h").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    return main.filter("most < n").select("h", "main", ((F.col("n") - F.col("most")) * F.col("n")).alias("work"))
+
+
+def _all_between(members: DataFrame, main: DataFrame, least: float) -> DataFrame:
+    """(u, v): in each list, all pairs of members that aren't linked yet."""
+    few = members.join(main.select("h", "main"), "h").filter("label != main")
+    once = (F.col("b.label") == F.col("a.main")) | (F.col("a.set") < F.col("b.set"))
+    return _pairs_of(few.alias("a").join(members.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & once & _may_link(least)))
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """One row for each (id, text) of ``df``: doc_id, node (a hash of both), component (the least node reachable).
+    """One row for each (id, text) of ``df``: doc_id, node (a hash of both), component (a number that linked texts have in common).
 
     Texts link if the sets of their word shingles, A-Z lower-cased, have a Jaccard similarity of ``least`` or more;
-    texts without words are alike. SimHash finds such pairs with a probability, not for certain: of those at 0.8
-    about nine in ten are listed together, at 0.9 nearly all. In each posting list the members are held against one of
-    them, another one in each list, so a large group costs its size, and is connected through its many lists.
+    texts without words are alike. Every such pair is in one group: each set is listed under its rarest shingles, n -
+    ceil(least n) + 1 of n, of which similar sets share one. Long lists are first held against one member at a time,
+    which links large groups at the cost of their size; then all pairs of a list that no link connects yet are
+    compared. Shingles are told apart by 64-bit hashes, and so are sets.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("doc_id"), F.xxhash64(df[id_col], df[text_col]).alias("node"), df[text_col].alias("text"))
-    prints = stage(rows.mapInArrow(_wide(shingle), f"doc_id {kind}, node long, fp array<long>, keys array<int>"), "wide")
-    nodes = prints.select("doc_id", "node").distinct()
-    listed = prints.select("node", F.posexplode("keys").alias("choice", "bytes"))
-    leader = F.min(F.struct(F.xxhash64("node", "choice").alias("turn"), "node")).alias("first")
-    lists = listed.groupBy("choice", "bytes").agg(leader, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = listed.join(lists.select("choice", "bytes", "first.node").withColumnRenamed("node", "u"), ["choice", "bytes"]).filter("node != u")
-    pairs = stage(pairs.select(F.least("node", "u").alias("u"), F.greatest("node", "u").alias("v")).distinct(), "pairs")
-    fps = prints.select("node", "fp").dropDuplicates(["node"])
-    both = pairs.join(fps.withColumnsRenamed({"node": "u", "fp": "a"}), "u").join(fps.withColumnsRenamed({"node": "v", "fp": "b"}), "v")
-    both = both.select("u", "v", _sum_of(F.zip_with("a", "b", _shared_bytes)).alias("shared"), _sum_of(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))).alias("bits"))
-    both = stage(both.filter(F.col("shared") >= LEAST_OF_64), "tallied")
-    sure = components(both.filter(F.col("bits") <= SURE_BITS).select("u", "v"))
-    # the texts decide what is left between groups
-    left = both.filter(F.col("bits") > SURE_BITS)
-    for side in ("u", "v"):
-        left = left.join(sure.select(F.col("v").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
-    left = stage(left.filter(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v"), "between")
-    texts = rows.select("node", "text").join(left.select(F.col("u").alias("node")).union(left.select("v")).distinct(), "node", "left_semi").dropDuplicates(["node"])
-    texts = stage(texts, "doubtful")
-    left = left.join(texts.withColumnsRenamed({"node": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"node": "v", "text": "b"}), "v")
-    more = stage(left.filter(_jaccard(shingle)(F.col("a"), F.col("b")) >= least).select("u", "v"), "alike")
-    found = components(more.union(sure.select(F.col("label").alias("u"), "v")))
-    return nodes.join(found.withColumnRenamed("v", "node"), "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("component"))
+    prefixes = _prefixes(shingle, least, _frequencies(rows, shingle))
+    prints = stage(rows.mapInArrow(prefixes, f"doc_id {kind}, node long, set long, n int, first array<long>"), "prefixes")
+    listed = prints.select("set", "n", F.posexplode("first").alias("i", "h"))
+    several = listed.groupBy("h").agg(F.min("set").alias("u"), F.max("set").alias("v")).filter("u != v").select("h")
+    listed = stage(listed.join(several, "h").distinct(), "listed")
+    # one text of each set that may have to be compared
+    ones = prints.join(listed.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("node").alias("node"))
+    texts = rows.select("node", "text").join(ones, "node").dropDuplicates(["set"]).select("set", "text")
+    sets = stage(texts.mapInArrow(_shingle_bytes(shingle), "set long, shingles binary"), "sets")
+    a, b = sets.withColumnsRenamed({"set": "u", "shingles": "a"}), sets.withColumnsRenamed({"set": "v", "shingles": "b"})
+
+    tried: list[DataFrame] = []
+    found = None
+    n_listed = listed.count()
+    for turn in range(ROUNDS + 1):
+        members = listed.withColumn("label", F.col("set"))
+        if found is not None:
+            members = listed.join(found.withColumnsRenamed({"v": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
+        main = stage(_main_labels(members), "main")
+        work = main.agg(F.sum("work")).first()[0] or 0
+        last = turn == ROUNDS or work <= FEW * n_listed
+        pairs = _all_between(members, main, least) if last else _against_one(members, turn, least)
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.union, tried), ["u", "v"], "left_anti")
+        pairs = stage(pairs, "pairs")
+        tried.append(pairs)
+        alike = stage(pairs.join(a, "u").join(b, "v").filter(_jaccard()("a", "b") >= least).select("u", "v"), "alike")
+        found = stage(components(alike if found is None else alike.union(found.select(F.col("label").alias("u"), "v"))), "found")
+        if last:
+            break
+    nodes = prints.select("doc_id", "node", "set").distinct()
+    return nodes.join(found.withColumnRenamed("v", "set"), "set", "left").select("doc_id", "node", F.coalesce("label", "set").alias("component"))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:

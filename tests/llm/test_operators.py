@@ -151,7 +151,6 @@ def test_lm_scores(spark):
     assert lm_score.score_texts(frame(spark, texts).limit(0)).count() == 0
     assert lm_score.mixture_weight(np.array([0.0, 4.0]), np.array([50, 50])) == pytest.approx(1 / 3, abs=1e-3)  # 0.5 / (1 - x) = 1.5 / (1 + 3 x)
 
-
 def test_lm_model_is_the_interpolation(spark):
     texts = ["a b a b a c", "a b", "b a c a", "c a b"] * 30
     df = frame(spark, texts)
@@ -187,7 +186,6 @@ def test_license_scan(spark):
     assert [x[0] for x in found[1]] == ["Apache-2.0"] * 2 and found[2] == [("MIT", 1.0, 0, 34)] and found[3] == [("MIT", 0.8, 0, 22)]
     assert not any(found[i] for i in (4, 5, 6, 7)) and [x[0] for x in found[8]] == ["MIT"]
 
-
 def simhash_of(text):
     w = words(text)
     if not w:
@@ -246,6 +244,43 @@ def test_similar_texts_leave_one(spark):
     assert simhash.drop_similar(df).columns == df.columns and simhash.drop_similar(df.limit(0)).count() == 0
 
 
+def shingles_of(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard_of(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def first_of_similar(texts):
+    sets = [shingles_of(t) for t in texts]
+    label = component_of(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if jaccard_of(sets[i], sets[j]) >= 0.8])
+    return [i for i in range(len(texts)) if label[i] == i]
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_similar_texts_among_strangers(spark, monkeypatch, few):
+    """Strangers that share most of their text, pairs among them, and chains of copies; few: whether lists are held against one member first."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = np.random.default_rng(8)
+    own = lambda n: [f"w{k}" for k in rng.integers(0, 100000, n)]
+    template, texts = own(150), []
+    for _ in range(60):
+        d = template + own(60)
+        near = list(d)
+        near[int(rng.integers(150, 205))] = "changed"
+        texts += [" ".join(d), " ".join(near)]
+    for _ in range(3):
+        d = own(200)
+        for _ in range(25):
+            d = list(d)
+            d[int(rng.integers(0, 200))] = own(1)[0]
+            texts.append(" ".join(d))
+    kept = sorted(r.doc_id for r in simhash.drop_similar(frame(spark, texts)).collect())
+    assert kept == first_of_similar(texts) and len(kept) < 70
+
+
 def overlaps(text, items):
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(AZ))
     w, hit, found = split(text), set(), set()
