@@ -281,6 +281,17 @@ def test_similar_texts_among_strangers(spark, monkeypatch, few):
     assert kept == first_of_similar(texts) and len(kept) < 70
 
 
+def test_similar_texts_at_the_least_similarity(spark):
+    rng = np.random.default_rng(9)
+    texts, shares = [], []
+    for n, k in [(104, 20), (94, 18), (184, 36), (84, 15), (49, 9)] * 40:  # n - 4 shingles, of which the cut text has all but k
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+        texts += [" ".join(w), " ".join(w[: n - k])]
+        shares.append(jaccard_of(*map(shingles_of, texts[-2:])))
+    assert min(shares) == 0.8 and max(shares) < 0.85
+    kept = sorted(r.doc_id for r in simhash.drop_similar(frame(spark, texts)).collect())
+    assert kept == list(range(0, len(texts), 2))
+
 def overlaps(text, items):
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(AZ))
     w, hit, found = split(text), set(), set()
