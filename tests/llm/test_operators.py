@@ -292,6 +292,16 @@ def test_similar_texts_at_the_least_similarity(spark):
     kept = sorted(r.doc_id for r in simhash.drop_similar(frame(spark, texts)).collect())
     assert kept == list(range(0, len(texts), 2))
 
+
+def test_similar_texts_by_sets_not_by_repeats(spark):
+    rng = np.random.default_rng(10)
+    own = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 40, n)]
+    line, body, cycle = own(13), own(200), own(12)
+    texts = [" ".join(line * 50 + own(304)), " ".join(line * 50 + own(304)), " ".join(body + cycle * 2), " ".join(body + cycle * 40)]
+    assert jaccard_of(*map(shingles_of, texts[:2])) < 0.1 and jaccard_of(*map(shingles_of, texts[2:])) == 1
+    assert sorted(r.doc_id for r in simhash.drop_similar(frame(spark, texts)).collect()) == [0, 1, 2]
+
+
 def overlaps(text, items):
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(AZ))
     w, hit, found = split(text), set(), set()
