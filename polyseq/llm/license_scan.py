@@ -34,7 +34,7 @@ TEMPLATES = {
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _OUTSIDE = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _TURN = np.uint64(0x9E3779B97F4A7C15)
-#: Words by which an alignment may leave the diagonal of its hit.
+#: Words by which an alignment may leave the diagonal of its hit, at least; as many as may be missing, if those are more.
 BAND = 4
 
 
@@ -46,6 +46,10 @@ def _pairs(hashes: np.ndarray) -> np.ndarray:
     return mix(mix(hashes[:-1] + _TURN) ^ hashes[1:])
 
 
+def _may_miss(n: int, least: float) -> int:
+    return int((1 - least) * n + 1e-9)
+
+
 @dataclass(frozen=True)
 class Index:
     """Sorted hashes of the templates' chosen pairs; for each the template and the place of the pair in it."""
@@ -62,7 +66,7 @@ class Index:
         for t, w in enumerate(words):
             if len(w) < 2:
                 raise ValueError(f"template {names[t]} has fewer than two words")
-            missed = int((1 - least) * len(w) + 1e-9)
+            missed = _may_miss(len(w), least)
             span = max(2, -(-(len(w) - missed) // (missed + 1)))  # so many words in a row are matched, if enough are
             pairs = _pairs(word_hashes(pa.array([" ".join(x.decode() for x in w)]), outside=_OUTSIDE)[0])
             window = span - 1
@@ -94,10 +98,11 @@ class Index:
         found = []
         for t, diagonal in sorted({(t, at - place) for t, place, at in hits}):
             template = self.words[t]
-            near = Counter(words[max(0, diagonal - BAND) : diagonal + len(template) + BAND])
+            band = max(BAND, _may_miss(len(template), self.least))
+            near = Counter(words[max(0, diagonal - band) : max(0, diagonal + len(template) + band)])
             if sum(min(n, near[w]) for w, n in Counter(template).items()) < self.least * len(template):
                 continue
-            n, start, end = align(template, words, diagonal, BAND)
+            n, start, end = align(template, words, diagonal, band)
             if n >= self.least * len(template):
                 found.append((-n, start, end, t))
         kept: list[tuple[int, int, int, int]] = []

@@ -186,6 +186,19 @@ def test_license_scan(spark):
     assert [x[0] for x in found[1]] == ["Apache-2.0"] * 2 and found[2] == [("MIT", 1.0, 0, 34)] and found[3] == [("MIT", 0.8, 0, 22)]
     assert not any(found[i] for i in (4, 5, 6, 7)) and [x[0] for x in found[8]] == ["MIT"]
 
+
+def test_license_scan_finds_notices_that_lack_a_run_of_words():
+    import pyarrow as pa
+
+    index = license_scan.Index.build(license_scan.TEMPLATES, 0.8)
+    for name, template in zip(index.names, index.words, strict=True):
+        w = [x.decode() for x in template]
+        texts = [" ".join(["before", *w[:k], *w[k + n :], "after"]) for n in range(1, len(w) - math.ceil(0.8 * len(w)) + 1) for k in range(len(w) - n + 1)]
+        hits = index.hits(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert name in [x["license"] for x in index.find(t.encode(), hits.get(i, []))], t
+
+
 def simhash_of(text):
     w = words(text)
     if not w:
