@@ -205,8 +205,17 @@ def _deleted_bins(m: float, n: int, v: int):
     return run
 
 
+def _by_bucket(weights: dict[int, float]) -> np.ndarray:
+    """The weight of each bucket from -1 on; one that the deleted part never met has that of the nearest lower one it met, or else of the nearest higher one."""
+    out, seen = np.zeros(65), np.array(sorted(weights), np.int64)
+    if len(seen):
+        for k in range(64):  # contexts never seen have no pairs and stay at zero
+            out[k + 1] = weights[int(seen[max(0, int(np.searchsorted(seen, k, side="right")) - 1)])]
+    return out
+
+
 def _scores(m: float, n: int, v: int, weights: dict[int, float], id_type: pa.DataType):
-    by_bucket = np.array([weights.get(k, 0.0) for k in range(-1, 64)])
+    by_bucket = _by_bucket(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):

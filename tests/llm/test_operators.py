@@ -151,6 +151,15 @@ def test_lm_scores(spark):
     assert lm_score.score_texts(frame(spark, texts).limit(0)).count() == 0
     assert lm_score.mixture_weight(np.array([0.0, 4.0]), np.array([50, 50])) == pytest.approx(1 / 3, abs=1e-3)  # 0.5 / (1 - x) = 1.5 / (1 + 3 x)
 
+
+def test_lm_contexts_in_a_bucket_that_the_deleted_part_never_met(spark):
+    part = lambda i: 0 if zlib.crc32(str(i).encode()) % 5 == 1 else 2 if zlib.crc32(str(i).encode()) // 5 % 10 == 0 else 1
+    n = next(n for n in range(50, 1000) if sum(part(i) == 1 for i in range(n)) < 128 <= sum(part(i) > 0 for i in range(n)))
+    found = lm_score.score_texts(frame(spark, ["alpha"] * n)).collect()
+    assert all(r.score > -0.1 for r in found)  # by single words alone it is 2 log10(1/2)
+    assert lm_score._by_bucket({2: 0.5, 4: 0.25})[:8].tolist() == [0.0, 0.5, 0.5, 0.5, 0.5, 0.25, 0.25, 0.25]
+
+
 def test_lm_model_is_the_interpolation(spark):
     texts = ["a b a b a c", "a b", "b a c a", "c a b"] * 30
     df = frame(spark, texts)
