@@ -61,6 +61,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that ``df`` doesn't have; Spark's names know no case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for x in names:
+        while x.lower() in taken:
+            x += "_"
+        taken.add(x.lower())
+        out.append(x)
+    return out
+
+
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Partitions that hold at most about ``per_partition`` of ``rows`` each, and no fewer than the session's number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
@@ -179,9 +190,9 @@ def unpack_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def range_bounds(n: int) -> np.ndarray:
-    """Where each of n equal ranges of 64-bit hashes begins."""
-    return np.array([(k << 64) // n for k in range(n)], np.uint64)
+def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges each 64-bit hash lies in, n being less than 2 ** 32; ascending with the hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def write_bucketed(df: DataFrame, what: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Spark splits the texts into the tokenizer's words. The texts of a task become blocks: the distinct words, and for
 each text the numbers of its words. The blocks are written as a table bucketed by block; each sends its distinct
-words, once, to the range of hashes that each belongs to. There every distinct word of the corpus is encoded once,
-and its ids are joined with the id-to-piece table to decode them. The ids go back to the blocks that asked, where
-they take the places of the words. Neither texts nor blocks are shuffled, and a frequent word moves once a block.
+words, once, to the cells of hashes that they belong to, of which there is a fixed number. A task goes through the
+requests of its cells one after the other; it encodes each distinct word of the corpus when it first meets it, joins
+the ids with the id-to-piece table to decode them, and answers from what it has from then on. The ids go back to the
+blocks that asked, where they take the places of the words. Neither texts nor blocks are shuffled, a frequent word
+moves once a block, and a block sends as many rows whatever the corpus.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import give_back, new_block, pack_numbers, pack_planes, range_bounds, string_hashes, unpack_numbers, unpack_planes, write_bucketed
+from polyseq.llm._shared import give_back, new_block, pack_numbers, pack_planes, partitions_for, string_hashes, unpack_numbers, unpack_planes, write_bucketed
 
 #: White space as the tokenizer has it; Java's \s is ASCII only.
 _WS = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: Code points without a category for this Java; the tokenizer's tables may be newer.
 _UNKNOWN = r"\p{Cn}"
-#: Most words in a block of texts (one text alone may have more), and bytes of words that a range is asked for, about.
-BLOCK_WORDS, RANGE_BYTES = 1_000_000, 8_000_000
+#: Most words in a block of texts (one text alone may have more), and bytes of words that a task is asked for, about.
+BLOCK_WORDS, ASKED_BYTES = 1_000_000, 8_000_000
+#: Cells of hashes, told by so many of the highest bits: most rows that a block sends.
+CELL_BITS = 10
 
 
 def split_pattern(special: list[str]) -> str:
@@ -127,24 +131,20 @@ def _by_hash(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return order, hashes[order]
 
 
-def _to_ranges(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                words = _strings(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
-                order, hashes = _by_hash(words)
-                cuts = np.append(np.searchsorted(hashes, range_bounds(n)), len(hashes))
-                asked = [r for r in range(n) if cuts[r] < cuts[r + 1]]
-                packed = [_packed_strings(words.take(pa.array(order[cuts[r] : cuts[r + 1]]))) for r in asked]
-                yield pa.record_batch({
-                    "range": pa.array(asked, pa.int32()), "block": pa.array([batch.column(0)[k].as_py()] * len(asked), pa.int64()),
-                    "word_sizes": pa.array([s for s, _ in packed], pa.binary()), "words": pa.array([w for _, w in packed], pa.binary()),
-                })
-
-    return run
+def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            words = _strings(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
+            order, hashes = _by_hash(words)
+            cells, first = np.unique(hashes >> np.uint64(64 - CELL_BITS), return_index=True)
+            packed = [_packed_strings(words.take(pa.array(own))) for own in np.split(order, first[1:])] if len(order) else []
+            yield pa.record_batch({
+                "cell": pa.array(cells.astype(np.int32)), "block": pa.array(np.full(len(cells), batch.column(0)[k].as_py(), np.int64)),
+                "word_sizes": pa.array([x for x, _ in packed], pa.binary()), "words": pa.array([x for _, x in packed], pa.binary()),
+            })
 
 
-_BACK = "block long, range int, counts binary, ids binary, others array<struct<at:int,text:binary>>"
+_BACK = "block long, cell int, counts binary, ids binary, others array<struct<at:int,text:binary>>"
 
 
 @lru_cache(maxsize=2)
@@ -159,35 +159,86 @@ def _tokenizer(path: str):
     return found
 
 
-def _encode_range(path: str, pieces: Broadcast):
-    """The words that the blocks ask of one range, to the ids for each block, in the order in which it asked."""
-
-    def run(group: pa.Table) -> pa.Table:
-        tokenizer = _tokenizer(path)
-        asked = [_strings(s.as_py(), w.as_py()) for s, w in zip(group["word_sizes"], group["words"], strict=True)]
-        coded = pa.concat_arrays(asked).dictionary_encode()
-        distinct, ids, counts = coded.dictionary, [], []
-        for k in range(0, len(distinct), 5_000):
-            for x in tokenizer.encode_batch_fast(distinct.slice(k, 5_000).cast(pa.large_string()).to_pylist(), add_special_tokens=False):
-                ids += x.ids
-                counts.append(len(x.ids))
-        ids, counts = np.array(ids, np.int64), np.array(counts, np.int64)
-        starts = np.cumsum(counts) - counts
+class _Grown:
+    """An array that numbers are added to; room is doubled as it fills up."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(max(self.n, len(x)), self.room.dtype)])
+        self.room[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+class _Encoded:
+    """The distinct words met so far: the number of each, its ids, and what they decode to where that isn't the word."""
+
+    def __init__(self, path: str, pieces: pa.Array):
+        self.tokenizer, self.pieces = _tokenizer(path), pieces
+        self.number: dict[bytes, int] = {}
+        self.changed: dict[int, bytes] = {}
+        self.ids, self.starts, self.counts = _Grown(np.int32), _Grown(np.int64), _Grown(np.int32)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each word; those not met before are encoded now."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary
+        found = np.array([self.number.get(w, -1) for w in distinct.to_pylist()], np.int64)
+        new = np.flatnonzero(found < 0)
+        for k in range(0, len(new), 5_000):
+            self._encode(distinct.take(pa.array(new[k : k + 5_000])), found, new[k : k + 5_000])
+        return found[coded.indices.to_numpy()]
+
+    def _encode(self, words: pa.Array, found: np.ndarray, at: np.ndarray) -> None:
+        encoded = [x.ids for x in self.tokenizer.encode_batch_fast(words.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
+        counts = np.array([len(x) for x in encoded], np.int64)
+        ids = np.array([i for x in encoded for i in x], np.int64)
+        ends = np.cumsum(counts)
+        first = len(self.number)
+        found[at] = np.arange(first, first + len(at))
+        self.number.update(zip(words.to_pylist(), found[at].tolist(), strict=True))
+        self.starts.add(self.ids.n + ends - counts)
+        self.counts.add(counts)
+        self.ids.add(ids)
         # the id-to-piece join: each id meets its piece, and the pieces of a word lie end to end
-        offsets, flat = _flat(pieces.value.take(pa.array(ids)))
-        ends = offsets[np.append(starts, len(ids))]
-        decoded = pa.Array.from_buffers(pa.large_binary(), len(distinct), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
-        differs = ~pc.equal(decoded, distinct).to_numpy(zero_copy_only=False)
+        offsets, flat = _flat(self.pieces.take(pa.array(ids)))
+        bounds = offsets[np.append(ends - counts, len(ids))]
+        decoded = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat.tobytes())])
+        for k in np.flatnonzero(~pc.equal(decoded, words).to_numpy(zero_copy_only=False)).tolist():
+            self.changed[first + k] = decoded[k].as_py()
+
+
+def _encode_cells(path: str, pieces: Broadcast):
+    """The words that blocks ask of the cells of a task, to their ids, in the order in which each block asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Encoded(path, pieces.value)
+        for batch in batches:
+            sizes = [unpack_numbers(x.as_py()) for x in batch.column("word_sizes")]
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))]).astype(np.int64)
+            flat = b"".join(x.as_py() for x in batch.column("words"))
+            numbers = known.numbers(pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)]))
+            counts = known.counts.values[numbers].astype(np.int64)
+            ids = known.ids.values[_ragged(known.starts.values[numbers], counts)]
+            ends = np.cumsum([len(x) for x in sizes])
+            id_ends = np.concatenate([[0], np.cumsum(counts)])[ends]
+            others: list[list[dict]] = [[] for _ in sizes]
+            if known.changed:
+                for k in np.flatnonzero(np.isin(numbers, [*known.changed])).tolist():
+                    row = int(np.searchsorted(ends, k, side="right"))
+                    others[row].append({"at": k - int(ends[row]) + len(sizes[row]), "text": known.changed[int(numbers[k])]})
+            yield pa.record_batch({
+                "block": batch.column("block"), "cell": batch.column("cell"), "counts": pa.array([pack_numbers(x) for x in np.split(counts, ends[:-1])], pa.binary()), "ids": pa.array([pack_numbers(x) for x in np.split(ids, id_ends[:-1])], pa.binary()),
+                "others": pa.array(others, pa.list_(pa.struct([("at", pa.int32()), ("text", pa.binary())]))),
+            })
+        del known
         give_back()
-        out: dict[str, list] = {"counts": [], "ids": [], "others": []}
-        for codes in np.split(coded.indices.to_numpy(), np.cumsum([len(x) for x in asked])[:-1]):
-            out["counts"].append(pack_numbers(counts[codes]))
-            out["ids"].append(pack_numbers(ids[_ragged(starts[codes], counts[codes])]))
-            out["others"].append([{"at": int(k), "text": decoded[int(codes[k])].as_py()} for k in np.flatnonzero(differs[codes])])
-        return pa.table({
-            "block": group["block"], "range": group["range"], "counts": pa.array(out["counts"], pa.binary()), "ids": pa.array(out["ids"], pa.binary()),
-            "others": pa.array(out["others"], pa.list_(pa.struct([("at", pa.int32()), ("text", pa.binary())]))),
-        })
 
     return run
 
@@ -198,7 +249,7 @@ def _assemble(rows_words: int = 100_000):
     def parts(row: dict) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         words = _strings(row["word_sizes"], row["words"])
         order, _ = _by_hash(words)
-        back = sorted(row["parts"] or [], key=lambda p: p["range"])
+        back = sorted(row["parts"] or [], key=lambda p: p["cell"])
         n = np.concatenate([unpack_numbers(p["counts"]) for p in back] or [np.zeros(0, np.int64)])
         ids = np.concatenate([unpack_numbers(p["ids"]).astype(np.int32) for p in back] or [np.zeros(0, np.int32)])
         if len(n) != len(words):
@@ -246,17 +297,19 @@ def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     ids and decode to the empty text. Ids may be null or repeated. Other columns are not read. The broadcast table
     has one row for each id of the vocabulary, whatever the corpus.
 
+    An empty table gives an empty result.
+
     path: the tokenizer file, at the same place on each executor. block_words: most words in a block of texts; a
-    text with more is a block by itself. A task holds a block, or the words of a range of hashes; both keep their
-    size when the corpus grows, and their number grows with it.
+    text with more is a block by itself. A task holds a block, or the distinct words of its cells: at most about
+    ASKED_BYTES until there is a task for each cell, and from then on their share of the vocabulary of the corpus.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     split = df.select(df[id_col].alias("doc_id"), words_of(df[text_col], special_strings(path)).alias("words"))
     blocks = write_bucketed(split.mapInArrow(_to_blocks(block_words), f"block long, word_sizes binary, words binary, doc_ids array<{kind}>, sizes array<int>, codes binary"), "blocks")
     asked = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked // RANGE_BYTES))
-    rows = blocks.select("block", "word_sizes", "words").mapInArrow(_to_ranges(n), "range int, block long, word_sizes binary, words binary")
-    back = rows.groupBy("range").applyInArrow(_encode_range(path, spark.sparkContext.broadcast(id_pieces(path))), _BACK)
-    back = back.groupBy("block").agg(F.collect_list(F.struct("range", "counts", "ids", "others")).alias("parts"))
+    n = min(1 << CELL_BITS, partitions_for(spark, asked, ASKED_BYTES))
+    rows = blocks.select("block", "word_sizes", "words").mapInArrow(_to_cells, "cell int, block long, word_sizes binary, words binary")
+    back = rows.repartition(n, "cell").mapInArrow(_encode_cells(path, spark.sparkContext.broadcast(id_pieces(path))), _BACK)
+    back = back.groupBy("block").agg(F.collect_list(F.struct("cell", "counts", "ids", "others")).alias("parts"))
     return blocks.join(back, "block", "left").select("word_sizes", "words", "doc_ids", "sizes", "codes", "parts").mapInArrow(_assemble(), f"doc_id {kind}, ids array<int>, text string")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import lower_az, stage
+from polyseq.llm._shared import fresh, lower_az, stage
 
 #: What lies between words: ASCII characters but letters and digits.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -128,7 +128,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return scanned.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.coalesce("hits", no_hits).alias("hits"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a word that is hit, with all their columns; options as of :func:`find_overlaps`."""
-    bad = find_overlaps(docs, benchmark, id_col, text_col, **options).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, **options) -> DataFrame:
+    """The rows of ``docs`` without a word that is hit by a window of ``least_words`` or more, with all their columns, whatever the names of these.
+
+    Items shorter than the span are windows of their own in :func:`find_overlaps`; those of fewer than ``least_words``
+    drop nothing here, as so few words may occur anywhere. Other options, nulls, repeated rows and empty tables as
+    there. Texts move only if the rows that go are more than BROADCAST_ROWS.
+    """
+    long = F.size(F.filter("hits", lambda x: x["t"] >= least_words)) > 0
+    own, of = fresh(docs, "bad_id", "bad_hash")
+    bad = stage(find_overlaps(docs, benchmark, id_col, text_col, **options).filter(long).select(F.col("doc_id").alias(own), F.col("text_hash").alias(of)).distinct(), "contaminated")
+    return docs.join(_small(bad, bad.count()), docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text_col]) == F.col(of)), "left_anti")

@@ -15,9 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import stage
+from polyseq.llm._shared import fresh, stage
 
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows of a digest from which it is a winner; most (id, digest) pairs that are broadcast.
+LEAST_COPIES, BROADCAST_ROWS = 16, 200_000
 
 
 def text_digest(text: Column) -> Column:
@@ -50,6 +52,21 @@ def _misra_gries(counters: int):
     return run
 
 
+def _parts(df: DataFrame, id_col: str, text_col: str, counters: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, digest, rid); the winners (digest, n, first), ``counters`` at most; the rows of other digests, with n and first."""
+    rows = stage(df.select(df[id_col].alias("doc_id"), text_digest(df[text_col]).alias("digest")).withColumn("rid", F.monotonically_increasing_id()), "digests")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    frequent = (
+        rows.select("digest").mapInArrow(_misra_gries(counters), "digest binary, weight long").groupBy("digest").agg(F.sum("weight").alias("weight"))
+        .orderBy(F.desc("weight"), "digest").limit(counters).select("digest")
+    )
+    counted = rows.join(F.broadcast(frequent), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+    winners = stage(counted.filter(F.col("n") >= LEAST_COPIES), "winners")
+    group = Window.partitionBy("digest")
+    others = rows.join(F.broadcast(winners), "digest", "left_anti").withColumns({"n": F.count(F.lit(1)).over(group), "first": first.over(group)})
+    return rows, winners, others
+
+
 def group_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
     """One row for each row of ``df``: doc_id, digest, keep_id, group_size, kept.
 
@@ -59,27 +76,37 @@ def group_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counters: size of the Misra-Gries summaries and most winners to broadcast.
     """
-    rows = stage(df.select(df[id_col].alias("doc_id"), text_digest(df[text_col]).alias("digest")).withColumn("rid", F.monotonically_increasing_id()), "digests")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    frequent = (
-        rows.select("digest").mapInArrow(_misra_gries(counters), "digest binary, weight long").groupBy("digest").agg(F.sum("weight").alias("weight"))
-        .orderBy(F.desc("weight"), "digest").limit(counters).select("digest")
-    )
-    winners = stage(rows.join(F.broadcast(frequent), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first")), "winners")
+    rows, winners, others = _parts(df, id_col, text_col, counters)
     settled = rows.join(F.broadcast(winners), "digest")
-    group = Window.partitionBy("digest")
-    others = rows.join(F.broadcast(winners), "digest", "left_anti").withColumns({"n": F.count(F.lit(1)).over(group), "first": first.over(group)})
     return settled.unionByName(others).select("doc_id", "digest", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("first.rid")).alias("kept"))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
-    """The rows of ``df`` that :func:`group_copies` keeps, with all their columns.
+    """The rows of ``df`` that :func:`group_copies` keeps, with all their columns, whatever the names of these.
 
-    The decision comes back by (id, digest); rows that agree in both are made one.
+    Rows of the winners are decided where they lie. What goes of the others comes back as (id, digest), broadcast up
+    to BROADCAST_ROWS of them, so that texts move only beyond that. Rows that agree in id and digest are made one. An
+    empty table gives an empty one.
     """
-    kept = group_copies(df, id_col, text_col, counters).groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("again"))
-    kept = kept.filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("again").alias("__again"))
-    found = df.withColumn("__of", text_digest(df[text_col])).join(kept, df[id_col].eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__digest")))
-    once = found.filter("not __again")
-    more = found.filter("__again").dropDuplicates(["__id", "__digest"])
-    return once.unionByName(more).select(*df.columns)
+    rows, winners, others = _parts(df, id_col, text_col, counters)
+    again = (F.count(F.lit(1)) > 1).alias("again")
+    first = rows.join(F.broadcast(winners), "digest").filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    hot = stage(first.groupBy("digest").agg(F.first("doc_id").alias("doc_id"), again), "hot")  # a row for each winner
+    told = others.groupBy("doc_id", "digest").agg(F.max(F.col("rid") == F.col("first.rid")).alias("kept"), again)
+    told = stage(told.filter("again or not kept"), "told")
+    n_told, n_again = told.agg(F.count(F.lit(1)), F.count_if(F.col("again") & F.col("kept"))).first()
+    n_again += hot.filter("again").count()
+
+    digest, *names = fresh(df, "digest", "hot_id", "hot_digest", "hot_again", "told_id", "told_digest", "told_again", "told_kept")
+    hot_id, hot_digest, hot_again, told_id, told_digest, told_again, told_kept = map(F.col, names)
+    x = df.withColumn(digest, text_digest(df[text_col]))
+    own, of = F.col(f"`{id_col}`"), F.col(digest)
+    x = x.join(F.broadcast(hot.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "digest", "again"), names[:3], strict=True)])), of == hot_digest, "left")
+    told = told.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "digest", "again", "kept"), names[3:], strict=True)])
+    x = x.join(F.broadcast(told) if n_told <= BROADCAST_ROWS else told, own.eqNullSafe(told_id) & (of == told_digest), "left")
+    x = x.filter(F.when(hot_digest.isNotNull(), own.eqNullSafe(hot_id)).otherwise(F.coalesce(told_kept, F.lit(True))))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if not n_again:
+        return x.select(*columns)
+    several = F.coalesce(hot_again, told_again, F.lit(False))
+    return x.filter(~several).select(*columns).union(x.filter(several).dropDuplicates([id_col, digest]).select(*columns))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from polyseq.llm._shared import flat_text, mix
 
-#: Buckets of n-grams; orders of n-grams; most training texts that the weights are fitted on.
-BUCKETS, ORDERS, SAMPLE = 1 << 16, (1, 2, 3), 4000
+#: Buckets of n-grams; orders of n-grams; training texts that the weights are fitted on, about; least of a language, if it has them.
+BUCKETS, ORDERS, SAMPLE, LEAST = 1 << 16, (1, 2, 3), 4000, 100
 UNKNOWN = "und"
 #: Shares are taken in parts of so many, which keeps values near one.
 PER = 100
@@ -72,7 +72,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, key, lang) to (key, lang, buckets, shares): the term frequencies of each text."""
+    """(text, key, lang, times) to (key, lang, times, buckets, shares): the term frequencies of each text."""
     for batch in batches:
         out_b, out_s = [], []
         for at, to, buckets, docs in _grams(*flat_text(batch.column(0))):
@@ -81,7 +81,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.searchsorted(keys // BUCKETS, np.arange(1, to - at))
             out_b += np.split((keys % BUCKETS).astype(np.int32), cuts)
             out_s += np.split((n / total[keys // BUCKETS]).astype(np.float32), cuts)
-        yield pa.record_batch({"key": batch.column(1), "lang": batch.column(2), "buckets": pa.array(out_b, pa.list_(pa.int32())), "shares": pa.array(out_s, pa.list_(pa.float32()))})
+        yield pa.record_batch({"key": batch.column(1), "lang": batch.column(2), "times": batch.column(3), "buckets": pa.array(out_b, pa.list_(pa.int32())), "shares": pa.array(out_s, pa.list_(pa.float32()))})
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -154,12 +154,28 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return found
 
 
+def _sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """The rows (text, key, lang) to fit the weights on: of each language those with the lowest keys, 2 ** 63 being added to keys.
+
+    About ``sample`` in all, in proportion, but about LEAST of each language if it has them, and the lowest key of
+    each at least. Rows alike in key and language are one, with their number as times. The driver gets a row for each
+    language.
+    """
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low")).collect()
+    total = sum(r.n for r in langs)
+    cut = lambda r: max(r.low, min((1 << 63) - 1, int(min(1.0, max(sample / total, LEAST / r.n)) * (1 << 64)) - (1 << 63)))
+    cuts = rows.sparkSession.createDataFrame([(r.lang, cut(r)) for r in langs], "lang string, cut long")
+    taken = rows.join(F.broadcast(cuts), "lang").filter(F.col("key") <= F.col("cut"))
+    return taken.groupBy("key", "lang").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times")).select("text", "key", "lang", "times")
+
+
 def fit(df: DataFrame, lang: Column, order: Column, text_col: str = "text", sample: int = SAMPLE, epochs: int = 6, batch: int = 32) -> Model | None:
     """Learn from the texts of ``df`` whose ``lang`` isn't null; None if there are none.
 
     Document frequencies come from all of them. The weights are fitted on those whose ``order``, a 64-bit hash of the
-    row, lies in the lowest part of its range, about ``sample`` of them (never over twice as many; all, if there are
-    no more); every tenth of these sets the temperature only.
+    row, is among the lowest of their language, about ``sample`` of them (never over twice as many; all, if there are
+    no more); every tenth of a language sets the temperature only. Repeated rows are held once and fitted in proportion to
+    their number.
     """
     rows = df.select(df[text_col].alias("text"), order.alias("key"), lang.alias("lang")).filter("text is not null and lang is not null")
     counts = {r.bucket: r.n for r in rows.select("text").mapInArrow(_document_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most BUCKETS + 1 rows
@@ -167,16 +183,20 @@ def fit(df: DataFrame, lang: Column, order: Column, text_col: str = "text", samp
     seen = np.zeros(BUCKETS)
     seen[list(counts)] = list(counts.values())
     idf = np.log((1 + n_texts) / (1 + seen)) + 1
-    cut = min((1 << 63) - 1, (sample << 64) // max(n_texts, 1) - (1 << 63))
-    first = rows.filter(F.col("key") <= cut).limit(2 * sample).mapInArrow(_vectors, "key long, lang string, buckets array<int>, shares array<float>").toArrow().sort_by("key")
-    if not first.num_rows:
+    if not n_texts:
         return None
+    first = _sampled(rows, sample).limit(2 * sample).mapInArrow(_vectors, "key long, lang string, times long, buckets array<int>, shares array<float>").toArrow().sort_by("key")
     langs = sorted(set(first["lang"].to_pylist()))
     y = np.array([langs.index(x) for x in first["lang"].to_pylist()])
     cols = [np.append(x.values.to_numpy(), BUCKETS) for x in first["buckets"]]
     values = [np.append(s.values.to_numpy() * (PER * idf[c[:-1]]), 1.0) for s, c in zip(first["shares"], cols, strict=True)]
-    tenth = np.arange(len(y)) % 10 == 9
-    model, own = Ftrl(len(langs)), np.flatnonzero(~tenth)
+    rank = np.zeros(len(y), np.int64)  # within the language, by key
+    for k in range(len(langs)):
+        rank[y == k] = np.arange((y == k).sum())
+    tenth = rank % 10 == 9
+    times = first["times"].to_numpy()
+    times = np.ceil(times * min(1.0, sample / times.sum())).astype(np.int64)
+    model, own = Ftrl(len(langs)), np.repeat(np.flatnonzero(~tenth), times[~tenth])
     random = np.random.default_rng(0)
     for _ in range(epochs):
         random.shuffle(own)
@@ -216,7 +236,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> DataFrame:
     """:func:`predict` for each row of ``df``, after learning from those whose crc32 of the id as text, modulo ``folds``, isn't ``held_out``; and held_out.
 
-    A null id counts as the empty text.
+    A null id counts as the empty text. An empty table gives an empty result.
     """
     code = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")))
     model = fit(df.filter(code(df[id_col]) % folds != held_out), df[lang_col], F.xxhash64(df[id_col], df[text_col]), text_col, sample)

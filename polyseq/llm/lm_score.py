@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from polyseq.llm._shared import give_back, mix, new_block, pack_numbers, pack_planes, pack_sorted, range_bounds, unpack_numbers, unpack_planes, unpack_sorted, word_hashes, write_bucketed
+from polyseq.llm._shared import give_back, mix, new_block, pack_numbers, pack_planes, pack_sorted, range_of, unpack_numbers, unpack_planes, unpack_sorted, word_hashes, write_bucketed
 
 #: Hashes of the end of a text, which is a token, and of its start, which is a context only.
 END, START = np.uint64(0x5B1C0F4E2D3A6987), np.uint64(0xA7D9E3C1B5F02468)
@@ -93,21 +93,21 @@ class _Block:
 
 
 def _to_ranges(n: int):
-    """Blocks to rows (range, block, words, their counts, pairs, their counts), the hashes sorted."""
-    bounds = range_bounds(n)
+    """Blocks to rows (range, block, words, their counts, pairs, their counts), the hashes sorted; only of ranges that a block has a hash in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             b = _Block(row)
             out: dict[str, list] = {k: [] for k in ("range", "block", "words", "word_n", "word_d", "pairs", "pair_n", "pair_d")}
-            cut_w, cut_p = (np.append(np.searchsorted(x, bounds), len(x)) for x in (b.sorted_words, b.pairs))
+            of_w, of_p = range_of(b.sorted_words, n), range_of(b.pairs, n)
+            asked = np.unique(np.concatenate([of_w, of_p]))
+            (from_w, to_w), (from_p, to_p) = ([np.searchsorted(x, asked, side).tolist() for side in ("left", "right")] for x in (of_w, of_p))
             counts = [b.word_counts(1), b.word_counts(2), b.pair_counts(1), b.pair_counts(2)]
-            for k in range(n):
-                w, p = slice(cut_w[k], cut_w[k + 1]), slice(cut_p[k], cut_p[k + 1])
-                if w.start < w.stop or p.start < p.stop:
-                    values = (k, row["block"], pack_sorted(b.sorted_words[w]), pack_numbers(counts[0][w]), pack_numbers(counts[1][w]), pack_sorted(b.pairs[p]), pack_numbers(counts[2][p]), pack_numbers(counts[3][p]))
-                    for name, v in zip(out, values, strict=True):
-                        out[name].append(v)
+            for i, k in enumerate(asked.tolist()):
+                w, p = slice(from_w[i], to_w[i]), slice(from_p[i], to_p[i])
+                values = (k, row["block"], pack_sorted(b.sorted_words[w]), pack_numbers(counts[0][w]), pack_numbers(counts[1][w]), pack_sorted(b.pairs[p]), pack_numbers(counts[2][p]), pack_numbers(counts[3][p]))
+                for name, v in zip(out, values, strict=True):
+                    out[name].append(v)
             yield pa.record_batch({k: pa.array(v, pa.int32() if k == "range" else pa.int64() if k == "block" else pa.binary()) for k, v in out.items()})
 
     return run

@@ -3,8 +3,8 @@
 Two generative models over hashed words and pairs of words - one of the texts labelled good, one of all texts - give
 each text the logarithm of the ratio of its probabilities. Its Gumbel key is that plus Gumbel noise drawn from a hash
 of the row, and the k rows with the largest keys are the sample: one drawn without replacement, in proportion to the
-ratios. k is the number of texts whose ratio is above the cut that best parts good from bad among labelled texts that
-the models have not seen. What isn't drawn is rejected.
+ratios. k is given, or else the number of texts whose ratio is above the cut that best parts good from bad among
+labelled texts that the models have not seen. What isn't drawn is rejected.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import mix, stage, word_hashes
+from polyseq.llm._shared import fresh, mix, stage, word_hashes
 
 #: Buckets of n-grams, and labelled texts to learn from, about.
 BUCKETS, SAMPLE = 1 << 18, 40_000
-#: Added to a bucket's count, seen and expected, so that rare n-grams tell little.
-PRIOR = 8.0
+#: Added to a bucket's count, seen and expected, so that rare n-grams tell little: so much, but no more than so many times what a used bucket is
+#: expected to have. With less, their noise adds up over long texts; with more, small corpora would tell nothing.
+PRIOR, PRIOR_BUCKETS = 64.0, 8.0
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,23 +61,21 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """log p_good - log p_all by bucket, the mean number of n-grams of a text, and the cut between bad and good."""
+    """log p_good - log p_all by bucket, and the cut between bad and good."""
 
     ratios: np.ndarray
-    mean_grams: float
     cut: float
 
     def log_ratio(self, text: Column) -> Column:
-        """Of the whole text, tempered by its length: times the root of mean over own number of n-grams; 0 without words."""
-        ratios, mean = self.ratios, self.mean_grams
+        """Of the whole text: the sum over its n-grams; 0 without words."""
+        ratios = self.ratios
 
         @F.arrow_udf("double")
         def log_ratio(x: pa.Array) -> pa.Array:
             out = [np.zeros(0)]
             for part in _parts(x):
                 buckets, docs = _grams(part)
-                n = np.bincount(docs, minlength=len(part))
-                out.append(np.bincount(docs, ratios[buckets], len(part)) * np.sqrt(mean / np.maximum(n, 1)))
+                out.append(np.bincount(docs, ratios[buckets], len(part)))
             return pa.array(np.concatenate(out))
 
         return log_ratio(text)
@@ -111,7 +110,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return None
     every = gram_counts(df.select(df[text_col]))
     expected = every * (good.sum() / every.sum())
-    model = Model(np.log((good + PRIOR) / (expected + PRIOR)), every.sum() / max(df.count(), 1), 0.0)
+    prior = min(PRIOR, PRIOR_BUCKETS * expected.sum() / (expected > 0).sum())
+    model = Model(np.log((good + prior) / (expected + prior)), 0.0)
     held = texts.filter("part = 0").select(model.log_ratio(F.col("text")).alias("s"), "good").toArrow()
     return replace(model, cut=best_cut(held["s"].to_numpy(), held["good"].to_numpy() == 1))
 
@@ -139,35 +139,39 @@ def _least_key(keys: DataFrame, k: int) -> float:
     return low
 
 
-def _keyed(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    df = df.withColumn("__ratio", model.log_ratio(df[text_col]))
-    return df.withColumn("__key", F.col("__ratio") + gumbel(F.xxhash64(df[id_col], df[text_col])))
+def _keyed(df: DataFrame, model: Model, id_col: str, text_col: str, ratio: str, key: str) -> DataFrame:
+    x = df.withColumn(ratio, model.log_ratio(df[text_col]))
+    return x.withColumn(key, F.col(ratio) + gumbel(F.xxhash64(df[id_col], df[text_col])))
 
 
-def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, k: int | None = None) -> DataFrame:
     """One row for each row of ``df``: doc_id, log_ratio, key, kept.
 
-    Null and empty texts have ratio 0. Rows alike in id and text have the same key and are kept or rejected together,
-    so a tie at the last place keeps more than k. Without usable labels all rows are kept, ratio and key null. Ids
-    may be null or repeated; other columns are not read.
+    k: how many rows to draw; None for as many as have a ratio above the learned cut. Null and empty texts have ratio
+    0. Rows alike in id and text have the same key and are kept or rejected together, so a tie at the last place keeps
+    more than k. Without usable labels all rows are kept, ratio and key null. Ids may be null or repeated; other
+    columns are not read. An empty table gives an empty result.
     """
     model = fit(df, labels, id_col, text_col, label_col, sample)
     texts = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     if model is None:
         return texts.select("doc_id", F.lit(None).cast("double").alias("log_ratio"), F.lit(None).cast("double").alias("key"), F.lit(True).alias("kept"))
-    keys = stage(_keyed(texts, model, "doc_id", "text").select("doc_id", F.col("__ratio").alias("log_ratio"), F.col("__key").alias("key")), "keys")
-    return keys.select("*", (F.col("key") >= _threshold(keys, model)).alias("kept"))
+    keys = stage(_keyed(texts, model, "doc_id", "text", "log_ratio", "key").select("doc_id", "log_ratio", "key"), "keys")
+    return keys.select("*", (F.col("key") >= _threshold(keys, model, k)).alias("kept"))
 
 
-def _threshold(keys: DataFrame, model: Model) -> float:
-    k = keys.filter(F.col("log_ratio") > model.cut).count()
-    return _least_key(keys, k) if k else np.inf
+def _threshold(keys: DataFrame, model: Model, k: int | None) -> float:
+    n, good = keys.agg(F.count(F.lit(1)), F.count_if(F.col("log_ratio") > model.cut)).first()
+    k = min(n, good if k is None else k)
+    return _least_key(keys, k) if k > 0 else np.inf
 
 
-def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``df`` that :func:`judge` keeps, with all their columns; each row's key is made anew, so no text moves."""
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, k: int | None = None) -> DataFrame:
+    """The rows of ``df`` that :func:`judge` keeps, with all their columns, whatever the names of these; each row's key is made anew, so no text moves."""
     model = fit(df, labels, id_col, text_col, label_col, sample)
     if model is None:
         return df
-    keys = stage(_keyed(df, model, id_col, text_col).select(F.col("__ratio").alias("log_ratio"), F.col("__key").alias("key")), "keys")
-    return _keyed(df, model, id_col, text_col).filter(F.col("__key") >= _threshold(keys, model)).select(*df.columns)
+    ratio, key = fresh(df, "log_ratio", "key")
+    keyed = _keyed(df, model, id_col, text_col, ratio, key)
+    keys = stage(keyed.select(F.col(ratio).alias("log_ratio"), F.col(key).alias("key")), "keys")
+    return keyed.filter(F.col(key) >= _threshold(keys, model, k)).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -1,11 +1,11 @@
 """SimHash near-duplicates through an inverted index of byte positions.
 
 Two 64-bit fingerprints that differ in at most 2 bits differ in at most 2 bytes, so they agree in at least 6 of
-their 8 positional bytes. The index lists each distinct fingerprint under every choice of 6 positional bytes; a
-posting list then holds the fingerprints that agree in those bytes - 65,536 at most, as two bytes are left. Pairs of
-a posting list are tallied over all 8 positions, those with 6 or more shared bytes are retained, and the bits are
-verified. A posting list that is long is split by the fingerprints of radius one around each member, which hold all
-its links without listing its pairs. Components are found on distinct fingerprints by rounds of joins.
+their 8 positional bytes. Each distinct fingerprint is listed under eleven choices of 5 positional bytes, such that
+whichever 6 bytes two fingerprints share, one choice lies within them. Members of a posting list share 5 bytes; their
+shared positional bytes are tallied over all 8, pairs that reach the guaranteed minimum of 6 are retained, and the
+bits of those are verified. A posting list that is long is split by the fingerprints of radius one around each member,
+which hold all its links without listing its pairs. Components are found on distinct fingerprints by rounds of joins.
 
 Texts that are alike but not almost equal (:func:`similar_groups`) are found exactly, by the sets of their shingles: two
 sets of a Jaccard similarity t or more share one of the rarest shingles of each, under whatever order of all shingles.
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from polyseq.llm._shared import LOWER_AZ, mix, stage, text_bytes, word_hashes
+from polyseq.llm._shared import LOWER_AZ, fresh, mix, partitions_for, stage, text_bytes, word_hashes
 
 BITS, BYTES, MOST_BITS = 64, 8, 2
+#: The least number of positional bytes that a link shares.
 LEAST_SHARED = BYTES - MOST_BITS
+#: Bytes left out of each choice: any two of the eight are among the three of one of them (the lines of seven points, and four with the eighth).
+LEFT_OUT = [{k, (k + 1) % 7, (k + 3) % 7} for k in range(7)] + [{7, 0, 1}, {7, 2, 3}, {7, 4, 5}, {7, 6, 0}]
 SEED = 42
 #: Posting lists up to this length have their pairs tallied one by one; longer ones are split further.
 PAIRED = 32
+#: Fingerprints that a task lists, about; the share of all rows, one in HOT, above which a fingerprint is broadcast; most rows that are broadcast.
+PRINTS, HOT, BROADCAST_ROWS = 250_000, 1024, 200_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -59,10 +63,13 @@ def _fingerprints(shingle: int):
     return run
 
 
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
 def _masks() -> list[int]:
-    """For each choice of 6 positional bytes, the mask that keeps them, as a signed 64-bit number."""
-    masks = [sum(0xFF << (8 * b) for b in kept) for kept in combinations(range(BYTES), LEAST_SHARED)]
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    """For each choice of 5 positional bytes, the mask that keeps them, as a signed 64-bit number."""
+    return [_signed(sum(0xFF << (8 * b) for b in range(BYTES) if b not in left)) for left in LEFT_OUT]
 
 
 def _shared_bytes(a: Column, b: Column) -> Column:
@@ -72,22 +79,30 @@ def _shared_bytes(a: Column, b: Column) -> Column:
     return sum(same[1:], same[0])
 
 
+def _retained(pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose tally of shared positional bytes reaches the minimum that a link is sure to have."""
+    return pairs.filter(_shared_bytes(F.col("u"), F.col("v")) >= LEAST_SHARED)
+
+
 def _links(prints: DataFrame) -> DataFrame:
-    """(u, v), u < v, of distinct fingerprints within 2 bits: enough of them to connect what is connected."""
+    """(u, v), u < v, of distinct fingerprints within 2 bits: enough of them to connect what is connected.
+
+    A posting list has 3 bytes that may differ, so it holds 2 ** 24 fingerprints at the very most.
+    """
     masks = _masks()
     postings = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("kept", "bytes"))
     postings = postings.groupBy("kept", "bytes").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     postings = stage(postings, "postings")
     pairs = F.flatten(F.transform("fps", lambda x, i: F.transform(F.slice("fps", i + 2, F.size("fps")), lambda y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")))))
-    short = postings.filter(F.size("fps") <= PAIRED).select(F.explode(pairs).alias("p")).select("p.u", "p.v")
-    short = short.filter((_shared_bytes(F.col("u"), F.col("v")) >= LEAST_SHARED) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS))
+    short = _retained(postings.filter(F.size("fps") <= PAIRED).select(F.explode(pairs).alias("p")).select("p.u", "p.v"))
+    short = short.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS)
     # members within 2 bits share a point within 1 bit of both; all around one point are within 2 bits of each other
-    flips = [m - (1 << BITS) if m >> (BITS - 1) else m for m in (1 << b for b in range(BITS))]
+    flips = [_signed(1 << b) for b in range(BITS)]
     points = postings.filter(F.size("fps") > PAIRED).select("kept", "bytes", F.explode("fps").alias("v"))
     mask = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("kept") + 1)
     near = F.concat(F.array("v"), F.transform(F.filter(F.array(*[F.lit(m) for m in flips]), lambda m: m.bitwiseAND(mask) == 0), lambda m: m.bitwiseXOR(F.col("v"))))
     points = points.select("kept", "v", F.explode(near).alias("point"))
-    centres = points.groupBy("kept", "point").agg(F.collect_list("v").alias("fps")).filter(F.size("fps") > 1)  # 17 members at most
+    centres = points.groupBy("kept", "point").agg(F.collect_list("v").alias("fps")).filter(F.size("fps") > 1)  # 25 members at most
     least = F.array_min("fps")
     star = F.transform(F.array_remove("fps", least), lambda v: F.struct(least.alias("u"), v.alias("v")))
     long = centres.select(F.explode(star).alias("p")).select("p.u", "p.v")
@@ -122,14 +137,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids there are null. Null and empty texts, and those of white space alone, have fingerprint zero, which is
     linked like any other. Fewer than ``shingle`` words are one shingle. Other columns are not read.
     """
-    rows = stage(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(_fingerprints(shingle), f"doc_id {df.schema[id_col].dataType.simpleString()}, fp long"), "simhash")
-    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
-    labels = components(_links(prints)).withColumnRenamed("v", "fp")
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    rows = stage(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long"), "simhash")
+    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "prints")
+    n_prints, n_rows = prints.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    links = _links(prints.select("fp").repartition(partitions_for(spark, n_prints, PRINTS), "fp"))
+    labels = components(links).withColumnRenamed("v", "fp")
     prints = prints.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = prints.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    # rows of one fingerprint may be a third of all: two plain exchanges below the join let Spark split them
-    known = stage(prints.join(ids, "label").select("fp", "component_id"), "components")
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = stage(prints.join(ids, "label").select("fp", "n", "component_id"), "components")
+    # a fingerprint of more than one row in HOT, of which there are fewer than HOT, is settled where its rows lie
+    hot = known.filter(F.col("n") * HOT > n_rows).select("fp", "component_id")
+    others = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(known.filter(F.col("n") * HOT <= n_rows).select("fp", "component_id"), "fp")
+    return rows.join(F.broadcast(hot), "fp").unionByName(others).select("doc_id", "fp", "component_id")
 
 
 #: Bits of a shingle's hash by which its frequency is estimated: the order of shingles is by a table of fixed size.
@@ -307,11 +327,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their group by :func:`similar_groups`, with all their columns.
 
-    A null id comes after all others. Rows alike in id and text stay or go together. Texts move only if the ids that
-    go are too many to be broadcast.
+    A null id comes after all others. Rows alike in id and text stay or go together. Null texts are alike with those
+    without words. Columns may have any names; an empty table gives an empty one. Texts move only if the rows that go
+    are more than BROADCAST_ROWS.
     """
     groups = stage(similar_groups(df, id_col, text_col, shingle, least), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
     kept = groups.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("component", F.col("first.node").alias("stays"))
-    gone = stage(groups.join(kept, "component").filter("node != stays").select(F.col("node").alias("__node")), "gone")
-    return df.join(gone, F.xxhash64(df[id_col], df[text_col]) == F.col("__node"), "left_anti")
+    (node,) = fresh(df, "node")
+    gone = stage(groups.join(kept, "component").filter("node != stays").select(F.col("node").alias(node)), "gone")
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.xxhash64(df[id_col], df[text_col]) == F.col(node), "left_anti")

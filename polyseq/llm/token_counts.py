@@ -9,6 +9,7 @@ nodes are the distinct prefixes; its levels are worked through with arrays. Text
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -200,13 +201,17 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-def _library_words(path: str, text: str) -> list[str]:
-    """The words of a text as the library splits it."""
-    import re
-
+@lru_cache(maxsize=4)
+def _splitter(path: str):
+    """The library's splitter and the special strings of a tokenizer file, once a worker."""
     from tokenizers import Tokenizer
 
-    splitter, special = Tokenizer.from_file(path).pre_tokenizer, special_strings(path)
+    return Tokenizer.from_file(path).pre_tokenizer, special_strings(path)
+
+
+def _library_words(path: str, text: str) -> list[str]:
+    """The words of a text as the library splits it."""
+    splitter, special = _splitter(path)
     out = []
     for part in re.split("(" + "|".join(map(re.escape, special)) + ")", text) if special else [text]:
         out += [part] if part in special else [part[a:b] for _, (a, b) in splitter.pre_tokenize_str(part)]
@@ -247,8 +252,8 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """One row for each row of ``df``: doc_id, n_bytes (of the UTF-8 text), n_tokens.
 
     n_tokens is what the tokenizers library gives for the whole text without added special tokens; null and empty
-    texts have none. Ids may be null or repeated. Other columns are not read. path: the tokenizer file, at the
-    same place on each executor.
+    texts have none. Ids may be null or repeated. Other columns are not read. An empty table gives an empty result.
+    path: the tokenizer file, at the same place on each executor.
     """
     kind = df.schema[id_col].dataType.simpleString()
     return _prepared(df, path, id_col, text_col).mapInArrow(_totals(path), f"doc_id {kind}, n_bytes long, n_tokens long")
@@ -289,7 +294,9 @@ def text_prefix_counts(words: list[str], path: str) -> list[int]:
 def truncate(df: DataFrame, path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: doc_id, n_tokens, kept (the longest prefix of at most ``budget`` tokens), prefix_counts.
 
-    prefix_counts has the token count of each prefix by code points, from which any other budget can be answered.
+    prefix_counts has the token count of each prefix by code points, from which any other budget can be answered. A
+    null or empty text has no tokens, the empty text as kept, and no counts. Where several prefixes have as many
+    tokens, the longest is kept. Ids may be null or repeated; an empty table gives an empty result.
     """
     kind = df.schema[id_col].dataType.simpleString()
 

@@ -189,23 +189,69 @@ def test_language_id(spark):
 
 def test_license_scan(spark):
     mit, apache = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["Apache-2.0"]
-    texts = [f"é x {mit} y", f"{apache}\n{apache}", "Released under the old MIT License.", "released UNDER the mit licence", "nothing here", None, "", "under the MIT", "z " * 5000 + mit]
-    found = {r.doc_id: [(x.license, round(x.coverage, 2), x.start, x.end) for x in r.licenses] for r in license_scan.find_licenses(frame(spark, texts)).collect()}
+    whole = license_scan.TEMPLATES["BSD-3-Clause-text"]
+    texts = [f"é x {mit} y", f"{apache}\n{apache}", "Released under the old MIT License.", "released UNDER the mit licence", "nothing here", None, "", "under the MIT", "z " * 5000 + mit, "Copyright X\n" + whole.replace(" ", "\n "), mit]
+    ids = [*range(10), None]
+    rows = license_scan.find_licenses(frame(spark, texts, ids)).collect()
+    found = {r.doc_id: [(x.license, round(x.coverage, 2), x.start, x.end) for x in r.licenses] for r in rows}
+    assert len(rows) == len(texts)
     assert found[0] == [("MIT", 1.0, 4, 4 + len(mit) - 1)] and texts[0][4 : 4 + len(mit) - 1] == mit[:-1]
     assert [x[0] for x in found[1]] == ["Apache-2.0"] * 2 and found[2] == [("MIT", 1.0, 0, 34)] and found[3] == [("MIT", 0.8, 0, 22)]
-    assert not any(found[i] for i in (4, 5, 6, 7)) and [x[0] for x in found[8]] == ["MIT"]
+    assert not any(found[i] for i in (4, 5, 6, 7)) and [x[0] for x in found[8]] == [x[0] for x in found[None]] == ["MIT"]
+    assert {x[:2] for x in found[9]} >= {("BSD-3-Clause-text", 1.0), ("BSD", 1.0)} and not any("MIT" in x[0] for x in found[9])
+    assert license_scan.find_licenses(frame(spark, texts).limit(0)).count() == 0
 
 
 def test_license_scan_finds_notices_that_lack_a_run_of_words():
     import pyarrow as pa
 
     index = license_scan.Index.build(license_scan.TEMPLATES, 0.8)
-    for name, template in zip(index.names, index.words, strict=True):
-        w = [x.decode() for x in template]
-        texts = [" ".join(["before", *w[:k], *w[k + n :], "after"]) for n in range(1, len(w) - math.ceil(0.8 * len(w)) + 1) for k in range(len(w) - n + 1)]
-        hits = index.hits(pa.array(texts, pa.string()))
+    for x in index.templates:
+        w, most = [w.decode() for w in x.words], len(x.words) - math.ceil(0.8 * len(x.words))
+        sizes, step = (range(1, most + 1), 1) if len(w) < 60 else ((1, most // 2, most), 29)
+        texts = [" ".join(["before", *w[:k], *w[k + n :], "after"]) for n in sizes for k in range(0, len(w) - n + 1, step)]
+        found = index.candidates(pa.array(texts, pa.string()))
         for i, t in enumerate(texts):
-            assert name in [x["license"] for x in index.find(t.encode(), hits.get(i, []))], t
+            assert x.name in [m["license"] for m in index.find(t.encode(), found.get(i, []))], t
+
+
+def best_alignment(template, words, diagonal, band):
+    """Every chain of matches, by place in the template and in the text: how many, and of equal ones the shortest, then the first."""
+    best = {}
+    for i, w in enumerate(template):
+        for j in range(max(0, diagonal + i - band), min(len(words), diagonal + i + band + 1)):
+            if words[j] == w:
+                before = [v for (a, b), v in best.items() if a < i and b < j]
+                n, start = max(before, default=(0, j))
+                best[i, j] = (n + 1, start)
+    if not best:
+        return 0, 0, 0
+    n = max(v[0] for v in best.values())
+    length, end = min((j + 1 - v[1], j + 1) for (_, j), v in best.items() if v[0] == n)
+    return n, end - length, end
+
+
+def test_license_alignment_is_the_full_dynamic_program():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        template, words_ = ([bytes([97 + int(x)]) for x in rng.integers(0, int(rng.integers(2, 6)), int(n))] for n in rng.integers(1, 14, 2))
+        diagonal, band = int(rng.integers(-5, 8)), int(rng.integers(0, 6))
+        assert license_scan.align(template, words_, diagonal, band) == best_alignment(template, words_, diagonal, band)
+
+
+def test_license_candidates_lose_no_match():
+    """Words left out here and there, as many as may be missing: each template is still found with the counts that its index asks for."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    index = license_scan.Index.build(license_scan.TEMPLATES, 0.8)
+    for x in index.templates:
+        w = [y.decode() for y in x.words]
+        most = len(w) - math.ceil(0.8 * len(w))
+        texts = [" ".join(["so", *[y for k, y in enumerate(w) if k not in gone], "on"]) for gone in (set(rng.choice(len(w), most, replace=False).tolist()) for _ in range(20))] + [" ".join(y for k, y in enumerate(w) if k % 5 != 4 or k // 5 >= most)]
+        found = index.candidates(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert x.name in [m["license"] for m in index.find(t.encode(), found.get(i, []))], t
 
 
 def simhash_of(text):
