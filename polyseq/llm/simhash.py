@@ -154,6 +154,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Bits of a shingle's hash by which its frequency is estimated: the order of shingles is by a table of fixed size.
 SLOT_BITS, SLOTS_A_ROW = 18, 1 << 12
+#: Bits of the sketch by which most sets that can't be similar are told apart without comparing them.
+SKETCH_BITS = 2048
 #: Rounds in which lists are held against one member, and comparisons for each listed row from which they are worth while.
 ROUNDS, FEW = 4, 4
 
@@ -207,21 +209,27 @@ def _frequencies(rows: DataFrame, shingle: int) -> np.ndarray:
     return out.ravel()
 
 
+def _sketch(own: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS slots, whether an odd number of the shingles falls there."""
+    return np.packbits(np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
 def _prefixes(shingle: int, least: float, often: np.ndarray):
-    """The set of each text: its hash, its size, and so many of its rarest shingles that every similar set has one of them among its own."""
+    """The set of each text: its hash, its size, its sketch, and so many of its rarest shingles that every similar set has one of them among its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets, n, first = [], [], []
+                sets, n, sketches, first = [], [], [], []
                 for own in _sets(part.column(2), shingle):
                     sets.append(xxh64_intdigest(own.tobytes(), SEED))
                     n.append(len(own))
+                    sketches.append(_sketch(own))
                     first.append(own[np.lexsort((own, often[_slots(own)]))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]])
                 ends = np.cumsum([0, *map(len, first)])
                 yield pa.record_batch({
-                    "doc_id": part.column(0), "node": part.column(1), "set": pa.array(np.array(sets, np.uint64).view(np.int64)), "n": pa.array(n, pa.int32()),
+                    "doc_id": part.column(0), "node": part.column(1), "set": pa.array(np.array(sets, np.uint64).view(np.int64)), "n": pa.array(n, pa.int32()), "sketch": pa.array(sketches, pa.binary()),
                     "first": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64))),
                 })
 
@@ -236,6 +244,19 @@ def _shingle_bytes(shingle: int):
     return run
 
 
+def _may_be_similar(least: float):
+    """Whether sets of these sketches and sizes can be similar: a slot whose bits differ holds a shingle that only one of them has."""
+
+    @F.arrow_udf("boolean")
+    def may(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), SKETCH_BITS // 64) for c in (a, b))
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        n, m = n.to_numpy().astype(np.int64), m.to_numpy().astype(np.int64)
+        return pa.array((differ <= (n + m) * ((1 - least) / (1 + least)) + 1e-6) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6))
+
+    return may
+
+
 def _jaccard():
     @F.arrow_udf("double")
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -249,20 +270,15 @@ def _jaccard():
     return jaccard
 
 
-def _may_link(least: float) -> Column:
-    """Whether sets a and b can be similar if this is the first shingle that they share: what comes from it on is all they have in common."""
-    return F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= (F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-6
-
-
 def _pairs_of(both: DataFrame) -> DataFrame:
-    return both.select(F.least("a.set", "b.set").alias("u"), F.greatest("a.set", "b.set").alias("v")).distinct()
+    return both.select(F.least("a.set", "b.set").alias("u"), F.greatest("a.set", "b.set").alias("v"))
 
 
-def _against_one(members: DataFrame, turn: int, least: float) -> DataFrame:
+def _against_one(members: DataFrame, turn: int) -> DataFrame:
     """(u, v): in each list, one member of it, another one each turn, with those that aren't linked with it yet."""
-    one = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("turn"), "set", "n", "i", "label")).alias("one")
+    one = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("turn"), "set", "label")).alias("one")
     leaders = members.groupBy("h").agg(one, F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("h", "one.*")
-    return _pairs_of(members.alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & _may_link(least)))
+    return _pairs_of(members.alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label"))))
 
 
 def _main_labels(members: DataFrame) -> DataFrame:
@@ -272,11 +288,16 @@ def _main_labels(members: DataFrame) -> DataFrame:
     return main.filter("most < n").select("h", "main", ((F.col("n") - F.col("most")) * F.col("n")).alias("work"))
 
 
-def _all_between(members: DataFrame, main: DataFrame, least: float) -> DataFrame:
+def _all_between(members: DataFrame, main: DataFrame) -> DataFrame:
     """(u, v): in each list, all pairs of members that aren't linked yet."""
     few = members.join(main.select("h", "main"), "h").filter("label != main")
     once = (F.col("b.label") == F.col("a.main")) | (F.col("a.set") < F.col("b.set"))
-    return _pairs_of(few.alias("a").join(members.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & once & _may_link(least)))
+    return _pairs_of(few.alias("a").join(members.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & once))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """To be broadcast if it has no more than BROADCAST_ROWS rows, which are narrow."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -284,26 +305,35 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts link if the sets of their word shingles, A-Z lower-cased, have a Jaccard similarity of ``least`` or more;
     texts without words are alike. Every such pair is in one group: each set is listed under its rarest shingles, n -
-    ceil(least n) + 1 of n, of which similar sets share one. Long lists are first held against one member at a time,
-    which links large groups at the cost of their size; then all pairs of a list that no link connects yet are
-    compared. Shingles are told apart by 64-bit hashes, and so are sets.
+    ceil(least n) + 1 of n, of which similar sets share one. A list of two is a pair to compare. Longer lists are first
+    held against one member at a time, which links large groups at the cost of their size; then all pairs of a list
+    that no link connects yet are compared. Sketches of fixed size rule out pairs that can't be similar; the shingles of
+    the others are compared exactly. Shingles are told apart by 64-bit hashes, and so are sets. An empty table gives an
+    empty result.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("doc_id"), F.xxhash64(df[id_col], df[text_col]).alias("node"), df[text_col].alias("text"))
     prefixes = _prefixes(shingle, least, _frequencies(rows, shingle))
-    prints = stage(rows.mapInArrow(prefixes, f"doc_id {kind}, node long, set long, n int, first array<long>"), "prefixes")
-    listed = prints.select("set", "n", F.posexplode("first").alias("i", "h"))
-    several = listed.groupBy("h").agg(F.min("set").alias("u"), F.max("set").alias("v")).filter("u != v").select("h")
-    listed = stage(listed.join(several, "h").distinct(), "listed")
-    # one text of each set that may have to be compared
-    ones = prints.join(listed.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("node").alias("node"))
-    texts = rows.select("node", "text").join(ones, "node").dropDuplicates(["set"]).select("set", "text")
-    sets = stage(texts.mapInArrow(_shingle_bytes(shingle), "set long, shingles binary"), "sets")
-    a, b = sets.withColumnsRenamed({"set": "u", "shingles": "a"}), sets.withColumnsRenamed({"set": "v", "shingles": "b"})
+    prints = stage(rows.mapInArrow(prefixes, f"doc_id {kind}, node long, set long, n int, sketch binary, first array<long>"), "prefixes")
+    listed = prints.select("set", F.explode("first").alias("h"))
+    lists = stage(listed.groupBy("h").agg(F.min("set").alias("u"), F.max("set").alias("v"), F.count(F.lit(1)).alias("n")).filter("u != v"), "lists")
+    listed = stage(listed.join(_small(lists.filter("n > 2").select("h")), "h").distinct(), "listed")
+    n_listed = listed.count()
+    nodes = stage(prints.groupBy("set").agg(F.min("node").alias("node"), F.min("n").alias("n")), "sets")  # one text of each set
+    sketches = stage(prints.join(nodes.select("node"), "node", "left_semi").select("set", "n", "sketch").dropDuplicates(["set"]), "sketches")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs of sets that are similar."""
+        a, b = (sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
+        left = stage(pairs.join(a, "u").join(b, "v").filter(_may_be_similar(least)("sketch_u", "sketch_v", "n_u", "n_v")).select("u", "v"), "left")
+        wanted = nodes.join(left.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "set").select("node", "set")
+        texts = rows.select("node", "text").join(_small(stage(wanted, "wanted")), "node").dropDuplicates(["set"]).select("set", "text")
+        sets = stage(texts.mapInArrow(_shingle_bytes(shingle), "set long, shingles binary"), "shingles")
+        a, b = (sets.select(F.col("set").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "uv")
+        return stage(left.join(a, "u").join(b, "v").filter(_jaccard()("shingles_u", "shingles_v") >= least).select("u", "v"), "alike")
 
     tried: list[DataFrame] = []
     found = None
-    n_listed = listed.count()
     for turn in range(ROUNDS + 1):
         members = listed.withColumn("label", F.col("set"))
         if found is not None:
@@ -311,17 +341,17 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         main = stage(_main_labels(members), "main")
         work = main.agg(F.sum("work")).first()[0] or 0
         last = turn == ROUNDS or work <= FEW * n_listed
-        pairs = _all_between(members, main, least) if last else _against_one(members, turn, least)
+        pairs = _all_between(members, main) if last else _against_one(members, turn)
+        pairs = (pairs if tried else pairs.union(lists.filter("n = 2").select("u", "v"))).distinct()
         if tried:
             pairs = pairs.join(reduce(DataFrame.union, tried), ["u", "v"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tried.append(pairs)
-        alike = stage(pairs.join(a, "u").join(b, "v").filter(_jaccard()("a", "b") >= least).select("u", "v"), "alike")
-        found = stage(components(alike if found is None else alike.union(found.select(F.col("label").alias("u"), "v"))), "found")
+        tried.append(stage(pairs, "pairs"))
+        links = alike(tried[-1])
+        found = stage(components(links if found is None else links.union(found.select(F.col("label").alias("u"), "v"))), "found")
         if last:
             break
-    nodes = prints.select("doc_id", "node", "set").distinct()
-    return nodes.join(found.withColumnRenamed("v", "set"), "set", "left").select("doc_id", "node", F.coalesce("label", "set").alias("component"))
+    of = prints.select("doc_id", "node", "set").distinct()
+    return of.join(found.withColumnRenamed("v", "set"), "set", "left").select("doc_id", "node", F.coalesce("label", "set").alias("component"))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
