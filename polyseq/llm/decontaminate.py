@@ -85,12 +85,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     bench = benchmark.select(benchmark[item_col].cast("string").alias("item"), F.transform(_words(benchmark[item_text_col]), lower_az).alias("words")).filter(F.size("words") > 0)
     bench = bench.withColumn("t", F.least(F.size("words"), F.lit(span)))
-    bench = stage(bench.groupBy("words", "t").agg(F.collect_set("item").alias("items")).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    listed = bench
+    bench = stage(listed.select("words", "t").distinct().withColumn("passage", F.monotonically_increasing_id()), "passages")
+    of_passages = stage(listed.filter("item is not null").join(bench, ["words", "t"]).select("passage", "item").distinct(), "items")
     lengths = [r.t for r in bench.select("t").distinct().collect()] or [span]  # at most ``span`` numbers
     window_texts = F.transform(_indices(F.size("words") - F.col("t") + 1), lambda i: F.concat_ws(" ", F.slice("words", i + 1, F.col("t"))))
     # explode_outer: for explode, Spark would filter by the array's size first, and so make each array many times over
-    windows = bench.select("passage", "t", F.explode_outer(F.array_distinct(window_texts)).alias("window"))
-    windows = stage(windows.groupBy("t", "window").agg(F.collect_set("passage").alias("passages")), "windows")
+    each = bench.select("passage", "t", F.explode_outer(F.array_distinct(window_texts)).alias("window"))
+    windows = stage(each.select("t", "window").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    of_windows = stage(each.join(windows, ["t", "window"]).select("wid", "passage"), "window-passages")
     own = [_with_fingerprints(bench.filter(F.col("t") == t).select(_word_hashes(F.col("words")).alias("hashes")), [t]) for t in lengths]
     wanted = stage(reduce(DataFrame.union, own).select(F.explode_outer("fps").alias("fp")).filter("fp is not null").distinct(), "wanted")
 
@@ -109,7 +112,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near = near.select("doc_id", "text_hash", "fps", F.transform("raw", lower_az).alias("words"), _word_hashes(F.col("raw")).alias("hashes"))
     near = near.select("*", *[_grams(F.col("hashes"), t).alias(f"grams{t}") for t in lengths])
     each = [_window_texts_near_hits(near, t) for t in lengths]
-    matches = reduce(DataFrame.union, each).join(_small(windows, windows.count()), ["t", "window"]).select("doc_id", "text_hash", "start", "t", "passages")
+    matches = reduce(DataFrame.union, each).join(_small(windows, windows.count()), ["t", "window"]).select("doc_id", "text_hash", "start", "t", "wid")
     matches = stage(matches, "matches")
 
     last = F.aggregate(
@@ -118,8 +121,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     hits = matches.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "t"))).alias("hits"))
     hits = hits.withColumn("n_hit", last["n"].cast("long"))
-    items = matches.select("doc_id", "text_hash", F.explode("passages").alias("passage")).distinct()
-    items = items.join(bench.select("passage", F.explode("items").alias("item")), "passage").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    # a row for each window and passage, and for each passage and item: a phrase that all items share makes no long row
+    passages = matches.select("doc_id", "text_hash", "wid").distinct().join(_small(of_windows, of_windows.count()), "wid").select("doc_id", "text_hash", "passage").distinct()
+    items = passages.join(_small(of_passages, of_passages.count()), "passage").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
     for name, part in (("a", hits), ("b", items)):
         part = part.withColumnsRenamed({"doc_id": f"{name}_id", "text_hash": f"{name}_hash"})
         scanned = scanned.join(part, F.col("doc_id").eqNullSafe(F.col(f"{name}_id")) & (F.col("text_hash") == F.col(f"{name}_hash")), "left")

@@ -156,8 +156,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 SLOT_BITS, SLOTS_A_ROW = 18, 1 << 12
 #: Bits of the sketch by which most sets that can't be similar are told apart without comparing them.
 SKETCH_BITS = 2048
+#: 64-bit numbers that a sketch is folded into, small enough to go with each listed row.
+FOLDED = 8
 #: Rounds in which lists are held against one member, and comparisons for each listed row from which they are worth while.
-ROUNDS, FEW = 4, 4
+ROUNDS, FEW = 2, 4
 
 
 def _shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,15 +223,16 @@ def _prefixes(shingle: int, least: float, often: np.ndarray):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets, n, sketches, first = [], [], [], []
+                sets, n, sketches, folded, first = [], [], [], [], []
                 for own in _sets(part.column(2), shingle):
                     sets.append(xxh64_intdigest(own.tobytes(), SEED))
                     n.append(len(own))
                     sketches.append(_sketch(own))
+                    folded.append(np.bitwise_xor.reduce(np.frombuffer(sketches[-1], "<i8").reshape(-1, FOLDED)))
                     first.append(own[np.lexsort((own, often[_slots(own)]))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]])
                 ends = np.cumsum([0, *map(len, first)])
                 yield pa.record_batch({
-                    "doc_id": part.column(0), "node": part.column(1), "set": pa.array(np.array(sets, np.uint64).view(np.int64)), "n": pa.array(n, pa.int32()), "sketch": pa.array(sketches, pa.binary()),
+                    "doc_id": part.column(0), "node": part.column(1), "set": pa.array(np.array(sets, np.uint64).view(np.int64)), "n": pa.array(n, pa.int32()), "sketch": pa.array(sketches, pa.binary()), "folded": pa.array(folded, pa.list_(pa.int64())),
                     "first": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64))),
                 })
 
@@ -275,9 +278,12 @@ def _pairs_of(both: DataFrame) -> DataFrame:
 
 
 def _against_one(members: DataFrame, turn: int) -> DataFrame:
-    """(u, v): in each list, one member of it, another one each turn, with those that aren't linked with it yet."""
-    one = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("turn"), "set", "label")).alias("one")
-    leaders = members.groupBy("h").agg(one, F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("h", "one.*")
+    """(u, v): in each list, one member of it with those that aren't linked with it yet.
+
+    First the member that is in most and longest lists, as the text is that others were made from; later any.
+    """
+    order = F.struct((-F.col("score") if turn == 0 else F.xxhash64("set", F.lit(turn))).alias("turn"), "set", "label")
+    leaders = members.groupBy("h").agg(F.min(order).alias("one"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("h", "one.*")
     return _pairs_of(members.alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label"))))
 
 
@@ -288,11 +294,15 @@ def _main_labels(members: DataFrame) -> DataFrame:
     return main.filter("most < n").select("h", "main", ((F.col("n") - F.col("most")) * F.col("n")).alias("work"))
 
 
-def _all_between(members: DataFrame, main: DataFrame) -> DataFrame:
-    """(u, v): in each list, all pairs of members that aren't linked yet."""
-    few = members.join(main.select("h", "main"), "h").filter("label != main")
+def _all_between(members: DataFrame, main: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(u, v): in each list, the pairs of members that aren't linked yet and that sizes and folded sketches don't rule out."""
+    members = members.select("h", "set", "label").join(_small(main.select("h", "main")), "h").join(sketches.select("set", "n", "folded"), "set")
     once = (F.col("b.label") == F.col("a.main")) | (F.col("a.set") < F.col("b.set"))
-    return _pairs_of(few.alias("a").join(members.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & once))
+    differ = [F.bit_count(F.get("a.folded", k).bitwiseXOR(F.get("b.folded", k))) for k in range(FOLDED)]
+    near = sum(differ[1:], differ[0]) <= (F.col("a.n") + F.col("b.n")) * ((1 - least) / (1 + least)) + 1e-6
+    sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-6
+    few = members.filter("label != main").alias("a")
+    return _pairs_of(few.join(members.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & once & sizes & near))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -306,21 +316,23 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts link if the sets of their word shingles, A-Z lower-cased, have a Jaccard similarity of ``least`` or more;
     texts without words are alike. Every such pair is in one group: each set is listed under its rarest shingles, n -
     ceil(least n) + 1 of n, of which similar sets share one. A list of two is a pair to compare. Longer lists are first
-    held against one member at a time, which links large groups at the cost of their size; then all pairs of a list
-    that no link connects yet are compared. Sketches of fixed size rule out pairs that can't be similar; the shingles of
-    the others are compared exactly. Shingles are told apart by 64-bit hashes, and so are sets. An empty table gives an
+    held against one member at a time, which links large groups at the cost of their size; then those pairs of a list
+    are taken that no link connects yet and that sketches of fixed size don't rule out. The shingles of pairs are
+    compared exactly. Shingles are told apart by 64-bit hashes, and so are sets. An empty table gives an
     empty result.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("doc_id"), F.xxhash64(df[id_col], df[text_col]).alias("node"), df[text_col].alias("text"))
     prefixes = _prefixes(shingle, least, _frequencies(rows, shingle))
-    prints = stage(rows.mapInArrow(prefixes, f"doc_id {kind}, node long, set long, n int, sketch binary, first array<long>"), "prefixes")
+    prints = stage(rows.mapInArrow(prefixes, f"doc_id {kind}, node long, set long, n int, sketch binary, folded array<long>, first array<long>"), "prefixes")
     listed = prints.select("set", F.explode("first").alias("h"))
     lists = stage(listed.groupBy("h").agg(F.min("set").alias("u"), F.max("set").alias("v"), F.count(F.lit(1)).alias("n")).filter("u != v"), "lists")
-    listed = stage(listed.join(_small(lists.filter("n > 2").select("h")), "h").distinct(), "listed")
+    listed = listed.join(_small(lists.filter("n > 2").select("h", "n")), "h").groupBy("h", "set").agg(F.first("n").alias("n"))
+    listed = stage(listed, "listed")
     n_listed = listed.count()
+    scores = listed.groupBy("set").agg(F.sum("n").alias("score"))
     nodes = stage(prints.groupBy("set").agg(F.min("node").alias("node"), F.min("n").alias("n")), "sets")  # one text of each set
-    sketches = stage(prints.join(nodes.select("node"), "node", "left_semi").select("set", "n", "sketch").dropDuplicates(["set"]), "sketches")
+    sketches = stage(prints.join(nodes.select("node"), "node", "left_semi").select("set", "n", "sketch", "folded").dropDuplicates(["set"]), "sketches")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs of sets that are similar."""
@@ -335,13 +347,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tried: list[DataFrame] = []
     found = None
     for turn in range(ROUNDS + 1):
-        members = listed.withColumn("label", F.col("set"))
+        members = listed.select("h", "set").join(scores, "set") if turn == 0 else listed.select("h", "set")
+        members = members.withColumn("label", F.col("set"))
         if found is not None:
-            members = listed.join(found.withColumnsRenamed({"v": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
+            members = listed.select("h", "set").join(found.withColumnsRenamed({"v": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
         main = stage(_main_labels(members), "main")
         work = main.agg(F.sum("work")).first()[0] or 0
         last = turn == ROUNDS or work <= FEW * n_listed
-        pairs = _all_between(members, main) if last else _against_one(members, turn)
+        pairs = _all_between(members, main, sketches, least) if last else _against_one(members, turn)
         pairs = (pairs if tried else pairs.union(lists.filter("n = 2").select("u", "v"))).distinct()
         if tried:
             pairs = pairs.join(reduce(DataFrame.union, tried), ["u", "v"], "left_anti")
