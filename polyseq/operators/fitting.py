@@ -5,6 +5,7 @@ What reaches the driver is a matrix of the features' moments (at most 210 by 210
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import astuple
 
 import numpy as np
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from polyseq.functions.residues import ALPHABET
 from polyseq.operators.hamiltonian import Couplings, effective_energy
-from polyseq.operators.sequences import count_of
+from polyseq.operators.segments import theta_classes, theta_sticker, uniform_energy
+from polyseq.operators.sequences import with_counts
 
 ALPHAS = ("clustering", "connectivity", "percolation", "arrangement", "homology")
 PHIS = tuple(f"phi_{a}" for a in ALPHAS)
@@ -22,44 +24,81 @@ PHIS = tuple(f"phi_{a}" for a in ALPHAS)
 
 def composition_theta(df: DataFrame) -> DataFrame:
     """name, theta: the 20 counts, zeros included."""
-    return df.select("name", F.array(*[count_of(F.col("seq"), a).cast("double") for a in ALPHABET]).alias("theta"))
+    return with_counts(df).select("name", F.col("c").cast("array<double>").alias("theta"))
 
 
 def pair_theta(df: DataFrame) -> DataFrame:
     """name, theta: the 210 numbers of unordered pairs of places; pairs of like residues count in both orders."""
-    c = [F.col(f"c_{a}") for a in ALPHABET]
-    x = df.select("name", *[count_of(F.col("seq"), a).cast("double").alias(f"c_{a}") for a in ALPHABET])
-    return x.select("name", F.array(*[c[i] * (c[i] - 1) if i == j else c[i] * c[j] for i in range(20) for j in range(i, 20)]).alias("theta"))
+    c = [F.get("c", k).cast("double") for k in range(len(ALPHABET))]
+    return with_counts(df).select("name", F.array(*[c[i] * (c[i] - 1) if i == j else c[i] * c[j] for i in range(20) for j in range(i, 20)]).alias("theta"))
 
 
-def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, sums and sums of products of columns, in one aggregation."""
-    k = len(columns)
-    found = df.agg(F.count(F.lit(1)), *[F.sum(c) for c in columns], *[F.sum(F.col(columns[i]) * F.col(columns[j])) for i in range(k) for j in range(i, k)]).first()
-    s, p = np.array([x or 0.0 for x in found[1 : k + 1]], float), np.zeros((k, k))
-    p[np.triu_indices(k)] = [x or 0.0 for x in found[k + 1 :]]
-    return found[0], s, p + np.triu(p, 1).T
+def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, sums and sums of products of the entries of an array column; a task sends one matrix, by rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            if len(x):
+                x = np.column_stack([np.ones(batch.num_rows), x.reshape(batch.num_rows, -1)])
+                found = x.T @ x + (0 if found is None else found)
+        if found is not None:
+            yield pa.record_batch({"i": pa.array(np.arange(len(found))), "p": pa.array(found.tolist(), pa.list_(pa.float64()))})
+
+    parts = df.select(column).mapInArrow(run, "i long, p array<double>").select("i", F.posexplode("p").alias("j", "p"))
+    rows = parts.groupBy("i", "j").agg(F.sum("p").alias("p")).collect()  # at most 212 by 212
+    if not rows:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    p = np.zeros((1 + max(r.i for r in rows),) * 2)
+    for r in rows:
+        p[r.i, r.j] = r.p
+    return int(p[0, 0]), p[0, 1:], p[1:, 1:]
 
 
 def composition_components(df: DataFrame, k: int = 3) -> DataFrame:
     """component, explained: the share of the variance of the residue fractions that each principal component explains."""
-    names = [f"f_{a}" for a in ALPHABET]
-    x = df.select(*[(count_of(F.col("seq"), a) / F.length("seq")).alias(f"f_{a}") for a in ALPHABET])
-    n, s, p = moments(x, names)
-    values = np.sort(np.maximum(np.linalg.eigvalsh(p / max(n, 1) - np.outer(s, s) / max(n, 1) ** 2), 0))[::-1]
+    x = with_counts(df).select(F.transform("c", lambda v: v / F.length("seq")).alias("f"))
+    n, s, p = moments(x, "f")
+    values = np.sort(np.maximum(np.linalg.eigvalsh(p / max(n, 1) - np.outer(s, s) / max(n, 1) ** 2), 0))[::-1] if n else np.zeros(k)
     shares = values[:k] / values.sum() if values.sum() else np.zeros(k)
     return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(shares)], "component int, explained double")
 
 
-def sufficiency(thetas: DataFrame, energies: DataFrame, size: int) -> tuple[float, float]:
-    """R2 and RMSE of energies fitted by theta without an intercept, least squares of least norm."""
-    x = thetas.join(energies, "name").select(*[F.get("theta", i).alias(f"t{i}") for i in range(size)], F.col("energy").alias("y"))
-    n, s, p = moments(x, [*[f"t{i}" for i in range(size)], "y"])
+def sufficiency(thetas: DataFrame, energies: DataFrame) -> tuple[float, float]:
+    """R2 and RMSE of energies fitted by theta without an intercept, least squares of least norm; zeros without rows."""
+    x = thetas.join(energies, "name").select(F.concat("theta", F.array("energy")).alias("x"))
+    n, s, p = moments(x, "x")
+    if not n:
+        return 0.0, 0.0
     gram, right = p[:-1, :-1], p[:-1, -1]
-    w = np.linalg.lstsq(gram, right, rcond=None)[0]
+    size = np.sqrt(np.maximum(np.diag(gram), 1e-300))  # entries differ by orders of magnitude
+    w = np.linalg.lstsq(gram / np.outer(size, size), right / size, rcond=None)[0] / size
     residual = max(p[-1, -1] - 2 * w @ right + w @ gram @ w, 0.0)
-    spread = p[-1, -1] - s[-1] ** 2 / max(n, 1)
-    return (1 - residual / spread if spread > 0 else 0.0), float(np.sqrt(residual / max(n, 1)))
+    spread = p[-1, -1] - s[-1] ** 2 / n
+    return (float(1 - residual / spread) if spread > 0 else 0.0), float(np.sqrt(residual / n))
+
+
+def representations(df: DataFrame) -> dict[str, tuple[int, DataFrame]]:
+    """Size and (name, theta) of each representation: composition, stickers, interaction classes, pair counts."""
+    listed = lambda x: x.select("name", F.array(*[F.col(c).cast("double") for c in x.columns[1:]]).alias("theta"))
+    return {"composition": (20, composition_theta(df)), "sticker": (5, listed(theta_sticker(df))), "interaction_class": (7, listed(theta_classes(df))), "pair_counts": (210, pair_theta(df))}
+
+
+def minimal_representation(df: DataFrame, matrix: list[list[float]], least: float = 0.95) -> DataFrame:
+    """theta, size, r2, rmse, sufficient, minimal: how well each representation tells the uniform energy, both over the squared length.
+
+    sufficient: r2 over ``least``; minimal: the smallest of these.
+    """
+    squared = F.pow(F.length("seq").cast("double"), 2)
+    scale = df.select("name", squared.alias("n2"))
+    energies = uniform_energy(df, matrix).join(scale, "name").select("name", (F.col("energy") / F.col("n2")).alias("energy"))
+    rows = []
+    for name, (size, theta) in representations(df).items():
+        x = theta.join(scale, "name").select("name", F.transform("theta", lambda t: t / F.col("n2")).alias("theta"))
+        rows.append((name, size, *sufficiency(x, energies)))
+    best = min((size for _, size, r2, _ in rows if r2 > least), default=None)
+    return df.sparkSession.createDataFrame([(*r, r[2] > least, r[1] == best) for r in rows], "theta string, size int, r2 double, rmse double, sufficient boolean, minimal boolean")
 
 
 def calibration_table(metrics: DataFrame, labels: DataFrame) -> DataFrame:
@@ -115,29 +154,88 @@ def features(metrics: DataFrame) -> DataFrame:
     return metrics.select("name", F.array(*[value(f) for f in FEATURES]).alias("features"))
 
 
+def compare_models(table: DataFrame, c: Couplings = Couplings()) -> DataFrame:
+    """model (chemistry, full), rank_correlation, rmse_log of predicted against measured c_sat, from :func:`calibration_table`; predictions are relative to WT."""
+    alphas = dict(zip(ALPHAS, astuple(c)[3:], strict=True))
+    x = table.select("name", "csat_relative", F.explode(F.array(F.struct(F.lit("chemistry").alias("model"), F.col("h_chemistry").alias("h")), F.struct(F.lit("full").alias("model"), _predicted(alphas).alias("h")))).alias("x")).select("name", "csat_relative", "x.*")
+    wt = x.filter("name = 'WT'").select("model", F.col("h").alias("h0"))
+    x = x.join(F.broadcast(wt), "model").withColumn("p", F.col("h") - F.col("h0"))  # the logarithm of the prediction
+    ranks = lambda v: F.rank().over(Window.partitionBy("model").orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy("model", v)) - 1) / 2
+    x = x.withColumns({"a": ranks("p"), "b": ranks("csat_relative")})
+    rho = F.corr("a", "b")
+    return x.groupBy("model").agg(F.when(rho.isNull() | F.isnan(rho), 0.0).otherwise(rho).alias("rank_correlation"), F.sqrt(F.avg(F.pow(F.col("p") - F.log("csat_relative"), 2))).alias("rmse_log"))
+
+
+def training_rows(metrics: DataFrame, known: DataFrame, least: int = 5) -> DataFrame:
+    """name, features, h_chem_target, csat_target, phase_target, h_eff_target: targets are null where there are none.
+
+    known: name, csat_relative, phase_separates, one row a name, each nullable. Without a phase there, a variant
+    separates if it has more than ``least`` stickers. There is no target for h_eff.
+    """
+    h = effective_energy(metrics).select("name", F.col("h_chemistry").alias("h_chem_target"))
+    x = features(metrics).join(h, "name").join(known.select("name", "csat_relative", "phase_separates"), "name", "left")
+    phase = F.coalesce("phase_separates", F.get("features", FEATURES.index("n_stickers")) > least).cast("double")
+    return x.select("name", "features", "h_chem_target", F.col("csat_relative").alias("csat_target"), phase.alias("phase_target"), F.lit(None).cast("double").alias("h_eff_target"))
+
+
+#: The heads of the network, the columns of their targets, and the weights of their losses; phase is a probability, c_sat is learned as its logarithm.
+HEADS = {"h_eff": ("h_eff_target", 0.0), "csat": ("csat_target", 1.0), "phase": ("phase_target", 0.5), "h_chem": ("h_chem_target", 0.5)}
+#: Rows that the network is fitted on, at most: those with the least hash of their name.
+NETWORK_ROWS = 2000
+
+
+def train_and_predict(rows: DataFrame, sample: int = NETWORK_ROWS, epochs: int = 300, seed: int = 42) -> DataFrame:
+    """name and the four outputs of a network fitted on at most ``sample`` of the :func:`training_rows`, for all of them; empty if there are none.
+
+    The sample is bounded, so the fit is a small dense problem on the driver; predictions are made on the executors.
+    """
+    targets = [t for t, _ in HEADS.values()]
+    first = rows.orderBy(F.xxhash64("name", F.lit(seed)), "name").limit(sample).select("features", *targets).toArrow()
+    net = Network(len(HEADS), seed)
+    if first.num_rows:
+        y = np.array([first[t].to_numpy(zero_copy_only=False).astype(float) for t in targets]).T
+        y[:, [*HEADS].index("csat")] = np.log(np.maximum(y[:, [*HEADS].index("csat")], 1e-12))
+        net.fit(np.array(first["features"].to_pylist(), float), y, epochs)
+    out = net.predict(rows)
+    value = lambda k, h: F.exp(F.get("outputs", k)) if h == "csat" else F.get("outputs", k)
+    return out.select("name", *[value(k, h).alias(h) for k, h in enumerate(HEADS)])
+
+
 class Network:
-    """A small network, 13-16-8 and a head for each task, trained by Adam on rows some of whose targets are NaN."""
+    """A small network, 13-16-8 and a head for each task, trained by Adam on rows some of whose targets are NaN.
+
+    With four tasks they are those of HEADS: phase goes through a sigmoid and is fitted by cross-entropy, the others by
+    squares; each task's loss is the mean over its known targets, times its weight.
+    """
 
     def __init__(self, tasks: int, seed: int = 42, sizes: tuple[int, ...] = (len(FEATURES), 16, 8)):
         random = np.random.default_rng(seed)
         self.w = [random.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip((*sizes[:-1], sizes[-1]), (*sizes[1:], tasks), strict=True)]
         self.b = [np.zeros(x.shape[1]) for x in self.w]
+        self.mean, self.std = np.zeros(sizes[0]), np.ones(sizes[0])
+        four = tasks == len(HEADS)
+        self.weight = np.array([w for _, w in HEADS.values()]) if four else np.ones(tasks)
+        self.logistic = np.array([h == "phase" for h in HEADS]) if four else np.zeros(tasks, bool)
 
     def forward(self, x: np.ndarray) -> list[np.ndarray]:
         out = [(x - self.mean) / self.std]
         for k, (w, b) in enumerate(zip(self.w, self.b, strict=True)):
             y = out[-1] @ w + b
-            out.append(np.maximum(y, 0) if k < len(self.w) - 1 else y)
+            out.append(np.maximum(y, 0) if k < len(self.w) - 1 else np.where(self.logistic, 1 / (1 + np.exp(-np.clip(y, -500, 500))), y))
         return out
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 2000, rate: float = 0.005) -> list[float]:
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-8
         known, target = ~np.isnan(y), np.nan_to_num(y)
+        share = self.weight / np.maximum(known.sum(axis=0), 1)
         moments_, losses = [[np.zeros_like(p), np.zeros_like(p)] for p in (*self.w, *self.b)], []
         for t in range(1, epochs + 1):
             out = self.forward(x)
-            d = np.where(known, out[-1] - target, 0.0) / max(known.sum(), 1)
-            losses.append(float((d * d).sum() * max(known.sum(), 1)))
+            off = np.where(known, out[-1] - target, 0.0)
+            p = np.clip(out[-1], 1e-12, 1 - 1e-12)
+            cross = -np.where(known, target * np.log(p) + (1 - target) * np.log(1 - p), 0.0)
+            losses.append(float((share * np.where(self.logistic, cross, off * off)).sum()))
+            d = off * share
             gw, gb = [], []
             for k in reversed(range(len(self.w))):
                 gw.insert(0, out[k].T @ d)

@@ -1,16 +1,20 @@
 """Contact graphs, percolation and persistence over the pairs of a sequence.
 
-Edges, degrees, triangles and thresholds are relations. Searches through one graph - components, distances,
-betweenness, spanning trees - are small kernels that Spark runs sequence by sequence on the edges of its stickers.
+Edges, degrees, triangles, thresholds, loops and curves are relations. Spanning forests are found in parts: a task
+keeps a least forest of the pairs that it has seen, and only forests move, which have an edge less than nodes at most.
+Searches through one graph - components, distances, betweenness - are small kernels that Spark runs sequence by
+sequence on the edges of its stickers.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyseq.operators.maps import is_sticker
@@ -39,6 +43,12 @@ def auto_threshold(rows: DataFrame, share: float = 0.25, separation: int = 4) ->
     return rows.select("name").distinct().join(found, "name", "left").select("name", F.coalesce("t", F.lit(0.0)).alias("threshold"))
 
 
+def sticker_edges(rows: DataFrame, separation: int = 4) -> DataFrame:
+    """name, u, v, e of the sticker pairs below the automatic threshold of their sequence and at least ``separation`` apart; energies are told apart to twelve decimals."""
+    x = sticker_pairs(rows).filter(F.col("v") - F.col("u") >= separation).join(auto_threshold(rows, separation=separation), "name")
+    return x.filter(F.round("e", 12) < F.round("threshold", 12)).select("name", "u", "v", "e")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """name, i, degree of every node, also those without an edge."""
     ends = edges.select("name", F.col("u").alias("i")).unionAll(edges.select("name", F.col("v").alias("i"))).groupBy("name", "i").agg(F.count(F.lit(1)).alias("degree"))
@@ -165,106 +175,199 @@ def spanning_edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> list[int]:
     return kept
 
 
-def percolation(rows: DataFrame, steps: int = 50, separation: int = 4) -> DataFrame:
-    """name, threshold, onset: of a sweep over thresholds, where the largest component grows most (the left end, the first of equals), and the first that holds half the stickers, or else the lowest.
+def _part(name, rows: tuple[np.ndarray, ...], kind: pa.DataType) -> pa.RecordBatch:
+    u, v, d = rows
+    return pa.record_batch({"name": pa.array([name] * len(u), kind), "u": pa.array(u, pa.int32()), "v": pa.array(v, pa.int32()), "d": pa.array(d, pa.float64())})
+
+
+def _local_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A least forest of each stretch of pairs (name, u, v, d) of one sequence."""
+    held, rows, kind = None, (), None
+    for batch in batches:
+        kind, names = batch.column(0).type, batch.column(0).to_pylist()
+        columns = [batch.column(k).to_numpy() for k in (1, 2, 3)]
+        cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            own = tuple(c[a:b] for c in columns)
+            if rows and names[a] == held:
+                own = tuple(np.concatenate([x, y]) for x, y in zip(rows, own, strict=True))
+            elif rows:
+                yield _part(held, rows, kind)
+            kept = spanning_edges(*own)
+            held, rows = names[a], tuple(c[kept] for c in own)
+    if rows:
+        yield _part(held, rows, kind)
+
+
+def spanning_forest(pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """name, u, v, d of a least spanning forest of the pairs (name, u, v, d), by (d, u, v); ``more``: further pairs, few of each node."""
+    kind = f"name {pairs.schema['name'].dataType.simpleString()}, u int, v int, d double"
+    parts = pairs.select("name", "u", "v", "d").mapInArrow(_local_forests, kind)
+    if more is not None:
+        parts = parts.unionByName(more.select("name", "u", "v", "d"))
 
-    Edges are sticker pairs below the threshold and at least ``separation`` apart. Which stickers hang together at
-    any threshold is told by one least spanning forest. Zeros with fewer than two stickers.
+    def merge(x: pd.DataFrame) -> pd.DataFrame:
+        return x.iloc[spanning_edges(x.u.to_numpy(), x.v.to_numpy(), x.d.to_numpy())]
+
+    return parts.groupBy("name").applyInPandas(lambda x: merge(x), kind)
+
+
+def percolation_curve(rows: DataFrame, steps: int = 50, separation: int = 4) -> DataFrame:
+    """name, step, threshold, n_components, largest, fraction of the stickers, along a sweep over thresholds.
+
+    Edges are sticker pairs below the threshold and at least ``separation`` apart; the sweep goes a tenth of the span of
+    their energies beyond both ends, or from -1 to 0 without any. Which stickers hang together at any threshold is told
+    by one least spanning forest. With fewer than two stickers there is one step, at 0.
     """
+    nodes = sticker_nodes(rows).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    far = sticker_pairs(rows).filter(F.col("v") - F.col("u") >= separation)
+    span = far.groupBy("name").agg(F.min("e").alias("low"), F.max("e").alias("high"))
+    head = nodes.join(span, "name", "left").select("name", F.lit(None).cast("int").alias("u"), F.lit(None).cast("int").alias("v"), F.lit(None).cast("double").alias("d"), "n", "low", "high")
+    tree = spanning_forest(far.withColumn("d", F.col("e"))).select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
 
     def kernel(x: pd.DataFrame) -> pd.DataFrame:
-        n = int(x.v.isna().sum())
-        p = x[x.v.notna()]
+        first = x[x.u.isna()].iloc[0]
+        n = int(first.n)
         if n < 2:
-            return pd.DataFrame({"name": [x.name.iloc[0]], "threshold": [0.0], "onset": [0.0]})
-        u, v, e = p.u.to_numpy(int), p.v.to_numpy(int), p.e.to_numpy(float)
-        far = v - u >= separation
-        u, v, e = u[far], v[far], e[far]
-        low, high = (float(e.min()), float(e.max())) if len(e) else (-1.0, 0.0)
-        margin = (0.1 * (high - low) or 0.1) if len(e) else 0.0
+            return pd.DataFrame({"name": [first["name"]], "step": [0], "threshold": [0.0], "n_components": [n], "largest": [n], "fraction": [1.0]})
+        low, high = (float(first.low), float(first.high)) if not np.isnan(first.low) else (-1.0, 0.0)
+        margin = (0.1 * (high - low) or 0.1) if not np.isnan(first.low) else 0.0
         grid = np.linspace(low - margin, high + margin, steps)
-        tree = spanning_edges(u, v, e)
-        size: dict[int, int] = {}
-        parent: dict[int, int] = {}
-
-        def root(a: int) -> int:
-            while parent.setdefault(a, a) != a:
-                a = parent[a]
-            return a
-
-        share, k, largest = [], 0, 1
-        for t in grid:
-            while k < len(tree) and e[tree[k]] < t:
-                a, b = root(int(u[tree[k]])), root(int(v[tree[k]]))
-                parent[b] = a
-                size[a] = size.get(a, 1) + size.get(b, 1)
-                largest = max(largest, size[a])
-                k += 1
-            share.append(largest / n)
-        half = np.flatnonzero(np.array(share) >= 0.5)
-        return pd.DataFrame({"name": [x.name.iloc[0]], "threshold": [float(grid[int(np.argmax(np.diff(share)))])], "onset": [float(grid[half[0] if len(half) else 0])]})
-
-    nodes = sticker_nodes(rows)
-    kind = nodes.schema["name"].dataType.simpleString()
-    return _by_sequence(nodes, sticker_pairs(rows)).applyInPandas(lambda x: kernel(x), f"name {kind}, threshold double, onset double")
+        edges = x[x.u.notna()].sort_values(["d", "u", "v"])
+        group: dict[int, int] = {}
+        members: dict[int, list[int]] = {}
+        found, largest, done = [], 1, 0
+        joined = list(edges[["u", "v", "d"]].itertuples(index=False))
+        for k, t in enumerate(grid):
+            while done < len(joined) and joined[done].d < t:
+                a, b = (group.setdefault(int(i), int(i)) for i in joined[done][:2])
+                own, other = members.setdefault(a, [a]), members.setdefault(b, [b])
+                if len(own) < len(other):
+                    a, b, own, other = b, a, other, own
+                own += other
+                group.update(dict.fromkeys(members.pop(b), a))
+                largest = max(largest, len(own))
+                done += 1
+            found.append((k, float(t), n - done, largest, largest / n))
+        return pd.DataFrame(found, columns=["step", "threshold", "n_components", "largest", "fraction"]).assign(name=first["name"])[["name", "step", "threshold", "n_components", "largest", "fraction"]]
+
+    kind = rows.schema["name"].dataType.simpleString()
+    return head.unionByName(tree).groupBy("name").applyInPandas(lambda x: kernel(x), f"name {kind}, step int, threshold double, n_components long, largest long, fraction double")
+
+
+def percolation(rows: DataFrame, steps: int = 50, separation: int = 4) -> DataFrame:
+    """name, threshold, onset: of :func:`percolation_curve`, where the largest component grows most (the left end, the first of equals), and the first that holds half the stickers, or else the lowest."""
+    order = Window.partitionBy("name").orderBy("step")
+    x = percolation_curve(rows, steps, separation).withColumn("growth", F.coalesce(F.lead("fraction").over(order) - F.col("fraction"), F.lit(-1.0)))
+    half = F.min_by("threshold", F.when(F.col("fraction") >= 0.5, F.col("step")))
+    return x.groupBy("name").agg(F.max_by("threshold", F.struct("growth", -F.col("step"))).alias("threshold"), F.coalesce(half, F.min_by("threshold", "step")).alias("onset"))
+
+
+def _raw_distance(method: str) -> Column:
+    if method not in ("negated", "shifted", "rank"):
+        raise ValueError(f"unknown method {method}")
+    return F.round(-F.col("e") if method == "negated" else F.col("e"), 12)
+
+
+def _self_and_pairs(rows: DataFrame) -> DataFrame:
+    own = rows.filter(is_sticker(F.get("idx", F.col("i")))).select("name", F.col("i").alias("u"), F.col("i").alias("v"), F.get("e", F.col("i")).alias("e"))
+    return own.unionByName(sticker_pairs(rows))
+
+
+def distances(rows: DataFrame, separation: int = 4, method: str = "negated") -> DataFrame:
+    """name, u, v, d of the pairs u < v of stickers.
+
+    Distance is minus the energy (negated), the energy less the least one (shifted), or its rank from 0 (equal energies
+    by place); pairs nearer than ``separation`` are one further than the largest, self energies included. Energies are
+    taken to twelve decimals, so that those alike but for rounding are alike.
+    """
+    x = sticker_pairs(rows)
+    if method == "rank":
+        x = x.withColumn("d", (F.row_number().over(Window.partitionBy("name").orderBy(F.round("e", 12), "u", "v")) - 1).cast("double"))
+        far = x.groupBy("name").agg((F.count(F.lit(1)) - 1).cast("double").alias("most"))
+        x = x.join(far, "name")
+    else:
+        d = _raw_distance(method)
+        span = _self_and_pairs(rows).groupBy("name").agg(F.min(d).alias("least"), F.max(d).alias("most"))
+        off = F.col("least") if method == "shifted" else F.lit(0.0)
+        x = x.join(span, "name").withColumn("d", d - off).withColumn("most", F.col("most") - off)
+    return x.select("name", "u", "v", F.when(F.col("v") - F.col("u") < separation, F.col("most") + 1).otherwise(F.col("d")).alias("d"))
+
+
+def merge_tree(rows: DataFrame, separation: int = 4, method: str = "negated") -> DataFrame:
+    """name, u, v, d: the edges of a least spanning tree of the :func:`distances`; of far pairs only forests move."""
+    if method == "rank":
+        return spanning_forest(distances(rows, separation, method))
+    d, pairs = _raw_distance(method), sticker_pairs(rows)
+    span = _self_and_pairs(rows).groupBy("name").agg(F.min(d).alias("least"), F.max(d).alias("most"))
+    near = pairs.filter(F.col("v") - F.col("u") < separation).join(span, "name").withColumn("d", F.col("most") + 1)
+    tree = spanning_forest(pairs.filter(F.col("v") - F.col("u") >= separation).withColumn("d", d), near)
+    return tree.join(span.select("name", "least"), "name").select("name", "u", "v", (F.col("d") - F.col("least")).alias("d")) if method == "shifted" else tree
+
+
+def loops(distance: DataFrame, tree: DataFrame) -> DataFrame:
+    """name, birth, death of the loops: an edge beside the tree opens one, and the first triangle over it closes it, unless at once."""
+    both = distance.select("name", F.col("u").alias("a"), F.col("v").alias("k"), "d").unionAll(distance.select("name", F.col("v").alias("a"), F.col("u").alias("k"), "d"))
+    x = distance.join(tree.select("name", "u", "v"), ["name", "u", "v"], "left_anti").withColumnRenamed("d", "birth")
+    x = x.join(both.select("name", F.col("a").alias("u"), "k", F.col("d").alias("d_u")), ["name", "u"]).filter("k != v").join(both.select("name", F.col("a").alias("v"), "k", F.col("d").alias("d_v")), ["name", "v", "k"])
+    death = F.min(F.greatest("birth", "d_u", "d_v")).alias("death")
+    return x.groupBy("name", "u", "v", "birth").agg(death).filter("death > birth").select("name", "birth", "death")
+
+
+def persistence_diagrams(rows: DataFrame, separation: int = 4, method: str = "negated") -> DataFrame:
+    """name, dim, birth, death of the stickers' :func:`distances`: dim 0 for components, of which one never dies (infinity), 1 for loops."""
+    d, tree = distances(rows, separation, method), merge_tree(rows, separation, method)
+    zero = tree.select("name", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.col("d").alias("death"))
+    ever = sticker_nodes(rows).select("name").distinct().select("name", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.lit(float("inf")).alias("death"))
+    return zero.unionByName(ever).unionByName(loops(d, tree).select("name", F.lit(1).alias("dim"), "birth", "death"))
+
+
+def betti_curves(rows: DataFrame, diagrams: DataFrame, separation: int = 4, method: str = "negated", steps: int = 50) -> DataFrame:
+    """name, step, t, b0, b1: features of ``diagrams`` alive at each of ``steps`` distances from the least positive one to the largest; none without pairs."""
+    d = distances(rows, separation, method)
+    span = d.groupBy("name").agg(F.min(F.when(F.col("d") > 0, F.col("d"))).alias("low"), F.greatest(F.max("d"), F.lit(0.0)).alias("high")).filter("low is not null")
+    grid = span.select("name", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    width = (F.col("high") - F.col("low")) / (steps - 1)
+    grid = grid.select("name", "step", F.when(F.col("step") == steps - 1, F.col("high")).otherwise(F.col("low") + F.col("step") * width).alias("t"))
+    alive = (F.col("birth") <= F.col("t")) & (F.col("t") < F.col("death"))
+    return grid.join(diagrams, "name").groupBy("name", "step", "t").agg(F.count_if(alive & (F.col("dim") == 0)).alias("b0"), F.count_if(alive & (F.col("dim") == 1)).alias("b1"))
 
 
 def persistence(rows: DataFrame, separation: int = 4, method: str = "negated", grid: int = 50) -> DataFrame:
     """name, n_features, h0_total, h0_longest, h0_mean_death, h1_features, h1_total, h1_longest, b0_auc, b1_auc of the stickers.
 
-    Distance is minus the energy (negated), the energy less the least one (shifted), or its rank; pairs nearer than
-    ``separation`` are one further than the largest, self energies included. A spanning tree gives H0; an edge beside
-    it opens a loop that the first triangle over it closes. Areas are left sums over a grid of positive distances.
+    Sums and largest values of the finite lifetimes of :func:`persistence_diagrams`, and left sums under the
+    :func:`betti_curves`. Zeros for what there is none of.
     """
+    x = persistence_diagrams(rows, separation, method)
+    life, finite = F.col("death") - F.col("birth"), F.col("death") < float("inf")
+    of = lambda dim: F.when(finite & (F.col("dim") == dim), life)
+    sums = x.groupBy("name").agg(
+        F.count_if(F.col("dim") == 0).alias("n_features"), F.sum(of(0)).alias("h0_total"), F.max(of(0)).alias("h0_longest"), F.avg(F.when(finite & (F.col("dim") == 0), F.col("death"))).alias("h0_mean_death"),
+        F.count_if(F.col("dim") == 1).alias("h1_features"), F.sum(of(1)).alias("h1_total"), F.max(of(1)).alias("h1_longest"),
+    )
+    step = F.lead("t").over(Window.partitionBy("name").orderBy("step")) - F.col("t")
+    areas = betti_curves(rows, x, separation, method, grid).withColumn("w", step).groupBy("name").agg(F.sum(F.col("b0") * F.col("w")).alias("b0_auc"), F.sum(F.col("b1") * F.col("w")).alias("b1_auc"))
+    zeros = ["h0_total", "h0_longest", "h0_mean_death", "h1_total", "h1_longest", "b0_auc", "b1_auc"]
+    return sums.join(areas, "name", "left").na.fill(0.0, zeros)
+
+
+def distance_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """name, steps, pairs: how many pairs u < v of nodes are so many steps apart; pairs without a path aren't counted."""
 
     def kernel(x: pd.DataFrame) -> pd.DataFrame:
-        own = x[x.v.notna() & (x.u == x.v)]
-        names = sorted(x.u[x.v.isna()].tolist())
-        n = len(names)
-        out = {"n_features": n, "h0_total": 0.0, "h0_longest": 0.0, "h0_mean_death": 0.0, "h1_features": 0, "h1_total": 0.0, "h1_longest": 0.0, "b0_auc": 0.0, "b1_auc": 0.0}
-        if n >= 2:
-            p = x[x.v.notna() & (x.u < x.v)]
-            at = {k: i for i, k in enumerate(names)}
-            u, v, e = p.u.map(at).to_numpy(), p.v.map(at).to_numpy(), p.e.to_numpy(float)
-            self_e = own.e.to_numpy(float)
-            if method == "rank":
-                order = np.lexsort((v, u, e))
-                d, diagonal = np.empty(len(e)), np.zeros(n)
-                d[order] = np.arange(len(e))
-            elif method == "shifted":
-                least = min(e.min(), self_e.min())
-                d, diagonal = e - least, self_e - least
-            else:
-                d, diagonal = -e, -self_e
-            near = p.v.to_numpy(int) - p.u.to_numpy(int) < separation
-            d = np.where(near, max(d.max(), diagonal.max()) + 1, d)
-            full = np.zeros((n, n))
-            full[u, v] = full[v, u] = d
-            tree = spanning_edges(u, v, d)
-            deaths = d[tree]
-            rest = np.setdiff1d(np.arange(len(d)), tree)
-            cycles = []
-            for k in rest:
-                third = np.maximum(full[u[k]], full[v[k]])
-                third = np.delete(third, [u[k], v[k]])
-                death = max(d[k], third.min()) if len(third) else np.inf
-                if death > d[k]:
-                    cycles.append((d[k], death))
-            finite = [b - a for a, b in cycles if np.isfinite(b)]
-            positive = full[full > 0]
-            out |= {"h0_total": float(deaths.sum()), "h0_longest": float(deaths.max()), "h0_mean_death": float(deaths.mean()), "h1_features": len(cycles), "h1_total": float(sum(finite)), "h1_longest": float(max(finite, default=0.0))}
-            if len(positive):
-                t = np.linspace(positive.min(), full.max(), grid)
-                b0 = 1 + (deaths[None, :] > t[:, None]).sum(axis=1)
-                b1 = np.array([sum(a <= y < b for a, b in cycles) for y in t])
-                out |= {"b0_auc": float((b0[:-1] * np.diff(t)).sum()), "b1_auc": float((b1[:-1] * np.diff(t)).sum())}
-        return pd.DataFrame({"name": [x.name.iloc[0]], **{k: [w] for k, w in out.items()}})
-
-    nodes = sticker_nodes(rows)
+        names, near = _adjacency(x)
+        found: dict[int, int] = {}
+        for s in names:
+            for v, k in _reach(near, s).items():
+                if v > s:
+                    found[k] = found.get(k, 0) + 1
+        return pd.DataFrame({"name": [x.name.iloc[0]] * len(found), "steps": [*found], "pairs": [*found.values()]})
+
     kind = nodes.schema["name"].dataType.simpleString()
-    self_pairs = rows.filter(is_sticker(F.get("idx", F.col("i")))).select("name", F.col("i").alias("u"), F.col("i").alias("v"), F.get("e", F.col("i")).alias("e"))
-    fields = "n_features long, h0_total double, h0_longest double, h0_mean_death double, h1_features long, h1_total double, h1_longest double, b0_auc double, b1_auc double"
-    return _by_sequence(nodes, sticker_pairs(rows).unionByName(self_pairs)).applyInPandas(lambda x: kernel(x), f"name {kind}, {fields}")
+    return _by_sequence(nodes, edges).applyInPandas(lambda x: kernel(x), f"name {kind}, steps long, pairs long")
 
 
 def interaction_entropy(rows: DataFrame, bins: int = 20) -> DataFrame:

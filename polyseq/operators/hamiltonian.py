@@ -35,15 +35,39 @@ def finite(df: DataFrame) -> DataFrame:
 def topology_features(rows: DataFrame) -> DataFrame:
     """name and the graph features of the stickers, at the automatic threshold of each sequence."""
     limit = graph.auto_threshold(rows)
-    nodes = graph.sticker_nodes(rows)
-    edges = graph.sticker_pairs(rows).filter(F.col("v") - F.col("u") >= 4).join(limit, "name").filter("e < threshold").select("name", "u", "v", "e")
-    parts = [graph.clustering_coefficient(nodes, edges), graph.path_statistics(nodes, edges).select("name", "n_components", "path_length"), graph.percolation(rows).select("name", "threshold", "onset"), graph.persistence(rows).select("name", "h0_total")]
+    nodes, edges = graph.sticker_nodes(rows), graph.sticker_edges(rows)
+    parts = [graph.clustering_coefficient(nodes, edges), graph.path_statistics(nodes, edges).select("name", "n_components", "path_length"), graph.percolation(rows).select("name", "threshold", "onset"), graph.merge_tree(rows).groupBy("name").agg(F.sum("d").alias("h0_total"))]
     out = limit.withColumnRenamed("threshold", "auto_threshold")
     for p in parts:
         out = out.join(p, "name", "left")
     return out.na.fill(0.0, ["clustering", "path_length", "threshold", "onset", "h0_total"]).na.fill(1, ["n_components"])
 
 
+def topology_metrics(rows: DataFrame) -> DataFrame:
+    """name and fourteen numbers: of the contact graph of all residues, of that of the stickers, of percolation and of betweenness; zeros without stickers."""
+    limit = graph.auto_threshold(rows)
+    far = graph.contact_edges(rows, float("inf")).join(limit, "name").filter(F.round("e", 12) < F.round("threshold", 12)).select("name", "u", "v", "e")
+    full = graph.degree_statistics(rows.select("name", "i"), far).select("name", F.col("n_edges").alias("n_contacts"), F.col("density").alias("graph_density"), "mean_degree", "max_degree")
+    nodes, edges = graph.sticker_nodes(rows), graph.sticker_edges(rows)
+    degree = graph.degree_statistics(nodes, edges).select("name", F.col("n_edges").alias("sticker_n_contacts"), F.col("density").alias("sticker_graph_density"), F.col("mean_degree").alias("sticker_mean_degree"))
+    closed = graph.clustering_coefficient(nodes, edges).withColumnRenamed("clustering", "sticker_clustering_coefficient")
+    paths = graph.path_statistics(nodes, edges).select("name", F.col("path_length").alias("sticker_avg_path_length"), F.col("n_components").alias("sticker_n_components"))
+    grown = graph.percolation(rows).select("name", F.col("threshold").alias("percolation_threshold"), F.col("onset").alias("giant_component_onset"))
+    between = graph.betweenness(nodes, edges).groupBy("name").agg(F.max("betweenness").alias("max_betweenness"), F.avg("betweenness").alias("mean_betweenness"))
+    out = full
+    for part in (degree, closed, paths, grown, between):
+        out = out.join(part, "name", "left")
+    return out.na.fill(0)
+
+
+def entropy_metrics(seqs: DataFrame, rows: DataFrame) -> DataFrame:
+    """name, spacing_entropy, normalized_spacing_entropy, block_entropy, interaction_entropy, composition_entropy."""
+    out = segments.spacing_entropy(seqs).select("name", F.col("entropy").alias("spacing_entropy"), F.col("normalized").alias("normalized_spacing_entropy"))
+    for part, name in ((segments.block_entropy(seqs), "block_entropy"), (graph.interaction_entropy(rows), "interaction_entropy"), (segments.composition_entropy(seqs), "composition_entropy")):
+        out = out.join(part.select("name", F.col("entropy").alias(name)), "name")
+    return out
+
+
 def variant_metrics(seqs: DataFrame, rows: DataFrame) -> DataFrame:
     """One wide row for each sequence, from name, seq and its smoothed map by rows."""
     out = segments.sticker_mask(seqs)
@@ -86,10 +110,19 @@ def sensitivity(energies: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, by: str) -> DataFrame:
-    """The column by's rank from 1, equal values sharing their mean rank, as ``column``. Values are counted before they are ranked."""
+    """The column by's rank from 1, equal values sharing their mean rank, as ``column``.
+
+    Values are counted, the counts dealt out by ranges of values, and each range ranked by itself; what lies below it
+    is added from the ranges' sums, of which there is a row for each partition.
+    """
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
-    below = counts.select(by, "__n", (F.sum("__n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))).alias("__below"))
-    rank = below.select(F.col(by).alias("__v"), (F.coalesce("__below", F.lit(0)) + (F.col("__n") + 1) / 2).alias(column))
+    ranged = counts.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).withColumn("__part", F.spark_partition_id())
+    own = Window.partitionBy("__part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    below = ranged.withColumn("__within", F.coalesce(F.sum("__n").over(own), F.lit(0)))
+    sums = ranged.groupBy("__part").agg(F.sum("__n").alias("__s"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"))  # a row for each partition
+    rank = below.join(F.broadcast(offsets), "__part").select(F.col(by).alias("__v"), (F.col("__off") + F.col("__within") + (F.col("__n") + 1) / 2).alias(column))
     return df.join(rank, F.col(by) == F.col("__v")).drop("__v")
 
 

@@ -59,32 +59,105 @@ def _soft_composition(idx: np.ndarray, weights: list[float]) -> np.ndarray:
     return out
 
 
-def map_rows(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0, sigma_j: float | None = None) -> DataFrame:
+_NUMBER = np.full(256, -1, np.int8)
+_NUMBER[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+_STICKER = np.array([a in STICKERS for a in ALPHABET])
+
+
+def _numbered(seq: str) -> np.ndarray:
+    return _NUMBER[np.frombuffer(seq.encode(), np.uint8)]
+
+
+def _scaling(blocks: Iterator[np.ndarray], method: str) -> tuple[float, float]:
+    """What is taken off a map and what it is divided by, from one pass over its parts."""
+    n, mean, squares, low, high = 0, 0.0, 0.0, np.inf, -np.inf
+    for e in blocks:
+        own, k = float(e.mean()), e.size
+        squares += float(((e - own) ** 2).sum()) + (own - mean) ** 2 * n * k / (n + k)
+        mean += (own - mean) * k / (n + k)
+        n, low, high = n + k, min(low, float(e.min())), max(high, float(e.max()))
+    return {"zscore": (mean, math.sqrt(squares / n)), "minmax": (low, high - low), "symmetric": (0.0, max(abs(low), abs(high)))}[method]
+
+
+METHODS = ("energy", "zscore", "minmax", "symmetric")
+
+
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Sequences dealt out while they are small: what is made of them is some thousand times as large."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.select(*columns).repartition(n, "name")
+
+
+def map_rows(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0, sigma_j: float | None = None, mask: int | None = None, method: str = "energy") -> DataFrame:
     """The smoothed map (sigma 0: the raw one), a row for each position; sigma_j: another width along the rows.
 
     A map is S M T', S and T being the soft compositions by rows and by columns and M the energies; it is made and
     sent on some rows at a time, so a long sequence needs no more room than those and its compositions.
+
+    mask: the band around the diagonal that is set to 0. method: zscore (population), minmax, symmetric (by the largest
+    absolute value) or energy (as it is), after masking; a flat map becomes zeros. Maps that are normalised are made
+    twice, once for what they are scaled by, so that no map is shuffled.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
     wi, wj, m = gaussian_weights(sigma), gaussian_weights(sigma if sigma_j is None else sigma_j), np.array(matrix)
     name_type = df.schema["name"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, seq in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                idx = np.array([ALPHABET.index(a) for a in seq], np.int32)
+                idx = _numbered(seq)
                 left, right = _soft_composition(idx, wi) @ m, _soft_composition(idx, wj).T
                 n, step = len(idx), max(1, 1_000_000 // max(len(idx), 1))
-                for k in range(0, n, step):
+
+                def block(k: int, left=left, right=right, n=n, step=step) -> np.ndarray:
                     e = left[k : k + step] @ right
+                    if mask is not None:
+                        e[np.abs(np.arange(k, k + len(e))[:, None] - np.arange(n)) <= mask] = 0.0
+                    return e
+
+                starts = range(0, n, step)
+                shift, scale = _scaling(map(block, starts), method) if method != "energy" and n else (0.0, 1.0)
+                for k in starts:
+                    e = block(k)
+                    if method != "energy":
+                        e = (e - shift) / scale if scale >= 1e-10 else np.zeros_like(e)
                     offsets = pa.array(np.arange(len(e) + 1, dtype=np.int32) * n)
                     yield pa.record_batch({
                         "name": pa.array([name.as_py()] * len(e), name.type), "n": pa.array(np.full(len(e), n, np.int32)), "idx": pa.ListArray.from_arrays(offsets, pa.array(np.tile(idx, len(e)))),
                         "i": pa.array(np.arange(k, k + len(e), dtype=np.int32)), "e": pa.ListArray.from_arrays(offsets, pa.array(e.ravel())),
                     })
 
-    # a map is some thousand times its sequence: sequences are spread while they are small
-    spread = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    return df.select("name", "seq").repartition(spread, "name").mapInArrow(run, f"name {name_type.simpleString()}, n int, idx array<int>, i int, e array<double>")
+    return _spread(df, "name", "seq").mapInArrow(run, f"name {name_type.simpleString()}, n int, idx array<tinyint>, i int, e array<double>")
+
+
+def linear_energies(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0) -> DataFrame:
+    """name, n, n_stickers, ss, ll, cross, mean, total, profile (the means of the rows) of the smoothed map, without the map.
+
+    Sums over classes of pairs are products of sums of soft compositions, so a sequence costs its length. ss, ll and
+    cross are means by class of both ends, diagonal included, 0 for an empty class; total and mean are over i < j.
+    """
+    w, m = gaussian_weights(sigma), np.array(matrix)
+    kind = df.schema["name"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, profiles = [], []
+            for seq in batch.column(1).to_pylist():
+                idx = _numbered(seq)
+                soft, own = _soft_composition(idx, w), _STICKER[idx]
+                n, k = len(idx), int(own.sum())
+                s, t = soft[own].sum(axis=0), soft.sum(axis=0)
+                rest = t - s
+                mean = lambda total, count: float(total / count) if count else 0.0
+                total = float(t @ m @ t - np.einsum("ia,ab,ib->", soft, m, soft, optimize=True)) / 2
+                rows.append((n, k, mean(s @ m @ s, k * k), mean(rest @ m @ rest, (n - k) ** 2), mean(2 * (s @ m @ rest), 2 * k * (n - k)), mean(total, n * (n - 1) / 2), total))
+                profiles.append(soft @ (m @ t) / n)
+            n, k, ss, ll, cross, means, totals = zip(*rows, strict=True) if rows else ((),) * 7
+            real = lambda x: pa.array(x, pa.float64())
+            yield pa.record_batch({"name": batch.column(0), "n": pa.array(n, pa.int64()), "n_stickers": pa.array(k, pa.int64()), "ss": real(ss), "ll": real(ll), "cross": real(cross), "mean": real(means), "total": real(totals), "profile": pa.array(profiles, pa.list_(pa.float64()))})
+
+    return df.select("name", "seq").mapInArrow(run, f"name {kind}, n long, n_stickers long, ss double, ll double, cross double, mean double, total double, profile array<double>")
 
 
 def pairs(rows: DataFrame) -> DataFrame:
@@ -101,38 +174,30 @@ def _sum(f=lambda x: x) -> Column:
     return F.aggregate("e", F.lit(0.0), lambda a, x: a + f(x))
 
 
-def normalized(rows: DataFrame, method: str) -> DataFrame:
-    """zscore (population), minmax, symmetric (by the largest absolute value) or energy (as it is); a flat map becomes zeros."""
-    if method not in ("zscore", "minmax", "symmetric", "energy"):
-        raise ValueError(f"unknown method {method}")
-    if method == "energy":
-        return rows
-    of = Window.partitionBy("name")
-    low, high = F.min(F.array_min("e")).over(of), F.max(F.array_max("e")).over(of)
-    if method == "zscore":
-        rows = rows.withColumn("shift", F.sum(_sum()).over(of) / (F.col("n") * F.col("n")))
-        rows = rows.withColumn("scale", F.sqrt(F.sum(_sum(lambda x: F.pow(x - F.col("shift"), 2))).over(of) / (F.col("n") * F.col("n"))))
-    elif method == "minmax":
-        rows = rows.withColumn("shift", low).withColumn("scale", high - low)
-    else:
-        rows = rows.withColumn("shift", F.lit(0.0)).withColumn("scale", F.greatest(F.abs(low), F.abs(high)))
-    return rows.withColumn("e", F.transform("e", lambda x: F.when(F.col("scale") < 1e-10, 0.0).otherwise((x - F.col("shift")) / F.col("scale")))).drop("shift", "scale")
-
-
 def map_statistics(rows: DataFrame) -> DataFrame:
-    """name, mean, std, low, high, off_diagonal_mean, total, n_attractive, n_repulsive, attractive_fraction."""
+    """name, mean, std, low, high, off_diagonal_mean, total, n_attractive, n_repulsive, attractive_fraction.
+
+    Each row of a map becomes its sum, its variance and its extremes before anything moves.
+    """
     n2 = F.max(F.col("n") * F.col("n")).cast("double")
     x = rows.select("name", "n", _sum().alias("s"), F.array_min("e").alias("lo"), F.array_max("e").alias("hi"), F.get("e", F.col("i")).alias("own"), *[F.size(F.filter("e", f)).alias(k) for k, f in (("neg", lambda v: v < 0), ("pos", lambda v: v > 0))], "e")
-    mean = F.sum("s").over(Window.partitionBy("name")) / (F.col("n") * F.col("n"))
-    x = x.withColumn("m", mean).withColumn("d", _sum(lambda v: F.pow(v - F.col("m"), 2)))
+    x = x.withColumn("m", F.col("s") / F.col("n")).withColumn("v", _sum(lambda v: F.pow(v - F.col("m"), 2)) / F.col("n")).drop("e")
     neg = F.sum("neg").cast("long")
     return x.groupBy("name").agg(
-        (F.sum("s") / n2).alias("mean"), F.sqrt(F.sum("d") / n2).alias("std"), F.min("lo").alias("low"), F.max("hi").alias("high"),
+        (F.sum("s") / n2).alias("mean"), F.sqrt(F.avg("v") + F.var_pop("m")).alias("std"), F.min("lo").alias("low"), F.max("hi").alias("high"),
         F.when(F.max("n") > 1, (F.sum("s") - F.sum("own")) / (n2 - F.max("n"))).otherwise(0.0).alias("off_diagonal_mean"), F.sum("s").alias("total"),
         neg.alias("n_attractive"), F.sum("pos").cast("long").alias("n_repulsive"), (neg / n2).alias("attractive_fraction"),
     )
 
 
+def row_slices(rows: DataFrame, at: Column) -> DataFrame:
+    """name, k, i, by_row, by_column: the values of row k and of column k of each map; ``at`` is the 0-based k, from the columns of ``rows``."""
+    x = rows.withColumn("k", at)
+    down = x.select("name", "k", "i", F.get("e", F.col("k")).alias("by_column"))
+    along = x.filter(F.col("i") == F.col("k")).select("name", F.posexplode("e").alias("i", "by_row"))
+    return down.join(along, ["name", "i"]).select("name", "k", "i", "by_row", "by_column")
+
+
 def profile(rows: DataFrame) -> DataFrame:
     """name, n, i, v: the mean of each row."""
     return rows.select("name", "n", "i", (_sum() / F.col("n")).alias("v"))
@@ -260,3 +325,45 @@ def energy_by_separation(rows: DataFrame) -> DataFrame:
     """name, d, energy: the sum over pairs j - i = d, d > 0."""
     x = rows.select("name", "i", F.posexplode_outer("e").alias("j", "e")).filter("j > i")
     return x.groupBy("name", (F.col("j") - F.col("i")).alias("d")).agg(F.sum("e").alias("energy"))
+
+
+def contacts(rows: DataFrame, threshold: float = -0.2, mode: str = "attractive") -> DataFrame:
+    """name, i, j of the pairs i <= j of a contact map: below the threshold, above it, or beyond it in absolute value."""
+    test = {"attractive": F.col("e") < threshold, "repulsive": F.col("e") > threshold, "both": F.abs("e") > abs(threshold)}
+    if mode not in test:
+        raise ValueError(f"unknown mode {mode}")
+    return pairs(rows).filter(test[mode] & (F.col("j") >= F.col("i"))).select("name", "i", "j")
+
+
+def all_differences(rows: DataFrame, of: str, variant: str, reference: str) -> DataFrame:
+    """The map of every variant but ``reference`` less that of ``reference``, by the columns ``of`` (what varies) and ``variant``.
+
+    Raises where lengths differ. Sequences without the reference give no rows.
+    """
+    own = rows.filter(F.col(variant) == reference).select(of, "i", F.col("e").alias("f"))
+    e = F.when(F.size("e") == F.size("f"), F.zip_with("e", "f", lambda a, b: a - b)).otherwise(F.raise_error(F.lit("maps of different size")))
+    return rows.filter(F.col(variant) != reference).join(own, [of, "i"]).withColumn("e", e).drop("f")
+
+
+def value_bags(rows: DataFrame) -> DataFrame:
+    """name, pair_class (ss, ll or cross), e: each value of the map with the class of its pair, both orders and the diagonal included."""
+    own = is_sticker(F.get("idx", F.col("i")))
+    other = is_sticker(F.get("idx", F.col("j")))
+    x = rows.select("name", "i", "idx", F.posexplode_outer("e").alias("j", "e")).filter("j is not null")
+    return x.select("name", F.when(own & other, "ss").when(~own & ~other, "ll").otherwise("cross").alias("pair_class"), "e")
+
+
+def masks(rows: DataFrame) -> DataFrame:
+    """name, i and, as arrays over j, which pairs are sticker-sticker, linker-linker and cross."""
+    own = is_sticker(F.get("idx", F.col("i")))
+    of = lambda f: F.transform("idx", lambda a: f(is_sticker(a)))
+    return rows.select("name", "i", of(lambda a: own & a).alias("ss"), of(lambda a: ~own & ~a).alias("ll"), of(lambda a: own != a).alias("cross"))
+
+
+def criteria_overlap(rows: DataFrame, threshold: float = -0.3, share: float = 0.25) -> DataFrame:
+    """name and how many places are stickers by chemistry, by the energy of their profile, by its quantile, by two of these and by all."""
+    p = rows.select("name", "i", is_sticker(F.get("idx", F.col("i"))).alias("a"), (_sum() / F.col("n")).alias("v"))
+    limit = p.groupBy("name").agg(F.percentile("v", F.lit(share)).alias("t"))
+    x = p.join(limit, "name").select("name", "a", (F.col("v") < threshold).alias("b"), (F.col("v") <= F.col("t") + 1e-12).alias("c"))
+    both = {"chemistry": "a", "energy": "b", "percentile": "c", "chemistry_energy": "a and b", "chemistry_percentile": "a and c", "energy_percentile": "b and c", "all_three": "a and b and c"}
+    return x.groupBy("name").agg(*[F.count_if(F.expr(test)).alias(k) for k, test in both.items()])

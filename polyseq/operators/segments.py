@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyseq.functions.residues import ALPHABET, STICKERS
-from polyseq.operators.sequences import blocks, count_of, let, letters, linker_lengths, mean_std, positions, total
+from polyseq.operators.sequences import blocks, count_of, counted, flat_parts, let, letters, linker_lengths, mean_std, positions, total, with_counts
 
 
 def sticker_mask(df: DataFrame) -> DataFrame:
@@ -100,16 +104,25 @@ def block_entropy(df: DataFrame) -> DataFrame:
 
 def composition_entropy(df: DataFrame) -> DataFrame:
     """name, entropy: of the kinds of residues among the stickers."""
-    counts = F.array(*[count_of(F.col("seq"), a) for a in STICKERS])
-    return df.select("name", entropy(counts).alias("entropy"))
+    return with_counts(df).select("name", entropy(F.array(*[counted(a) for a in STICKERS])).alias("entropy"))
 
 
 def sticker_pairs_by_separation(df: DataFrame, most: int = 30) -> DataFrame:
     """d, pairs: over all sequences, pairs of stickers whose positions differ by d, 0 < d < ``most``."""
-    x = df.select(positions(F.col("seq"), STICKERS).alias("at"))
-    # neighbours in rank are nearer than that in position, so ranks up to most - 1 apart hold all pairs
-    gaps = F.flatten(F.transform("at", lambda p, i: F.transform(F.filter(F.slice("at", i + 2, most), lambda q: q - p < most), lambda q: q - p)))
-    return x.select(F.explode(gaps).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("pairs"))
+    inside = np.zeros(256, bool)
+    inside[np.frombuffer(STICKERS.encode(), np.uint8)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(most, np.int64)
+        for batch in batches:
+            for _, flat, sizes in flat_parts(batch.column(0)):
+                apart = np.zeros(len(flat) + most * len(sizes), bool)  # no two sequences within reach of each other
+                apart[np.arange(len(flat)) + most * np.repeat(np.arange(len(sizes)), sizes)] = inside[flat]
+                found += [0, *(np.count_nonzero(apart[d:] & apart[:-d]) for d in range(1, most))]
+        at = np.flatnonzero(found)
+        yield pa.record_batch({"d": pa.array(at.astype(np.int32)), "pairs": pa.array(found[at])})
+
+    return df.select("seq").mapInArrow(run, "d int, pairs long").groupBy("d").agg(F.sum("pairs").alias("pairs"))
 
 
 def theta_sticker(df: DataFrame) -> DataFrame:
@@ -129,8 +142,8 @@ def theta_classes(df: DataFrame) -> DataFrame:
             both, one = (lambda s, a=a, b=b: a in s and b in s), (lambda s, t, a=a, b=b: (a in s and b in t) or (b in s and a in t))
             name = "pipi" if both(aromatic) else "catpi" if one(cation, aromatic) else "elec_att" if one(cation, anion) else "elec_rep" if both(cation) or both(anion) else "hydro" if both(hydro) else "polar" if both(polar) else "other"
             kinds.setdefault(name, []).append((a, b))
-    c = {a: F.col(f"c_{a}") for a in ALPHABET}
-    x = df.select("name", *[count_of(F.col("seq"), a).cast("double").alias(f"c_{a}") for a in ALPHABET])
+    c = {a: F.get("c", k).cast("double") for k, a in enumerate(ALPHABET)}
+    x = with_counts(df)
     pairs = lambda ab: c[ab[0]] * (c[ab[0]] - 1) / 2 if ab[0] == ab[1] else c[ab[0]] * c[ab[1]]
     names = ("pipi", "catpi", "elec_att", "elec_rep", "hydro", "polar", "other")
     return x.select("name", *[sum((pairs(p) for p in kinds[k]), F.lit(0.0)).cast("long").alias(k) for k in names])
@@ -138,7 +151,12 @@ def theta_classes(df: DataFrame) -> DataFrame:
 
 def uniform_energy(df: DataFrame, matrix: list[list[float]]) -> DataFrame:
     """name, energy: the sum of pair energies over i < j, from the composition alone."""
-    c = [F.col(f"c_{a}") for a in ALPHABET]
-    x = df.select("name", *[count_of(F.col("seq"), a).cast("double").alias(f"c_{a}") for a in ALPHABET])
+    c = [F.get("c", k).cast("double") for k in range(len(ALPHABET))]
+    x = with_counts(df)
     terms = [c[i] * (c[i] - 1) / 2 * matrix[i][i] if i == j else c[i] * c[j] * matrix[i][j] for i in range(20) for j in range(i, 20) if matrix[i][j]]
     return x.select("name", sum(terms[1:], terms[0]).alias("energy"))
+
+
+def numeric_mask(seq: Column) -> Column:
+    """1.0 for a sticker and 0.0 for another residue, as an array."""
+    return F.transform(letters(seq), lambda a: F.when(a.isin(*STICKERS), 1.0).otherwise(0.0))

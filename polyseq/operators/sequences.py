@@ -5,6 +5,8 @@ Positions are 0-based unless a mutation code or a name says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,41 +60,96 @@ def mean_std(values: Column) -> tuple[Column, Column]:
     return F.when(n > 0, s / n), F.when(n > 0, F.sqrt(n * s2 - s * s) / n)
 
 
+_CODE = np.zeros(256, np.int64)
+_CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+#: Bytes of sequences that are gone through together.
+_CHUNK = 1 << 20
+
+
+def flat_parts(seqs: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Some sequences at a time: the number of the first, their bytes end to end, and the size of each."""
+    seqs = pa.array(seqs.cast(pa.large_string()))
+    ends = np.frombuffer(seqs.buffers()[1], np.int64, len(seqs) + seqs.offset + 1)[seqs.offset :]
+    data = seqs.buffers()[2]
+    flat, at = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), 0
+    while at < len(seqs):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + _CHUNK, side="right")) - 1)
+        yield at, flat[ends[at] : ends[to]], np.diff(ends[at : to + 1])
+        at = to
+
+
+def residue_counts(seq: Column) -> Column:
+    """How often each residue of the alphabet occurs, as an array in its order, from one pass over the sequence."""
+
+    @F.arrow_udf("array<long>")
+    def counts(seqs: pa.Array) -> pa.Array:
+        out, k = np.zeros((len(seqs), len(ALPHABET)), np.int64), len(ALPHABET)
+        for at, flat, sizes in flat_parts(seqs):
+            n = len(sizes)
+            out[at : at + n] = np.bincount(np.repeat(np.arange(n) * k, sizes) + _CODE[flat], minlength=n * k).reshape(n, k)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * k), pa.array(out.ravel()))
+
+    return counts(seq)
+
+
+def with_counts(df: DataFrame) -> DataFrame:
+    """name, seq, c: the counts of :func:`residue_counts`."""
+    return df.select("name", "seq", residue_counts(F.col("seq")).alias("c"))
+
+
+def counted(residues: str) -> Column:
+    """How many residues are among ``residues``, from the column c."""
+    parts = [F.get("c", ALPHABET.index(a)) for a in residues]
+    return sum(parts[1:], parts[0])
+
+
 def charge_metrics(df: DataFrame) -> DataFrame:
     """name, fcr, ncpr, hydropathy (Kyte-Doolittle mean)."""
-    n, plus, minus = F.length("seq"), count_of(F.col("seq"), CATIONIC), count_of(F.col("seq"), ANIONIC)
-    kd = sum((count_of(F.col("seq"), a) * v for a, v in KYTE_DOOLITTLE.items()), F.lit(0.0))
-    return df.select("name", ((plus + minus) / n).alias("fcr"), ((plus - minus) / n).alias("ncpr"), (kd / n).alias("hydropathy"))
+    n, plus, minus = F.length("seq"), counted(CATIONIC), counted(ANIONIC)
+    kd = sum((counted(a) * v for a, v in KYTE_DOOLITTLE.items()), F.lit(0.0))
+    return with_counts(df).select("name", ((plus + minus) / n).alias("fcr"), ((plus - minus) / n).alias("ncpr"), (kd / n).alias("hydropathy"))
 
 
 def sequence_properties(df: DataFrame) -> DataFrame:
     """name and twelve properties; mean_y_spacing is null with fewer than two Y."""
-    seq = F.col("seq")
-    n_y = count_of(seq, "Y")
+    seq, n_y = F.col("seq"), counted("Y")
     first, last = F.instr(seq, "Y"), F.length("seq") + 1 - F.instr(F.reverse("seq"), "Y")
-    return df.select(
-        "name", F.length("seq").cast("long").alias("n"), n_y.alias("n_tyrosine"), *[count_of(seq, s).alias(k) for k, s in (("n_aromatic", AROMATIC), ("n_cationic", CATIONIC), ("n_anionic", ANIONIC), ("n_polar", POLAR), ("n_hydrophobic", HYDROPHOBIC))],
-        (count_of(seq, CATIONIC) - count_of(seq, ANIONIC)).alias("net_charge"), (n_y / F.length("seq")).alias("tyrosine_fraction"), (count_of(seq, AROMATIC) / F.length("seq")).alias("aromatic_fraction"),
+    return with_counts(df).select(
+        "name", F.length("seq").cast("long").alias("n"), n_y.alias("n_tyrosine"), *[counted(s).alias(k) for k, s in (("n_aromatic", AROMATIC), ("n_cationic", CATIONIC), ("n_anionic", ANIONIC), ("n_polar", POLAR), ("n_hydrophobic", HYDROPHOBIC))],
+        (counted(CATIONIC) - counted(ANIONIC)).alias("net_charge"), (n_y / F.length("seq")).alias("tyrosine_fraction"), (counted(AROMATIC) / F.length("seq")).alias("aromatic_fraction"),
         F.when(n_y > 0, first - 1).cast("long").alias("first_y"), F.when(n_y > 1, (last - first) / (n_y - 1)).alias("mean_y_spacing"),
     )
 
 
 def composition(df: DataFrame) -> DataFrame:
     """name, aa, n of the residues that occur."""
-    rows = df.select("name", F.explode(F.array(*[F.struct(F.lit(a).alias("aa"), count_of(F.col("seq"), a).alias("n")) for a in ALPHABET])).alias("x"))
-    return rows.select("name", "x.aa", "x.n").filter("n > 0")
+    rows = with_counts(df).select("name", F.posexplode("c").alias("k", "n")).filter("n > 0")
+    return rows.select("name", F.substring(F.lit(ALPHABET), F.col("k") + 1, F.lit(1)).alias("aa"), "n")
 
 
 def kappa_charge(df: DataFrame, window: int = 5) -> DataFrame:
-    """name, kappa: mean over full windows of the squared net charge fraction, over FCR squared, at most 1."""
-    q = F.transform(letters(F.col("seq")), lambda a: F.when(a.isin(*CATIONIC), 1).when(a.isin(*ANIONIC), -1).otherwise(0))
-    fcr = count_of(F.col("seq"), CATIONIC + ANIONIC) / F.length("seq")
-    x = df.select("name", q.alias("q"), fcr.alias("fcr"))
-    starts = F.sequence(F.lit(0), F.size("q") - window)
-    delta = F.transform(starts, lambda i: F.pow(sum((F.get("q", i + k) for k in range(1, window)), F.get("q", i)) / window, 2))
-    x = x.withColumn("delta", F.when(F.size("q") >= window, delta))
-    kappa = F.least(F.lit(1.0), total(F.col("delta")) / F.size("delta") / (F.pow("fcr", 2) + 1e-10))
-    return x.select("name", F.when((F.size("q") < window) | (F.col("fcr") < 1e-10), 0.0).otherwise(kappa).alias("kappa"))
+    """name, kappa: mean over full windows of the squared net charge fraction, over FCR squared, at most 1; 0 for shorter sequences and without charges."""
+    value = np.zeros(256, np.int64)
+    for a, c in CHARGE.items():
+        value[ord(a)] = c
+
+    @F.arrow_udf("double")
+    def kappa(seqs: pa.Array) -> pa.Array:
+        out = np.zeros(len(seqs))
+        for at, flat, sizes in flat_parts(seqs):
+            q = value[flat]
+            up_to, charged = (np.concatenate([[0], np.cumsum(x)]) for x in (q, np.abs(q)))
+            ends = np.cumsum(sizes)
+            sums = np.zeros(len(q) + 1, np.int64)
+            sums[: len(q) - window + 1] = (up_to[window:] - up_to[:-window]) ** 2 if len(q) >= window else 0
+            squares = np.concatenate([[0], np.cumsum(sums)])
+            n_windows = np.maximum(sizes - window + 1, 0)
+            delta = (squares[ends - sizes + n_windows] - squares[ends - sizes]) / window**2 / np.maximum(n_windows, 1)
+            fcr = (charged[ends] - charged[ends - sizes]) / np.maximum(sizes, 1)
+            out[at : at + len(sizes)] = np.where((n_windows > 0) & (fcr >= 1e-10), np.minimum(1.0, delta / (fcr * fcr + 1e-10)), 0.0)
+        return pa.array(out)
+
+    return df.select("name", kappa("seq").alias("kappa"))
 
 
 def charge_decoration(df: DataFrame) -> DataFrame:
@@ -130,6 +187,11 @@ def parse_mutation(code: Column, seq: Column) -> Column:
     return F.struct(old.alias("old"), pos.alias("pos"), new.alias("new"), status.alias("status"))
 
 
+def residue_at(seq: Column, pos: Column) -> Column:
+    """The residue at a 1-based position; null outside of the sequence."""
+    return F.when((pos >= 1) & (pos <= F.length(seq)), F.substring(seq, pos, F.lit(1)))
+
+
 def apply_mutation(seq: Column, pos: Column, new: Column) -> Column:
     """The sequence with the residue at a 1-based position replaced."""
     return F.overlay(seq, new, pos, F.lit(1))

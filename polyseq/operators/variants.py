@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +30,47 @@ def shuffles(spark: SparkSession, seq: str, n: int = 3, seed: int = 42) -> DataF
     return spark.createDataFrame(rows, "name string, seq string")
 
 
-def expanded_registry(spark: SparkSession) -> DataFrame:
+def base_variants(df: DataFrame) -> DataFrame:
+    """name, variant, ordinal, seq, mutations: of each sequence (name, seq) itself, its middle Y made S, and all Y made S, A or F.
+
+    Without Y all are the sequence itself.
+    """
+    y = F.transform(sequences.positions(F.col("seq"), "Y"), lambda i: i + 1)
+    middle = F.get("y", F.floor((F.size("y") - 1) / 2).cast("int"))
+    x = df.select("name", "seq", y.alias("y")).withColumn("m", F.when(F.size("y") > 0, middle))
+    codes = lambda new: F.transform("y", lambda p: F.concat(F.lit("Y"), p.cast("string"), F.lit(new)))
+    one = F.when(F.col("m").isNotNull(), F.array(F.concat(F.lit("Y"), F.col("m").cast("string"), F.lit("S")))).otherwise(F.array().cast("array<string>"))
+    changed = F.when(F.col("m").isNotNull(), sequences.apply_mutation(F.col("seq"), F.col("m"), F.lit("S"))).otherwise(F.col("seq"))
+    row = lambda name, k, seq, mutations: F.struct(F.lit(name).alias("variant"), F.lit(k).alias("ordinal"), seq.alias("seq"), mutations.alias("mutations"))
+    rows = [row("WT", 0, F.col("seq"), F.array().cast("array<string>")), row("MidY_to_S", 1, changed, one), *[row(f"AllY_to_{a}", k, F.translate("seq", "Y", a), codes(a)) for k, a in enumerate("SAF", 2)]]
+    return x.select("name", F.explode(F.array(*rows)).alias("v")).select("name", "v.*")
+
+
+def shuffled(df: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
+    """name, k, seq: n shuffles of each sequence, the random numbers seeded by ``seed``, the sequence and k."""
+
+    @F.arrow_udf("array<string>")
+    def shuffle(seqs: pa.Array) -> pa.Array:
+        out = []
+        for s in seqs.to_pylist():
+            letters = np.frombuffer(s.encode(), np.uint8)
+            out.append([np.random.default_rng([seed, zlib.crc32(s.encode()), k]).permutation(letters).tobytes().decode() for k in range(1, n + 1)])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return df.select("name", F.posexplode(shuffle("seq")).alias("k", "seq")).select("name", (F.col("k") + 1).alias("k"), "seq")
+
+
+FAMILIES = ("single_site", "progressive", "shuffles", "charge", "blocks")
+
+
+def expanded_registry(spark: SparkSession, include: tuple[str, ...] = FAMILIES) -> DataFrame:
     """name, seq, ordinal: base variants, single sites, progressive, shuffled, charge and block variants.
 
-    A later variant of the same name takes an earlier one's place but keeps its ordinal.
+    A later variant of the same name takes an earlier one's place but keeps its ordinal. include: the families beside
+    the base variants.
     """
+    if not set(include) <= set(FAMILIES):
+        raise ValueError(f"families are {FAMILIES}")
     base = registry(spark).select("name", F.col("sequence").alias("seq"), F.lit(0).alias("source"), F.col("ordinal").cast("double").alias("k"))
     wt = base.filter("name = 'WT'").select("name", "seq")
     code = lambda old, new: F.concat(F.lit(old), F.col("pos").cast("string"), F.lit(new))
@@ -41,9 +80,10 @@ def expanded_registry(spark: SparkSession) -> DataFrame:
     parts.append(shuffles(spark, text).select("name", "seq", F.lit(3).alias("source"), F.substring("name", 10, 9).cast("double").alias("k")))
     parts += [wt.select(F.lit(f"R213{a}").alias("name"), sequences.apply_mutation(F.col("seq"), F.lit(213), F.lit(a)).alias("seq"), F.lit(4).alias("source"), F.lit(float(k)).alias("k")) for k, a in enumerate("QK")]
     parts += [wt.select(F.lit(name).alias("name"), f(F.col("seq")).alias("seq"), F.lit(5).alias("source"), F.lit(float(k)).alias("k")) for k, (name, f) in enumerate((("Y_Clustered", sequences.clustered), ("Y_EvenSpaced", sequences.evenly_spaced)))]
-    rows = parts[0]
+    rows, kept = parts[0], {FAMILIES.index(f) + 1 for f in include}
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    rows = rows.filter(F.col("source").isin(0, *kept))
     own = Window.partitionBy("name").orderBy("source", "k")
     every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.select("name", F.last("seq").over(every).alias("seq"), F.first(F.struct("source", "k")).over(every).alias("at"), F.row_number().over(own).alias("r")).filter("r = 1")

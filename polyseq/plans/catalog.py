@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from polyseq.functions.residues import ALPHABET, ANIONIC, AROMATIC, CATIONIC, FO
 from polyseq.operators import fitting, graph, hamiltonian, maps, segments, sequences
 from polyseq.operators.maps import gaussian_weights
 from polyseq.sources import feeds
+from polyseq.sources.store import kept
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -331,7 +331,8 @@ for _method, _e in {"zscore": "CASE WHEN stddev_pop(e) OVER w < 1e-10 THEN 0 ELS
     @_register(f"map_normalize_{_method}", f"{_MAP}, k AS (SELECT name, i, j, CASE WHEN abs(i - j) <= 5 THEN 0 ELSE e END AS e FROM m), z AS (SELECT name, {_e} AS e FROM k WINDOW w AS (PARTITION BY name)) {_STATS}")
     def map_normalize(spark, sf_dir, method=_method):
         """Smoothed, masked, then normalised, so the masked zeros count."""
-        return maps.map_statistics(maps.normalized(maps.masked(_item_maps(spark, sf_dir)), method)).select("name", "mean", "std", "low", "high")
+        rows = maps.map_rows(feeds.items(spark, sf_dir), energy_matrix(spark), mask=5, method=method)
+        return maps.map_statistics(rows).select("name", "mean", "std", "low", "high")
 
 
 @_register("map_stats", f"""{_MAP} SELECT name, {_r('avg(e)', 'mean')}, {_r('stddev_pop(e)', 'std')}, {_r('min(e)', 'low')}, {_r('max(e)', 'high')}, {_r('coalesce(avg(e) FILTER (i <> j), 0)', 'off_diagonal_mean')}, {_r('sum(e)', 'total')},
@@ -535,8 +536,7 @@ def homology_metrics(spark, sf_dir):
 
 def _metrics(spark, sf_dir):
     seqs = feeds.items(spark, sf_dir)
-    rows = maps.map_rows(seqs, energy_matrix(spark)).persist(StorageLevel.DISK_ONLY)
-    return hamiltonian.variant_metrics(seqs, rows)
+    return hamiltonian.variant_metrics(seqs, kept(maps.map_rows(seqs, energy_matrix(spark)), "maps"))
 
 
 @_register("variant_metrics")
@@ -569,11 +569,8 @@ def pca_composition(spark, sf_dir):
 
 @_register("theta_r2")
 def theta_r2(spark, sf_dir):
-    """How well composition and pair counts tell the uniform energy of the documents."""
-    seqs = feeds.documents(spark, sf_dir)
-    energies = segments.uniform_energy(seqs, energy_matrix(spark)).select("name", "energy")
-    rows = [("composition", 20, *fitting.sufficiency(fitting.composition_theta(seqs), energies, 20))]
-    return spark.createDataFrame([(n, k, float(r2), float(e)) for n, k, r2, e in rows], "theta string, size int, r2 double, rmse double")
+    """How well composition, stickers, classes and pair counts tell the uniform energy of the documents, and the smallest that does."""
+    return fitting.minimal_representation(feeds.documents(spark, sf_dir), energy_matrix(spark))
 
 
 @_register("features")

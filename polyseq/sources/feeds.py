@@ -70,6 +70,13 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(*clean).write.json(path)
 
 
+def write_variants_json(df: DataFrame, path: str) -> None:
+    """A registry (name, sequence, mutations, description, parent) as one object keyed by name, in one file; for the tens of variants that a registry has."""
+    one = F.struct("name", "sequence", "mutations", "description", "parent")
+    whole = df.agg(F.map_from_entries(F.collect_list(F.struct("name", one.alias("v")))).alias("m"))
+    whole.select(F.to_json("m", {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)
+
+
 def read_variants_json(spark: SparkSession, path: str) -> DataFrame:
     """The registry's file: one object, keyed by name, of variant objects."""
     one = "struct<name:string,sequence:string,mutations:array<string>,description:string,parent:string>"
@@ -79,7 +86,8 @@ def read_variants_json(spark: SparkSession, path: str) -> DataFrame:
 
 def write_summary_csv(df: DataFrame, path: str, four: list[str], two: list[str]) -> None:
     """A CSV table with fixed decimals: four for some columns, two for others."""
-    out = df.select(*[F.format_number(c, 4).alias(c) if c in four else F.format_number(c, 2).alias(c) if c in two else F.col(c) for c in df.columns])
+    fixed = lambda c, n: F.format_string(f"%.{n}f", F.col(c).cast("double")).alias(c)
+    out = df.select(*[fixed(c, 4) if c in four else fixed(c, 2) if c in two else F.col(c) for c in df.columns])
     out.write.option("header", True).csv(path)
 
 
@@ -88,5 +96,10 @@ def write_maps(rows: DataFrame, path: str) -> None:
     rows.write.parquet(path)
 
 
+def write_masks(rows: DataFrame, path: str) -> None:
+    """Masks (name, i and boolean columns or arrays) as Parquet."""
+    rows.write.parquet(path)
+
+
 def read_maps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -6,13 +6,15 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from polyseq.plans import catalog
+from polyseq.plans import extended as catalog
 
 DATA = "/root/testdata/sf0.001"
 QUICK = (
     "seq_validate", "composition", "seq_properties", "charge_metrics", "kappa_charge", "scd", "find_positions", "mutation_validate", "mutation_apply_multi", "mutate_all", "fasta_format", "gen_progressive", "gen_single_site", "gen_blocks",
     "chain_segments", "chain_string", "regions_filtered", "linker_stats", "omega", "sticker_clustering", "entropy_spacing", "entropy_block", "entropy_composition", "theta_classes", "theta_pairs", "energy_uniform", "spearman", "ff_neighbours", "ff_topk",
-    "map_raw", "delta_g", "diff_metrics", "graph_clustering", "auto_threshold", "energy_by_sep", "ham_gradient",
+    "map_raw", "delta_g", "diff_metrics", "graph_clustering", "auto_threshold", "energy_by_sep", "ham_gradient", "map_stats", "map_normalize_zscore", "map_normalize_minmax", "sticker_pair_dist",
+    "percolation_curve", "persistence_diagrams", "betti_curves", "homology_metrics", "energy_distances", "sticker_betweenness", "topology_metrics", "graph_components", "graph_distances", "h_eff", "training_rows", "entropy_metrics", "map_slices", "value_bags", "pair_masks", "criteria_overlap",
+    "slide_gauss", "base_variants", "residue_at", "numeric_mask", "ff_components", "ff_lookup", "ff_rows", "ff_ranking", "theta_composition", "delta_g_documents", "valency_documents", "linfit_delta_g", "profile_documents",
 )
 
 
