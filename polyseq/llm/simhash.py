@@ -158,6 +158,8 @@ SLOT_BITS, SLOTS_A_ROW = 18, 1 << 12
 SKETCH_BITS = 2048
 #: 64-bit numbers that a sketch is folded into, small enough to go with each listed row.
 FOLDED = 8
+#: Words of 64 bits of the sieve for shingles that have a list, which is broadcast; most lists that are broadcast themselves.
+SIEVE_WORDS, BROADCAST_LISTS = 1 << 20, 1_000_000
 #: Rounds in which lists are held against one member, and comparisons for each listed row from which they are worth while.
 ROUNDS, FEW = 2, 4
 
@@ -305,9 +307,22 @@ def _all_between(members: DataFrame, main: DataFrame, sketches: DataFrame, least
     return _pairs_of(few.join(members.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & once & sizes & near))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """To be broadcast if it has no more than BROADCAST_ROWS rows, which are narrow."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """To be broadcast if it has no more than ``most`` rows, which are narrow."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _members(listed: DataFrame, lists: DataFrame) -> DataFrame:
+    """h, set, n: the members of the lists (h, n), each once.
+
+    Nearly all shingles are listed by one set only. A sieve of SIEVE_WORDS rows at most keeps these from being shuffled
+    where the lists are too many to be broadcast.
+    """
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(SIEVE_WORDS - 1)).alias("word")
+    bit = F.element_at(F.array(*[F.lit(_signed(1 << b)) for b in range(64)]), F.col("h").bitwiseAND(F.lit(63)).cast("int") + 1)
+    sieve = lists.groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    found = listed.withColumn("word", word).join(F.broadcast(sieve), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select("h", "set")
+    return found.join(_small(lists, BROADCAST_LISTS), "h").groupBy("h", "set").agg(F.first("n").alias("n"))
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -327,8 +342,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prints = stage(rows.mapInArrow(prefixes, f"doc_id {kind}, node long, set long, n int, sketch binary, folded array<long>, first array<long>"), "prefixes")
     listed = prints.select("set", F.explode("first").alias("h"))
     lists = stage(listed.groupBy("h").agg(F.min("set").alias("u"), F.max("set").alias("v"), F.count(F.lit(1)).alias("n")).filter("u != v"), "lists")
-    listed = listed.join(_small(lists.filter("n > 2").select("h", "n")), "h").groupBy("h", "set").agg(F.first("n").alias("n"))
-    listed = stage(listed, "listed")
+    listed = stage(_members(listed, lists.filter("n > 2").select("h", "n")), "listed")
     n_listed = listed.count()
     scores = listed.groupBy("set").agg(F.sum("n").alias("score"))
     nodes = stage(prints.groupBy("set").agg(F.min("node").alias("node"), F.min("n").alias("n")), "sets")  # one text of each set

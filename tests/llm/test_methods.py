@@ -170,3 +170,15 @@ def test_tally_decides_and_loses_no_link(spark):
     assert kept == {(u, v) for u, v in pairs if same(u, v) >= 6} and 0 < len(kept) < len(set(pairs))
     assert {(u, v) for u, v in pairs if (u ^ v).bit_count() <= 2} <= kept
     assert all(any(a in left and b in left for left in simhash.LEFT_OUT) for a in range(8) for b in range(8))
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_members_of_lists(spark, monkeypatch, most):
+    """Through a sieve so narrow that it lets others through, with the lists broadcast or not."""
+    monkeypatch.setattr(simhash, "SIEVE_WORDS", 2)
+    monkeypatch.setattr(simhash, "BROADCAST_LISTS", most)
+    rng = np.random.default_rng(7)
+    hs = rng.integers(-(1 << 63), (1 << 63) - 1, 60).tolist()
+    rows = [(int(s), h) for s in range(30) for h in hs if rng.random() < 0.5] * 2
+    found = simhash._members(spark.createDataFrame(rows, "set long, h long"), spark.createDataFrame([(h, 5) for h in hs[:20]], "h long, n long")).collect()
+    assert sorted((r.h, r.set, r.n) for r in found) == sorted({(h, s, 5) for s, h in rows if h in hs[:20]})
