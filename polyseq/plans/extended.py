@@ -296,15 +296,15 @@ _PARTS = """fp AS (SELECT a.aa AS aa_i, b.aa AS aa_j, a.ar*b.ar*-0.65::DOUBLE AS
 
 
 @_register("ff_components", f"""{_DOCS}, {RESIDUES_SQL}, {FORCE_FIELD_SQL}, {_PARTS}, p AS (SELECT name, aa AS aa_i, lead(aa) OVER (PARTITION BY name ORDER BY i) AS aa_j FROM sites), c AS (SELECT name, aa_i, aa_j, count(*) AS c FROM p WHERE aa_j IS NOT NULL GROUP BY ALL)
-SELECT name, sum(c)::BIGINT AS pairs, {_r('sum(c * aromatic) / sum(c)', 'aromatic')}, {_r('sum(c * cation_pi) / sum(c)', 'cation_pi')}, {_r('sum(c * electrostatic) / sum(c)', 'electrostatic')}, {_r('sum(c * e) / sum(c)', 'energy')} FROM c JOIN fp USING (aa_i, aa_j) JOIN ff USING (aa_i, aa_j) GROUP BY name""")
+SELECT name, sum(c)::BIGINT AS pairs, {_r('sum(c * aromatic)', 'aromatic')}, {_r('sum(c * cation_pi)', 'cation_pi')}, {_r('sum(c * electrostatic)', 'electrostatic')}, {_r('sum(c * e)', 'energy')} FROM c JOIN fp USING (aa_i, aa_j) JOIN ff USING (aa_i, aa_j) GROUP BY name""")
 def ff_components(spark, sf_dir):
-    """Mean energy of neighbouring residues of a document, and its pure terms."""
+    """The energy of all pairs of neighbouring residues of a document, and its pure terms."""
     a = sequences.letters(F.col("seq"))
     pair = F.zip_with(F.slice(a, F.lit(1), F.length("seq") - 1), F.slice(a, F.lit(2), F.length("seq")), lambda x, y: F.concat(x, y))
     x = feeds.documents(spark, sf_dir).filter(F.length("seq") > 1).select("name", F.explode(pair).alias("p")).groupBy("name", "p").agg(F.count(F.lit(1)).alias("c"))
     terms = F.broadcast(force_field(spark).select(F.concat("aa_i", "aa_j").alias("p"), "aromatic", "cation_pi", "electrostatic", F.col("e").alias("energy")))  # 400 rows
-    mean = lambda c: (F.sum(F.col("c") * F.col(c)) / F.sum("c")).alias(c)
-    return x.join(terms, "p").groupBy("name").agg(F.sum("c").alias("pairs"), *[mean(c) for c in ("aromatic", "cation_pi", "electrostatic", "energy")])
+    total = lambda c: F.sum(F.col("c") * F.col(c)).alias(c)
+    return x.join(terms, "p").groupBy("name").agg(F.sum("c").alias("pairs"), *[total(c) for c in ("aromatic", "cation_pi", "electrostatic", "energy")])
 
 
 @_register("ff_lookup", f"WITH {_seqs('documents', 'doc_id')}, {RESIDUES_SQL}, {FORCE_FIELD_SQL} SELECT name, idx_i::BIGINT AS idx_first, idx_j::BIGINT AS idx_last, {_r('e', 'energy')} FROM seqs JOIN ff ON aa_i = seq[1] AND aa_j = seq[length(seq)]")
