@@ -296,15 +296,20 @@ def _main_labels(members: DataFrame) -> DataFrame:
     return main.filter("most < n").select("h", "main", ((F.col("n") - F.col("most")) * F.col("n")).alias("work"))
 
 
+def _may_by_folded(least: float, a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """What :func:`_may_be_similar` says, from sizes n and folded sketches."""
+    differ = [F.bit_count(F.get(a["folded"], k).bitwiseXOR(F.get(b["folded"], k))) for k in range(FOLDED)]
+    near = sum(differ[1:], differ[0]) <= (a["n"] + b["n"]) * ((1 - least) / (1 + least)) + 1e-6
+    return near & (F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * least - 1e-6)
+
+
 def _all_between(members: DataFrame, main: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """(u, v): in each list, the pairs of members that aren't linked yet and that sizes and folded sketches don't rule out."""
     members = members.select("h", "set", "label").join(_small(main.select("h", "main")), "h").join(sketches.select("set", "n", "folded"), "set")
     once = (F.col("b.label") == F.col("a.main")) | (F.col("a.set") < F.col("b.set"))
-    differ = [F.bit_count(F.get("a.folded", k).bitwiseXOR(F.get("b.folded", k))) for k in range(FOLDED)]
-    near = sum(differ[1:], differ[0]) <= (F.col("a.n") + F.col("b.n")) * ((1 - least) / (1 + least)) + 1e-6
-    sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-6
+    near = _may_by_folded(least, *({c: F.col(f"{k}.{c}") for c in ("n", "folded")} for k in "ab"))
     few = members.filter("label != main").alias("a")
-    return _pairs_of(few.join(members.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & once & sizes & near))
+    return _pairs_of(few.join(members.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & once & near))
 
 
 def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -350,8 +355,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs of sets that are similar."""
+        a, b = (sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("folded").alias(f"folded_{k}")) for k in "uv")
+        few = pairs.join(a, "u").join(b, "v").filter(_may_by_folded(least, *({c: F.col(f"{c}_{k}") for c in ("n", "folded")} for k in "uv"))).select("u", "v")
         a, b = (sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
-        left = stage(pairs.join(a, "u").join(b, "v").filter(_may_be_similar(least)("sketch_u", "sketch_v", "n_u", "n_v")).select("u", "v"), "left")
+        left = stage(stage(few, "few").join(a, "u").join(b, "v").filter(_may_be_similar(least)("sketch_u", "sketch_v", "n_u", "n_v")).select("u", "v"), "left")
         wanted = nodes.join(left.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "set").select("node", "set")
         texts = rows.select("node", "text").join(_small(stage(wanted, "wanted")), "node").dropDuplicates(["set"]).select("set", "text")
         sets = stage(texts.mapInArrow(_shingle_bytes(shingle), "set long, shingles binary"), "shingles")
