@@ -6,7 +6,7 @@ What reaches the driver is a matrix of the features' moments (at most 210 by 210
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import astuple
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +56,48 @@ def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     return int(p[0, 0]), p[0, 1:], p[1:, 1:]
 
 
+@dataclass(frozen=True)
+class Components:
+    """mean of the residue fractions, loadings (a row for each component, the largest in absolute value positive), explained shares of the variance."""
+
+    mean: np.ndarray
+    loadings: np.ndarray
+    explained: np.ndarray
+
+
+def fractions(df: DataFrame) -> DataFrame:
+    """name, f: the shares of the 20 residues."""
+    return with_counts(df).select("name", F.transform("c", lambda v: v / F.length("seq")).alias("f"))
+
+
+def principal_components(df: DataFrame, k: int = 3) -> Components:
+    """Of the residue fractions of all sequences, from one pass that sums their products.
+
+    An eigenvector has no sign of its own: the loading that is largest in absolute value, the first of equals, is made
+    positive. Without rows all is zero.
+    """
+    n, s, p = moments(fractions(df), "f")
+    if not n:
+        return Components(np.zeros(len(ALPHABET)), np.zeros((k, len(ALPHABET))), np.zeros(k))
+    values, vectors = np.linalg.eigh(p / n - np.outer(s, s) / n**2)
+    order = np.argsort(-values, kind="stable")[:k]
+    loadings, values = vectors[:, order].T, np.maximum(values, 0)
+    size = np.round(np.abs(loadings), 9)
+    sign = np.sign(loadings[np.arange(len(loadings)), size.argmax(axis=1)])
+    return Components(s / n, loadings * sign[:, None], values[order] / values.sum() if values.sum() else np.zeros(k))
+
+
 def composition_components(df: DataFrame, k: int = 3) -> DataFrame:
     """component, explained: the share of the variance of the residue fractions that each principal component explains."""
-    x = with_counts(df).select(F.transform("c", lambda v: v / F.length("seq")).alias("f"))
-    n, s, p = moments(x, "f")
-    values = np.sort(np.maximum(np.linalg.eigvalsh(p / max(n, 1) - np.outer(s, s) / max(n, 1) ** 2), 0))[::-1] if n else np.zeros(k)
-    shares = values[:k] / values.sum() if values.sum() else np.zeros(k)
-    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(shares)], "component int, explained double")
+    found = principal_components(df, k)
+    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(found.explained)], "component int, explained double")
+
+
+def composition_projections(df: DataFrame, k: int = 3) -> DataFrame:
+    """name, projection: of each sequence's residue fractions, less their mean, on the first k :func:`principal_components`; an expression over the row."""
+    found = principal_components(df, k)
+    on = lambda row: sum(((F.get("f", a) - float(m)) * float(v) for a, (m, v) in enumerate(zip(found.mean, row, strict=True))), F.lit(0.0))
+    return fractions(df).select("name", F.array(*[on(row) for row in found.loadings]).alias("projection"))
 
 
 def sufficiency(thetas: DataFrame, energies: DataFrame) -> tuple[float, float]:

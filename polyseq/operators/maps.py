@@ -131,35 +131,6 @@ def map_rows(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0, sigma
     return _spread(df, "name", "seq").mapInArrow(run, f"name {name_type.simpleString()}, n int, idx array<tinyint>, i int, e array<double>")
 
 
-def linear_energies(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0) -> DataFrame:
-    """name, n, n_stickers, ss, ll, cross, mean, total, profile (the means of the rows) of the smoothed map, without the map.
-
-    Sums over classes of pairs are products of sums of soft compositions, so a sequence costs its length. ss, ll and
-    cross are means by class of both ends, diagonal included, 0 for an empty class; total and mean are over i < j.
-    """
-    w, m = gaussian_weights(sigma), np.array(matrix)
-    kind = df.schema["name"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, profiles = [], []
-            for seq in batch.column(1).to_pylist():
-                idx = _numbered(seq)
-                soft, own = _soft_composition(idx, w), _STICKER[idx]
-                n, k = len(idx), int(own.sum())
-                s, t = soft[own].sum(axis=0), soft.sum(axis=0)
-                rest = t - s
-                mean = lambda total, count: float(total / count) if count else 0.0
-                total = float(t @ m @ t - np.einsum("ia,ab,ib->", soft, m, soft, optimize=True)) / 2
-                rows.append((n, k, mean(s @ m @ s, k * k), mean(rest @ m @ rest, (n - k) ** 2), mean(2 * (s @ m @ rest), 2 * k * (n - k)), mean(total, n * (n - 1) / 2), total))
-                profiles.append(soft @ (m @ t) / n)
-            n, k, ss, ll, cross, means, totals = zip(*rows, strict=True) if rows else ((),) * 7
-            real = lambda x: pa.array(x, pa.float64())
-            yield pa.record_batch({"name": batch.column(0), "n": pa.array(n, pa.int64()), "n_stickers": pa.array(k, pa.int64()), "ss": real(ss), "ll": real(ll), "cross": real(cross), "mean": real(means), "total": real(totals), "profile": pa.array(profiles, pa.list_(pa.float64()))})
-
-    return df.select("name", "seq").mapInArrow(run, f"name {kind}, n long, n_stickers long, ss double, ll double, cross double, mean double, total double, profile array<double>")
-
-
 def pairs(rows: DataFrame) -> DataFrame:
     """name, n, i, j, e: a row for each pair of positions."""
     return rows.select("name", "n", "i", F.posexplode_outer("e").alias("j", "e")).filter("j is not null")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyseq.functions.residues import ALPHABET, ANIONIC, AROMATIC, CATIONIC, FORCE_FIELD_SQL, HYDROPHOBIC, POLAR, RESIDUES_SQL, STICKERS, energy_matrix, force_field, most_attractive, stickiness
-from polyseq.operators import fitting, graph, hamiltonian, maps, segments, sequences
+from polyseq.operators import fitting, graph, hamiltonian, maps, moments, segments, sequences
 from polyseq.operators.maps import gaussian_weights
 from polyseq.sources import feeds
 from polyseq.sources.store import kept
@@ -379,8 +379,8 @@ _MUTANT = _MAP.replace("seqs AS (", "seqs0 AS (").replace(f", {_SITES}", f", seq
 SELECT name::BIGINT AS name, {_r('sum(e) / 2', 'total')}, {_r('sqrt(avg(e * e))', 'rmsd')}, {_r('min(e)', 'low')}, {_r('max(e)', 'high')}, {_r('avg(abs(e))', 'mean_abs')}, {_r('avg((abs(e) > 0.01)::INT)', 'changed')} FROM d GROUP BY ALL""")
 def diff_metrics(spark, sf_dir):
     seqs, m = feeds.items(spark, sf_dir), energy_matrix(spark)
-    variant = seqs.withColumn("seq", sequences.mutate_all(F.col("seq"), "Y", "S")[0])
-    return maps.perturbation(maps.differences(maps.map_rows(variant, m), maps.map_rows(seqs, m)))
+    variant = seqs.select("name", sequences.mutate_all(F.col("seq"), "Y", "S")[0].alias("seq"), F.col("seq").alias("reference"))
+    return moments.map_differences(variant, m).drop("n", "profile")
 
 
 @_register("local_density", f"{_MAP}, c AS (SELECT DISTINCT name, i AS c FROM m) SELECT c.name, c::BIGINT AS c, {_r('avg(e)', 'density')} FROM c JOIN m ON m.name = c.name AND m.i BETWEEN c - 3 AND c + 3 AND m.j BETWEEN c - 3 AND c + 3 GROUP BY ALL")
@@ -435,8 +435,8 @@ def ff_topk(spark, sf_dir):
 SELECT name::BIGINT AS name, rank, i::BIGINT AS i, {_r('v', 'v')} FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(abs(v), 12) DESC, i DESC) AS rank FROM d) WHERE rank <= 5""")
 def diff_topk(spark, sf_dir):
     seqs, m = feeds.items(spark, sf_dir), energy_matrix(spark)
-    variant = seqs.withColumn("seq", sequences.mutate_all(F.col("seq"), "Y", "S")[0])
-    return maps.top_perturbed(maps.differences(maps.map_rows(variant, m), maps.map_rows(seqs, m)), 5)
+    variant = seqs.select("name", sequences.mutate_all(F.col("seq"), "Y", "S")[0].alias("seq"), F.col("seq").alias("reference"))
+    return moments.top_places(moments.map_differences(variant, m), 5)
 
 
 @_register("sticker_hybrid", f"{_MAP}, p AS (SELECT name, i, avg(e) AS v FROM m GROUP BY ALL) SELECT name, i::BIGINT AS i, {_r('v', 'v')} FROM p JOIN sites USING (name, i) WHERE v < -0.01 AND aa IN {_in(STICKERS)}")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyseq.functions.residues import ALPHABET, FORCE_FIELD_SQL, RESIDUES_SQL, STICKERS, energy_matrix, force_field, stickiness
-from polyseq.operators import fitting, graph, hamiltonian, maps, segments, sequences, variants
+from polyseq.operators import fitting, graph, hamiltonian, maps, moments, segments, sequences, variants
 from polyseq.operators.maps import gaussian_weights
 from polyseq.plans import catalog
 from polyseq.plans.catalog import _DOCS, _MAP, _RAW, _RUNS, _SIDES, _SITES, _SP, _in, _item_graph, _item_maps, _metrics, _r, _register, _seqs, _smooth
@@ -229,11 +229,12 @@ _VARIANT = "CASE name % 5 WHEN 0 THEN 'WT' WHEN 1 THEN 'MidY_to_S' WHEN 2 THEN '
 @_register("variant_differences", f"""{_BASE}, d AS (SELECT b.name, b.e - a.e AS e FROM m a JOIN m b ON a.name % 5 = 0 AND b.name // 5 = a.name // 5 AND b.name % 5 > 0 AND a.i = b.i AND a.j = b.j)
 SELECT (name // 5)::BIGINT AS item, {_VARIANT} AS variant, {_r('sum(e) / 2', 'total')}, {_r('sqrt(avg(e * e))', 'rmsd')}, {_r('avg(abs(e))', 'mean_abs')} FROM d GROUP BY name""")
 def variant_differences(spark, sf_dir):
-    """The maps of the base variants of each item less that of the item itself."""
-    x = variants.base_variants(feeds.items(spark, sf_dir)).select(F.struct("name", "variant").alias("name"), "seq")
-    rows = maps.map_rows(x, energy_matrix(spark)).select(F.col("name.name").alias("item"), F.col("name.variant").alias("variant"), "n", "i", "e")
-    d = maps.all_differences(rows, "item", "variant", "WT").withColumn("name", F.struct("item", "variant"))
-    return maps.perturbation(d).select("name.item", "name.variant", "total", "rmsd", "mean_abs")
+    """The maps of the base variants of each item less that of the item itself; sequences are joined, not maps."""
+    x = variants.base_variants(feeds.items(spark, sf_dir))
+    own = x.filter("variant = 'WT'").select("name", F.col("seq").alias("reference"))
+    both = x.filter("variant <> 'WT'").join(own, "name").select(F.struct("name", "variant").alias("name"), "seq", "reference")
+    found = moments.map_differences(both, energy_matrix(spark))
+    return found.select(F.col("name.name").alias("item"), F.col("name.variant").alias("variant"), "total", "rmsd", "mean_abs")
 
 
 @_register("base_variants", f"""WITH {_seqs('documents', 'doc_id')}, y AS (SELECT name, seq, (list_filter(range(1, length(seq) + 1), lambda k: seq[k] = 'Y')) AS ys, ys[(len(ys) + 1) // 2] AS yp FROM seqs), v AS (
@@ -345,9 +346,9 @@ pr AS (SELECT a.name, a.s AS si, b.s AS sj, sum(a.w * b.w * e) AS e FROM cl a JO
 pm AS (SELECT kn.name, any_value(n) AS n, any_value(k) AS k, coalesce(sum(e) FILTER (si AND sj) / any_value(k * k), 0) AS ss, coalesce(sum(e) FILTER (NOT si AND NOT sj) / any_value((n - k) * (n - k)), 0) AS ll, CASE WHEN any_value(k) > 0 AND any_value(k) < any_value(n) THEN coalesce(sum(e) FILTER (si <> sj), 0) / any_value(2 * k * (n - k)) ELSE 0 END AS cr FROM kn LEFT JOIN pr USING (name) GROUP BY kn.name)"""
 
 
-def _linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    delta = 2.0 * F.col("ss") + 0.5 * F.col("ll") + F.col("cross")
-    return maps.linear_energies(feeds.documents(spark, sf_dir), energy_matrix(spark)).withColumn("delta_g", delta)
+def _linear(spark: SparkSession, sf_dir: str, want: str = "classes") -> DataFrame:
+    x = moments.linear_energies(feeds.documents(spark, sf_dir), energy_matrix(spark), want=(want,))
+    return x.withColumn("delta_g", 2.0 * F.col("ss") + 0.5 * F.col("ll") + F.col("cross")) if want == "classes" else x
 
 
 @_register("delta_g_documents", f"{_SOFT} SELECT name, {_r('ss', 'ss')}, {_r('ll', 'll')}, {_r('cr', 'cross')}, {_r('2*ss + 0.5*ll + cr', 'delta_g')} FROM pm")
@@ -374,16 +375,26 @@ pv AS (SELECT fo.name, fo.i, sum(fo.w * g) AS v FROM fo JOIN sites b ON b.name =
 SELECT name, {_r('avg(v)', 'mean')}, {_r('min(v)', 'low')}, {_r('max(v)', 'high')}, {_r('stddev_pop(v)', 'std')} FROM pv GROUP BY name""")
 def profile_documents(spark, sf_dir):
     """The mean, extremes and spread of the interaction profiles of whole documents, by factors."""
-    x = _linear(spark, sf_dir)
+    x = _linear(spark, sf_dir, "profile")
     mean = sequences.total(F.col("profile")) / F.col("n")
     spread = sequences.let(mean, lambda m: F.sqrt(sequences.total(F.col("profile"), lambda v: F.pow(v - m, 2)) / F.col("n")))
     return x.select("name", mean.alias("mean"), F.array_min("profile").alias("low"), F.array_max("profile").alias("high"), spread.alias("std"))
 
 
-@_register("total_energy_documents")
+_GRAM = f"""{_DOCS}, {RESIDUES_SQL}, {FORCE_FIELD_SQL}, {_KERNEL},
+fo AS (SELECT name, i, w, CASE WHEN f < n THEN f ELSE 2*n-1-f END AS src FROM (SELECT name, n, i, w, ((i + d) % (2*n) + 2*n) % (2*n) AS f FROM sites, kw)),
+so AS (SELECT fo.name, fo.i, b.aa, sum(w) AS w FROM fo JOIN sites b ON b.name = fo.name AND b.i = fo.src GROUP BY ALL),
+gr AS (SELECT a.name, a.aa AS x, b.aa AS y, sum(a.w * b.w) AS g FROM so a JOIN so b ON b.name = a.name AND b.i = a.i GROUP BY ALL),
+eg AS MATERIALIZED (SELECT gr.name, aa_i AS x, y, sum(e * g) AS h FROM gr JOIN ff ON aa_j = gr.x GROUP BY ALL),
+sq AS (SELECT a.name, sum(a.h * b.h) AS q, sum(a.h) FILTER (a.x = a.y) AS d FROM eg a JOIN eg b ON b.name = a.name AND b.x = a.y AND b.y = a.x GROUP BY a.name),
+nc AS (SELECT name, any_value(n)::DOUBLE AS n, aa, count(*) AS c FROM sites GROUP BY name, aa),
+tm AS (SELECT a.name, any_value(a.n) AS n, sum(a.c * b.c * e) AS t FROM nc a JOIN nc b ON b.name = a.name JOIN ff ON aa_i = a.aa AND aa_j = b.aa GROUP BY a.name)"""
+
+
+@_register("total_energy_documents", f"{_GRAM} SELECT name, {_r('(t - d) / 2', 'total')}, CASE WHEN n > 1 THEN round((t - d) / (n * (n - 1)), 6) + 0.0 ELSE 0 END AS mean FROM tm JOIN sq USING (name)")
 def total_energy_documents(spark, sf_dir):
-    """Total and mean pair energy of whole documents, by factors; SQL would need the soft composition of every place."""
-    return _linear(spark, sf_dir).select("name", "total", "mean")
+    """Total and mean pair energy of whole documents, by factors; in SQL by the Gram matrix of the soft compositions."""
+    return _linear(spark, sf_dir, "total").select("name", "total", "mean")
 
 
 # variants of the documents, training rows and the network

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from polyseq.plans import extended as catalog
+from polyseq.plans import whole as catalog
 
 DATA = "/root/testdata/sf0.001"
 QUICK = (

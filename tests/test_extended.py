@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyseq.functions.residues import ALPHABET, energy_matrix
-from polyseq.operators import fitting, graph, hamiltonian, maps, segments, sequences, variants
+from polyseq.operators import fitting, graph, hamiltonian, maps, moments, segments, sequences, variants
 from polyseq.sources import feeds
 
 TOPOLOGY = {
@@ -31,7 +31,7 @@ def test_factors_are_the_map(spark, wt):
     """Sums by factors against sums over the map, also of one residue and of sequences without stickers."""
     seqs = wt[0].unionByName(spark.createDataFrame([("a", "Y"), ("b", "GG"), ("c", "YG"), ("d", "RKDEYFW" * 5)], "name string, seq string"))
     rows = maps.map_rows(seqs, energy_matrix(spark)).cache()
-    found = {r.name: r for r in maps.linear_energies(seqs, energy_matrix(spark)).collect()}
+    found = {r.name: r for r in moments.linear_energies(seqs, energy_matrix(spark)).collect()}
     for r in maps.delta_g(rows).join(maps.total_energy(rows), "name").collect():
         x = found[r.name]
         assert (x.ss, x.ll, x.cross, x.total, x.mean) == tuple(pytest.approx(r[c], abs=1e-12) for c in ("ss", "ll", "cross", "total", "mean"))
