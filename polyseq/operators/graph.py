@@ -1,14 +1,12 @@
-"""Contact graphs, percolation and persistence over the pairs of a sequence.
+"""Contact graphs and distances over the pairs of a sequence, as relations.
 
-Edges, degrees, triangles, thresholds, loops and curves are relations. Spanning forests are found in parts: a task
+Edges, degrees and distances are relations of pairs, for joins with others. Spanning forests are found in parts: a task
 keeps a least forest of the pairs that it has seen, and only forests move, which have an edge less than nodes at most.
-Searches through one graph - components, distances, betweenness - are small kernels that Spark runs sequence by
-sequence on the edges of its stickers.
+What needs no table of pairs - searches, triangles, trees, loops - is in :mod:`polyseq.operators.networks`.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,18 +35,6 @@ def contact_edges(rows: DataFrame, threshold: float = -0.2, separation: int = 4)
     return x.filter((F.col("v") - F.col("u") >= separation) & (F.col("e") < threshold))
 
 
-def auto_threshold(rows: DataFrame, share: float = 0.25, separation: int = 4) -> DataFrame:
-    """name, threshold: a quantile of the energies of sticker pairs; 0 without any."""
-    found = sticker_pairs(rows).filter(F.col("v") - F.col("u") >= separation).groupBy("name").agg(F.percentile("e", F.lit(share)).alias("t"))
-    return rows.select("name").distinct().join(found, "name", "left").select("name", F.coalesce("t", F.lit(0.0)).alias("threshold"))
-
-
-def sticker_edges(rows: DataFrame, separation: int = 4) -> DataFrame:
-    """name, u, v, e of the sticker pairs below the automatic threshold of their sequence and at least ``separation`` apart; energies are told apart to twelve decimals."""
-    x = sticker_pairs(rows).filter(F.col("v") - F.col("u") >= separation).join(auto_threshold(rows, separation=separation), "name")
-    return x.filter(F.round("e", 12) < F.round("threshold", 12)).select("name", "u", "v", "e")
-
-
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """name, i, degree of every node, also those without an edge."""
     ends = edges.select("name", F.col("u").alias("i")).unionAll(edges.select("name", F.col("v").alias("i"))).groupBy("name", "i").agg(F.count(F.lit(1)).alias("degree"))
@@ -61,101 +47,6 @@ def degree_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return x.withColumn("density", F.when(F.col("n_nodes") > 1, 2 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """name, a, b, c of each triangle a < b < c."""
-    ab, bc, ac = (edges.select("name", F.col("u").alias(x), F.col("v").alias(y)) for x, y in ("ab", "bc", "ac"))
-    return ab.join(bc, ["name", "b"]).join(ac, ["name", "a", "c"]).select("name", "a", "b", "c")
-
-
-def clustering_coefficient(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, clustering: three times the triangles over the connected triples; 0 without any."""
-    closed = triangles(edges).groupBy("name").agg(F.count(F.lit(1)).alias("t"))
-    open_ = degrees(nodes, edges).groupBy("name").agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("k"))
-    return open_.join(closed, "name", "left").select("name", F.when(F.col("k") > 0, 3.0 * F.coalesce("t", F.lit(0)) / F.col("k")).otherwise(0.0).alias("clustering"))
-
-
-def local_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, i, clustering: the share of pairs of neighbours that are neighbours; 0 with fewer than two."""
-    t = triangles(edges)
-    own = t.select("name", F.explode(F.array("a", "b", "c")).alias("i")).groupBy("name", "i").agg(F.count(F.lit(1)).alias("t"))
-    k = F.col("degree")
-    return degrees(nodes, edges).join(own, ["name", "i"], "left").select("name", "i", F.when(k > 1, 2.0 * F.coalesce("t", F.lit(0)) / (k * (k - 1))).otherwise(0.0).alias("clustering"))
-
-
-def _by_sequence(nodes: DataFrame, pairs: DataFrame):
-    """Nodes and pairs of a sequence together: u alone for a node, u, v, e for a pair; kernels see one sequence."""
-    one = nodes.select("name", F.col("i").alias("u"), F.lit(None).cast("int").alias("v"), F.lit(None).cast("double").alias("e"))
-    return one.unionByName(pairs.select("name", "u", "v", "e")).groupBy("name")
-
-
-def _adjacency(x: pd.DataFrame) -> tuple[list[int], dict[int, list[int]]]:
-    nodes = sorted(x.u[x.v.isna()].tolist())
-    near: dict[int, list[int]] = {i: [] for i in nodes}
-    for u, v in x[x.v.notna()][["u", "v"]].astype(int).itertuples(index=False):
-        near[u].append(v)
-        near[v].append(u)
-    return nodes, near
-
-
-def _reach(near: dict[int, list[int]], start: int) -> dict[int, int]:
-    """Steps from a node to all that it reaches."""
-    steps, todo = {start: 0}, deque([start])
-    while todo:
-        x = todo.popleft()
-        for y in near[x]:
-            if y not in steps:
-                steps[y] = steps[x] + 1
-                todo.append(y)
-    return steps
-
-
-def path_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, n_components, largest, path_length (mean within the largest component, the first of equals; 0 for one node)."""
-
-    def kernel(x: pd.DataFrame) -> pd.DataFrame:
-        names, near = _adjacency(x)
-        seen: set[int] = set()
-        parts = []
-        for s in names:
-            if s not in seen:
-                parts.append([*_reach(near, s)])
-                seen.update(parts[-1])
-        big = max(parts, key=len)
-        lengths = [d for s in big for d in _reach(near, s).values() if d]
-        return pd.DataFrame({"name": [x.name.iloc[0]], "n_components": [len(parts)], "largest": [len(big)], "path_length": [float(np.mean(lengths)) if lengths else 0.0]})
-
-    kind = nodes.schema["name"].dataType.simpleString()
-    return _by_sequence(nodes, edges).applyInPandas(lambda x: kernel(x), f"name {kind}, n_components long, largest long, path_length double")
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, i, betweenness: shares of shortest paths through a node, from all sources, over (n - 1)(n - 2); 0 under three nodes."""
-
-    def kernel(x: pd.DataFrame) -> pd.DataFrame:
-        names, near = _adjacency(x)
-        score = dict.fromkeys(names, 0.0)
-        for s in names:
-            steps = _reach(near, s)  # in order of distance
-            paths = dict.fromkeys(steps, 0.0)
-            paths[s] = 1.0
-            for v in steps:
-                for w in near[v]:
-                    if steps[w] == steps[v] + 1:
-                        paths[w] += paths[v]
-            flow = dict.fromkeys(steps, 0.0)
-            for w in reversed(list(steps)):
-                for v in near[w]:
-                    if steps[v] == steps[w] - 1:
-                        flow[v] += paths[v] / paths[w] * (1 + flow[w])
-                if w != s:
-                    score[w] += flow[w]
-        n = len(names)
-        return pd.DataFrame({"name": x.name.iloc[0], "i": names, "betweenness": [score[i] / ((n - 1) * (n - 2)) if n > 2 else 0.0 for i in names]})
-
-    kind = nodes.schema["name"].dataType.simpleString()
-    return _by_sequence(nodes, edges).applyInPandas(lambda x: kernel(x), f"name {kind}, i int, betweenness double")
-
-
 def spanning_edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> list[int]:
     """Which edges a least spanning forest has, in ascending order of (d, u, v)."""
     parent: dict[int, int] = {}
@@ -214,57 +105,6 @@ def spanning_forest(pairs: DataFrame, more: DataFrame | None = None) -> DataFram
     return parts.groupBy("name").applyInPandas(lambda x: merge(x), kind)
 
 
-def percolation_curve(rows: DataFrame, steps: int = 50, separation: int = 4) -> DataFrame:
-    """name, step, threshold, n_components, largest, fraction of the stickers, along a sweep over thresholds.
-
-    Edges are sticker pairs below the threshold and at least ``separation`` apart; the sweep goes a tenth of the span of
-    their energies beyond both ends, or from -1 to 0 without any. Which stickers hang together at any threshold is told
-    by one least spanning forest. With fewer than two stickers there is one step, at 0.
-    """
-    nodes = sticker_nodes(rows).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    far = sticker_pairs(rows).filter(F.col("v") - F.col("u") >= separation)
-    span = far.groupBy("name").agg(F.min("e").alias("low"), F.max("e").alias("high"))
-    head = nodes.join(span, "name", "left").select("name", F.lit(None).cast("int").alias("u"), F.lit(None).cast("int").alias("v"), F.lit(None).cast("double").alias("d"), "n", "low", "high")
-    tree = spanning_forest(far.withColumn("d", F.col("e"))).select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-
-    def kernel(x: pd.DataFrame) -> pd.DataFrame:
-        first = x[x.u.isna()].iloc[0]
-        n = int(first.n)
-        if n < 2:
-            return pd.DataFrame({"name": [first["name"]], "step": [0], "threshold": [0.0], "n_components": [n], "largest": [n], "fraction": [1.0]})
-        low, high = (float(first.low), float(first.high)) if not np.isnan(first.low) else (-1.0, 0.0)
-        margin = (0.1 * (high - low) or 0.1) if not np.isnan(first.low) else 0.0
-        grid = np.linspace(low - margin, high + margin, steps)
-        edges = x[x.u.notna()].sort_values(["d", "u", "v"])
-        group: dict[int, int] = {}
-        members: dict[int, list[int]] = {}
-        found, largest, done = [], 1, 0
-        joined = list(edges[["u", "v", "d"]].itertuples(index=False))
-        for k, t in enumerate(grid):
-            while done < len(joined) and joined[done].d < t:
-                a, b = (group.setdefault(int(i), int(i)) for i in joined[done][:2])
-                own, other = members.setdefault(a, [a]), members.setdefault(b, [b])
-                if len(own) < len(other):
-                    a, b, own, other = b, a, other, own
-                own += other
-                group.update(dict.fromkeys(members.pop(b), a))
-                largest = max(largest, len(own))
-                done += 1
-            found.append((k, float(t), n - done, largest, largest / n))
-        return pd.DataFrame(found, columns=["step", "threshold", "n_components", "largest", "fraction"]).assign(name=first["name"])[["name", "step", "threshold", "n_components", "largest", "fraction"]]
-
-    kind = rows.schema["name"].dataType.simpleString()
-    return head.unionByName(tree).groupBy("name").applyInPandas(lambda x: kernel(x), f"name {kind}, step int, threshold double, n_components long, largest long, fraction double")
-
-
-def percolation(rows: DataFrame, steps: int = 50, separation: int = 4) -> DataFrame:
-    """name, threshold, onset: of :func:`percolation_curve`, where the largest component grows most (the left end, the first of equals), and the first that holds half the stickers, or else the lowest."""
-    order = Window.partitionBy("name").orderBy("step")
-    x = percolation_curve(rows, steps, separation).withColumn("growth", F.coalesce(F.lead("fraction").over(order) - F.col("fraction"), F.lit(-1.0)))
-    half = F.min_by("threshold", F.when(F.col("fraction") >= 0.5, F.col("step")))
-    return x.groupBy("name").agg(F.max_by("threshold", F.struct("growth", -F.col("step"))).alias("threshold"), F.coalesce(half, F.min_by("threshold", "step")).alias("onset"))
-
-
 def _raw_distance(method: str) -> Column:
     if method not in ("negated", "shifted", "rank"):
         raise ValueError(f"unknown method {method}")
@@ -305,77 +145,3 @@ def merge_tree(rows: DataFrame, separation: int = 4, method: str = "negated") ->
     near = pairs.filter(F.col("v") - F.col("u") < separation).join(span, "name").withColumn("d", F.col("most") + 1)
     tree = spanning_forest(pairs.filter(F.col("v") - F.col("u") >= separation).withColumn("d", d), near)
     return tree.join(span.select("name", "least"), "name").select("name", "u", "v", (F.col("d") - F.col("least")).alias("d")) if method == "shifted" else tree
-
-
-def loops(distance: DataFrame, tree: DataFrame) -> DataFrame:
-    """name, birth, death of the loops: an edge beside the tree opens one, and the first triangle over it closes it, unless at once."""
-    both = distance.select("name", F.col("u").alias("a"), F.col("v").alias("k"), "d").unionAll(distance.select("name", F.col("v").alias("a"), F.col("u").alias("k"), "d"))
-    x = distance.join(tree.select("name", "u", "v"), ["name", "u", "v"], "left_anti").withColumnRenamed("d", "birth")
-    x = x.join(both.select("name", F.col("a").alias("u"), "k", F.col("d").alias("d_u")), ["name", "u"]).filter("k != v").join(both.select("name", F.col("a").alias("v"), "k", F.col("d").alias("d_v")), ["name", "v", "k"])
-    death = F.min(F.greatest("birth", "d_u", "d_v")).alias("death")
-    return x.groupBy("name", "u", "v", "birth").agg(death).filter("death > birth").select("name", "birth", "death")
-
-
-def persistence_diagrams(rows: DataFrame, separation: int = 4, method: str = "negated") -> DataFrame:
-    """name, dim, birth, death of the stickers' :func:`distances`: dim 0 for components, of which one never dies (infinity), 1 for loops."""
-    d, tree = distances(rows, separation, method), merge_tree(rows, separation, method)
-    zero = tree.select("name", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.col("d").alias("death"))
-    ever = sticker_nodes(rows).select("name").distinct().select("name", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.lit(float("inf")).alias("death"))
-    return zero.unionByName(ever).unionByName(loops(d, tree).select("name", F.lit(1).alias("dim"), "birth", "death"))
-
-
-def betti_curves(rows: DataFrame, diagrams: DataFrame, separation: int = 4, method: str = "negated", steps: int = 50) -> DataFrame:
-    """name, step, t, b0, b1: features of ``diagrams`` alive at each of ``steps`` distances from the least positive one to the largest; none without pairs."""
-    d = distances(rows, separation, method)
-    span = d.groupBy("name").agg(F.min(F.when(F.col("d") > 0, F.col("d"))).alias("low"), F.greatest(F.max("d"), F.lit(0.0)).alias("high")).filter("low is not null")
-    grid = span.select("name", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
-    width = (F.col("high") - F.col("low")) / (steps - 1)
-    grid = grid.select("name", "step", F.when(F.col("step") == steps - 1, F.col("high")).otherwise(F.col("low") + F.col("step") * width).alias("t"))
-    alive = (F.col("birth") <= F.col("t")) & (F.col("t") < F.col("death"))
-    return grid.join(diagrams, "name").groupBy("name", "step", "t").agg(F.count_if(alive & (F.col("dim") == 0)).alias("b0"), F.count_if(alive & (F.col("dim") == 1)).alias("b1"))
-
-
-def persistence(rows: DataFrame, separation: int = 4, method: str = "negated", grid: int = 50) -> DataFrame:
-    """name, n_features, h0_total, h0_longest, h0_mean_death, h1_features, h1_total, h1_longest, b0_auc, b1_auc of the stickers.
-
-    Sums and largest values of the finite lifetimes of :func:`persistence_diagrams`, and left sums under the
-    :func:`betti_curves`. Zeros for what there is none of.
-    """
-    x = persistence_diagrams(rows, separation, method)
-    life, finite = F.col("death") - F.col("birth"), F.col("death") < float("inf")
-    of = lambda dim: F.when(finite & (F.col("dim") == dim), life)
-    sums = x.groupBy("name").agg(
-        F.count_if(F.col("dim") == 0).alias("n_features"), F.sum(of(0)).alias("h0_total"), F.max(of(0)).alias("h0_longest"), F.avg(F.when(finite & (F.col("dim") == 0), F.col("death"))).alias("h0_mean_death"),
-        F.count_if(F.col("dim") == 1).alias("h1_features"), F.sum(of(1)).alias("h1_total"), F.max(of(1)).alias("h1_longest"),
-    )
-    step = F.lead("t").over(Window.partitionBy("name").orderBy("step")) - F.col("t")
-    areas = betti_curves(rows, x, separation, method, grid).withColumn("w", step).groupBy("name").agg(F.sum(F.col("b0") * F.col("w")).alias("b0_auc"), F.sum(F.col("b1") * F.col("w")).alias("b1_auc"))
-    zeros = ["h0_total", "h0_longest", "h0_mean_death", "h1_total", "h1_longest", "b0_auc", "b1_auc"]
-    return sums.join(areas, "name", "left").na.fill(0.0, zeros)
-
-
-def distance_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, steps, pairs: how many pairs u < v of nodes are so many steps apart; pairs without a path aren't counted."""
-
-    def kernel(x: pd.DataFrame) -> pd.DataFrame:
-        names, near = _adjacency(x)
-        found: dict[int, int] = {}
-        for s in names:
-            for v, k in _reach(near, s).items():
-                if v > s:
-                    found[k] = found.get(k, 0) + 1
-        return pd.DataFrame({"name": [x.name.iloc[0]] * len(found), "steps": [*found], "pairs": [*found.values()]})
-
-    kind = nodes.schema["name"].dataType.simpleString()
-    return _by_sequence(nodes, edges).applyInPandas(lambda x: kernel(x), f"name {kind}, steps long, pairs long")
-
-
-def interaction_entropy(rows: DataFrame, bins: int = 20) -> DataFrame:
-    """name, entropy in bits of a histogram of the energies of all sticker pairs; 0 without any."""
-    p = sticker_pairs(rows)
-    span = p.groupBy("name").agg(F.min("e").alias("low"), F.max("e").alias("high"), F.count(F.lit(1)).alias("n"))
-    flat = F.col("high") - F.col("low") <= 0
-    at = F.when(flat, bins // 2).otherwise(F.least(F.floor((F.col("e") - F.col("low")) / ((F.col("high") - F.col("low")) / bins)), F.lit(bins - 1)))
-    counts = p.join(span, "name").groupBy("name", "n", at.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    found = counts.groupBy("name").agg((-F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") / F.col("n"))) + 0.0).alias("h"))
-    return rows.select("name").distinct().join(found, "name", "left").select("name", F.coalesce("h", F.lit(0.0)).alias("entropy"))

@@ -7,7 +7,8 @@ from dataclasses import astuple, dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyseq.operators import graph, maps, segments, sequences
+from polyseq.operators import moments, networks, segments, sequences
+from polyseq.sources.store import kept
 
 
 @dataclass(frozen=True)
@@ -32,49 +33,53 @@ def finite(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def topology_features(rows: DataFrame) -> DataFrame:
+def topology_features(seqs: DataFrame, matrix: list[list[float]]) -> DataFrame:
     """name and the graph features of the stickers, at the automatic threshold of each sequence."""
-    limit = graph.auto_threshold(rows)
-    nodes, edges = graph.sticker_nodes(rows), graph.sticker_edges(rows)
-    parts = [graph.clustering_coefficient(nodes, edges), graph.path_statistics(nodes, edges).select("name", "n_components", "path_length"), graph.percolation(rows).select("name", "threshold", "onset"), graph.merge_tree(rows).groupBy("name").agg(F.sum("d").alias("h0_total"))]
-    out = limit.withColumnRenamed("threshold", "auto_threshold")
+    limit = kept(networks.auto_threshold(seqs, matrix), "thresholds")
+    h0 = networks.persistence_diagrams(seqs, matrix, loops=False).filter(F.col("death") < float("inf"))
+    parts = [
+        networks.clustering_coefficient(networks.neighbours(limit, matrix)), networks.path_statistics(networks.searches(limit, matrix)).select("name", "n_components", "path_length"),
+        networks.percolation(networks.percolation_curve(seqs, matrix)), h0.groupBy("name").agg(F.sum("death").alias("h0_total")),
+    ]
+    out = limit.select("name", F.col("threshold").alias("auto_threshold"))
     for p in parts:
         out = out.join(p, "name", "left")
     return out.na.fill(0.0, ["clustering", "path_length", "threshold", "onset", "h0_total"]).na.fill(1, ["n_components"])
 
 
-def topology_metrics(rows: DataFrame) -> DataFrame:
+def topology_metrics(seqs: DataFrame, matrix: list[list[float]]) -> DataFrame:
     """name and fourteen numbers: of the contact graph of all residues, of that of the stickers, of percolation and of betweenness; zeros without stickers."""
-    limit = graph.auto_threshold(rows)
-    far = graph.contact_edges(rows, float("inf")).join(limit, "name").filter(F.round("e", 12) < F.round("threshold", 12)).select("name", "u", "v", "e")
-    full = graph.degree_statistics(rows.select("name", "i"), far).select("name", F.col("n_edges").alias("n_contacts"), F.col("density").alias("graph_density"), "mean_degree", "max_degree")
-    nodes, edges = graph.sticker_nodes(rows), graph.sticker_edges(rows)
-    degree = graph.degree_statistics(nodes, edges).select("name", F.col("n_edges").alias("sticker_n_contacts"), F.col("density").alias("sticker_graph_density"), F.col("mean_degree").alias("sticker_mean_degree"))
-    closed = graph.clustering_coefficient(nodes, edges).withColumnRenamed("clustering", "sticker_clustering_coefficient")
-    paths = graph.path_statistics(nodes, edges).select("name", F.col("path_length").alias("sticker_avg_path_length"), F.col("n_components").alias("sticker_n_components"))
-    grown = graph.percolation(rows).select("name", F.col("threshold").alias("percolation_threshold"), F.col("onset").alias("giant_component_onset"))
-    between = graph.betweenness(nodes, edges).groupBy("name").agg(F.max("betweenness").alias("max_betweenness"), F.avg("betweenness").alias("mean_betweenness"))
+    limit = kept(networks.auto_threshold(seqs, matrix), "thresholds")
+    full = networks.degree_statistics(networks.neighbours(limit, matrix, stickers=False, triangles=False)).select("name", F.col("n_edges").alias("n_contacts"), F.col("density").alias("graph_density"), "mean_degree", "max_degree")
+    near, found = kept(networks.neighbours(limit, matrix), "neighbours"), kept(networks.searches(limit, matrix, flows=True), "searches")
+    degree = networks.degree_statistics(near).select("name", F.col("n_edges").alias("sticker_n_contacts"), F.col("density").alias("sticker_graph_density"), F.col("mean_degree").alias("sticker_mean_degree"))
+    closed = networks.clustering_coefficient(near).withColumnRenamed("clustering", "sticker_clustering_coefficient")
+    paths = networks.path_statistics(found).select("name", F.col("path_length").alias("sticker_avg_path_length"), F.col("n_components").alias("sticker_n_components"))
+    grown = networks.percolation(networks.percolation_curve(seqs, matrix)).select("name", F.col("threshold").alias("percolation_threshold"), F.col("onset").alias("giant_component_onset"))
+    between = networks.betweenness(found).groupBy("name").agg(F.max("betweenness").alias("max_betweenness"), F.avg("betweenness").alias("mean_betweenness"))
     out = full
     for part in (degree, closed, paths, grown, between):
         out = out.join(part, "name", "left")
     return out.na.fill(0)
 
 
-def entropy_metrics(seqs: DataFrame, rows: DataFrame) -> DataFrame:
+def entropy_metrics(seqs: DataFrame, matrix: list[list[float]]) -> DataFrame:
     """name, spacing_entropy, normalized_spacing_entropy, block_entropy, interaction_entropy, composition_entropy."""
     out = segments.spacing_entropy(seqs).select("name", F.col("entropy").alias("spacing_entropy"), F.col("normalized").alias("normalized_spacing_entropy"))
-    for part, name in ((segments.block_entropy(seqs), "block_entropy"), (graph.interaction_entropy(rows), "interaction_entropy"), (segments.composition_entropy(seqs), "composition_entropy")):
+    for part, name in ((segments.block_entropy(seqs), "block_entropy"), (networks.interaction_entropy(seqs, matrix), "interaction_entropy"), (segments.composition_entropy(seqs), "composition_entropy")):
         out = out.join(part.select("name", F.col("entropy").alias(name)), "name")
     return out
 
 
-def variant_metrics(seqs: DataFrame, rows: DataFrame) -> DataFrame:
-    """One wide row for each sequence, from name, seq and its smoothed map by rows."""
+def variant_metrics(seqs: DataFrame, matrix: list[list[float]]) -> DataFrame:
+    """One wide row for each sequence, from name and seq; no map is made as a table."""
     out = segments.sticker_mask(seqs)
+    energies = moments.linear_energies(seqs, matrix, want=("classes", "total"))
+    energies = energies.select("name", F.col("total").alias("total_energy"), F.col("mean").alias("mean_energy"), "ss", "ll", "cross").withColumn("delta_g", 2.0 * F.col("ss") + 0.5 * F.col("ll") + F.col("cross"))
     for part in (
         sequences.charge_metrics(seqs), sequences.kappa_charge(seqs), segments.linker_statistics(seqs).select("name", "mean_length", F.col("kappa").alias("kappa_linker")), segments.omega(seqs),
         segments.spacing_entropy(seqs).select("name", F.col("entropy").alias("spacing_entropy"), F.col("normalized").alias("normalized_spacing_entropy")), segments.block_entropy(seqs).withColumnRenamed("entropy", "block_entropy"),
-        segments.composition_entropy(seqs).withColumnRenamed("entropy", "composition_entropy"), maps.total_energy(rows).withColumnsRenamed({"total": "total_energy", "mean": "mean_energy"}), maps.delta_g(rows), topology_features(rows),
+        segments.composition_entropy(seqs).withColumnRenamed("entropy", "composition_entropy"), energies, topology_features(seqs, matrix),
     ):
         out = out.join(part, "name")
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyseq.functions.residues import ALPHABET, ANIONIC, AROMATIC, CATIONIC, FORCE_FIELD_SQL, HYDROPHOBIC, POLAR, RESIDUES_SQL, STICKERS, energy_matrix, force_field, most_attractive, stickiness
-from polyseq.operators import fitting, graph, hamiltonian, maps, moments, segments, sequences
+from polyseq.operators import fitting, graph, hamiltonian, maps, moments, networks, segments, sequences
 from polyseq.operators.maps import gaussian_weights
 from polyseq.sources import feeds
 from polyseq.sources.store import kept
@@ -465,78 +465,86 @@ def valency(spark, sf_dir):
 _EDGES = f"{_MAP}, ed AS (SELECT name, i AS u, j AS v FROM m WHERE j - i >= 4 AND e < -0.1), bo AS (SELECT name, u AS i, v AS o FROM ed UNION ALL SELECT name, v, u FROM ed), dg AS (SELECT s.name, s.i, count(o) AS k FROM sites s LEFT JOIN bo USING (name, i) GROUP BY s.name, s.i), tr AS (SELECT a.name, a.u AS a, b.u AS b, b.v AS c FROM ed a JOIN ed b ON a.name = b.name AND a.v = b.u JOIN ed c ON c.name = a.name AND c.u = a.u AND c.v = b.v)"
 
 
-def _item_graph(spark, sf_dir):
-    rows = _item_maps(spark, sf_dir)
-    return rows.select("name", "i"), graph.contact_edges(rows, -0.1)
+def _contacts(spark, sf_dir):
+    """The items with the threshold of their contacts."""
+    return feeds.items(spark, sf_dir).withColumn("threshold", F.lit(-0.1))
+
+
+#: All places are nodes, and energies are compared as they are.
+_ALL = {"stickers": False, "digits": None}
+
+
+def _neighbours(spark, sf_dir, triangles: bool = False):
+    return networks.neighbours(_contacts(spark, sf_dir), energy_matrix(spark), triangles=triangles, **_ALL)
 
 
 @_register("contact_graph", f"{_EDGES} SELECT name, u::BIGINT AS u, v::BIGINT AS v FROM ed")
 def contact_graph(spark, sf_dir):
-    return _item_graph(spark, sf_dir)[1].select("name", "u", "v")
+    return graph.contact_edges(_item_maps(spark, sf_dir), -0.1).select("name", "u", "v")
 
 
 @_register("graph_degree", f"{_EDGES} SELECT name, count(*) AS n_nodes, (sum(k) / 2)::BIGINT AS n_edges, {_r('avg(k)', 'mean_degree')}, {_r('stddev_pop(k)', 'std_degree')}, max(k) AS max_degree, min(k) AS min_degree, {_r('CASE WHEN count(*) > 1 THEN sum(k)::DOUBLE / (count(*) * (count(*) - 1)) ELSE 0 END', 'density')} FROM dg GROUP BY name")
 def graph_degree(spark, sf_dir):
-    return graph.degree_statistics(*_item_graph(spark, sf_dir))
+    return networks.degree_statistics(_neighbours(spark, sf_dir))
 
 
 @_register("graph_clustering", f"{_EDGES}, t AS (SELECT name, count(*) AS t FROM tr GROUP BY name), q AS (SELECT name, sum(k * (k - 1) / 2) AS q FROM dg GROUP BY name) SELECT name, {_r('CASE WHEN q > 0 THEN 3.0 * coalesce(t, 0) / q ELSE 0 END', 'clustering')} FROM q LEFT JOIN t USING (name)")
 def graph_clustering(spark, sf_dir):
-    return graph.clustering_coefficient(*_item_graph(spark, sf_dir))
+    return networks.clustering_coefficient(_neighbours(spark, sf_dir, True))
 
 
 @_register("graph_local_clustering", f"{_EDGES}, t AS (SELECT name, i, count(*) AS t FROM (SELECT name, unnest([a, b, c]) AS i FROM tr) GROUP BY ALL) SELECT name, i::BIGINT AS i, {_r('CASE WHEN k > 1 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END', 'clustering')} FROM dg LEFT JOIN t USING (name, i)")
 def graph_local_clustering(spark, sf_dir):
-    return graph.local_clustering(*_item_graph(spark, sf_dir))
+    return networks.local_clustering(_neighbours(spark, sf_dir, True))
 
 
 @_register("entropy_degree", f"{_EDGES}, c AS (SELECT name, k, count(*) AS c FROM dg GROUP BY ALL), p AS (SELECT name, c / sum(c) OVER (PARTITION BY name) AS p FROM c) SELECT name, {_r('-sum(p * log2(p))', 'entropy')} FROM p GROUP BY name")
 def entropy_degree(spark, sf_dir):
-    c = graph.degrees(*_item_graph(spark, sf_dir)).groupBy("name", "degree").agg(F.count(F.lit(1)).alias("c")).groupBy("name")
+    c = _neighbours(spark, sf_dir).groupBy("name", "degree").agg(F.count(F.lit(1)).alias("c")).groupBy("name")
     return c.agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c") + 0.0).alias("entropy"))
 
 
 @_register("sticker_graph", f"{_SP}, q AS (SELECT name, quantile_cont(e, 0.25) AS t FROM sp WHERE j - i >= 4 GROUP BY name) SELECT name, i::BIGINT AS u, j::BIGINT AS v FROM sp JOIN q USING (name) WHERE j - i >= 4 AND round(e, 12) < round(t, 12)")
 def sticker_graph(spark, sf_dir):
     rows = _item_maps(spark, sf_dir)
-    x = graph.sticker_pairs(rows).filter("v - u >= 4").join(graph.auto_threshold(rows), "name")
+    x = graph.sticker_pairs(rows).filter("v - u >= 4").join(networks.auto_threshold(feeds.items(spark, sf_dir), energy_matrix(spark)).drop("seq"), "name")
     return x.filter(F.round("e", 12) < F.round("threshold", 12)).select("name", "u", "v")
 
 
 @_register("graph_components")
 def graph_components(spark, sf_dir):
-    return graph.path_statistics(*_item_graph(spark, sf_dir))
+    return networks.path_statistics(networks.searches(_contacts(spark, sf_dir), energy_matrix(spark), **_ALL))
 
 
 @_register("graph_betweenness")
 def graph_betweenness(spark, sf_dir):
-    return graph.betweenness(*_item_graph(spark, sf_dir))
+    return networks.betweenness(networks.searches(_contacts(spark, sf_dir), energy_matrix(spark), flows=True, **_ALL))
 
 
 @_register("auto_threshold", f"{_SP}, q AS (SELECT name, quantile_cont(e, 0.25) AS t FROM sp WHERE j - i >= 4 GROUP BY name) SELECT name, {_r('coalesce(t, 0)', 'threshold')} FROM seqs LEFT JOIN q USING (name)")
 def auto_threshold(spark, sf_dir):
-    return graph.auto_threshold(_item_maps(spark, sf_dir))
+    return networks.auto_threshold(feeds.items(spark, sf_dir), energy_matrix(spark)).drop("seq")
 
 
 @_register("entropy_interaction", f"""{_SP}, s AS (SELECT name, min(e) AS lo, max(e) AS hi, count(*) AS n FROM sp GROUP BY name), b AS (SELECT name, s.n, CASE WHEN hi - lo <= 0 THEN 10 ELSE least(floor((e - lo) / ((hi - lo) / 20)), 19) END AS bin, count(*) AS c FROM sp JOIN s USING (name) GROUP BY ALL)
 SELECT name, {_r('coalesce(-sum(c / n * log2(c / n)), 0)', 'entropy')} FROM seqs LEFT JOIN b USING (name) GROUP BY name""")
 def entropy_interaction(spark, sf_dir):
-    return graph.interaction_entropy(_item_maps(spark, sf_dir))
+    return networks.interaction_entropy(feeds.items(spark, sf_dir), energy_matrix(spark))
 
 
 @_register("percolation")
 def percolation(spark, sf_dir):
-    return graph.percolation(_item_maps(spark, sf_dir))
+    return networks.percolation(networks.percolation_curve(feeds.items(spark, sf_dir), energy_matrix(spark)))
 
 
 @_register("homology_metrics")
 def homology_metrics(spark, sf_dir):
-    return graph.persistence(_item_maps(spark, sf_dir))
+    seqs, m = feeds.items(spark, sf_dir), energy_matrix(spark)
+    return networks.persistence(networks.distance_spans(seqs, m), kept(networks.persistence_diagrams(seqs, m), "diagrams"))
 
 
 def _metrics(spark, sf_dir):
-    seqs = feeds.items(spark, sf_dir)
-    return hamiltonian.variant_metrics(seqs, kept(maps.map_rows(seqs, energy_matrix(spark)), "maps"))
+    return hamiltonian.variant_metrics(feeds.items(spark, sf_dir), energy_matrix(spark))
 
 
 @_register("variant_metrics")

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyseq.functions.residues import ALPHABET, FORCE_FIELD_SQL, RESIDUES_SQL, STICKERS, energy_matrix, force_field, stickiness
-from polyseq.operators import fitting, graph, hamiltonian, maps, moments, segments, sequences, variants
+from polyseq.operators import fitting, graph, hamiltonian, maps, moments, networks, segments, sequences, variants
 from polyseq.operators.maps import gaussian_weights
 from polyseq.plans import catalog
-from polyseq.plans.catalog import _DOCS, _MAP, _RAW, _RUNS, _SIDES, _SITES, _SP, _in, _item_graph, _item_maps, _metrics, _r, _register, _seqs, _smooth
+from polyseq.plans.catalog import _DOCS, _MAP, _RAW, _RUNS, _SIDES, _SITES, _SP, _ALL, _contacts, _in, _item_maps, _metrics, _r, _register, _seqs, _smooth
 from polyseq.sources import feeds
 from polyseq.sources.store import kept
 
@@ -99,25 +99,25 @@ catalog._SQL.update(_RECURSIVE)
 @_register("graph_distances", f"{_GRAPH}, {_steps_sql('st', 'no', 'ed')} SELECT name, d::BIGINT AS steps, count(*) AS pairs FROM st WHERE v > src GROUP BY ALL")
 def graph_distances(spark, sf_dir):
     """How many pairs of residues of an item's contact graph are how many steps apart."""
-    return graph.distance_histogram(*_item_graph(spark, sf_dir))
+    return networks.distance_histogram(networks.searches(_contacts(spark, sf_dir), energy_matrix(spark), **_ALL))
 
 
 @_register("percolation_curve", f"{_CURVE} SELECT name, step::BIGINT AS step, {_r('threshold', 'threshold')}, n_components, largest, {_r('fraction', 'fraction')} FROM cu")
 def percolation_curve(spark, sf_dir):
-    return graph.percolation_curve(_item_maps(spark, sf_dir))
+    return networks.percolation_curve(feeds.items(spark, sf_dir), energy_matrix(spark))
 
 
 @_register("persistence_diagrams", f"{_DISTANCES} SELECT name, dim::BIGINT AS dim, {_r('birth', 'birth')}, CASE WHEN death < 'inf' THEN round(death, 6) + 0.0 END AS death, count(*) AS features FROM dg GROUP BY ALL")
 def persistence_diagrams(spark, sf_dir):
     """Births and deaths, to six decimals, and how many features have them; no death for what stays."""
-    x = graph.persistence_diagrams(kept(_item_maps(spark, sf_dir), "maps"))
+    x = networks.persistence_diagrams(feeds.items(spark, sf_dir), energy_matrix(spark))
     return x.groupBy("name", "dim", F.round("birth", 6).alias("birth"), F.round("death", 6).alias("death")).agg(F.count(F.lit(1)).alias("features"))
 
 
 @_register("betti_curves", f"{_BETTI} SELECT name, step::BIGINT AS step, {_r('t', 't')}, b0, b1 FROM bc")
 def betti_curves(spark, sf_dir):
-    rows = kept(_item_maps(spark, sf_dir), "maps")
-    return graph.betti_curves(rows, graph.persistence_diagrams(rows))
+    seqs, m = feeds.items(spark, sf_dir), energy_matrix(spark)
+    return networks.betti_curves(networks.distance_spans(seqs, m), networks.persistence_diagrams(seqs, m))
 
 
 _BY_METHOD = f"""{_SP}, al AS (SELECT m.name, min(m.e) AS least, max(m.e) AS top, max(-m.e) AS most FROM m SEMI JOIN sti a ON a.name = m.name AND a.i = m.i SEMI JOIN sti b ON b.name = m.name AND b.i = m.j GROUP BY m.name),
@@ -128,7 +128,7 @@ SELECT name, {_r('sum(CASE WHEN j - i < 4 THEN most + 1 ELSE -e END)', 'negated'
 @_register("energy_distances", _BY_METHOD)
 def energy_distances(spark, sf_dir):
     """The sum over sticker pairs of each of the three distances that energies are made into."""
-    rows = _item_maps(spark, sf_dir)
+    rows = kept(_item_maps(spark, sf_dir), "maps")
     parts = [graph.distances(rows, method=m).groupBy("name").agg(F.sum("d").alias(c)) for m, c in (("negated", "negated"), ("shifted", "shifted"), ("rank", "ranked"))]
     return parts[0].join(parts[1], "name").join(parts[2], "name")
 
@@ -141,8 +141,8 @@ kn AS (SELECT name, count(*) AS n FROM sti GROUP BY name), bw AS (SELECT s.name,
 
 @_register("sticker_betweenness", f"{_BETWEEN} SELECT name, i::BIGINT AS i, {_r('b', 'betweenness')} FROM bw")
 def sticker_betweenness(spark, sf_dir):
-    rows = _item_maps(spark, sf_dir)
-    return graph.betweenness(graph.sticker_nodes(rows), graph.sticker_edges(rows))
+    m = energy_matrix(spark)
+    return networks.betweenness(networks.searches(networks.auto_threshold(feeds.items(spark, sf_dir), m), m, flows=True))
 
 
 _FULL = f"""fe AS (SELECT m.name, i AS u, j AS v FROM m JOIN li USING (name) WHERE j - i >= 4 AND round(e, 12) < round(t, 12)), fd AS (SELECT s.name, s.i, count(o) AS k FROM sites s LEFT JOIN (SELECT name, u AS i, v AS o FROM fe UNION ALL SELECT name, v, u FROM fe) USING (name, i) GROUP BY s.name, s.i),
@@ -158,7 +158,7 @@ _TOPOLOGY = f"{_BETWEEN}, {_paths_sql('pa', 'ss')}, {_FULL}, {_STICKER_STATS}, {
  {_r('coalesce(path_length, 0)', 'sticker_avg_path_length')}, coalesce(n_components, 0) AS sticker_n_components, {_r('coalesce(threshold, 0)', 'percolation_threshold')}, {_r('coalesce(onset, 0)', 'giant_component_onset')}, {_r('coalesce(mx, 0)', 'max_betweenness')}, {_r('coalesce(mn, 0)', 'mean_betweenness')}
  FROM seqs JOIN fm ON fm.name = seqs.name LEFT JOIN sc ON sc.name = seqs.name LEFT JOIN pa ON pa.name = seqs.name LEFT JOIN pe ON pe.name = seqs.name LEFT JOIN bm ON bm.name = seqs.name""")
 def topology_metrics(spark, sf_dir):
-    return hamiltonian.topology_metrics(kept(_item_maps(spark, sf_dir), "maps"))
+    return hamiltonian.topology_metrics(feeds.items(spark, sf_dir), energy_matrix(spark))
 
 
 # metrics of the items in one row, and what is built on them
@@ -194,7 +194,7 @@ ie AS (SELECT name, coalesce(-sum(c / n * log2(c / n)), 0) AS h FROM seqs LEFT J
 SELECT ie.name, {_r('se.entropy', 'spacing_entropy')}, {_r('se.normalized', 'normalized_spacing_entropy')}, {_r('bk.entropy', 'block_entropy')}, {_r('ie.h', 'interaction_entropy')}, {_r('co.entropy', 'composition_entropy')}
  FROM ie JOIN {_items_sql('entropy_spacing')} se ON se.name = ie.name JOIN {_items_sql('entropy_block')} bk ON bk.name = ie.name JOIN {_items_sql('entropy_composition')} co ON co.name = ie.name""")
 def entropy_metrics(spark, sf_dir):
-    return hamiltonian.entropy_metrics(feeds.items(spark, sf_dir), _item_maps(spark, sf_dir))
+    return hamiltonian.entropy_metrics(feeds.items(spark, sf_dir), energy_matrix(spark))
 
 
 # maps

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyseq.functions.residues import ALPHABET, energy_matrix
-from polyseq.operators import fitting, graph, hamiltonian, maps, moments, segments, sequences, variants
+from polyseq.operators import fitting, graph, hamiltonian, maps, moments, networks, segments, sequences, variants
 from polyseq.sources import feeds
 
 TOPOLOGY = {
@@ -22,8 +22,8 @@ def wt(spark):
     return seqs, maps.map_rows(seqs, energy_matrix(spark)).cache()
 
 
-def test_topology_metrics(wt):
-    found = hamiltonian.topology_metrics(wt[1]).first().asDict()
+def test_topology_metrics(spark, wt):
+    found = hamiltonian.topology_metrics(wt[0], energy_matrix(spark)).first().asDict()
     assert {k: found[k] for k in TOPOLOGY} == {k: pytest.approx(v) for k, v in TOPOLOGY.items()}
 
 
@@ -55,17 +55,6 @@ def pairs(spark, d):
     return spark.createDataFrame([("s", i, j, float(d[i][j])) for i in range(len(d)) for j in range(i + 1, len(d))], "name string, u int, v int, d double")
 
 
-def test_loops_of_a_square_and_of_a_triangle(spark):
-    square = pairs(spark, [[0, 1, 2, 1], [1, 0, 1, 2], [2, 1, 0, 1], [1, 2, 1, 0]])
-    tree = graph.spanning_forest(square)
-    assert sorted((r.u, r.v, r.d) for r in tree.collect()) == [(0, 1, 1.0), (0, 3, 1.0), (1, 2, 1.0)]
-    assert [(r.birth, r.death) for r in graph.loops(square, tree).collect()] == [(1.0, 2.0)]
-    triangle = pairs(spark, [[0, 1, 1], [1, 0, 1], [1, 1, 0]])
-    assert graph.loops(triangle, graph.spanning_forest(triangle)).count() == 0
-    line = pairs(spark, [[0, 1, 3], [1, 0, 2], [3, 2, 0]])
-    assert sorted(r.d for r in graph.spanning_forest(line).collect()) == [1.0, 2.0]
-
-
 def test_forests_of_parts_are_one_forest(spark):
     rng = np.random.default_rng(0)
     d = rng.integers(0, 6, (30, 30))
@@ -77,7 +66,7 @@ def test_forests_of_parts_are_one_forest(spark):
 
 
 def test_percolation_curve_against_components_at_each_threshold(spark, wt):
-    found = graph.percolation_curve(wt[1]).orderBy("step").collect()
+    found = networks.percolation_curve(wt[0], energy_matrix(spark)).orderBy("step").collect()
     e = {(r.u, r.v): r.e for r in graph.sticker_pairs(wt[1]).collect() if r.v - r.u >= 4}
     nodes = [r.i for r in graph.sticker_nodes(wt[1]).collect()]
     assert len(found) == 50
@@ -98,13 +87,17 @@ def test_distances_by_method(spark, wt):
         far = [r.d for r in d if r.v - r.u >= 4]
         assert len(near) == 1 and near.pop() > max(far) and (method == "negated" or min(far) >= 0)
         assert sorted(r.d for r in graph.merge_tree(wt[1], method=method).collect()) == pytest.approx(sorted(r.d for r in graph.spanning_forest(graph.distances(wt[1], method=method)).collect()))
+        zero = networks.persistence_diagrams(wt[0], energy_matrix(spark), method=method, loops=False).filter("death < double('inf')")
+        assert sorted(r.death for r in zero.collect()) == pytest.approx(sorted(r.d for r in graph.merge_tree(wt[1], method=method).collect()))
     with pytest.raises(ValueError):
         graph.distances(wt[1], method="other")
+    with pytest.raises(ValueError):
+        networks.persistence_diagrams(wt[0], energy_matrix(spark), method="other")
 
 
 def test_model_comparison(spark):
     seqs = variants.expanded_registry(spark).cache()
-    metrics = hamiltonian.variant_metrics(seqs.select("name", "seq"), maps.map_rows(seqs, energy_matrix(spark)).cache()).cache()
+    metrics = hamiltonian.variant_metrics(seqs.select("name", "seq"), energy_matrix(spark)).cache()
     table = fitting.calibration_table(metrics, variants.measured(spark)).cache()
     fitted = hamiltonian.Couplings(2.0, 1.0, 0.5, 8.292618910377954, 4.751926251580603, 3.058884405607401, 0.5322066429727808, 43.742403603530185)
     found = {r.model: (r.rank_correlation, r.rmse_log) for r in fitting.compare_models(table, fitted).collect()}

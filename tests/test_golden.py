@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyseq.functions.residues import energy_matrix
-from polyseq.operators import graph, hamiltonian, maps, segments, sequences
+from polyseq.operators import hamiltonian, maps, networks, segments, sequences
 from polyseq.sources import feeds
 
 NAMES = ("WT", "Y143S", "AllY_to_S", "AllY_to_A", "AllY_to_F")
@@ -29,7 +29,7 @@ C_SAT = (1.0, 1.0026566669822377, 1.1164277165863576, 1.122716524924152, 0.95886
 def base(spark):
     seqs = feeds.registry(spark).select("name", F.col("sequence").alias("seq"))
     rows = maps.map_rows(seqs, energy_matrix(spark)).cache()
-    return seqs, rows, hamiltonian.variant_metrics(seqs, rows).cache()
+    return seqs, rows, hamiltonian.variant_metrics(seqs, energy_matrix(spark)).cache()
 
 
 def by_name(df):
@@ -53,18 +53,23 @@ def test_effective_energy(base):
     check(by_name(hamiltonian.saturation(energies, "WT")), {"c_sat": C_SAT})
 
 
-def test_persistence(base):
-    found = by_name(graph.persistence(base[1]))
+def persistence(spark, seqs):
+    m = energy_matrix(spark)
+    return by_name(networks.persistence(networks.distance_spans(seqs, m), networks.persistence_diagrams(seqs, m)))
+
+
+def test_persistence(spark, base):
+    found = persistence(spark, base[0])
     assert found["WT"]["n_features"] == 28 and found["AllY_to_S"]["n_features"] == 1
     assert found["WT"]["h0_longest"] == pytest.approx(0.02526610033243113) and found["WT"]["h0_mean_death"] == pytest.approx(0.01188904224245577)
     assert found["WT"]["b0_auc"] == pytest.approx(1.6213306225993276) and found["Y143S"]["b0_auc"] == pytest.approx(1.6216282591403808)
     assert all(r["h1_features"] == 0 for r in found.values())
 
 
-def test_betweenness(base):
-    nodes, limit = graph.sticker_nodes(base[1]), graph.auto_threshold(base[1])
-    edges = graph.sticker_pairs(base[1]).filter("v - u >= 4").join(limit, "name").filter("round(e, 12) < round(threshold, 12)").select("name", "u", "v", "e")
-    found = {r.name: r.m for r in graph.betweenness(nodes, edges).groupBy("name").agg(F.max("betweenness").alias("m")).collect()}
+def test_betweenness(spark, base):
+    m = energy_matrix(spark)
+    searches = networks.searches(networks.auto_threshold(base[0], m), m, flows=True)
+    found = {r.name: r.m for r in networks.betweenness(searches).groupBy("name").agg(F.max("betweenness").alias("m")).collect()}
     assert found["WT"] == pytest.approx(0.07161311818174564) and found["Y143S"] == pytest.approx(0.12415201465201466) and found["AllY_to_S"] == 0.0
 
 
@@ -97,8 +102,8 @@ def test_short_and_uniform_sequences(spark):
     assert by_name(segments.omega(df)) == {"a": {"name": "a", "omega": None}, "b": {"name": "b", "omega": 0.0}, "c": {"name": "c", "omega": None}, "d": {"name": "d", "omega": 0.0}, "e": {"name": "e", "omega": None}}
     kappa = {r.name: r.kappa for r in segments.linker_statistics(df).collect()}
     assert kappa["d"] == float("inf") and kappa["b"] != kappa["b"]
-    assert by_name(graph.percolation(rows))["a"]["threshold"] == 0.0
-    found = by_name(graph.persistence(rows))
+    assert by_name(networks.percolation(networks.percolation_curve(df, energy_matrix(spark))))["a"]["threshold"] == 0.0
+    found = persistence(spark, df)
     assert "c" not in found and found["a"]["h0_total"] == 0.0 and (found["a"]["n_features"], found["d"]["n_features"], found["d"]["h1_features"]) == (1, 3, 0)
     empty = df.filter("name = 'z'")
     assert maps.map_statistics(maps.map_rows(empty, energy_matrix(spark))).count() == 0 and segments.omega(empty).count() == 0
@@ -135,7 +140,7 @@ def test_expanded_variants_and_calibration(spark):
 
     seqs = variants.expanded_registry(spark).cache()
     assert seqs.count() == 20 and sorted(r.ordinal for r in seqs.collect()) == list(range(20))
-    metrics = hamiltonian.variant_metrics(seqs.select("name", "seq"), maps.map_rows(seqs, energy_matrix(spark)).cache()).cache()
+    metrics = hamiltonian.variant_metrics(seqs.select("name", "seq"), energy_matrix(spark)).cache()
     fitted = hamiltonian.Couplings(2.0, 1.0, 0.5, **FITTED)
     found = {r.name: r.h_eff for r in hamiltonian.effective_energy(metrics, fitted).collect()}
     assert {k: found[k] for k in EXPANDED} == {k: pytest.approx(v, rel=1e-8) for k, v in EXPANDED.items()}
