@@ -18,9 +18,9 @@ from polyseq.functions.residues import ALPHABET, STICKERS
 from polyseq.operators.sequences import let
 
 
-def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
-    """Normalised weights at -r to r, r = int(truncate * sigma + 0.5); one weight for sigma 0."""
-    r = int(truncate * sigma + 0.5) if sigma > 0 else 0
+def gaussian_weights(sigma: float, truncate: float = 4.0, radius: int | None = None) -> list[float]:
+    """Normalised weights at -r to r, r = int(truncate * sigma + 0.5) unless given; one weight for sigma 0."""
+    r = (int(truncate * sigma + 0.5) if radius is None else radius) if sigma > 0 else 0
     w = [math.exp(-0.5 * (d / sigma) ** 2) if d else 1.0 for d in range(-r, r + 1)]
     return [x / sum(w) for x in w]
 
@@ -49,13 +49,17 @@ def smoothed(values: Column, n: Column, weights: list[float], first: int | None
     return let(values, lambda v: let(_numbers(weights), lambda w: F.transform(F.sequence(F.lit(0), n - 1), lambda j: at(v, w, j))))
 
 
-def _soft_composition(idx: np.ndarray, weights: list[float]) -> np.ndarray:
-    """For each position the weights of the 20 residues around it, edges reflected."""
+EDGES = ("reflect", "clamp")
+
+
+def _soft_composition(idx: np.ndarray, weights: list[float], edges: str = "reflect") -> np.ndarray:
+    """For each position the weights of the 20 residues around it; beyond the edges the sequence is reflected, or its first and last residue go on (clamp)."""
     n, at = len(idx), np.arange(len(idx))
     out = np.zeros((n, len(ALPHABET)))
     for d, w in enumerate(weights, -(len(weights) // 2)):
         f = (at + d) % (2 * n)
-        out[at, idx[np.where(f < n, f, 2 * n - 1 - f)]] += w
+        near = np.where(f < n, f, 2 * n - 1 - f) if edges == "reflect" else np.clip(at + d, 0, n - 1)
+        out[at, idx[near]] += w
     return out
 
 
@@ -88,26 +92,30 @@ def _spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).repartition(n, "name")
 
 
-def map_rows(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0, sigma_j: float | None = None, mask: int | None = None, method: str = "energy") -> DataFrame:
+def map_rows(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0, sigma_j: float | None = None, mask: int | None = None, method: str = "energy", edges: str = "reflect") -> DataFrame:
     """The smoothed map (sigma 0: the raw one), a row for each position; sigma_j: another width along the rows.
 
     A map is S M T', S and T being the soft compositions by rows and by columns and M the energies; it is made and
     sent on some rows at a time, so a long sequence needs no more room than those and its compositions.
 
     mask: the band around the diagonal that is set to 0. method: zscore (population), minmax, symmetric (by the largest
-    absolute value) or energy (as it is), after masking; a flat map becomes zeros. Maps that are normalised are made
+    absolute value) or energy (as it is), after masking; a flat map becomes zeros. edges: reflect, with weights within
+    four sigma, or clamp, where the outermost residues go on and weights reach up to three sigma. Maps that are normalised are made
     twice, once for what they are scaled by, so that no map is shuffled.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    wi, wj, m = gaussian_weights(sigma), gaussian_weights(sigma if sigma_j is None else sigma_j), np.array(matrix)
+    if edges not in EDGES:
+        raise ValueError(f"unknown edges {edges}")
+    wi, wj = (gaussian_weights(s, radius=math.ceil(3 * s) if edges == "clamp" else None) for s in (sigma, sigma if sigma_j is None else sigma_j))
+    m = np.array(matrix)
     name_type = df.schema["name"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, seq in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 idx = _numbered(seq)
-                left, right = _soft_composition(idx, wi) @ m, _soft_composition(idx, wj).T
+                left, right = _soft_composition(idx, wi, edges) @ m, _soft_composition(idx, wj, edges).T
                 n, step = len(idx), max(1, 1_000_000 // max(len(idx), 1))
 
                 def block(k: int, left=left, right=right, n=n, step=step) -> np.ndarray:

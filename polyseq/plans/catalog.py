@@ -41,13 +41,14 @@ _RAW = f"""WITH {_seqs('benchmark', 'item_id')}, {_SITES}, {RESIDUES_SQL}, {FORC
 raw AS (SELECT a.name, a.n, a.i, b.i AS j, a.aa AS aa_i, b.aa AS aa_j, e FROM sites a JOIN sites b ON a.name = b.name JOIN ff ON aa_i = a.aa AND aa_j = b.aa)"""
 
 
-def _smooth(source: str, out: str, sigma_i: float, sigma_j: float) -> str:
-    """CTEs that smooth a map by rows and then by columns, with weights by (length, place, source)."""
+def _smooth(source: str, out: str, sigma_i: float, sigma_j: float, radius: int | None = None) -> str:
+    """CTEs that smooth a map by rows and then by columns, with weights by (length, place, source); edges reflected or, with a radius, clamped."""
     def kernel(sigma: float, name: str) -> str:
-        w = gaussian_weights(sigma)
+        w = gaussian_weights(sigma, radius=radius)
         values = ", ".join(f"({d - len(w) // 2}, {x!r}::DOUBLE)" for d, x in enumerate(w))
+        place = "((o + d) % (2*n) + 2*n) % (2*n)" if radius is None else "least(greatest(o + d, 0), n - 1)"
         return f"""{name} AS (SELECT n, o, CASE WHEN f < n THEN f ELSE 2*n-1-f END AS src, sum(w) AS w FROM (
-  SELECT n, o, w, ((o + d) % (2*n) + 2*n) % (2*n) AS f FROM (SELECT n, unnest(range(n))::INT AS o FROM (SELECT DISTINCT n FROM sites)), (VALUES {values}) AS k(d, w)) GROUP BY ALL)"""
+  SELECT n, o, w, {place} AS f FROM (SELECT n, unnest(range(n))::INT AS o FROM (SELECT DISTINCT n FROM sites)), (VALUES {values}) AS k(d, w)) GROUP BY ALL)"""
 
     return f"""{kernel(sigma_i, 'ki_' + out)}, {kernel(sigma_j, 'kj_' + out)},
 h_{out} AS (SELECT name, r.n, k.o AS i, j, sum(w * e) AS e FROM {source} r JOIN ki_{out} k ON k.n = r.n AND k.src = r.i GROUP BY ALL),
@@ -325,6 +326,12 @@ def map_smooth_aniso(spark, sf_dir):
     return x.select("name", "i", (F.aggregate("e", F.lit(0.0), lambda a, v: a + v) / F.col("n")).alias("mean"), F.array_min("e").alias("low"))
 
 
+@_register("map_smooth_clamped", f"{_RAW}, {_smooth('raw', 'm', 2.0, 2.0, 6)} {_ROW.format('m')}")
+def map_smooth_clamped(spark, sf_dir):
+    """The smoothing with weights up to three sigma, the outermost residues going on beyond the edges."""
+    return _row_digest(maps.map_rows(feeds.items(spark, sf_dir), energy_matrix(spark), edges="clamp"))
+
+
 _STATS = "SELECT name, {0}, {1}, {2}, {3} FROM z GROUP BY name".format(_r("avg(e)", "mean"), _r("stddev_pop(e)", "std"), _r("min(e)", "low"), _r("max(e)", "high"))
 for _method, _e in {"zscore": "CASE WHEN stddev_pop(e) OVER w < 1e-10 THEN 0 ELSE (e - avg(e) OVER w) / stddev_pop(e) OVER w END", "minmax": "CASE WHEN max(e) OVER w - min(e) OVER w < 1e-10 THEN 0 ELSE (e - min(e) OVER w) / (max(e) OVER w - min(e) OVER w) END", "symmetric": "CASE WHEN max(abs(e)) OVER w < 1e-10 THEN 0 ELSE e / max(abs(e)) OVER w END"}.items():
 

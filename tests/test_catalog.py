@@ -15,6 +15,7 @@ QUICK = (
     "map_raw", "delta_g", "diff_metrics", "graph_clustering", "auto_threshold", "energy_by_sep", "ham_gradient", "map_stats", "map_normalize_zscore", "map_normalize_minmax", "sticker_pair_dist",
     "percolation_curve", "persistence_diagrams", "betti_curves", "homology_metrics", "energy_distances", "sticker_betweenness", "topology_metrics", "graph_components", "graph_distances", "h_eff", "training_rows", "entropy_metrics", "map_slices", "value_bags", "pair_masks", "criteria_overlap",
     "slide_gauss", "base_variants", "residue_at", "numeric_mask", "ff_components", "ff_lookup", "ff_rows", "ff_ranking", "theta_composition", "delta_g_documents", "valency_documents", "linfit_delta_g", "profile_documents",
+    "map_smooth_clamped", "map_moments_documents", "chain_energy_documents", "total_energy_documents", "energy_uniform_documents", "theta_classes_documents", "theta_pairs_documents", "variant_differences", "diff_topk", "entropy_interaction", "graph_local_clustering", "entropy_degree",
 )
 
 

@@ -48,6 +48,20 @@ def test_normalised_maps(spark, wt, method):
     assert found["WT"][want[0]] == pytest.approx(want[1])
     with pytest.raises(ValueError):
         maps.map_rows(wt[0], energy_matrix(spark), method="other")
+    with pytest.raises(ValueError):
+        maps.map_rows(wt[0], energy_matrix(spark), edges="other")
+
+
+def test_clamped_edges(spark):
+    """Rows, then columns, each place weighted over seven sigma-thirds to both sides, outermost values going on; sigma 0 leaves the map."""
+    seq, m = "YGRDSWK", np.array(energy_matrix(spark))
+    df = spark.createDataFrame([("s", seq)], "name string, seq string")
+    idx = [ALPHABET.index(a) for a in seq]
+    raw = m[np.ix_(idx, idx)]
+    w = np.exp(-0.5 * (np.arange(-6, 7) / 2.0) ** 2)
+    smooth = np.array([[sum(w[k + 6] * (i == min(max(j + k, 0), 6)) for k in range(-6, 7)) / w.sum() for i in range(7)] for j in range(7)])
+    found = np.array([r.e for r in maps.map_rows(df, m.tolist(), edges="clamp").orderBy("i").collect()])
+    assert found == pytest.approx(smooth @ raw @ smooth.T) and np.array([r.e for r in maps.map_rows(df, m.tolist(), 0, edges="clamp").orderBy("i").collect()]) == pytest.approx(raw)
 
 
 def pairs(spark, d):
