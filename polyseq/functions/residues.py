@@ -18,6 +18,7 @@ AROMATICITY = {"F": 1.0, "H": 0.5, "W": 1.0, "Y": 0.9}
 CATIONICITY = {"H": 0.3, "K": 1.0, "R": 1.0}
 
 
+# The energies that results depend on.
 @dataclass(frozen=True)
 class ForceField:
     """Energies in kT."""
@@ -83,10 +84,15 @@ def stickiness(ff: DataFrame) -> DataFrame:
 
 #: The same tables for DuckDB.
 RESIDUES_SQL = "res(aa, idx, h, kd, q, ar, ca) AS (VALUES " + ", ".join(f"('{a}', {k}, {h}::DOUBLE, {kd}::DOUBLE, {q}, {ar}::DOUBLE, {ca}::DOUBLE)" for a, k, h, kd, q, ar, ca in residue_rows()) + ")"
-FORCE_FIELD_SQL = """ff AS (SELECT a.aa AS aa_i, b.aa AS aa_j, a.idx AS idx_i, b.idx AS idx_j,
-  (a.ar*b.ar*-0.65::DOUBLE + (a.ca*b.ar + b.ca*a.ar)*-0.5::DOUBLE
-   + CASE WHEN a.q*b.q < 0 THEN -0.3::DOUBLE WHEN a.q*b.q > 0 THEN 0.2::DOUBLE ELSE 0 END
-   + CASE WHEN a.h > 0.2 AND b.h > 0.2 THEN sqrt(a.h*b.h)*-0.15::DOUBLE ELSE 0 END
-   + CASE WHEN a.aa IN ('S','T','N','Q') AND b.aa IN ('S','T','N','Q') THEN -0.05::DOUBLE ELSE 0 END)
-   * CASE WHEN a.aa = 'G' OR b.aa = 'G' THEN 0.3::DOUBLE ELSE 1 END + CASE WHEN a.aa = 'P' OR b.aa = 'P' THEN 0.1::DOUBLE ELSE 0 END AS e
+def force_field_sql(p: ForceField = ForceField()) -> str:
+    """The table ff of DuckDB, from the table res."""
+    return f"""ff AS (SELECT a.aa AS aa_i, b.aa AS aa_j, a.idx AS idx_i, b.idx AS idx_j,
+  (a.ar*b.ar*{p.aromatic}::DOUBLE + (a.ca*b.ar + b.ca*a.ar)*{p.cation_pi}::DOUBLE
+   + CASE WHEN a.q*b.q < 0 THEN {p.attractive}::DOUBLE WHEN a.q*b.q > 0 THEN {p.repulsive}::DOUBLE ELSE 0 END
+   + CASE WHEN a.h > 0.2 AND b.h > 0.2 THEN sqrt(a.h*b.h)*{p.hydrophobic}::DOUBLE ELSE 0 END
+   + CASE WHEN a.aa IN ('S','T','N','Q') AND b.aa IN ('S','T','N','Q') THEN {p.polar}::DOUBLE ELSE 0 END)
+   * CASE WHEN a.aa = 'G' OR b.aa = 'G' THEN {p.glycine_factor}::DOUBLE ELSE 1 END + CASE WHEN a.aa = 'P' OR b.aa = 'P' THEN {p.proline_penalty}::DOUBLE ELSE 0 END AS e
   FROM res a, res b)"""
+
+
+FORCE_FIELD_SQL = force_field_sql()

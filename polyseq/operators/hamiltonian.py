@@ -114,21 +114,33 @@ def sensitivity(energies: DataFrame) -> DataFrame:
     return rows.select("x.term", F.when(F.col("h_eff") < 1e-15, 0.0).otherwise(F.col("x.s") / F.col("h_eff")).alias("sensitivity"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that ``df`` doesn't have; Spark's names know no case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for x in names:
+        while x.lower() in taken:
+            x += "_"
+        taken.add(x.lower())
+        out.append(x)
+    return out
+
+
 def average_ranks(df: DataFrame, column: str, by: str) -> DataFrame:
     """The column by's rank from 1, equal values sharing their mean rank, as ``column``.
 
     Values are counted, the counts dealt out by ranges of values, and each range ranked by itself; what lies below it
     is added from the ranges' sums, of which there is a row for each partition.
     """
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
-    ranged = counts.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).withColumn("__part", F.spark_partition_id())
-    own = Window.partitionBy("__part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    below = ranged.withColumn("__within", F.coalesce(F.sum("__n").over(own), F.lit(0)))
-    sums = ranged.groupBy("__part").agg(F.sum("__n").alias("__s"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"))  # a row for each partition
-    rank = below.join(F.broadcast(offsets), "__part").select(F.col(by).alias("__v"), (F.col("__off") + F.col("__within") + (F.col("__n") + 1) / 2).alias(column))
-    return df.join(rank, F.col(by) == F.col("__v")).drop("__v")
+    n, part, within, off, value, total_, rank = free_names(df, "n", "part", "within", "off", "value", "total", "rank")
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias(n))
+    ranged = counts.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).withColumn(part, F.spark_partition_id())
+    own = Window.partitionBy(part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    below = ranged.withColumn(within, F.coalesce(F.sum(n).over(own), F.lit(0)))
+    sums = ranged.groupBy(part).agg(F.sum(n).alias(total_))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(part, F.coalesce(F.sum(total_).over(before), F.lit(0)).alias(off))  # a row for each partition
+    ranks = below.join(F.broadcast(offsets), part).select(F.col(by).alias(value), (F.col(off) + F.col(within) + (F.col(n) + 1) / 2).alias(rank))
+    return df.join(ranks, F.col(by) == F.col(value)).withColumn(column, F.col(rank)).drop(value, rank)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -39,12 +39,6 @@ def blocks(seq: Column, residues: str = STICKERS) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"[{residues}]+|[^{residues}]+"), F.lit(0))
 
 
-def linker_lengths(seq: Column, residues: str = STICKERS) -> Column:
-    """Lengths of the runs between stickers; what stands before the first or after the last doesn't count."""
-    inner = F.regexp_replace(seq, f"^[^{residues}]+|[^{residues}]+$", "")
-    return F.transform(F.regexp_extract_all(inner, F.lit(f"[^{residues}]+"), F.lit(0)), F.length)
-
-
 def let(value: Column, f) -> Column:
     """f(value), the value being computed once, however often f or a lambda in it uses it."""
     return F.get(F.transform(F.array(value), lambda x: f(x)), 0)
@@ -78,6 +72,25 @@ def flat_parts(seqs: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
+def linker_lengths(seq: Column, residues: str = STICKERS) -> Column:
+    """Lengths of the runs between stickers, from one pass over the sequence; what stands before the first or after the last doesn't count."""
+    among = np.isin(np.arange(256), list(residues.encode()))
+
+    @F.arrow_udf("array<int>")
+    def gaps(seqs: pa.Array) -> pa.Array:
+        found, counts = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for _, flat, sizes in flat_parts(seqs):
+            at = np.flatnonzero(among[flat])
+            owner = np.searchsorted(np.cumsum(sizes), at, side="right")
+            gap = np.diff(at) - 1
+            keep = (gap > 0) & (owner[1:] == owner[:-1])
+            found.append(gap[keep])
+            counts.append(np.bincount(owner[:-1][keep], minlength=len(sizes)))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
+
+    return gaps(seq)
+
+
 def residue_counts(seq: Column) -> Column:
     """How often each residue of the alphabet occurs, as an array in its order, from one pass over the sequence."""
 
