@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
@@ -204,6 +204,33 @@ def write_bucketed(df: DataFrame, what: str) -> DataFrame:
     return spark.table(name)
 
 
+#: Words of 64 bits of a sieve, which is broadcast: 16 MB of rows at most, however many keys it is made of.
+SIEVE_WORDS = 1 << 20
+
+
+def sift(df: DataFrame, key: Column, wanted: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """``df`` and whether a row's ``key``, a 64-bit hash, may be among those of ``wanted``, whose ``column`` has hashes of the same kind.
+
+    A row whose key isn't among them nearly always passes the sieve, whose size is fixed, and needn't move to be told
+    apart from the others; only rows that may be go into an exact join. So one plan serves any number of keys: with
+    very many the sieve fills up, and more rows move, but none is told wrongly. ``df`` gets a column; select it away.
+    """
+    where = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(SIEVE_WORDS - 1))
+    one = lambda h: F.element_at(F.array(*[F.lit((1 << b) - (1 << 64) * (b == 63)) for b in range(64)]), F.shiftrightunsigned(h, 58).cast("int") + 1)
+    bits, word = fresh(df, "sieve_bits", "sieve_word")
+    sieve = wanted.groupBy(where(F.col(column)).alias(word)).agg(F.bit_or(one(F.col(column))).alias(bits))
+    sifted = df.join(F.broadcast(sieve), where(key) == F.col(word), "left").drop(word)
+    return sifted, F.coalesce(F.col(bits).bitwiseAND(one(key)) != 0, F.lit(False))
+
+
+def rows_without(df: DataFrame, key: Column, gone: DataFrame, column: str, same: Column | None = None) -> DataFrame:
+    """The rows of ``df`` whose key isn't among ``gone``, whose columns have names that ``df`` hasn't; same: the exact condition, by default equal hashes. Rows that stay don't move but for a few that the sieve takes for others."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    sifted, may = sift(df, key, gone, column)
+    rest = sifted.filter(may).join(gone, (key == F.col(column)) if same is None else same, "left_anti")
+    return sifted.filter(~may).select(*columns).union(rest.select(*columns))
+
+
 def new_block() -> int:
     """A number for a block of rows; blocks are written as soon as they are made, so it needn't come out alike again."""
     return uuid.uuid4().int >> 65

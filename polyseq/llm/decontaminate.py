@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import fresh, lower_az, stage
+from polyseq.llm._shared import fresh, lower_az, rows_without, sift, stage
 
 #: What lies between words: ASCII characters but letters and digits.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -104,10 +104,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = stage(found.groupBy("doc_id", "text_hash").agg(F.collect_set("fp").alias("fps")), "candidates")
 
     # extend: compare the words of each window that holds a fingerprint found on both sides
-    n_found, n_fps = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("fps")), F.lit(0))).first()
-    near = _small(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "fps"), max(n_found, n_fps // 4))
+    near = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "fps")
     texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("__text"))
-    near = texts.join(near, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    texts, may = sift(texts, F.xxhash64("doc_id", "text_hash"), found.select(F.xxhash64("doc_id", "text_hash").alias("key")), "key")  # other texts don't move
+    near = texts.filter(may).join(near, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
     near = near.select("doc_id", "text_hash", "fps", _words(F.col("__text")).alias("raw"))
     near = near.select("doc_id", "text_hash", "fps", F.transform("raw", lower_az).alias("words"), _word_hashes(F.col("raw")).alias("hashes"))
     near = near.select("*", *[_grams(F.col("hashes"), t).alias(f"grams{t}") for t in lengths])
@@ -137,9 +137,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Items shorter than the span are windows of their own in :func:`find_overlaps`; those of fewer than ``least_words``
     drop nothing here, as so few words may occur anywhere. Other options, nulls, repeated rows and empty tables as
-    there. Texts move only if the rows that go are more than BROADCAST_ROWS.
+    there. Rows that stay don't move but for those few that a sieve of fixed size takes for others.
     """
     long = F.size(F.filter("hits", lambda x: x["t"] >= least_words)) > 0
-    own, of = fresh(docs, "bad_id", "bad_hash")
-    bad = stage(find_overlaps(docs, benchmark, id_col, text_col, **options).filter(long).select(F.col("doc_id").alias(own), F.col("text_hash").alias(of)).distinct(), "contaminated")
-    return docs.join(_small(bad, bad.count()), docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text_col]) == F.col(of)), "left_anti")
+    own, of, key = fresh(docs, "bad_id", "bad_hash", "bad_key")
+    bad = find_overlaps(docs, benchmark, id_col, text_col, **options).filter(long).select(F.col("doc_id").alias(own), F.col("text_hash").alias(of)).distinct()
+    bad = stage(bad.withColumn(key, F.xxhash64(own, of)), "contaminated")
+    text_hash = F.xxhash64(docs[text_col])
+    return rows_without(docs, F.xxhash64(docs[id_col], text_hash), bad, key, docs[id_col].eqNullSafe(F.col(own)) & (text_hash == F.col(of)))

@@ -15,11 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import fresh, stage
+from polyseq.llm._shared import fresh, sift, stage
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Rows of a digest from which it is a winner; most (id, digest) pairs that are broadcast.
-LEAST_COPIES, BROADCAST_ROWS = 16, 200_000
+#: Rows of a digest from which it is a winner.
+LEAST_COPIES = 16
 
 
 def text_digest(text: Column) -> Column:
@@ -84,9 +84,9 @@ def group_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
     """The rows of ``df`` that :func:`group_copies` keeps, with all their columns, whatever the names of these.
 
-    Rows of the winners are decided where they lie. What goes of the others comes back as (id, digest), broadcast up
-    to BROADCAST_ROWS of them, so that texts move only beyond that. Rows that agree in id and digest are made one. An
-    empty table gives an empty one.
+    Rows of the winners are decided where they lie. Of the others those that go are known by (id, digest): a sieve of
+    these, of fixed size, tells most rows that stay, which don't move; the rest is joined. Rows that agree in id and
+    digest are made one. An empty table gives an empty one.
     """
     rows, winners, others = _parts(df, id_col, text_col, counters)
     again = (F.count(F.lit(1)) > 1).alias("again")
@@ -94,8 +94,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     hot = stage(first.groupBy("digest").agg(F.first("doc_id").alias("doc_id"), again), "hot")  # a row for each winner
     told = others.groupBy("doc_id", "digest").agg(F.max(F.col("rid") == F.col("first.rid")).alias("kept"), again)
     told = stage(told.filter("again or not kept"), "told")
-    n_told, n_again = told.agg(F.count(F.lit(1)), F.count_if(F.col("again") & F.col("kept"))).first()
-    n_again += hot.filter("again").count()
+    n_again = told.filter("again and kept").count() + hot.filter("again").count()
 
     digest, *names = fresh(df, "digest", "hot_id", "hot_digest", "hot_again", "told_id", "told_digest", "told_again", "told_kept")
     hot_id, hot_digest, hot_again, told_id, told_digest, told_again, told_kept = map(F.col, names)
@@ -103,7 +102,10 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     own, of = F.col(f"`{id_col}`"), F.col(digest)
     x = x.join(F.broadcast(hot.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "digest", "again"), names[:3], strict=True)])), of == hot_digest, "left")
     told = told.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "digest", "again", "kept"), names[3:], strict=True)])
-    x = x.join(F.broadcast(told) if n_told <= BROADCAST_ROWS else told, own.eqNullSafe(told_id) & (of == told_digest), "left")
+    (key,) = fresh(x, "told_key")
+    x, may = sift(x, F.xxhash64(own, of), told.select(F.xxhash64(told_id, told_digest).alias(key)), key)
+    passed = x.filter(~may).select("*", *[F.lit(None).cast(t).alias(c) for c, t in told.dtypes])
+    x = passed.union(x.filter(may).join(told, own.eqNullSafe(told_id) & (of == told_digest), "left"))
     x = x.filter(F.when(hot_digest.isNotNull(), own.eqNullSafe(hot_id)).otherwise(F.coalesce(told_kept, F.lit(True))))
     columns = [F.col(f"`{c}`") for c in df.columns]
     if not n_again:

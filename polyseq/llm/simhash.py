@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from polyseq.llm._shared import LOWER_AZ, fresh, mix, partitions_for, stage, text_bytes, word_hashes
+from polyseq.llm._shared import LOWER_AZ, fresh, mix, partitions_for, rows_without, sift, stage, text_bytes, word_hashes
 
 BITS, BYTES, MOST_BITS = 64, 8, 2
 #: The least number of positional bytes that a link shares.
@@ -360,7 +360,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         a, b = (sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
         left = stage(stage(few, "few").join(a, "u").join(b, "v").filter(_may_be_similar(least)("sketch_u", "sketch_v", "n_u", "n_v")).select("u", "v"), "left")
         wanted = nodes.join(left.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "set").select("node", "set")
-        texts = rows.select("node", "text").join(_small(stage(wanted, "wanted")), "node").dropDuplicates(["set"]).select("set", "text")
+        wanted = stage(wanted, "wanted")
+        likely, may = sift(rows.select("node", "text"), F.col("node"), wanted, "node")
+        texts = likely.filter(may).select("node", "text").join(wanted, "node").dropDuplicates(["set"]).select("set", "text")
         sets = stage(texts.mapInArrow(_shingle_bytes(shingle), "set long, shingles binary"), "shingles")
         a, b = (sets.select(F.col("set").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "uv")
         return stage(left.join(a, "u").join(b, "v").filter(_jaccard()("shingles_u", "shingles_v") >= least).select("u", "v"), "alike")
@@ -392,12 +394,12 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``df`` whose id is the smallest of their group by :func:`similar_groups`, with all their columns.
 
     A null id comes after all others. Rows alike in id and text stay or go together. Null texts are alike with those
-    without words. Columns may have any names; an empty table gives an empty one. Texts move only if the rows that go
-    are more than BROADCAST_ROWS.
+    without words. Columns may have any names; an empty table gives an empty one. Rows that stay don't move but for
+    those few that a sieve of fixed size takes for others.
     """
     groups = stage(similar_groups(df, id_col, text_col, shingle, least), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
     kept = groups.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("component", F.col("first.node").alias("stays"))
     (node,) = fresh(df, "node")
     gone = stage(groups.join(kept, "component").filter("node != stays").select(F.col("node").alias(node)), "gone")
-    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.xxhash64(df[id_col], df[text_col]) == F.col(node), "left_anti")
+    return rows_without(df, F.xxhash64(df[id_col], df[text_col]), gone, node)

@@ -113,3 +113,20 @@ def test_bpe_cells_over_several_batches(spark):
     assert len(found) == len(texts) and all(r.ids == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids and r.text == texts[r.doc_id] for r in found)
 
 
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_sieves_of_any_filling_drop_the_same_rows(spark, clashing, monkeypatch, words):
+    """A sieve so small that every row may be among those that go, and one that lets nearly all others pass."""
+    from polyseq.llm import _shared
+
+    monkeypatch.setattr(_shared, "SIEVE_WORDS", words)
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a text of its own, number "), F.col("id") % 2000, F.lit(" of many with words "), F.col("id") % 2000).alias("text"))
+    kept = exact_dedup.drop_copies(many, counters=4)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(2000))
+    gone = many.filter("doc_id % 3 = 0").select(F.xxhash64("doc_id").alias("h"))
+    left = _shared.rows_without(many, F.xxhash64(many["doc_id"]), gone, "h")
+    assert left.columns == many.columns and sorted(r.doc_id for r in left.collect()) == [k for k in range(3000) if k % 3]
+    bench = spark.createDataFrame([(1, "number 7 of many with words 7")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(many, bench).collect()) == [k for k in range(3000) if k % 2000 != 7]
+    held(exact_dedup.drop_copies(clashing, counters=4), clashing.columns)
