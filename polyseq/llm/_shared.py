@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged in here go when it is left, but for those that outlive it; what is made lazily from them must be staged before."""
+    _scratch.append([])
+    try:
+        yield
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _scratch[-1]):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    finally:
+        _scratch.pop()
+
+
+def stage(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and fixes row ids and the grouping of rows
-    into blocks, so that a task that runs again sees what the first one saw.
+    into blocks, so that a task that runs again sees what the first one saw. outlives: beyond the :func:`scratch` that
+    this is in, up to the one around that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/polyseq-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    depth = len(_scratch) - (2 if outlives else 1)
+    if depth >= 0:
+        _scratch[depth].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

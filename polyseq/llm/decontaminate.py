@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import fresh, lower_az, rows_without, sift, stage
+from polyseq.llm._shared import fresh, lower_az, rows_without, scratch, sift, stage
 
 #: What lies between words: ASCII characters but letters and digits.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -141,7 +141,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """
     long = F.size(F.filter("hits", lambda x: x["t"] >= least_words)) > 0
     own, of, key = fresh(docs, "bad_id", "bad_hash", "bad_key")
-    bad = find_overlaps(docs, benchmark, id_col, text_col, **options).filter(long).select(F.col("doc_id").alias(own), F.col("text_hash").alias(of)).distinct()
-    bad = stage(bad.withColumn(key, F.xxhash64(own, of)), "contaminated")
+    with scratch(docs.sparkSession):
+        bad = find_overlaps(docs, benchmark, id_col, text_col, **options).filter(long).select(F.col("doc_id").alias(own), F.col("text_hash").alias(of)).distinct()
+        bad = stage(bad.withColumn(key, F.xxhash64(own, of)), "contaminated", outlives=True)
     text_hash = F.xxhash64(docs[text_col])
     return rows_without(docs, F.xxhash64(docs[id_col], text_hash), bad, key, docs[id_col].eqNullSafe(F.col(own)) & (text_hash == F.col(of)))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import fresh, sift, stage
+from polyseq.llm._shared import fresh, scratch, sift, stage
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows of a digest from which it is a winner.
@@ -88,12 +88,13 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     these, of fixed size, tells most rows that stay, which don't move; the rest is joined. Rows that agree in id and
     digest are made one. An empty table gives an empty one.
     """
-    rows, winners, others = _parts(df, id_col, text_col, counters)
-    again = (F.count(F.lit(1)) > 1).alias("again")
-    first = rows.join(F.broadcast(winners), "digest").filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    hot = stage(first.groupBy("digest").agg(F.first("doc_id").alias("doc_id"), again), "hot")  # a row for each winner
-    told = others.groupBy("doc_id", "digest").agg(F.max(F.col("rid") == F.col("first.rid")).alias("kept"), again)
-    told = stage(told.filter("again or not kept"), "told")
+    with scratch(df.sparkSession):
+        rows, winners, others = _parts(df, id_col, text_col, counters)
+        again = (F.count(F.lit(1)) > 1).alias("again")
+        first = rows.join(F.broadcast(winners), "digest").filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+        hot = stage(first.groupBy("digest").agg(F.first("doc_id").alias("doc_id"), again), "hot", outlives=True)  # a row for each winner
+        told = others.groupBy("doc_id", "digest").agg(F.max(F.col("rid") == F.col("first.rid")).alias("kept"), again)
+        told = stage(told.filter("again or not kept"), "told", outlives=True)
     n_again = told.filter("again and kept").count() + hot.filter("again").count()
 
     digest, *names = fresh(df, "digest", "hot_id", "hot_digest", "hot_again", "told_id", "told_digest", "told_again", "told_kept")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import fresh, mix, stage, word_hashes
+from polyseq.llm._shared import fresh, mix, scratch, stage, word_hashes
 
 #: Buckets of n-grams, and labelled texts to learn from, about.
 BUCKETS, SAMPLE = 1 << 18, 40_000
@@ -168,10 +168,12 @@ def _threshold(keys: DataFrame, model: Model, k: int | None) -> float:
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, k: int | None = None) -> DataFrame:
     """The rows of ``df`` that :func:`judge` keeps, with all their columns, whatever the names of these; each row's key is made anew, so no text moves."""
-    model = fit(df, labels, id_col, text_col, label_col, sample)
+    with scratch(df.sparkSession):
+        model = fit(df, labels, id_col, text_col, label_col, sample)
     if model is None:
         return df
     ratio, key = fresh(df, "log_ratio", "key")
     keyed = _keyed(df, model, id_col, text_col, ratio, key)
-    keys = stage(keyed.select(F.col(ratio).alias("log_ratio"), F.col(key).alias("key")), "keys")
-    return keyed.filter(F.col(key) >= _threshold(keys, model, k)).select(*[F.col(f"`{c}`") for c in df.columns])
+    with scratch(df.sparkSession):
+        least = _threshold(stage(keyed.select(F.col(ratio).alias("log_ratio"), F.col(key).alias("key")), "keys"), model, k)
+    return keyed.filter(F.col(key) >= least).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from polyseq.llm._shared import LOWER_AZ, fresh, mix, partitions_for, rows_without, sift, stage, text_bytes, word_hashes
+from polyseq.llm._shared import LOWER_AZ, fresh, mix, partitions_for, rows_without, scratch, sift, stage, text_bytes, word_hashes
 
 BITS, BYTES, MOST_BITS = 64, 8, 2
 #: The least number of positional bytes that a link shares.
@@ -344,28 +344,32 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("doc_id"), F.xxhash64(df[id_col], df[text_col]).alias("node"), df[text_col].alias("text"))
     prefixes = _prefixes(shingle, least, _frequencies(rows, shingle))
-    prints = stage(rows.mapInArrow(prefixes, f"doc_id {kind}, node long, set long, n int, sketch binary, folded array<long>, first array<long>"), "prefixes")
-    listed = prints.select("set", F.explode("first").alias("h"))
-    lists = stage(listed.groupBy("h").agg(F.min("set").alias("u"), F.max("set").alias("v"), F.count(F.lit(1)).alias("n")).filter("u != v"), "lists")
-    listed = stage(_members(listed, lists.filter("n > 2").select("h", "n")), "listed")
+    with scratch(df.sparkSession):
+        prints = stage(rows.mapInArrow(prefixes, f"doc_id {kind}, node long, set long, n int, sketch binary, folded array<long>, first array<long>"), "prefixes")
+        of = stage(prints.select("doc_id", "node", "set").distinct(), "of", outlives=True)
+        listed = prints.select("set", F.explode("first").alias("h"))
+        lists = stage(listed.groupBy("h").agg(F.min("set").alias("u"), F.max("set").alias("v"), F.count(F.lit(1)).alias("n")).filter("u != v"), "lists", outlives=True)
+        listed = stage(_members(listed, lists.filter("n > 2").select("h", "n")), "listed", outlives=True)
+        nodes = stage(prints.groupBy("set").agg(F.min("node").alias("node"), F.min("n").alias("n")), "sets", outlives=True)  # one text of each set
+        sketches = prints.join(nodes.select("node"), "node", "left_semi").select("set", "n", "sketch", "folded").dropDuplicates(["set"])
+        sketches = stage(sketches, "sketches", outlives=True)
     n_listed = listed.count()
     scores = listed.groupBy("set").agg(F.sum("n").alias("score"))
-    nodes = stage(prints.groupBy("set").agg(F.min("node").alias("node"), F.min("n").alias("n")), "sets")  # one text of each set
-    sketches = stage(prints.join(nodes.select("node"), "node", "left_semi").select("set", "n", "sketch", "folded").dropDuplicates(["set"]), "sketches")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs of sets that are similar."""
-        a, b = (sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("folded").alias(f"folded_{k}")) for k in "uv")
-        few = pairs.join(a, "u").join(b, "v").filter(_may_by_folded(least, *({c: F.col(f"{c}_{k}") for c in ("n", "folded")} for k in "uv"))).select("u", "v")
-        a, b = (sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
-        left = stage(stage(few, "few").join(a, "u").join(b, "v").filter(_may_be_similar(least)("sketch_u", "sketch_v", "n_u", "n_v")).select("u", "v"), "left")
-        wanted = nodes.join(left.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "set").select("node", "set")
-        wanted = stage(wanted, "wanted")
-        likely, may = sift(rows.select("node", "text"), F.col("node"), wanted, "node")
-        texts = likely.filter(may).select("node", "text").join(wanted, "node").dropDuplicates(["set"]).select("set", "text")
-        sets = stage(texts.mapInArrow(_shingle_bytes(shingle), "set long, shingles binary"), "shingles")
-        a, b = (sets.select(F.col("set").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "uv")
-        return stage(left.join(a, "u").join(b, "v").filter(_jaccard()("shingles_u", "shingles_v") >= least).select("u", "v"), "alike")
+        with scratch(df.sparkSession):
+            a, b = (sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("folded").alias(f"folded_{k}")) for k in "uv")
+            few = pairs.join(a, "u").join(b, "v").filter(_may_by_folded(least, *({c: F.col(f"{c}_{k}") for c in ("n", "folded")} for k in "uv"))).select("u", "v")
+            a, b = (sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
+            left = stage(stage(few, "few").join(a, "u").join(b, "v").filter(_may_be_similar(least)("sketch_u", "sketch_v", "n_u", "n_v")).select("u", "v"), "left")
+            wanted = nodes.join(left.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "set").select("node", "set")
+            wanted = stage(wanted, "wanted")
+            likely, may = sift(rows.select("node", "text"), F.col("node"), wanted, "node")
+            texts = likely.filter(may).select("node", "text").join(wanted, "node").dropDuplicates(["set"]).select("set", "text")
+            sets = stage(texts.mapInArrow(_shingle_bytes(shingle), "set long, shingles binary"), "shingles")
+            a, b = (sets.select(F.col("set").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "uv")
+            return stage(left.join(a, "u").join(b, "v").filter(_jaccard()("shingles_u", "shingles_v") >= least).select("u", "v"), "alike", outlives=True)
 
     tried: list[DataFrame] = []
     found = None
@@ -386,7 +390,6 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = stage(components(links if found is None else links.union(found.select(F.col("label").alias("u"), "v"))), "found")
         if last:
             break
-    of = prints.select("doc_id", "node", "set").distinct()
     return of.join(found.withColumnRenamed("v", "set"), "set", "left").select("doc_id", "node", F.coalesce("label", "set").alias("component"))
 
 
@@ -397,9 +400,10 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without words. Columns may have any names; an empty table gives an empty one. Rows that stay don't move but for
     those few that a sieve of fixed size takes for others.
     """
-    groups = stage(similar_groups(df, id_col, text_col, shingle, least), "groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
-    kept = groups.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("component", F.col("first.node").alias("stays"))
     (node,) = fresh(df, "node")
-    gone = stage(groups.join(kept, "component").filter("node != stays").select(F.col("node").alias(node)), "gone")
+    with scratch(df.sparkSession):
+        groups = stage(similar_groups(df, id_col, text_col, shingle, least), "groups")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+        kept = groups.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("component", F.col("first.node").alias("stays"))
+        gone = stage(groups.join(kept, "component").filter("node != stays").select(F.col("node").alias(node)), "gone", outlives=True)
     return rows_without(df, F.xxhash64(df[id_col], df[text_col]), gone, node)
