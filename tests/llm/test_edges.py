@@ -130,3 +130,30 @@ def test_sieves_of_any_filling_drop_the_same_rows(spark, clashing, monkeypatch,
     bench = spark.createDataFrame([(1, "number 7 of many with words 7")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(many, bench).collect()) == [k for k in range(3000) if k % 2000 != 7]
     held(exact_dedup.drop_copies(clashing, counters=4), clashing.columns)
+
+
+def test_steps_leave_only_the_tables_that_their_result_reads(spark, clashing):
+    from pathlib import Path
+
+    from polyseq.llm._shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    bench = spark.createDataFrame([(7, "four five six seven")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (5, 0), (2, 1)], "doc_id long, quality int")
+    for run, names in (
+        (lambda: simhash.drop_similar(clashing), {"gone"}), (lambda: exact_dedup.drop_copies(clashing, counters=4), {"hot", "told"}),
+        (lambda: decontaminate.drop_contaminated(clashing, bench), {"contaminated"}), (lambda: quality.keep_good(clashing, labels, sample=1000), set()),
+    ):
+        before = {p.name for p in folder.iterdir()}
+        df = run()
+        left = {p.name.removeprefix("polyseq-").rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before and p.name.startswith("polyseq-")}
+        assert left == names
+        df.collect()
+
+
+def test_a_failing_step_closes_its_scratch(spark):
+    from polyseq.llm import _shared
+
+    with pytest.raises(ValueError), _shared.scratch(spark):
+        raise ValueError
+    assert not _shared._scratch
