@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are the 1-, 2- and 3-grams of the bytes of the lower-cased text, digits and ASCII marks as one space, hashed
-into a fixed number of buckets; a feature's value is its share of the text's n-grams times its inverse document
+Features are the 1-, 2- and 3-grams of the characters (code points) of the text, case folded, ASCII digits and marks as
+spaces, hashed into a fixed number of buckets; a feature's value is its share of the text's n-grams times its inverse document
 frequency over all training texts. Follow-the-regularised-leader with elastic-net penalties fits the weights on a
 bounded sample of training texts, most of which are left at zero; a part of the sample, not used in the fit, sets
 the temperature that the scores are divided by.
@@ -18,15 +18,41 @@ from pyspark.sql import functions as F
 
 from polyseq.llm._shared import flat_text, mix
 
-#: Buckets of n-grams; orders of n-grams; training texts that the weights are fitted on, about; least of a language, if it has them.
-BUCKETS, ORDERS, SAMPLE, LEAST = 1 << 16, (1, 2, 3), 4000, 100
+#: Buckets of n-grams; orders of n-grams; training texts that the weights are fitted on, about; least of a language, if it has them; most languages.
+BUCKETS, ORDERS, SAMPLE, LEAST, LANGS = 1 << 16, (1, 2, 3), 4000, 100, 128
 UNKNOWN = "und"
 #: Shares are taken in parts of so many, which keeps values near one.
 PER = 100
-_FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)], np.uint8)
 _LETTER = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
-#: U+00C0 to U+00DE are capitals of U+00E0 to U+00FE: the byte after 0xC3 is 0x20 less.
-_CAPITAL = np.array([0x80 <= b <= 0x9E and b != 0x97 for b in range(256)])
+#: Code points from here on have no case.
+_CASED = 0x1E944
+
+
+def _fold_table() -> np.ndarray:
+    """For each code point that may have case the one that it folds to, where that is a single one; ASCII but for letters becomes a space."""
+    out = np.arange(_CASED, dtype=np.uint64)
+    for k in range(_CASED):
+        folds = [x for x in (chr(k).casefold(), chr(k).lower()) if len(x) == 1]
+        out[k] = 0x20 if k < 0x80 and not chr(k).isalpha() else ord(folds[0]) if folds else k
+    return out
+
+
+_FOLD = _fold_table()
+
+
+def characters(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The folded code points of texts that lie end to end as UTF-8, and the n + 1 offsets into these."""
+    first = (flat & 0xC0) != 0x80
+    at = np.flatnonzero(first)
+    padded = np.concatenate([flat, np.zeros(3, np.uint8)])
+    lead = padded[at].astype(np.uint64)
+    size = 1 + (lead >= 0xC0).astype(int) + (lead >= 0xE0) + (lead >= 0xF0)
+    code = np.where(size == 1, lead, lead & np.array([0, 0x7F, 0x1F, 0x0F, 0x07], np.uint64)[size])
+    for k in (1, 2, 3):
+        code = np.where(size > k, (code << np.uint64(6)) | (padded[at + k] & 0x3F).astype(np.uint64), code)
+    cased = code < _CASED
+    code[cased] = _FOLD[code[cased].astype(np.int64)]
+    return code, np.concatenate([[0], np.cumsum(first)])[offsets]
 
 
 def _grams(flat: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -34,17 +60,14 @@ def _grams(flat: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 21) -> Itera
     at = 0
     while at < len(offsets) - 1:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, side="right")) - 1)
-        raw = flat[offsets[at] : offsets[to]]
-        text = _FOLD[raw].astype(np.uint64)
-        if len(raw) > 1:
-            text[1:][(raw[:-1] == 0xC3) & _CAPITAL[raw[1:]]] += np.uint64(0x20)
-        doc = np.repeat(np.arange(to - at), np.diff(offsets[at : to + 1]))
+        text, cuts = characters(flat[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        doc = np.repeat(np.arange(to - at), np.diff(cuts))
         code, buckets, docs = np.zeros(len(text), np.uint64), [], []
         for n in range(1, max(ORDERS) + 1):
-            code = (code[: len(text) - n + 1] << np.uint64(8)) | text[n - 1 :] if n > 1 else text
+            code = (code[: len(text) - n + 1] << np.uint64(21)) | text[n - 1 :] if n > 1 else text
             if n in ORDERS and len(code):
                 same = doc[: len(code)] == doc[n - 1 :]
-                buckets.append((mix(code + np.uint64(n << 56)) % np.uint64(BUCKETS)).astype(np.int32)[same])
+                buckets.append((mix(mix(code) + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int32)[same])
                 docs.append(doc[: len(code)][same])
         none = np.zeros(0, np.int64)
         yield at, to, np.concatenate(buckets or [none]), np.concatenate(docs or [none])
@@ -56,17 +79,8 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     found, rows = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
         rows += batch.num_rows
-        for _, to, buckets, docs in _grams(*flat_text(batch.column(0))):
-            present = np.zeros((64, BUCKETS), bool)
-            first = 0
-            order = np.argsort(docs, kind="stable")
-            buckets, docs = buckets[order], docs[order]
-            while first < len(docs):  # 64 texts at a time
-                end = int(np.searchsorted(docs, docs[first] + 64))
-                present[docs[first:end] - docs[first], buckets[first:end]] = True
-                found += present.sum(axis=0)
-                present[:] = False
-                first = end
+        for _, _, buckets, docs in _grams(*flat_text(batch.column(0))):
+            found += np.bincount(np.unique(docs * BUCKETS + buckets) % BUCKETS, minlength=BUCKETS)
     at = np.flatnonzero(found)
     yield pa.record_batch({"bucket": pa.array(np.append(at, -1), pa.int64()), "n": pa.array(np.append(found[at], rows), pa.int64())})
 
@@ -158,10 +172,11 @@ def _sampled(rows: DataFrame, sample: int) -> DataFrame:
     """The rows (text, key, lang) to fit the weights on: of each language those with the lowest keys, 2 ** 63 being added to keys.
 
     About ``sample`` in all, in proportion, but about LEAST of each language if it has them, and the lowest key of
-    each at least. Rows alike in key and language are one, with their number as times. The driver gets a row for each
-    language.
+    each at least. Rows alike in key and language are one, with their number as times. The LANGS most frequent values
+    of lang are learned, of equals the first; others, as of a dirty column, are never predicted. The driver gets a
+    row for each language.
     """
-    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low")).collect()
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
     total = sum(r.n for r in langs)
     cut = lambda r: max(r.low, min((1 << 63) - 1, int(min(1.0, max(sample / total, LEAST / r.n)) * (1 << 64)) - (1 << 63)))
     cuts = rows.sparkSession.createDataFrame([(r.lang, cut(r)) for r in langs], "lang string, cut long")
@@ -173,8 +188,8 @@ def fit(df: DataFrame, lang: Column, order: Column, text_col: str = "text", samp
     """Learn from the texts of ``df`` whose ``lang`` isn't null; None if there are none.
 
     Document frequencies come from all of them. The weights are fitted on those whose ``order``, a 64-bit hash of the
-    row, is among the lowest of their language, about ``sample`` of them (never over twice as many; all, if there are
-    no more); every tenth of a language sets the temperature only. Repeated rows are held once and fitted in proportion to
+    row, is among the lowest of their language, about ``sample`` of them and LEAST of each of LANGS languages at most
+    (all, if there are no more); every tenth of a language sets the temperature only. Repeated rows are held once and fitted in proportion to
     their number.
     """
     rows = df.select(df[text_col].alias("text"), order.alias("key"), lang.alias("lang")).filter("text is not null and lang is not null")
@@ -185,7 +200,7 @@ def fit(df: DataFrame, lang: Column, order: Column, text_col: str = "text", samp
     idf = np.log((1 + n_texts) / (1 + seen)) + 1
     if not n_texts:
         return None
-    first = _sampled(rows, sample).limit(2 * sample).mapInArrow(_vectors, "key long, lang string, times long, buckets array<int>, shares array<float>").toArrow().sort_by("key")
+    first = _sampled(rows, sample).mapInArrow(_vectors, "key long, lang string, times long, buckets array<int>, shares array<float>").toArrow().sort_by("key")
     langs = sorted(set(first["lang"].to_pylist()))
     y = np.array([langs.index(x) for x in first["lang"].to_pylist()])
     cols = [np.append(x.values.to_numpy(), BUCKETS) for x in first["buckets"]]

@@ -157,3 +157,25 @@ def test_a_failing_step_closes_its_scratch(spark):
     with pytest.raises(ValueError), _shared.scratch(spark):
         raise ValueError
     assert not _shared._scratch
+
+
+def test_languages_of_other_scripts_in_either_case(spark):
+    """Cyrillic and Greek, learned in small letters and met in capitals."""
+    rng = np.random.default_rng(6)
+    pools = {"ru": "что это было для всех них потому ещё жизнь".split(), "bg": "какво това беше за всички тях защото още живот".split(), "el": "και αυτό ήταν για όλους επειδή ζωή λόγος".split()}
+    rows = [(k, " ".join(rng.choice(pools[x], 25)), x) for k, x in enumerate(list(pools) * 150)]
+    shouted = [(100_000 + k, t.upper(), None) for k, t, _ in rows[:90]]
+    found = {r.doc_id: r for r in lang_id.identify(spark.createDataFrame(rows + shouted, "doc_id long, text string, lang string")).collect()}
+    assert all(found[k].lang_pred == x for k, _, x in rows if found[k].held_out)
+    assert all(found[100_000 + k].lang_pred == x for k, _, x in rows[:90])
+
+
+def test_many_languages_and_a_dirty_column(spark):
+    """A hundred and twenty languages are all learned; of more values than LANGS the rarest aren't."""
+    rng = np.random.default_rng(9)
+    pools = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60)) for _ in range(120)]
+    words = [[p[k : k + 5] for k in range(0, 60, 5)] for p in pools]
+    rows = [(k, " ".join(rng.choice(words[k % 120], 30)), f"l{k % 120:03d}") for k in range(120 * 60)]
+    rows += [(50_000 + k, "zz yy", f"dirty{k}") for k in range(300)]
+    found = lang_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("held_out and doc_id < 50000").collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id % 120:03d}" for r in found]) > 0.97 and len({r.lang_pred for r in found}) >= 120
