@@ -1,8 +1,8 @@
 """Contact graphs and distances over the pairs of a sequence, as relations.
 
-Edges, degrees and distances are relations of pairs, for joins with others. Spanning forests are found in parts: a task
+Edges and distances are relations of pairs, for joins with others. Spanning forests are found in parts: a task
 keeps a least forest of the pairs that it has seen, and only forests move, which have an edge less than nodes at most.
-What needs no table of pairs - searches, triangles, trees, loops - is in :mod:`polyseq.operators.networks`.
+What needs no table of pairs - degrees, searches, triangles, trees, loops - is in :mod:`polyseq.operators.networks`.
 """
 
 from __future__ import annotations
@@ -35,18 +35,6 @@ def contact_edges(rows: DataFrame, threshold: float = -0.2, separation: int = 4)
     return x.filter((F.col("v") - F.col("u") >= separation) & (F.col("e") < threshold))
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, i, degree of every node, also those without an edge."""
-    ends = edges.select("name", F.col("u").alias("i")).unionAll(edges.select("name", F.col("v").alias("i"))).groupBy("name", "i").agg(F.count(F.lit(1)).alias("degree"))
-    return nodes.join(ends, ["name", "i"], "left").select("name", "i", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
-
-
-def degree_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, n_nodes, n_edges, density, mean_degree, std_degree, max_degree, min_degree."""
-    x = degrees(nodes, edges).groupBy("name").agg(F.count(F.lit(1)).alias("n_nodes"), (F.sum("degree") / 2).cast("long").alias("n_edges"), F.avg("degree").alias("mean_degree"), F.stddev_pop("degree").alias("std_degree"), F.max("degree").alias("max_degree"), F.min("degree").alias("min_degree"))
-    return x.withColumn("density", F.when(F.col("n_nodes") > 1, 2 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0))
-
-
 def spanning_edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> list[int]:
     """Which edges a least spanning forest has, in ascending order of (d, u, v)."""
     parent: dict[int, int] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyseq.functions.residues import ALPHABET, FORCE_FIELD_SQL, RESIDUES_SQL, energy_matrix
-from polyseq.operators import fitting, moments, segments, sequences, variants
+from polyseq.operators import fitting, moments, networks, segments, sequences, variants
 from polyseq.plans import extended
 from polyseq.plans.catalog import _DOCS, _KIND, _r, _register
 from polyseq.plans.extended import _GRAM
@@ -67,6 +67,26 @@ def diff_documents(spark, sf_dir):
     return moments.map_differences(both, energy_matrix(spark)).drop("profile")
 
 
+@_register("auto_threshold_documents")
+def auto_threshold_documents(spark, sf_dir):
+    """The quantile of the energies of all sticker pairs of each document; in SQL a document would be all its pairs."""
+    return networks.auto_threshold(feeds.documents(spark, sf_dir), energy_matrix(spark)).drop("seq")
+
+
+@_register("percolation_documents")
+def percolation_documents(spark, sf_dir):
+    """Where the stickers of each document come to hang together, by one spanning tree a document."""
+    return networks.percolation(networks.percolation_curve(feeds.documents(spark, sf_dir), energy_matrix(spark)))
+
+
+@_register("components_documents")
+def components_documents(spark, sf_dir):
+    """Sums and largest of the lifetimes of the components of each document's stickers."""
+    x = networks.persistence_diagrams(feeds.documents(spark, sf_dir), energy_matrix(spark), loops=False)
+    death = F.when(F.col("death") < float("inf"), F.col("death"))
+    return x.groupBy("name").agg(F.count(F.lit(1)).alias("n_features"), F.coalesce(F.sum(death), F.lit(0.0)).alias("total"), F.coalesce(F.max(death), F.lit(0.0)).alias("longest"))
+
+
 _COUNTS = f"{_DOCS}, nc AS (SELECT name, aa, count(*) AS c FROM sites GROUP BY ALL), pc AS (SELECT a.name, a.aa AS x, b.aa AS y, CASE WHEN a.aa = b.aa THEN a.c * (a.c - 1) // 2 ELSE a.c * b.c END AS c FROM nc a JOIN nc b ON b.name = a.name AND a.aa <= b.aa)"
 
 
