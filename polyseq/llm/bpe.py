@@ -2,11 +2,12 @@
 
 Spark splits the texts into the tokenizer's words. The texts of a task become blocks: the distinct words, and for
 each text the numbers of its words. The blocks are written as a table bucketed by block; each sends its distinct
-words, once, to the cells of hashes that they belong to, of which there is a fixed number. A task goes through the
-requests of its cells one after the other; it encodes each distinct word of the corpus when it first meets it, joins
+words, once, to the cells of hashes that they belong to. A task has some cells that lie side by side, and goes through
+the requests of these one after the other; it encodes each distinct word of the corpus when it first meets it, joins
 the ids with the id-to-piece table to decode them, and answers from what it has from then on. The ids go back to the
-blocks that asked, where they take the places of the words. Neither texts nor blocks are shuffled, a frequent word
-moves once a block, and a block sends as many rows whatever the corpus.
+blocks that asked, where they take the places of the words. Neither texts nor blocks are shuffled, and a frequent
+word moves once a block. There are as many cells as tasks, and a fixed number at least: a task has its share of the
+words that are asked for, however many they are, and a block sends at most one row for each word.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyseq.llm._shared import give_back, new_block, pack_numbers, pack_planes, partitions_for, string_hashes, unpack_numbers, unpack_planes, write_bucketed
+from polyseq.llm._shared import give_back, new_block, pack_numbers, pack_planes, partitions_for, range_of, string_hashes, unpack_numbers, unpack_planes, write_bucketed
 
 #: White space as the tokenizer has it; Java's \s is ASCII only.
 _WS = r"\x09-\x0D\x20\x85\xA0  -     　"
@@ -31,8 +32,8 @@ _WS = r"\x09-\x0D\x20\x85\xA0  -     　"
 _UNKNOWN = r"\p{Cn}"
 #: Most words in a block of texts (one text alone may have more), and bytes of words that a task is asked for, about.
 BLOCK_WORDS, ASKED_BYTES = 1_000_000, 8_000_000
-#: Cells of hashes, told by so many of the highest bits: most rows that a block sends.
-CELL_BITS = 10
+#: Least number of cells of hashes; more where more tasks are needed.
+CELLS = 1 << 10
 
 
 def split_pattern(special: list[str]) -> str:
@@ -131,17 +132,20 @@ def _by_hash(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return order, hashes[order]
 
 
-def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            words = _strings(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
-            order, hashes = _by_hash(words)
-            cells, first = np.unique(hashes >> np.uint64(64 - CELL_BITS), return_index=True)
-            packed = [_packed_strings(words.take(pa.array(own))) for own in np.split(order, first[1:])] if len(order) else []
-            yield pa.record_batch({
-                "cell": pa.array(cells.astype(np.int32)), "block": pa.array(np.full(len(cells), batch.column(0)[k].as_py(), np.int64)),
-                "word_sizes": pa.array([x for x, _ in packed], pa.binary()), "words": pa.array([x for _, x in packed], pa.binary()),
-            })
+def _to_cells(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = _strings(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
+                order, hashes = _by_hash(words)
+                cells, first = np.unique(range_of(hashes, n), return_index=True)
+                packed = [_packed_strings(words.take(pa.array(own))) for own in np.split(order, first[1:])] if len(order) else []
+                yield pa.record_batch({
+                    "cell": pa.array(cells.astype(np.int32)), "block": pa.array(np.full(len(cells), batch.column(0)[k].as_py(), np.int64)),
+                    "word_sizes": pa.array([x for x, _ in packed], pa.binary()), "words": pa.array([x for _, x in packed], pa.binary()),
+                })
+
+    return run
 
 
 _BACK = "block long, cell int, counts binary, ids binary, others array<struct<at:int,text:binary>>"
@@ -300,16 +304,18 @@ def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     An empty table gives an empty result.
 
     path: the tokenizer file, at the same place on each executor. block_words: most words in a block of texts; a
-    text with more is a block by itself. A task holds a block, or the distinct words of its cells: at most about
-    ASKED_BYTES until there is a task for each cell, and from then on their share of the vocabulary of the corpus.
+    text with more is a block by itself. A task holds a block, or the distinct words of its cells, for which about
+    ASKED_BYTES are asked whatever the corpus.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     split = df.select(df[id_col].alias("doc_id"), words_of(df[text_col], special_strings(path)).alias("words"))
     blocks = write_bucketed(split.mapInArrow(_to_blocks(block_words), f"block long, word_sizes binary, words binary, doc_ids array<{kind}>, sizes array<int>, codes binary"), "blocks")
     asked = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n = min(1 << CELL_BITS, partitions_for(spark, asked, ASKED_BYTES))
-    rows = blocks.select("block", "word_sizes", "words").mapInArrow(_to_cells, "cell int, block long, word_sizes binary, words binary")
-    back = rows.repartition(n, "cell").mapInArrow(_encode_cells(path, spark.sparkContext.broadcast(id_pieces(path))), _BACK)
+    n = partitions_for(spark, asked, ASKED_BYTES)
+    cells = max(CELLS, n)
+    rows = blocks.select("block", "word_sizes", "words").mapInArrow(_to_cells(cells), "cell int, block long, word_sizes binary, words binary")
+    task = F.floor(F.col("cell").cast("long") * n / cells).cast("int")
+    back = rows.repartitionById(n, task).mapInArrow(_encode_cells(path, spark.sparkContext.broadcast(id_pieces(path))), _BACK)
     back = back.groupBy("block").agg(F.collect_list(F.struct("cell", "counts", "ids", "others")).alias("parts"))
     return blocks.join(back, "block", "left").select("word_sizes", "words", "doc_ids", "sizes", "codes", "parts").mapInArrow(_assemble(), f"doc_id {kind}, ids array<int>, text string")
