@@ -8,7 +8,9 @@ counts of all training texts.
 The texts of a task become blocks, written as a table bucketed by block. A block sends its distinct words and pairs
 of words, as 64-bit hashes with their counts, once to the range of hashes that each belongs to; there they are summed
 over all blocks, and the sums go back to the blocks that asked. So a pair that many texts share moves once for each
-block, whatever its frequency, and the blocks themselves don't move.
+block, whatever its frequency, and the blocks themselves don't move. The blocks are dealt out to parts of a fixed size;
+with more than one part, a range is summed by part first, then over the parts, so that the commonest words, which
+every block has, bring no task more than a part's rows or a row for each part.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from polyseq.llm._shared import give_back, mix, new_block, pack_numbers, pack_planes, pack_sorted, range_of, unpack_numbers, unpack_planes, unpack_sorted, word_hashes, write_bucketed
+from polyseq.llm._shared import give_back, mix, new_block, pack_numbers, pack_planes, pack_sorted, range_of, stage, unpack_numbers, unpack_planes, unpack_sorted, word_hashes, write_bucketed
 
 #: Hashes of the end of a text, which is a token, and of its start, which is a context only.
 END, START = np.uint64(0x5B1C0F4E2D3A6987), np.uint64(0xA7D9E3C1B5F02468)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens in a block, about, and distinct hashes in a range, about.
 BLOCK_TOKENS, RANGE_HASHES = 1_000_000, 2_000_000
+#: Blocks in a part, about: most rows of a range that a task sums.
+PART_BLOCKS = 1 << 13
 #: Steps of the logarithm of a ratio of probabilities, for expectation-maximisation.
 STEPS = 32
 _NEVER = -(1 << 20)
@@ -117,39 +121,77 @@ def _ratio_bins(n: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.floor(STEPS * np.log(np.maximum(ratio, 1e-300))), _NEVER).astype(np.int64)
 
 
-def _sum_range(group: pa.Table) -> pa.Table:
-    """The rows of one range, from all blocks, to a row for each block with the sums over all of them.
+def _column(rows: list[dict], name: str, unpack=unpack_numbers) -> np.ndarray:
+    return np.concatenate([unpack(r[name]) for r in rows])
 
-    The first also has what the range adds to N and V, with and without the deleted part, and how often the words
-    of the deleted part have which count without it.
-    """
-    rows = group.to_pylist()
-    out = {"block": [r["block"] for r in rows], "range": [r["range"] for r in rows]}
-    for what in ("word", "pair"):
-        each = [unpack_sorted(r[f"{what}s"]) for r in rows]
-        keys, at = np.unique(np.concatenate(each), return_inverse=True)
-        at = at.reshape(-1)
-        kept = np.bincount(at, np.concatenate([unpack_numbers(r[f"{what}_n"]) for r in rows]), len(keys)).astype(np.int64)
-        deleted = np.bincount(at, np.concatenate([unpack_numbers(r[f"{what}_d"]) for r in rows]), len(keys)).astype(np.int64)
-        cuts = np.cumsum([len(x) for x in each])[:-1]
+
+def _summed(rows: list[dict], what: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of rows of one range, which of them each row's hashes are, and their sums without and in the deleted part."""
+    keys, at = np.unique(_column(rows, f"{what}s", unpack_sorted), return_inverse=True)
+    at = at.reshape(-1)
+    return keys, at, *(np.bincount(at, _column(rows, f"{what}_{x}"), len(keys)).astype(np.int64) for x in "nd")
+
+
+def _answers(rows: list[dict], found: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], totals: dict | None) -> pa.Table:
+    """A row for each of ``rows`` with the sums of its hashes; found: which each has, end to end, and the sums by hash. The first gets the totals."""
+    out = {}
+    for what, (at, kept, deleted) in found.items():
+        cuts = np.cumsum([len(unpack_sorted(r[f"{what}s"])) for r in rows])[:-1]
         out[f"{what}_n"] = [pack_numbers(x) for x in np.split(kept[at], cuts)]
         out[f"{what}_d"] = [pack_numbers(x) for x in np.split(deleted[at], cuts)]
-        if what == "word":
-            token = keys != START
-            n, d = kept[token], deleted[token]
-            values, where = np.unique(n[d > 0], return_inverse=True)
-            seen = np.bincount(where.reshape(-1), d[d > 0], len(values)).astype(np.int64)
-            # many counts are alike; far up, those within a percent are made one
-            grid = np.where(values < 1024, values, np.exp(np.round(np.log(np.maximum(values, 1)) * 100) / 100).astype(np.int64))
-            first = {"n": int(n.sum()), "n_all": int((n + d).sum()), "v": int((n > 0).sum()), "v_all": int((n + d > 0).sum()), "seen": [{"count": int(a), "times": int(b)} for a, b in zip(grid, seen, strict=True)]}
-            out["totals"] = [first] + [None] * (len(rows) - 1)
     give_back()
     return pa.table({
-        "block": pa.array(out["block"], pa.int64()), "range": pa.array(out["range"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("word_n", "word_d", "pair_n", "pair_d")},
-        "totals": pa.array(out["totals"], pa.struct([*((k, pa.int64()) for k in ("n", "n_all", "v", "v_all")), ("seen", pa.list_(pa.struct([("count", pa.int64()), ("times", pa.int64())])))])),
+        "block": pa.array([r["block"] for r in rows], pa.int64()), "range": pa.array([r["range"] for r in rows], pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items()},
+        "totals": pa.array([totals] + [None] * (len(rows) - 1), pa.struct([*((k, pa.int64()) for k in ("n", "n_all", "v", "v_all")), ("seen", pa.list_(pa.struct([("count", pa.int64()), ("times", pa.int64())])))])),
     })
 
 
+def _totals(keys: np.ndarray, kept: np.ndarray, deleted: np.ndarray) -> dict:
+    """What the words of a range add to N and V, with and without the deleted part, and how often those of the deleted part have which count without it."""
+    token = keys != START
+    n, d = kept[token], deleted[token]
+    values, where = np.unique(n[d > 0], return_inverse=True)
+    times = np.bincount(where.reshape(-1), d[d > 0], len(values)).astype(np.int64)
+    # many counts are alike; far up, those within a percent are made one
+    grid = np.where(values < 1024, values, np.exp(np.round(np.log(np.maximum(values, 1)) * 100) / 100).astype(np.int64))
+    return {"n": int(n.sum()), "n_all": int((n + d).sum()), "v": int((n > 0).sum()), "v_all": int((n + d > 0).sum()), "seen": [{"count": int(a), "times": int(b)} for a, b in zip(grid, times, strict=True)]}
+
+
+def _sum_range(group: pa.Table) -> pa.Table:
+    """The rows of one range, of all blocks or parts, to a row for each with the sums over all of them; the first has the totals."""
+    rows = group.to_pylist()
+    words, pairs = _summed(rows, "word"), _summed(rows, "pair")
+    return _answers(rows, {"word": words[1:], "pair": pairs[1:]}, _totals(words[0], *words[2:]))
+
+
+def _sum_part(group: pa.Table) -> pa.Table:
+    """The rows of one range and part, of all its blocks, to one as a block sends it, with the part in place of the block."""
+    rows = group.to_pylist()
+    out = {"range": pa.array([rows[0]["range"]], pa.int32()), "block": pa.array([rows[0]["part"]], pa.int64())}
+    for what in ("word", "pair"):
+        keys, _, kept, deleted = _summed(rows, what)
+        out |= {f"{k}": pa.array([v], pa.binary()) for k, v in ((f"{what}s", pack_sorted(keys)), (f"{what}_n", pack_numbers(kept)), (f"{what}_d", pack_numbers(deleted)))}
+    give_back()
+    return pa.table(out)
+
+
+def _answer_part(asked: pa.Table, sums: pa.Table) -> pa.Table:
+    """The rows of one range and part, and the row that came back to the part, to a row for each block; the first has the totals if the part has."""
+    rows, back = asked.to_pylist(), sums.to_pylist()[0]
+    found = {what: (_summed(rows, what)[1], unpack_numbers(back[f"{what}_n"]), unpack_numbers(back[f"{what}_d"])) for what in ("word", "pair")}
+    return _answers(rows, found, back["totals"])
+
+
+def _range_sums(rows: DataFrame, n_parts: int) -> DataFrame:
+    """What blocks send to ranges, to the sums that go back to them."""
+    if n_parts == 1:
+        return rows.groupBy("range").applyInArrow(_sum_range, _SUMS)
+    rows = stage(rows.withColumn("part", F.pmod("block", F.lit(n_parts))), "asked")
+    of_parts = rows.groupBy("range", "part").applyInArrow(_sum_part, _ASKED).groupBy("range").applyInArrow(_sum_range, _SUMS)
+    return rows.groupBy("range", "part").cogroup(of_parts.withColumnRenamed("block", "part").groupBy("range", "part")).applyInArrow(_answer_part, _SUMS)
+
+
+_ASKED = "range int, block long, words binary, word_n binary, word_d binary, pairs binary, pair_n binary, pair_d binary"
 _SUMS = "block long, range int, word_n binary, word_d binary, pair_n binary, pair_d binary, totals struct<n:bigint,n_all:bigint,v:bigint,v_all:bigint,seen:array<struct<count:bigint,times:bigint>>>"
 
 
@@ -244,8 +286,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     is empty and has one token, the end; a null id counts as the empty text. Ids may be repeated. Other columns are
     not read. An empty table gives an empty result.
 
-    Words and pairs are told apart by 64-bit hashes. A task holds a block of texts (one text at least) or a range
-    of hashes; both have about the same size whatever the corpus, and their number grows with it.
+    Words and pairs are told apart by 64-bit hashes. A task holds a block of texts (one text at least), or the rows
+    of a range of hashes from PART_BLOCKS blocks, or of a range from all parts; a block and what falls into a range
+    have about the same size whatever the corpus, and their number grows with it.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
@@ -255,11 +298,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     part = F.when(code % folds == held_out, 0).when(F.floor(code / folds) % deleted == 0, 2).otherwise(1)
     texts = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), part.cast("int").alias("part"))
     blocks = write_bucketed(texts.mapInArrow(_to_blocks(BLOCK_TOKENS), f"block long, doc_ids array<{kind}>, parts array<int>, sizes array<int>, hashes binary, codes binary"), "texts")
-    n_tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    n_ranges = max(n_buckets, -(-n_tokens // RANGE_HASHES))
+    n_tokens, n_blocks = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.count("*")).first()
+    n_ranges = max(n_buckets, -(-(n_tokens or 0) // RANGE_HASHES))
 
-    rows = blocks.mapInArrow(_to_ranges(n_ranges), "range int, block long, words binary, word_n binary, word_d binary, pairs binary, pair_n binary, pair_d binary")
-    sums = write_bucketed(rows.groupBy("range").applyInArrow(_sum_range, _SUMS).repartition(n_buckets, "block"), "sums")
+    rows = blocks.mapInArrow(_to_ranges(n_ranges), _ASKED)
+    sums = write_bucketed(_range_sums(rows, max(1, -(-n_blocks // PART_BLOCKS))).repartition(n_buckets, "block"), "sums")
     totals = sums.filter("totals is not null")
     n, n_all, v, v_all = (x or 0 for x in totals.agg(*[F.sum(f"totals.{k}") for k in ("n", "n_all", "v", "v_all")]).first())
     seen = totals.select(F.explode("totals.seen").alias("s")).groupBy("s.count").agg(F.sum("s.times").alias("times")).collect()  # some thousand rows at most

@@ -60,6 +60,16 @@ def test_bpe_is_the_librarys(spark):
     assert bpe.encode_and_decode(df.limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1, 3, 5_000])
+def test_bpe_cells_grow_with_the_words_asked(spark, monkeypatch, cells):
+    monkeypatch.setattr(bpe, "CELLS", cells)
+    monkeypatch.setattr(bpe, "ASKED_BYTES", 90)
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [f"word{k} of{k % 7} the same" for k in range(60)]
+    found = {r.doc_id: r for r in bpe.encode_and_decode(frame(spark, texts), PATH, block_words=20).collect()}
+    assert all(found[k].ids == tokenizer.encode(t, add_special_tokens=False).ids and found[k].text == t for k, t in enumerate(texts)) and len(found) == len(texts)
+
+
 def test_token_counts_of_every_prefix(spark):
     tokenizer = Tokenizer.from_file(PATH)
     count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
@@ -160,6 +170,21 @@ def test_lm_contexts_in_a_bucket_that_the_deleted_part_never_met(spark):
     assert lm_score._by_bucket({2: 0.5, 4: 0.25})[:8].tolist() == [0.0, 0.5, 0.5, 0.5, 0.5, 0.25, 0.25, 0.25]
 
 
+def test_lm_ranges_summed_by_part_first(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = frame(spark, [" ".join(rng.choice([f"w{int(k**1.5)}" for k in range(40)], int(rng.integers(0, 30)))) for _ in range(200)] + [None])
+    by_id = lambda: sorted(map(tuple, lm_score.score_texts(df).collect()))
+    whole = by_id()
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 100)
+    one_part = by_id()
+    monkeypatch.setattr(lm_score, "PART_BLOCKS", 5)
+    monkeypatch.setattr(lm_score, "RANGE_HASHES", 200)
+    in_parts = by_id()
+    for found in (one_part, in_parts):
+        assert [r[:5] for r in found] == [r[:5] for r in whole]
+        assert np.array([r[5:] for r in found]) == pytest.approx(np.array([r[5:] for r in whole]))
+
+
 def test_lm_model_is_the_interpolation(spark):
     texts = ["a b a b a c", "a b", "b a c a", "c a b"] * 30
     df = frame(spark, texts)
