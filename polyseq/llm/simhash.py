@@ -7,8 +7,9 @@ shared positional bytes are tallied over all 8, pairs that reach the guaranteed
 bits of those are verified. A posting list that is long is split by the fingerprints of radius one around each member,
 which hold all its links without listing its pairs. Components are found on distinct fingerprints by rounds of joins.
 
-Texts that are alike but not almost equal (:func:`similar_groups`) are found exactly, by the sets of their shingles: two
-sets of a Jaccard similarity t or more share one of the rarest shingles of each, under whatever order of all shingles.
+Texts that are alike (:func:`similar_groups`) are proposed by that index first. What lies further apart than its bits is
+proposed by the sets of their shingles: two sets of a Jaccard similarity t or more share one of the rarest shingles of
+each, under whatever order of all shingles. The exact similarity of the sets decides about both.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -130,6 +131,18 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _linked_sets(prints: DataFrame) -> DataFrame:
+    """(u, v) of sets whose fingerprints (set, fp; a set may have several) are within 2 bits by :func:`_links`: enough of them to connect what is connected."""
+    listed = stage(prints.select("fp", "set").distinct(), "fingerprints")
+    firsts = stage(listed.groupBy("fp").agg(F.min("set").alias("one")), "prints")
+    links = _links(firsts.select("fp").repartition(partitions_for(prints.sparkSession, firsts.count(), PRINTS), "fp"))
+    a, b = (firsts.select(F.col("fp").alias(k), F.col("one").alias(f"one_{k}")) for k in "uv")
+    apart = links.join(a, "u").join(b, "v").select("one_u", "one_v")
+    alike = listed.join(firsts, "fp").select("one", "set")
+    pairs = apart.union(alike).toDF("u", "v").filter("u != v")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row for each row of ``df``: doc_id, fp (the fingerprint as a signed long), component_id.
 
@@ -162,6 +175,8 @@ FOLDED = 8
 SIEVE_WORDS, BROADCAST_LISTS = 1 << 20, 1_000_000
 #: Rounds in which lists are held against one member, and comparisons for each listed row from which they are worth while.
 ROUNDS, FEW = 2, 4
+#: Lists of a set that a listed row knows from before its own.
+BEFORE = 8
 
 
 def _shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,13 +234,14 @@ def _sketch(own: np.ndarray) -> bytes:
 
 
 def _prefixes(shingle: int, least: float, often: np.ndarray):
-    """The set of each text: its hash, its size, its sketch, and so many of its rarest shingles that every similar set has one of them among its own."""
+    """The set of each text: its hash, its size, its sketch, the text's fingerprint, and so many of its rarest shingles that every similar set has one of them among its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets, n, sketches, folded, first = [], [], [], [], []
+                prints = np.fromiter(map(fingerprint, text_bytes(part.column(2))), np.uint64, part.num_rows)
                 for own in _sets(part.column(2), shingle):
                     sets.append(xxh64_intdigest(own.tobytes(), SEED))
                     n.append(len(own))
@@ -234,7 +250,7 @@ def _prefixes(shingle: int, least: float, often: np.ndarray):
                     first.append(own[np.lexsort((own, often[_slots(own)]))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]])
                 ends = np.cumsum([0, *map(len, first)])
                 yield pa.record_batch({
-                    "doc_id": part.column(0), "node": part.column(1), "set": pa.array(np.array(sets, np.uint64).view(np.int64)), "n": pa.array(n, pa.int32()), "sketch": pa.array(sketches, pa.binary()), "folded": pa.array(folded, pa.list_(pa.int64())),
+                    "doc_id": part.column(0), "node": part.column(1), "set": pa.array(np.array(sets, np.uint64).view(np.int64)), "n": pa.array(n, pa.int32()), "sketch": pa.array(sketches, pa.binary()), "folded": pa.array(folded, pa.list_(pa.int64())), "fp": pa.array(prints.view(np.int64)),
                     "first": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64))),
                 })
 
@@ -303,11 +319,23 @@ def _may_by_folded(least: float, a: dict[str, Column], b: dict[str, Column]) ->
     return near & (F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * least - 1e-6)
 
 
+def _may_be_first(least: float, a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether the shingle at places p of two sets of n, in the order of all shingles, may be the first that they share if they are similar: they share no more then than are left from there on in each."""
+    return F.least(a["n"] - a["p"], b["n"] - b["p"]) >= (a["n"] + b["n"]) * (least / (1 + least)) - 1e-6
+
+
 def _all_between(members: DataFrame, main: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(u, v): in each list, the pairs of members that aren't linked yet and that sizes and folded sketches don't rule out."""
-    members = members.select("h", "set", "label").join(_small(main.select("h", "main")), "h").join(sketches.select("set", "n", "folded"), "set")
+    """(u, v): in each list, the pairs of members that aren't linked yet and that places, sizes and folded sketches don't rule out.
+
+    A similar pair is in the list of the first shingle that it shares, so lists that can't be that of the pair leave it
+    out: by place, or because both sets have one of the same lists among the BEFORE last ones. So a pair isn't a row for
+    each shingle that it shares.
+    """
+    members = members.select("h", "set", "p", "label").join(_small(main.select("h", "main")), "h").join(sketches.select("set", "n", "folded"), "set")
+    members = members.withColumn("before", F.collect_list("h").over(Window.partitionBy("set").orderBy("p").rowsBetween(-BEFORE, -1)))
     once = (F.col("b.label") == F.col("a.main")) | (F.col("a.set") < F.col("b.set"))
-    near = _may_by_folded(least, *({c: F.col(f"{k}.{c}") for c in ("n", "folded")} for k in "ab"))
+    a, b = ({c: F.col(f"{k}.{c}") for c in ("n", "p", "folded")} for k in "ab")
+    near = _may_be_first(least, a, b) & _may_by_folded(least, a, b) & ~F.arrays_overlap("a.before", "b.before")
     few = members.filter("label != main").alias("a")
     return _pairs_of(few.join(members.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & once & near))
 
@@ -318,7 +346,7 @@ def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _members(listed: DataFrame, lists: DataFrame) -> DataFrame:
-    """h, set, n: the members of the lists (h, n), each once.
+    """h, set, n and the least of any other column: the members of the lists (h, n), each once.
 
     Nearly all shingles are listed by one set only. A sieve of SIEVE_WORDS rows at most keeps these from being shuffled
     where the lists are too many to be broadcast.
@@ -326,16 +354,19 @@ def _members(listed: DataFrame, lists: DataFrame) -> DataFrame:
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(SIEVE_WORDS - 1)).alias("word")
     bit = F.element_at(F.array(*[F.lit(_signed(1 << b)) for b in range(64)]), F.col("h").bitwiseAND(F.lit(63)).cast("int") + 1)
     sieve = lists.groupBy(word).agg(F.bit_or(bit).alias("bits"))
-    found = listed.withColumn("word", word).join(F.broadcast(sieve), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select("h", "set")
-    return found.join(_small(lists, BROADCAST_LISTS), "h").groupBy("h", "set").agg(F.first("n").alias("n"))
+    found = listed.withColumn("word", word).join(F.broadcast(sieve), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select(*listed.columns)
+    others = [F.min(c).alias(c) for c in listed.columns if c not in ("h", "set")]
+    return found.join(_small(lists, BROADCAST_LISTS), "h").groupBy("h", "set").agg(F.first("n").alias("n"), *others)
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One row for each (id, text) of ``df``: doc_id, node (a hash of both), component (a number that linked texts have in common).
 
     Texts link if the sets of their word shingles, A-Z lower-cased, have a Jaccard similarity of ``least`` or more;
-    texts without words are alike. Every such pair is in one group: each set is listed under its rarest shingles, n -
-    ceil(least n) + 1 of n, of which similar sets share one. A list of two is a pair to compare. Longer lists are first
+    texts without words are alike. Pairs are proposed by the index of their SimHash fingerprints (3-word shingles, 2 bits),
+    which meets the closest ones, and, as fingerprints of similar texts may lie further apart, by lists of shingles, so that
+    every such pair is in one group: each set is listed under its rarest shingles, n - ceil(least n) + 1 of n, of which
+    similar sets share one. A list of two is a pair to compare. Longer lists are first
     held against one member at a time, which links large groups at the cost of their size; then those pairs of a list
     are taken that no link connects yet and that sketches of fixed size don't rule out. The shingles of pairs are
     compared exactly. Shingles are told apart by 64-bit hashes, and so are sets. An empty table gives an
@@ -345,14 +376,17 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(df[id_col].alias("doc_id"), F.xxhash64(df[id_col], df[text_col]).alias("node"), df[text_col].alias("text"))
     prefixes = _prefixes(shingle, least, _frequencies(rows, shingle))
     with scratch(df.sparkSession):
-        prints = stage(rows.mapInArrow(prefixes, f"doc_id {kind}, node long, set long, n int, sketch binary, folded array<long>, first array<long>"), "prefixes")
+        prints = stage(rows.mapInArrow(prefixes, f"doc_id {kind}, node long, set long, n int, sketch binary, folded array<long>, fp long, first array<long>"), "prefixes")
         of = stage(prints.select("doc_id", "node", "set").distinct(), "of", outlives=True)
-        listed = prints.select("set", F.explode("first").alias("h"))
+        with scratch(df.sparkSession):
+            by_bits = stage(_linked_sets(prints), "linked", outlives=True)
+        listed = prints.select("set", F.posexplode("first").alias("p", "h"))
         lists = stage(listed.groupBy("h").agg(F.min("set").alias("u"), F.max("set").alias("v"), F.count(F.lit(1)).alias("n")).filter("u != v"), "lists", outlives=True)
         listed = stage(_members(listed, lists.filter("n > 2").select("h", "n")), "listed", outlives=True)
         nodes = stage(prints.groupBy("set").agg(F.min("node").alias("node"), F.min("n").alias("n")), "sets", outlives=True)  # one text of each set
         sketches = prints.join(nodes.select("node"), "node", "left_semi").select("set", "n", "sketch", "folded").dropDuplicates(["set"])
         sketches = stage(sketches, "sketches", outlives=True)
+        by_bits = stage(by_bits, "by-bits", outlives=True)
     n_listed = listed.count()
     scores = listed.groupBy("set").agg(F.sum("n").alias("score"))
 
@@ -374,15 +408,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tried: list[DataFrame] = []
     found = None
     for turn in range(ROUNDS + 1):
-        members = listed.select("h", "set").join(scores, "set") if turn == 0 else listed.select("h", "set")
+        members = listed.select("h", "set", "p").join(scores, "set") if turn == 0 else listed.select("h", "set", "p")
         members = members.withColumn("label", F.col("set"))
         if found is not None:
-            members = listed.select("h", "set").join(found.withColumnsRenamed({"v": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
+            members = listed.select("h", "set", "p").join(found.withColumnsRenamed({"v": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
         main = stage(_main_labels(members), "main")
         work = main.agg(F.sum("work")).first()[0] or 0
         last = turn == ROUNDS or work <= FEW * n_listed
         pairs = _all_between(members, main, sketches, least) if last else _against_one(members, turn)
-        pairs = (pairs if tried else pairs.union(lists.filter("n = 2").select("u", "v"))).distinct()
+        pairs = (pairs if tried else pairs.union(lists.filter("n = 2").select("u", "v")).union(by_bits)).distinct()
         if tried:
             pairs = pairs.join(reduce(DataFrame.union, tried), ["u", "v"], "left_anti")
         tried.append(stage(pairs, "pairs"))

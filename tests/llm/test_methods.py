@@ -190,3 +190,31 @@ def test_members_of_lists(spark, monkeypatch, most):
     rows = [(int(s), h) for s in range(30) for h in hs if rng.random() < 0.5] * 2
     found = simhash._members(spark.createDataFrame(rows, "set long, h long"), spark.createDataFrame([(h, 5) for h in hs[:20]], "h long, n long")).collect()
     assert sorted((r.h, r.set, r.n) for r in found) == sorted({(h, s, 5) for s, h in rows if h in hs[:20]})
+
+
+def test_near_dedup_goes_by_the_index_of_fingerprints(spark, monkeypatch):
+    """The closest pairs are proposed by SimHash, sets of equal fingerprints included, before any list of shingles; strangers of one fingerprint stay."""
+    seen, links = [], simhash._links
+    monkeypatch.setattr(simhash, "_links", lambda prints: seen.append(prints.count()) or links(prints))
+    rng = np.random.default_rng(11)
+    own = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 40, n)]
+    line, body = own(21), own(3000)
+    texts = [" ".join(line * 200 + own(100)), " ".join(line * 200 + own(100)), " ".join(body), " ".join([*body, "more"])]
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    assert max((prints[a] ^ prints[b]).bit_count() for a, b in ((0, 1), (2, 3))) <= simhash.MOST_BITS
+    signed = [simhash._signed(p) for p in prints]
+    found = simhash._linked_sets(spark.createDataFrame([*enumerate(signed), (9, signed[2])], "set long, fp long")).collect()
+    assert {(0, 1), (2, 3), (2, 9)} == {(r.u, r.v) for r in found}
+    kept = {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(list(enumerate(texts)), FRAME)).collect()}
+    assert kept == {0, 1, 2} and seen[-1] == len(set(prints))
+
+
+def test_a_pair_is_not_a_row_for_each_list_that_it_shares(spark):
+    """Two sets that share 40 lists, as near copies do, are proposed by the first of them only, and by none beyond whose place they can't share enough."""
+    sketch = [0] * simhash.FOLDED
+    members = spark.createDataFrame([(h, s, h, s) for h in range(40) for s in (1, 2, 3)], "h long, set long, p int, label long")
+    main = spark.createDataFrame([(h, 1, 9) for h in range(40)], "h long, main long, work long")
+    sketches = spark.createDataFrame([(s, 200, sketch) for s in (1, 2, 3)], "set long, n int, folded array<long>")
+    found = sorted((r.u, r.v) for r in simhash._all_between(members, main, sketches, 0.8).collect())
+    assert set(found) == {(1, 2), (1, 3), (2, 3)} and len(found) <= 6
+    assert simhash._all_between(members.filter("h > 30"), main, sketches, 0.8).count() == 0
