@@ -3,7 +3,7 @@
 Neither maps nor edges are shuffled or collected: energies between any nodes are products of their soft compositions, so
 a task makes the rows it works on, some at a time, from the sequence. What is linear in rows of the graph - searches from
 sources, triangles, loops - is dealt out by blocks of nodes, so that one long sequence is many tasks; per block there is
-one result row, and these are summed by Spark. Trees and quantiles need a vector for each node at most.
+one result row, and these are summed by Spark. Trees and quantiles need some vectors over nodes, and some rows of the graph at a time.
 
 Nodes are the stickers, or all places. Energies that are compared with each other are taken to twelve decimals, so that
 those alike but for rounding are alike.
@@ -45,6 +45,28 @@ class Network:
     def far(self, a: int, b: int, separation: int, first: int = 0) -> np.ndarray:
         return np.abs(self.at[a:b, None] - self.at[None, first:]) >= separation
 
+    def apart(self, rows: np.ndarray, nodes: np.ndarray, separation: int, near: float, first: int = 0) -> np.ndarray:
+        """``rows``, the values between some nodes and those from ``first`` on, with ``near`` where they are less than ``separation`` apart, themselves included; so few that they are told by place."""
+        for k in range(-max(separation, 1) + 1, max(separation, 1)):
+            other = nodes + k
+            inside = np.flatnonzero((other >= first) & (other < self.n))
+            close = inside[np.abs(self.at[other[inside]] - self.at[nodes[inside]]) < separation]
+            rows[close, other[close] - first] = near
+        return rows
+
+    def count(self, separation: int) -> int:
+        """How many pairs of nodes are at least ``separation`` apart."""
+        return int(np.searchsorted(self.at, self.at - separation, side="right").sum())
+
+    def span(self, separation: int) -> tuple[float, float]:
+        """The least and the largest energy of the pairs of nodes at least ``separation`` apart."""
+        low, high = np.inf, -np.inf
+        for a, b in self.steps():
+            e, nodes = self.energies(a, b, a), np.arange(a, b)
+            low = min(low, float(self.apart(e, nodes, separation, np.inf, a).min()))
+            high = max(high, float(self.apart(e, nodes, separation, -np.inf, a).max()))
+        return low, high
+
     def steps(self) -> Iterator[tuple[int, int]]:
         step = max(1, CELLS // max(self.n, 1))
         for a in range(0, self.n, step):
@@ -52,10 +74,10 @@ class Network:
 
     def pairs(self, separation: int = 1) -> Iterator[np.ndarray]:
         """Energies of the pairs of nodes at least ``separation`` apart, each once."""
+        places = np.arange(self.n)
+        first = np.searchsorted(self.at, self.at + max(separation, 1))  # later nodes are further away
         for a, b in self.steps():
-            e, keep = self.energies(a, b, a), self.far(a, b, separation, a)
-            keep &= np.arange(a, self.n)[None, :] > np.arange(a, b)[:, None]
-            yield e[keep]
+            yield self.energies(a, b, a)[places[None, a:] >= first[a:b, None]]
 
 
 class Contacts:
@@ -309,29 +331,67 @@ def interaction_entropy(df: DataFrame, matrix: list[list[float]], sigma: float =
 
 # spanning trees, percolation, diagrams
 
-def spanning_tree(n: int, row: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """u < v and d of the least spanning forest by (d, u, v), in that order, grown node by node; ``row`` gives a node's distances to all, infinite where there is no edge.
+def spanning_tree(n: int, rows: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """u < v and d of the least spanning forest by (d, u, v), in that order; ``rows`` gives the distances of some nodes to all, infinite where there is no edge.
 
-    A vector for each of what is nearest to the tree is all that is kept.
+    In each round every part is joined with what is nearest to it. A node keeps the nearest node outside its part, the
+    first of equals, and its row is made again only when that one has come into its part. Some rows at a time are held.
     """
-    best, lo, hi = np.full(n, np.inf), np.full(n, n), np.full(n, n)
-    out, left, now = [], np.ones(n, bool), 0
-    places = np.arange(n)
-    for _ in range(n - 1):
-        left[now] = False
-        d = row(now)
-        a, b = np.minimum(places, now), np.maximum(places, now)
-        nearer = left & ((d < best) | ((d == best) & np.isfinite(d) & ((a < lo) | ((a == lo) & (b < hi)))))
-        best[nearer], lo[nearer], hi[nearer] = d[nearer], a[nearer], b[nearer]
-        rest = np.flatnonzero(left)
-        least = best[rest].min()
-        tied = rest[best[rest] == least]
-        now = int(tied[np.lexsort((hi[tied], lo[tied]))[0]]) if len(tied) > 1 and np.isfinite(least) else int(tied[0])
-        if np.isfinite(least):
-            out.append((int(lo[now]), int(hi[now]), float(least)))
-    u, v, d = (np.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [(), (), ()], (np.int64, np.int64, float), strict=True))
-    order = np.lexsort((v, u, d))
-    return u[order], v[order], d[order]
+    label, near, best = np.arange(n), np.full(n, -1), np.full(n, -np.inf)
+    step, places, out = max(1, CELLS // max(n, 1)), np.arange(n), [np.zeros((0, 2), np.int64)]
+    weights = [np.zeros(0)]
+    while n > 1:
+        short = label.astype(np.int32)
+        stale = np.flatnonzero((best < np.inf) & ((near < 0) | (label[near] == label)))
+        for k in range(0, len(stale), step):
+            own = stale[k : k + step]
+            d = np.where(short[own, None] == short[None, :], np.inf, rows(own))
+            near[own] = d.argmin(axis=1)
+            best[own] = d[np.arange(len(own)), near[own]]
+        open_ = np.flatnonzero(best < np.inf)
+        if not len(open_):
+            break
+        lo, hi = np.minimum(open_, near[open_]), np.maximum(open_, near[open_])
+        order = np.lexsort((hi, lo, best[open_], label[open_]))
+        first = order[np.flatnonzero(np.diff(label[open_][order], prepend=-1))]
+        code, at = np.unique(lo[first] * n + hi[first], return_index=True)
+        u, v, w, before = code // n, code % n, best[open_][first][at], label
+        label = _joined(label, u, v, places)
+        if len(u) > len(np.unique(before)) - len(np.unique(label)):  # a loop of edges alike but for rounding, which differs by end
+            keep = _forest(before[u], before[v], np.lexsort((v, u, w)))
+            u, v, w = u[keep], v[keep], w[keep]
+        out.append(np.column_stack([u, v]))
+        weights.append(w)
+    edges, d = np.concatenate(out), np.concatenate(weights)
+    order = np.lexsort((edges[:, 1], edges[:, 0], d))
+    return edges[order, 0], edges[order, 1], d[order]
+
+
+def _joined(label: np.ndarray, u: np.ndarray, v: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Labels, which are nodes of the parts, after the parts of u and v have been joined: least labels go along the edges, and along labels, until none changes."""
+    root, a, b = places.copy(), label[u], label[v]
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        root = root[root]
+        if (root == before).all():
+            return root[label]
+
+
+def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which of the edges, taken in that order, close no loop."""
+    part, keep = {x: {x} for x in [*a.tolist(), *b.tolist()]}, []
+    for k in order.tolist():
+        x, y = part[int(a[k])], part[int(b[k])]
+        if x is not y:
+            keep.append(k)
+            x |= y
+            part.update(dict.fromkeys(y, x))
+    return np.array(keep)
 
 
 def grown(n: int, u: np.ndarray, v: np.ndarray, d: np.ndarray, thresholds: np.ndarray) -> tuple[list[int], list[int]]:
@@ -372,7 +432,7 @@ def percolation_curve(df: DataFrame, matrix: list[list[float]], sigma: float = 2
         k, low, high = _extremes(net.pairs(separation))
         margin = (0.1 * (high - low) or 0.1) if k else 0.0
         grid = np.linspace(low - margin, high + margin, steps) if k else np.linspace(-1.0, 0.0, steps)
-        tree = spanning_tree(net.n, lambda i: np.where(net.far(i, i + 1, separation)[0], net.energies(i, i + 1)[0], np.inf))
+        tree = spanning_tree(net.n, lambda nodes: net.apart(net.soft[nodes] @ net.right, nodes, separation, np.inf))
         parts, most = grown(net.n, *tree, grid)
         return {"threshold": grid, "n_components": parts, "largest": most, "fraction": [x / net.n for x in most]}
 
@@ -407,7 +467,8 @@ class Distances:
             self.ranks[u[order], v[order]] = self.ranks[v[order], u[order]] = np.arange(len(u))
             high = len(u) - 1.0
         elif net.n:
-            _, low, high = _extremes(np.round(self.sign * net.energies(a, b), 12) for a, b in net.steps())
+            _, low, high = _extremes(self.sign * net.energies(a, b, a) for a, b in net.steps())
+            low, high = float(np.round(low, 12)), float(np.round(high, 12))
         self.off = low if method == "shifted" else 0.0
         self.most = high - self.off
 
@@ -416,7 +477,18 @@ class Distances:
         return np.where(self.net.far(a, b, self.separation, first), d, self.most + 1)
 
     def tree(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return spanning_tree(self.net.n, lambda i: self.rows(i, i + 1)[0])
+        return spanning_tree(self.net.n, lambda nodes: self.net.apart(self._of(nodes), nodes, self.separation, self.most + 1))
+
+    def _of(self, nodes: np.ndarray) -> np.ndarray:
+        return np.round(self.sign * (self.net.soft[nodes] @ self.net.right), 12) - self.off if self.ranks is None else self.ranks[nodes]
+
+    def deaths(self) -> np.ndarray:
+        """The distances of the edges of :meth:`tree`, ascending. Rounding keeps the order, so that only they are rounded."""
+        if self.ranks is not None:
+            return self.tree()[2]
+        far = np.nextafter(self.most + self.off + 1, np.inf)
+        d = spanning_tree(self.net.n, lambda nodes: self.net.apart(self.sign * (self.net.soft[nodes] @ self.net.right), nodes, self.separation, far))[2]
+        return np.where(d < far, np.round(d, 12) - self.off, self.most + 1)
 
 
 def closing(distances: Distances, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -458,7 +530,7 @@ def persistence_diagrams(df: DataFrame, matrix: list[list[float]], sigma: float
 
     def merged(seq: str) -> dict:
         net = made(seq)
-        deaths = Distances(net, separation, method).tree()[2].tolist() + [np.inf] if net.n else []
+        deaths = Distances(net, separation, method).deaths().tolist() + [np.inf] if net.n else []
         return {"birth": [0.0] * len(deaths), "death": deaths}
 
     def looped(seq: str, low: int, high: int) -> dict:

@@ -310,3 +310,23 @@ def test_inputs_of_few_partitions_are_dealt_out(spark):
     n = spark.sparkContext.defaultParallelism
     assert dealt(df.coalesce(1), "name", "seq").rdd.getNumPartitions() == n and dealt(df.repartition(2 * n), "name").rdd.getNumPartitions() == 2 * n
     assert sequences.with_counts(df).count() == 100
+
+
+def test_trees_take_few_rounds():
+    """All nodes' rows are asked for together, again only where needed: not a call for each node; with ties, loops but for rounding, and parts that hang together by nothing."""
+    rng = np.random.default_rng(3)
+    for top, holes in ((10**9, 0), (3, 0), (50, 0.98)):
+        x = rng.integers(0, top, (300, 300)).astype(float)
+        x = np.where(rng.random(x.shape) < holes, np.inf, x)
+        x, calls = np.minimum(x, x.T), []
+        u, v, d = networks.spanning_tree(300, lambda i, x=x, calls=calls: calls.append(len(i)) or x[i])
+        label, edges = list(range(300)), []
+        for w, i, j in sorted((x[i, j], i, j) for i, j in itertools.combinations(range(300), 2) if np.isfinite(x[i, j])):
+            if label[i] != label[j]:
+                edges.append((i, j, w))
+                label = [label[i] if k == label[j] else k for k in label]
+        assert list(zip(u.tolist(), v.tolist(), d.tolist(), strict=True)) == edges
+        assert len(calls) < 15 and sum(calls) < 8 * 300
+    noisy = np.ones((60, 60)) + rng.random((60, 60)) * 1e-15  # an edge isn't quite alike from both ends
+    assert len(networks.spanning_tree(60, lambda i: noisy[i])[0]) == 59
+    assert networks._forest(np.array([0, 1, 2]), np.array([1, 2, 0]), np.array([2, 0, 1])).tolist() == [2, 0]
