@@ -429,7 +429,8 @@ def percolation_curve(df: DataFrame, matrix: list[list[float]], sigma: float = 2
         net = made(seq)
         if net.n < 2:
             return {"threshold": [0.0] * net.n, "n_components": [net.n] * net.n, "largest": [net.n] * net.n, "fraction": [1.0] * net.n}
-        k, low, high = _extremes(net.pairs(separation))
+        k, (low, high) = net.count(separation), net.span(separation)
+        high = high if high - low > 1e-11 else low  # alike but for rounding
         margin = (0.1 * (high - low) or 0.1) if k else 0.0
         grid = np.linspace(low - margin, high + margin, steps) if k else np.linspace(-1.0, 0.0, steps)
         tree = spanning_tree(net.n, lambda nodes: net.apart(net.soft[nodes] @ net.right, nodes, separation, np.inf))

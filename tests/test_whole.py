@@ -330,3 +330,13 @@ def test_trees_take_few_rounds():
     noisy = np.ones((60, 60)) + rng.random((60, 60)) * 1e-15  # an edge isn't quite alike from both ends
     assert len(networks.spanning_tree(60, lambda i: noisy[i])[0]) == 59
     assert networks._forest(np.array([0, 1, 2]), np.array([1, 2, 0]), np.array([2, 0, 1])).tolist() == [2, 0]
+
+
+def test_sweeps_of_one_pair(spark):
+    """A single energy spans nothing, whichever end it is made from."""
+    rng = np.random.default_rng(6)
+    other = [a for a in ALPHABET if a not in STICKERS]
+    texts = ["".join(rng.choice(other, 8)) + "Y" + "".join(rng.choice(other, 6)) + "K" + "".join(rng.choice(other, 9)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "name int, seq string")
+    x = networks.percolation_curve(df, energy_matrix(spark)).groupBy("name").agg((F.max("threshold") - F.min("threshold")).alias("span"))
+    assert [r.span for r in x.collect()] == pytest.approx([0.2] * 40)
