@@ -293,12 +293,17 @@ def auto_threshold(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0,
 
     def measure(seq: str) -> dict:
         net = made(seq)
-        n = sum(e.size for e in net.pairs(separation))
+        n = net.count(separation)
         if not n:
             return {"threshold": 0.0}
         place = share * (n - 1)
         low = int(place)
-        a, b = selected(lambda: net.pairs(separation), [low, min(low + 1, n - 1)])
+        places = [low, min(low + 1, n - 1)]
+        if n <= CELLS:
+            e = np.concatenate(list(net.pairs(separation)))
+            a, b = np.partition(e, places)[places].tolist()
+        else:
+            a, b = selected(lambda: net.pairs(separation), places)
         return {"threshold": a + (b - a) * (place - low)}
 
     return _keeping_seq(df, {"threshold": "real"}, measure)

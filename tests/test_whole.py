@@ -340,3 +340,14 @@ def test_sweeps_of_one_pair(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "name int, seq string")
     x = networks.percolation_curve(df, energy_matrix(spark)).groupBy("name").agg((F.max("threshold") - F.min("threshold")).alias("span"))
     assert [r.span for r in x.collect()] == pytest.approx([0.2] * 40)
+
+
+def test_thresholds_make_pairs_once(spark, monkeypatch):
+    """Energies that can be held are made once, and pairs are counted without them."""
+    net = networks.Network("YGRGSKWFAYYRK" * 5, np.array(energy_matrix(spark)), maps.gaussian_weights(2.0))
+    assert [net.count(k) for k in (1, 4, 9, 99)] == [sum(e.size for e in net.pairs(k)) for k in (1, 4, 9, 99)]
+    assert net.span(4) == pytest.approx(networks._extremes(net.pairs(4))[1:])
+    df, m = spark.createDataFrame([("a", "YGRGSKWFAYYRK" * 5)], "name string, seq string"), energy_matrix(spark)
+    whole = networks.auto_threshold(df, m).first().threshold
+    monkeypatch.setattr(networks, "CELLS", 50)
+    assert networks.auto_threshold(df, m).first().threshold == pytest.approx(whole, abs=1e-12)
