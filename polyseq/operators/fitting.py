@@ -1,6 +1,6 @@
 """Representations and fits: sums over all rows come from Spark, small dense problems are solved on the driver.
 
-What reaches the driver is a matrix of the features' moments (at most 210 by 210), or the few labelled variants.
+What reaches the driver is a matrix of the features' moments (at most 243 by 243), or the few labelled variants.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyseq.functions.residues import ALPHABET
+from polyseq.functions.residues import ALPHABET, STICKERS
 from polyseq.operators.hamiltonian import Couplings, effective_energy
-from polyseq.operators.segments import theta_classes, theta_sticker, uniform_energy
-from polyseq.operators.sequences import with_counts
+from polyseq.operators.segments import CLASSES, class_pairs
+from polyseq.operators.sequences import residue_counts, with_counts
 
 ALPHAS = ("clustering", "connectivity", "percolation", "arrangement", "homology")
 PHIS = tuple(f"phi_{a}" for a in ALPHAS)
@@ -47,7 +47,7 @@ def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
             yield pa.record_batch({"i": pa.array(np.arange(len(found))), "p": pa.array(found.tolist(), pa.list_(pa.float64()))})
 
     parts = df.select(column).mapInArrow(run, "i long, p array<double>").select("i", F.posexplode("p").alias("j", "p"))
-    rows = parts.groupBy("i", "j").agg(F.sum("p").alias("p")).collect()  # at most 212 by 212
+    rows = parts.groupBy("i", "j").agg(F.sum("p").alias("p")).collect()  # at most 244 by 244
     if not rows:
         return 0, np.zeros(0), np.zeros((0, 0))
     p = np.zeros((1 + max(r.i for r in rows),) * 2)
@@ -100,10 +100,8 @@ def composition_projections(df: DataFrame, k: int = 3) -> DataFrame:
     return fractions(df).select("name", F.array(*[on(row) for row in found.loadings]).alias("projection"))
 
 
-def sufficiency(thetas: DataFrame, energies: DataFrame) -> tuple[float, float]:
-    """R2 and RMSE of energies fitted by theta without an intercept, least squares of least norm; zeros without rows."""
-    x = thetas.join(energies, "name").select(F.concat("theta", F.array("energy")).alias("x"))
-    n, s, p = moments(x, "x")
+def sufficiency(n: int, s: np.ndarray, p: np.ndarray) -> tuple[float, float]:
+    """R2 and RMSE of the last entry fitted by the others without an intercept, least squares of least norm, from the :func:`moments` of all; zeros without rows."""
     if not n:
         return 0.0, 0.0
     gram, right = p[:-1, :-1], p[:-1, -1]
@@ -114,24 +112,45 @@ def sufficiency(thetas: DataFrame, energies: DataFrame) -> tuple[float, float]:
     return (float(1 - residual / spread) if spread > 0 else 0.0), float(np.sqrt(residual / n))
 
 
-def representations(df: DataFrame) -> dict[str, tuple[int, DataFrame]]:
-    """Size and (name, theta) of each representation: composition, stickers, interaction classes, pair counts."""
-    listed = lambda x: x.select("name", F.array(*[F.col(c).cast("double") for c in x.columns[1:]]).alias("theta"))
-    return {"composition": (20, composition_theta(df)), "sticker": (5, listed(theta_sticker(df))), "interaction_class": (7, listed(theta_classes(df))), "pair_counts": (210, pair_theta(df))}
+#: Size of each representation.
+REPRESENTATIONS = {"composition": 20, "sticker": 5, "interaction_class": 7, "pair_counts": 210}
+
+
+def representations(df: DataFrame, matrix: list[list[float]]) -> DataFrame:
+    """x: for each sequence the entries of all REPRESENTATIONS and its uniform energy, each over the squared length; all follow from its counts."""
+    m, kinds = np.array(matrix), class_pairs()
+    i, j = np.triu_indices(len(ALPHABET))
+    like = np.where(i == j, 2.0, 1.0)  # pairs of like residues count in both orders
+    of = {(ALPHABET[a], ALPHABET[b]): k for k, (a, b) in enumerate(zip(i, j, strict=True))}
+    classes = np.zeros((len(i), len(CLASSES)))
+    for k, name in enumerate(CLASSES):
+        at = [of[pair] for pair in kinds.get(name, [])]
+        classes[at, k] = 1 / like[at]
+    stickers = np.array([a in STICKERS for a in ALPHABET])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, len(ALPHABET))
+            n, n_s = c.sum(axis=1), c[:, stickers].sum(axis=1)
+            n_l = n - n_s
+            pairs = c[:, i] * (c[:, j] - (i == j))
+            x = np.column_stack([c, n_s, n_l, n_s * (n_s - 1) / 2, n_l * (n_l - 1) / 2, n_s * n_l, pairs @ classes, pairs, pairs @ (m[i, j] / like)]) / np.square(n)[:, None]
+            yield pa.record_batch({"x": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))})
+
+    return df.select(residue_counts(F.col("seq")).alias("c")).mapInArrow(run, "x array<double>")
 
 
 def minimal_representation(df: DataFrame, matrix: list[list[float]], least: float = 0.95) -> DataFrame:
     """theta, size, r2, rmse, sufficient, minimal: how well each representation tells the uniform energy, both over the squared length.
 
-    sufficient: r2 over ``least``; minimal: the smallest of these.
+    sufficient: r2 over ``least``; minimal: the smallest of these. One pass over the sequences sums the products of all entries.
     """
-    squared = F.pow(F.length("seq").cast("double"), 2)
-    scale = df.select("name", squared.alias("n2"))
-    energies = uniform_energy(df, matrix).join(scale, "name").select("name", (F.col("energy") / F.col("n2")).alias("energy"))
-    rows = []
-    for name, (size, theta) in representations(df).items():
-        x = theta.join(scale, "name").select("name", F.transform("theta", lambda t: t / F.col("n2")).alias("theta"))
-        rows.append((name, size, *sufficiency(x, energies)))
+    n, s, p = moments(representations(df, matrix), "x")
+    rows, at = [], 0
+    for name, size in REPRESENTATIONS.items():
+        own = [*range(at, at + size), len(s) - 1]
+        rows.append((name, size, *sufficiency(n, s[own] if n else s, p[np.ix_(own, own)] if n else p)))
+        at += size
     best = min((size for _, size, r2, _ in rows if r2 > least), default=None)
     return df.sparkSession.createDataFrame([(*r, r[2] > least, r[1] == best) for r in rows], "theta string, size int, r2 double, rmse double, sufficient boolean, minimal boolean")
 

@@ -133,8 +133,11 @@ def theta_sticker(df: DataFrame) -> DataFrame:
     return x.select("*", half("n_s").alias("ss"), half("n_l").alias("ll"), (F.col("n_s") * F.col("n_l")).alias("sl"))
 
 
-def theta_classes(df: DataFrame) -> DataFrame:
-    """name and the pairs i < j in each of seven interaction classes; a pair counts in the first that it fits."""
+CLASSES = ("pipi", "catpi", "elec_att", "elec_rep", "hydro", "polar", "other")
+
+
+def class_pairs() -> dict[str, list[tuple[str, str]]]:
+    """The unordered pairs of residues of each of seven interaction classes; a pair is in the first that it fits."""
     aromatic, cation, anion, hydro, polar = "YFW", "RK", "DE", "AVLIMFW", "STNQCY"
     kinds = {}
     for i, a in enumerate(ALPHABET):
@@ -142,11 +145,16 @@ def theta_classes(df: DataFrame) -> DataFrame:
             both, one = (lambda s, a=a, b=b: a in s and b in s), (lambda s, t, a=a, b=b: (a in s and b in t) or (b in s and a in t))
             name = "pipi" if both(aromatic) else "catpi" if one(cation, aromatic) else "elec_att" if one(cation, anion) else "elec_rep" if both(cation) or both(anion) else "hydro" if both(hydro) else "polar" if both(polar) else "other"
             kinds.setdefault(name, []).append((a, b))
+    return kinds
+
+
+def theta_classes(df: DataFrame) -> DataFrame:
+    """name and the pairs i < j in each of seven interaction classes."""
+    kinds = class_pairs()
     c = {a: F.get("c", k).cast("double") for k, a in enumerate(ALPHABET)}
     x = with_counts(df)
     pairs = lambda ab: c[ab[0]] * (c[ab[0]] - 1) / 2 if ab[0] == ab[1] else c[ab[0]] * c[ab[1]]
-    names = ("pipi", "catpi", "elec_att", "elec_rep", "hydro", "polar", "other")
-    return x.select("name", *[sum((pairs(p) for p in kinds[k]), F.lit(0.0)).cast("long").alias(k) for k in names])
+    return x.select("name", *[sum((pairs(p) for p in kinds[k]), F.lit(0.0)).cast("long").alias(k) for k in CLASSES])
 
 
 def uniform_energy(df: DataFrame, matrix: list[list[float]]) -> DataFrame:

@@ -351,3 +351,18 @@ def test_thresholds_make_pairs_once(spark, monkeypatch):
     whole = networks.auto_threshold(df, m).first().threshold
     monkeypatch.setattr(networks, "CELLS", 50)
     assert networks.auto_threshold(df, m).first().threshold == pytest.approx(whole, abs=1e-12)
+
+
+def test_representations_are_one_pass(spark):
+    """No joins of representations: all entries lie in one row; they are those of the tables of each representation."""
+    from polyseq.operators import segments
+
+    df, m = spark.createDataFrame([("a", "YGRGSKWFAYDDEERK"), ("b", "ACDEFGHIKLMNPQRSTVWYYY")], "name string, seq string"), energy_matrix(spark)
+    x = fitting.representations(df, m)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    rows = [np.array(r.x) for r in x.collect()]
+    tables = [by_name(t) for t in (fitting.composition_theta(df), segments.theta_sticker(df), segments.theta_classes(df), fitting.pair_theta(df), segments.uniform_energy(df, m))]
+    for row, s in zip(rows, df.collect(), strict=True):
+        parts = [tables[0][s.name].theta, tables[1][s.name][1:], tables[2][s.name][1:], tables[3][s.name].theta, tables[4][s.name][1:]]
+        assert row * len(s.seq) ** 2 == pytest.approx([v for p in parts for v in p], abs=1e-9)
