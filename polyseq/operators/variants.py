@@ -46,6 +46,15 @@ def base_variants(df: DataFrame) -> DataFrame:
     return x.select("name", F.explode(F.array(*rows)).alias("v")).select("name", "v.*")
 
 
+def middle_changed(df: DataFrame, old: str = "Y", new: str = "S") -> DataFrame:
+    """name, seq, reference: each sequence with its middle ``old`` made ``new``, as in :func:`base_variants`, beside itself; by string functions on the row, nothing is shuffled."""
+    n = F.length("seq") - F.length(F.replace("seq", F.lit(old), F.lit("")))
+    x = df.select("name", "seq", F.floor((n + 1) / 2).cast("int").alias("k"))
+    before = F.length(F.expr(f"substring_index(seq, '{old}', k)"))
+    changed = F.concat(F.substring("seq", F.lit(1), before), F.lit(new), F.substring("seq", before + 2, F.length("seq")))
+    return x.select("name", F.when(F.col("k") > 0, changed).otherwise(F.col("seq")).alias("seq"), F.col("seq").alias("reference"))
+
+
 def shuffled(df: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """name, k, seq: n shuffles of each sequence, the random numbers seeded by ``seed``, the sequence and k."""
 

@@ -62,8 +62,7 @@ def local_density_documents(spark, sf_dir):
 @_register("diff_documents")
 def diff_documents(spark, sf_dir):
     """What changing one tyrosine to serine does to the map of each document: only rows near it are made."""
-    x = variants.base_variants(feeds.documents(spark, sf_dir)).filter("variant in ('WT', 'MidY_to_S')")
-    both = x.groupBy("name").agg(F.max(F.when(F.col("variant") == "MidY_to_S", F.col("seq"))).alias("seq"), F.max(F.when(F.col("variant") == "WT", F.col("seq"))).alias("reference"))
+    both = variants.middle_changed(feeds.documents(spark, sf_dir))
     return moments.map_differences(both, energy_matrix(spark)).drop("profile")
 
 

@@ -366,3 +366,13 @@ def test_representations_are_one_pass(spark):
     for row, s in zip(rows, df.collect(), strict=True):
         parts = [tables[0][s.name].theta, tables[1][s.name][1:], tables[2][s.name][1:], tables[3][s.name].theta, tables[4][s.name][1:]]
         assert row * len(s.seq) ** 2 == pytest.approx([v for p in parts for v in p], abs=1e-9)
+
+
+def test_middle_changed_stays_in_its_row(spark):
+    from polyseq.operators import variants
+
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(["Y", "AYGYCY", "AAA", "YY", "YYAYYA", "GY"])], "name int, seq string")
+    x = variants.middle_changed(df)
+    assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
+    base = {(r.name, r.variant): r.seq for r in variants.base_variants(df).collect()}
+    assert all((r.seq, r.reference) == (base[r.name, "MidY_to_S"], base[r.name, "WT"]) for r in x.collect())
