@@ -43,16 +43,15 @@ def smooth(x: np.ndarray, weights: list[float]) -> np.ndarray:
     return np.convolve(x[reflected(len(x), -r, len(x) + r)], weights, "valid") if r else x
 
 
-def soft_rows(idx: np.ndarray, weights: list[float], low: int, high: int, halo: int = 0) -> np.ndarray:
-    """The soft composition of the places low - halo to high + halo - 1 that exist."""
+def soft_rows(idx: np.ndarray, weights: list[float], low: int, high: int, halo: int = 0, of: np.ndarray | None = None) -> np.ndarray:
+    """The soft composition of the places low - halo to high + halo - 1 that exist; of: rows for the residues that are weighted in place of their unit vectors."""
     n, r = len(idx), len(weights) // 2
     low, high = max(low - halo, 0), min(high + halo, n)
     near = idx[reflected(n, low - r, high + r)]
-    hot = np.zeros((len(near), len(ALPHABET)))
-    hot[np.arange(len(near)), near] = 1.0
-    out = np.zeros((high - low, len(ALPHABET)))
+    hot = (np.eye(len(ALPHABET)) if of is None else of).take(near, axis=0)
+    out, part = np.zeros((high - low, hot.shape[1])), np.empty((high - low, hot.shape[1]))
     for d, w in enumerate(weights):
-        out += w * hot[d : d + high - low]
+        out += np.multiply(hot[d : d + high - low], w, out=part)
     return out
 
 
@@ -64,6 +63,11 @@ def _parts(n: int) -> Iterator[tuple[int, int]]:
 _ROW = {float: ("double", pa.float64()), int: ("long", pa.int64()), list: ("array<double>", pa.list_(pa.float64()))}
 
 
+def _lists(rows: tuple[np.ndarray, ...]) -> pa.Array:
+    """A row for each array, without a Python number for each entry."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows), pa.float64()))
+
+
 def _per_sequence(df: DataFrame, columns: list[str], out: dict[str, type], measure: Callable[..., tuple]) -> DataFrame:
     """A row for each row of ``df``: its name and what ``measure`` makes of its other columns, which are texts."""
 
@@ -73,7 +77,7 @@ def _per_sequence(df: DataFrame, columns: list[str], out: dict[str, type], measu
                 part = batch.slice(at, 64)
                 rows = [measure(*texts) for texts in zip(*[c.to_pylist() for c in part.columns[1:]], strict=True)]
                 found = zip(out.items(), zip(*rows, strict=True), strict=True)
-                yield pa.record_batch({"name": part.column(0)} | {k: pa.array(v, _ROW[t][1]) for (k, t), v in found})
+                yield pa.record_batch({"name": part.column(0)} | {k: _lists(v) if t is list else pa.array(v, _ROW[t][1]) for (k, t), v in found})
 
     kind = df.schema["name"].dataType.simpleString()
     return dealt(df, "name", *columns).mapInArrow(run, f"name {kind}, " + ", ".join(f"{k} {_ROW[t][0]}" for k, t in out.items()))
@@ -111,7 +115,7 @@ def linear_energies(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0
             total = (float(t @ m @ t) - diagonal) / 2
             found += [total, total / (n * (n - 1) / 2) if n > 1 else 0.0]
         if "profile" in want:
-            found.append(smooth((m @ t / n)[idx], w).tolist())
+            found.append(smooth((m @ t / n)[idx], w))
         return tuple(found)
 
     return _per_sequence(df, ["seq"], out, measure)
@@ -174,7 +178,7 @@ def separation_energies(df: DataFrame, matrix: list[list[float]], separation: in
     def measure(seq: str) -> tuple:
         g = separation_sums(seq, values, vectors)
         far = np.arange(3, len(g))
-        found = {"by_separation": g[1:].tolist(), "chain": float(g[separation:].sum()), "contact": float((g[3:] * (far / persistence) ** -1.5).sum())}
+        found = {"by_separation": g[1:], "chain": float(g[separation:].sum()), "contact": float((g[3:] * (far / persistence) ** -1.5).sum())}
         return tuple(found[k] for k in want)
 
     kinds = {"by_separation": list, "chain": float, "contact": float}
@@ -182,20 +186,24 @@ def separation_energies(df: DataFrame, matrix: list[list[float]], separation: in
 
 
 def local_densities(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0, window: int = 10) -> DataFrame:
-    """name, density: for each place the mean of the square block of the smoothed map around it, cut at the edges; a block's sum is that of its soft compositions, twice, through the energies."""
+    """name, density: for each place the mean of the square block of the smoothed map around it, cut at the edges; a block's sum is that of the squares of its sums along the energies' eigenvectors, weighted."""
     w, m = gaussian_weights(sigma), np.array(matrix)
+    values, vectors = np.linalg.eigh((m + m.T) / 2)
+    keep = np.abs(values) > 1e-13
+    values, vectors = values[keep], np.ascontiguousarray(vectors[:, keep])
 
     def measure(seq: str) -> tuple:
         idx = _numbered(seq)
         n, found = len(idx), []
         for low, high in _parts(n):
-            soft, start = soft_rows(idx, w, low, high, window), max(low - window, 0)
-            sums = np.vstack([np.zeros(len(ALPHABET)), np.cumsum(soft, axis=0)])
+            soft, start = soft_rows(idx, w, low, high, window, vectors), max(low - window, 0)
+            sums = np.zeros((len(soft) + 1, len(values)))
+            np.cumsum(soft, axis=0, out=sums[1:])
             at = np.arange(low, high)
             a, b = np.maximum(at - window, 0), np.minimum(at + window + 1, n)
             block = sums[b - start] - sums[a - start]
-            found.append(np.einsum("ia,ia->i", block @ m, block) / (b - a) ** 2)
-        return (np.concatenate(found).tolist() if found else [],)
+            found.append(np.square(block) @ values / (b - a) ** 2)
+        return (np.concatenate(found) if found else np.zeros(0),)
 
     return _per_sequence(df, ["seq"], {"density": list}, measure)
 
@@ -224,7 +232,11 @@ def map_differences(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0
         twice = np.full(n, 2.0)
         twice[at] = 1.0  # a row that isn't changed has only the changed columns
         for a, b in _parts(n) if len(at) else ():
-            right_new, right_old = soft_rows(new, w, a, b).T, soft_rows(old, w, a, b).T
+            right_new = soft_rows(new, w, a, b).T
+            right_old, own = right_new.copy(), at[np.searchsorted(at, a) : np.searchsorted(at, b)]
+            if len(own):  # elsewhere both are alike
+                first, last = int(own[0]), int(own[-1]) + 1
+                right_old[:, first - a : last - a] = soft_rows(old, w, first, last).T
             step = max(1, CELLS // (b - a))
             for k in range(0, len(at), step):
                 rows = at[k : k + step]
@@ -242,7 +254,7 @@ def map_differences(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0
                 low, high = min(low, float(e.min())), max(high, float(e.max()))
         t_new, t_old = (np.bincount(x, minlength=len(ALPHABET)) for x in (new, old))
         profile = smooth((m @ t_new / n)[new], w) - smooth((m @ t_old / n)[old], w)
-        return n, total / 2, math.sqrt(squares / n**2), low, high, absolute / n**2, over / n**2, profile.tolist()
+        return n, total / 2, math.sqrt(squares / n**2), low, high, absolute / n**2, over / n**2, profile
 
     names = {"n": int, "total": float, "rmsd": float, "low": float, "high": float, "mean_abs": float, "changed": float, "profile": list}
     return _per_sequence(df, ["seq", "reference"], names, measure)

@@ -21,7 +21,8 @@ def residues_of(text: Column) -> Column:
 
 def sequences(df: DataFrame, name_col: str, text_col: str = "text") -> DataFrame:
     """name, seq of each row whose text has a residue; whole texts, however long."""
-    return df.select(df[name_col].alias("name"), residues_of(df[text_col]).alias("seq")).filter(F.length("seq") > 0)
+    some = df.filter(df[text_col].rlike(f"[{ALPHABET}{ALPHABET.lower()}]"))  # of the text: a condition on seq would make it twice
+    return some.select(df[name_col].alias("name"), residues_of(df[text_col]).alias("seq"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

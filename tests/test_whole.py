@@ -376,3 +376,22 @@ def test_middle_changed_stays_in_its_row(spark):
     assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
     base = {(r.name, r.variant): r.seq for r in variants.base_variants(df).collect()}
     assert all((r.seq, r.reference) == (base[r.name, "MidY_to_S"], base[r.name, "WT"]) for r in x.collect())
+
+
+def test_texts_are_cleaned_once(spark):
+    """The condition on rows doesn't make the sequence a second time."""
+    from polyseq.sources import feeds
+
+    df = spark.createDataFrame([(1, "a b.c"), (2, None), (3, "?! 12 jou"), (4, ""), (5, "\näY")], "doc_id int, text string")
+    x = feeds.sequences(df, "doc_id")
+    assert {r.name: r.seq for r in x.collect()} == {1: "AC", 5: "Y"}
+    assert x._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace") == 1
+
+
+def test_soft_rows_of_vectors(seqs):
+    """Local densities weight the residues' entries of the energies' eigenvectors, of which there are fewer than residues, and hand arrays on as such."""
+    vectors = np.random.default_rng(2).normal(size=(20, 6))
+    for s in seqs.collect():
+        idx, w = maps._numbered(s.seq), maps.gaussian_weights(2.0)
+        assert moments.soft_rows(idx, w, 0, len(idx), 3, vectors) == pytest.approx(moments.soft_rows(idx, w, 0, len(idx), 3) @ vectors, abs=1e-12)
+    assert moments._lists((np.array([1.0, 2.0]), np.zeros(0), np.array([3.0]))).to_pylist() == [[1.0, 2.0], [], [3.0]]
