@@ -156,15 +156,20 @@ def map_moments(df: DataFrame, matrix: list[list[float]], sigma: float = 2.0, ma
     return _per_sequence(df, ["seq"], {"n": int, "mean": float, "std": float, "total": float, "off_diagonal_mean": float, "shift": float, "scale": float}, measure)
 
 
+def transform_size(n: int) -> int:
+    """The least product of 2, 3 and 5 that is n or more and has one of a few odd parts: transforms of it are fast, and it isn't up to twice n, as a power of two is."""
+    return min(odd << (-(-n // odd) - 1).bit_length() for odd in (1, 3, 5, 9, 15, 25, 27, 45, 75, 81, 125, 135))
+
+
 def separation_sums(seq: str, values: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The raw energies of all pairs by separation, from 0 on: the autocorrelations of the residues' eigenvector entries, weighted, by one transform each."""
+    """The raw energies of all pairs by separation, from 0 on: the autocorrelations of the residues' eigenvector entries, weighted, by one transform each, some together."""
     idx = _numbered(seq)
     n = len(idx)
-    size = 1 << (2 * n - 1).bit_length()
-    power = np.zeros(size // 2 + 1)
-    for value, vector in zip(values, vectors.T, strict=True):
-        f = np.fft.rfft(vector[idx], size)
-        power += value * (f.real**2 + f.imag**2)
+    size = transform_size(2 * n)
+    power, step = np.zeros(size // 2 + 1), max(1, CELLS // size)
+    for k in range(0, len(values), step):
+        f = np.fft.rfft(vectors.T[k : k + step].take(idx, axis=1), size)
+        power += values[k : k + step] @ (f.real**2 + f.imag**2)
     return np.fft.irfft(power, size)[:n]
 
 

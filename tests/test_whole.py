@@ -395,3 +395,17 @@ def test_soft_rows_of_vectors(seqs):
         idx, w = maps._numbered(s.seq), maps.gaussian_weights(2.0)
         assert moments.soft_rows(idx, w, 0, len(idx), 3, vectors) == pytest.approx(moments.soft_rows(idx, w, 0, len(idx), 3) @ vectors, abs=1e-12)
     assert moments._lists((np.array([1.0, 2.0]), np.zeros(0), np.array([3.0]))).to_pylist() == [[1.0, 2.0], [], [3.0]]
+
+
+@pytest.mark.parametrize("cells", [1, 1_000_000])
+def test_transforms_are_little_longer_than_needed(monkeypatch, cells):
+    monkeypatch.setattr(moments, "CELLS", cells)
+    assert all(n <= moments.transform_size(n) <= max(1.2 * n, n + 2) for n in range(2, 3000))
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(20, 20))
+    values, vectors = np.linalg.eigh(m + m.T)
+    for n in (1, 2, 33, 130):
+        s = "".join(rng.choice(list(ALPHABET), n))
+        idx = maps._numbered(s)
+        wanted = [sum((m + m.T)[idx[k], idx[k + d]] for k in range(n - d)) for d in range(n)]
+        assert moments.separation_sums(s, values, vectors) == pytest.approx(wanted, abs=1e-9)
